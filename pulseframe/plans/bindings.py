@@ -174,3 +174,75 @@ def with_views(*names: str, extra: list[tuple[str, str]] | None = None) -> str:
     parts = [f"d_{n} AS ({SQL[n]})" for n in names]
     parts += [f"{n} AS ({body})" for n, body in (extra or [])]
     return "WITH " + ",\n".join(parts) + "\n"
+
+
+# Score slugs of the history binding -> wide columns (l_returnflag values).
+BINDING_SLUG_COLUMNS = {"A": "rec_med_bmi", "N": "rec_heartrisk", "R": "rec_ls_stress_sum"}
+BINDING_SCORE_COLUMNS = list(BINDING_SLUG_COLUMNS.values())
+
+
+def wide(d: Domain) -> DataFrame:
+    """The consolidated per-user table built from the bindings."""
+    from pulseframe.plans.consolidate import consolidate_scores
+    return consolidate_scores(d.participants, d.history, d.completions, None, BINDING_SLUG_COLUMNS,
+                              lifestyle_components=BINDING_SCORE_COLUMNS)
+
+
+def _num(x: str) -> str:
+    return f"TRY_CAST(trim(CAST({x} AS VARCHAR)) AS DOUBLE)"
+
+
+SQL["latest"] = """SELECT participant_id, slug, score_value, completion_created_at, id FROM (
+    SELECT *, row_number() OVER (PARTITION BY participant_id, slug
+        ORDER BY (completion_created_at IS NOT NULL) DESC, completion_created_at DESC, id DESC, score_value DESC) AS rn
+    FROM d_history WHERE slug IS NOT NULL) WHERE rn = 1"""
+
+SQL["wide"] = f"""WITH piv AS (
+      SELECT participant_id,
+             max(CASE WHEN slug = 'A' THEN score_value END) AS rec_med_bmi,
+             max(CASE WHEN slug = 'N' THEN score_value END) AS rec_heartrisk,
+             max(CASE WHEN slug = 'R' THEN score_value END) AS rec_ls_stress_sum
+      FROM d_latest GROUP BY participant_id),
+    lastc AS (SELECT participant_id, max(created_at) AS latest_completion_at FROM d_completions
+              WHERE participant_id IS NOT NULL GROUP BY participant_id),
+    j AS (
+      SELECT p.id AS participant_id, coalesce(p.user_id, p.id) AS user_id, p.store_id, p.postal_code, p.segment,
+             p.balance, p.age AS rec_age_current, p.gender_raw,
+             piv.rec_med_bmi, piv.rec_heartrisk, piv.rec_ls_stress_sum, lastc.latest_completion_at
+      FROM d_participants p LEFT JOIN piv ON piv.participant_id = p.id
+      LEFT JOIN lastc ON lastc.participant_id = p.id)
+    SELECT participant_id, user_id, store_id, postal_code, segment, balance, rec_age_current,
+           rec_med_bmi, rec_heartrisk, rec_ls_stress_sum, latest_completion_at,
+           CAST(CASE WHEN upper(trim(gender_raw)) LIKE 'M%' THEN 1
+                WHEN upper(trim(gender_raw)) LIKE 'V%' OR upper(trim(gender_raw)) LIKE 'F%' THEN 0
+                WHEN {_num('gender_raw')} = 1 THEN 1 WHEN {_num('gender_raw')} = 0 THEN 0 END AS INTEGER) AS rec_user_gender,
+           CAST(CASE WHEN rec_heartrisk >= 20 THEN 2 WHEN rec_heartrisk >= 10 THEN 1 ELSE 0 END AS INTEGER) AS rec_heartrisk_cat,
+           CAST(CASE WHEN rec_med_bmi >= 30 THEN 2 WHEN rec_med_bmi >= 25 THEN 1 WHEN rec_med_bmi >= 18.5 THEN 0
+                WHEN rec_med_bmi < 18.5 THEN -1 ELSE 0 END AS INTEGER) AS rec_med_bmi_cat,
+           CAST(CASE WHEN rec_ls_stress_sum >= 40 THEN 2 WHEN rec_ls_stress_sum >= 20 THEN 1 ELSE 0 END AS INTEGER)
+                AS rec_ls_stress_cat,
+           CAST(CASE WHEN rec_age_current >= 55 THEN 2 WHEN rec_age_current >= 40 THEN 1 ELSE 0 END AS INTEGER)
+                AS rec_med_age_cat,
+           CAST(NULL AS INTEGER) AS rec_ls_sleep_cat,
+           CASE WHEN (rec_med_bmi IS NOT NULL)::INT + (rec_heartrisk IS NOT NULL)::INT + (rec_ls_stress_sum IS NOT NULL)::INT > 0
+                THEN (coalesce(rec_med_bmi, 0) + coalesce(rec_heartrisk, 0) + coalesce(rec_ls_stress_sum, 0))
+                     / ((rec_med_bmi IS NOT NULL)::INT + (rec_heartrisk IS NOT NULL)::INT + (rec_ls_stress_sum IS NOT NULL)::INT)
+           END AS rec_ls_lifestyle_score
+    FROM j"""
+
+# Views that depend on other views, in definition order.
+_DEPENDS = {"latest": ["history"], "wide": ["participants", "completions", "history", "latest"]}
+
+
+def views(*names: str, extra: list[tuple[str, str]] | None = None) -> str:
+    """Like ``with_views`` but pulls in the views each named view depends on."""
+    order: list[str] = []
+
+    def add(n):
+        for dep in _DEPENDS.get(n, []):
+            add(dep)
+        if n not in order:
+            order.append(n)
+    for n in names:
+        add(n)
+    return with_views(*order, extra=extra)
