@@ -103,10 +103,13 @@ def cut_sql(expr: str, edges: Sequence[float], labels: Sequence | None = None,
         lo, hi = float(edges[i]), float(edges[i + 1])
         if right:
             lo_op = ">=" if (include_lowest and i == 0) else ">"
-            cond = f"({expr}) {lo_op} {lo!r} AND ({expr}) <= {hi!r}"
+            terms = [f"({expr}) {lo_op} {lo!r}" if lo != float("-inf") else f"({expr}) IS NOT NULL",
+                     f"({expr}) <= {hi!r}" if hi != float("inf") else f"({expr}) IS NOT NULL"]
         else:
             hi_op = "<=" if (include_lowest and i == n - 1) else "<"
-            cond = f"({expr}) >= {lo!r} AND ({expr}) {hi_op} {hi!r}"
+            terms = [f"({expr}) >= {lo!r}" if lo != float("-inf") else f"({expr}) IS NOT NULL",
+                     f"({expr}) {hi_op} {hi!r}" if hi != float("inf") else f"({expr}) IS NOT NULL"]
+        cond = " AND ".join(terms)
         val = (f"'{labels[i]}'" if isinstance(labels[i], str) else str(labels[i])) if labels is not None else str(i)
         parts.append(f"WHEN {cond} THEN {val}")
     return "CASE " + " ".join(parts) + " END"

@@ -13,3 +13,217 @@ from pyspark.sql.window import Window
 def group_aggregate(df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
     """``groupBy(by).agg(...)`` keeping NULL group keys (pandas ``dropna=False``)."""
     return df.groupBy(*by).agg(*[c.alias(n) for n, c in aggs.items()])
+
+
+def pct_distribution(df: DataFrame, column: str, labels: Mapping | None = None) -> DataFrame:
+    """Share (percent) per code over the non-null codes; codes without a label
+    are dropped after the shares are computed (so shares may not sum to 100)."""
+    from pulseframe.functions.semantics import to_num
+    codes = df.select(to_num(column).alias("code")).where(F.col("code").isNotNull())
+    counts = codes.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("_total"))
+    out = counts.crossJoin(F.broadcast(total)).withColumn("pct", F.col("n") * 100.0 / F.col("_total")).drop("_total")
+    if labels is not None:
+        lab = F.create_map(*[x for k, v in labels.items() for x in (F.lit(float(k)), F.lit(v))])
+        out = out.withColumn("label", lab[F.col("code")]).where(F.col("label").isNotNull())
+    return out
+
+
+def pct_by_group(df: DataFrame, column: str, group: str, labels: Mapping | None = None) -> DataFrame:
+    """Share (percent) of each code within each group (e.g. gender)."""
+    from pulseframe.functions.semantics import to_num
+    x = df.select(to_num(column).alias("code"), F.col(group).alias("grp")).where(
+        F.col("code").isNotNull() & F.col("grp").isNotNull())
+    counts = x.groupBy("grp", "code").agg(F.count(F.lit(1)).alias("n"))
+    out = counts.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy("grp")))
+    if labels is not None:
+        lab = F.create_map(*[x for k, v in labels.items() for x in (F.lit(float(k)), F.lit(v))])
+        out = out.withColumn("label", lab[F.col("code")]).where(F.col("label").isNotNull())
+    return out.withColumnRenamed("grp", group)
+
+
+def histogram_equal_width(df: DataFrame, column: str, bins: int, by: str | None = None) -> DataFrame:
+    """``bins`` equal-width bins between the column's min and max (last bin
+    closed), counts per bin (and per ``by`` group). Bin edges come from one
+    global min/max aggregate."""
+    from pulseframe.functions.semantics import to_num
+    x = df.select(to_num(column).alias("x"), *([F.col(by)] if by else [])).where(F.col("x").isNotNull())
+    rng = x.agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
+    width = (F.col("_hi") - F.col("_lo")) / bins
+    raw = F.when(width == 0, 0).otherwise(F.floor((F.col("x") - F.col("_lo")) / width))
+    b = F.least(raw, F.lit(bins - 1)).cast("int")
+    keys = [b.alias("bin")] + ([F.col(by)] if by else [])
+    out = (x.crossJoin(F.broadcast(rng)).groupBy(*keys, "_lo", "_hi")
+             .agg(F.count(F.lit(1)).alias("n")))
+    w = (F.col("_hi") - F.col("_lo")) / bins
+    return (out.withColumn("bin_start", F.col("_lo") + F.col("bin") * w)
+               .withColumn("bin_end", F.col("_lo") + (F.col("bin") + 1) * w).drop("_lo", "_hi"))
+
+
+def histogram_fixed_width(df: DataFrame, column: str, width: float, by: str | None = None) -> DataFrame:
+    """Bins of ``width`` starting at the column's minimum; counts per bin."""
+    from pulseframe.functions.semantics import to_num
+    x = df.select(to_num(column).alias("x"), *([F.col(by)] if by else [])).where(F.col("x").isNotNull())
+    lo = x.agg(F.min("x").alias("_lo"))
+    b = F.floor((F.col("x") - F.col("_lo")) / width).cast("long")
+    keys = [b.alias("bin")] + ([F.col(by)] if by else [])
+    out = x.crossJoin(F.broadcast(lo)).groupBy(*keys, "_lo").agg(F.count(F.lit(1)).alias("n"))
+    return out.withColumn("bin_start", F.col("_lo") + F.col("bin") * width).drop("_lo")
+
+
+def quantiles(value: Column | str, probs: Sequence[float], exact: bool = True, accuracy: int = 100000) -> Column:
+    """Aggregate: array of quantiles. Exact uses linear interpolation
+    (pandas/SQL ``quantile_cont``); ``exact=False`` uses the mergeable
+    approximate sketch whose memory per group is bounded by ``accuracy``."""
+    v = F.col(value) if isinstance(value, str) else value
+    if exact:
+        return F.percentile(v, F.array(*[F.lit(p) for p in probs]))
+    return F.percentile_approx(v, list(probs), accuracy)
+
+
+def box_stats(df: DataFrame, value: str, group: str | None = None, exact: bool = True) -> DataFrame:
+    """Per group: n, mean, q1, median, q3 and whiskers (extreme values inside
+    the 1.5 IQR fences). Quartiles in one aggregate, fences joined back for
+    the whisker pass (two aggregates, no per-row driver work)."""
+    from pulseframe.functions.semantics import to_num
+    keys = [group] if group else []
+    x = df.select(*keys, to_num(value).alias("v")).where(F.col("v").isNotNull())
+    if group:
+        x = x.where(F.col(group).isNotNull())
+    q = (x.groupBy(*keys).agg(F.count("v").alias("n"), F.avg("v").alias("mean"),
+                              quantiles("v", [0.25, 0.5, 0.75], exact).alias("_q"))
+           .select(*keys, "n", "mean", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
+                   F.col("_q")[2].alias("q3")))
+    fences = q.select(*keys, (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("_lo"),
+                      (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("_hi"))
+    joined = x.join(fences, keys) if keys else x.crossJoin(fences)
+    wh = joined.groupBy(*keys).agg(
+        F.min(F.when(F.col("v") >= F.col("_lo"), F.col("v"))).alias("whisker_low"),
+        F.max(F.when(F.col("v") <= F.col("_hi"), F.col("v"))).alias("whisker_high"))
+    return q.join(wh, keys) if keys else q.crossJoin(wh)
+
+
+def measures_long(df: DataFrame, measures: Mapping[str, str], ids: Sequence[str] = ()) -> DataFrame:
+    """Unpivot the measure columns once: (ids..., measure, value) with numeric
+    coercion and NULL values dropped. Replaces per-column loops."""
+    from pulseframe.functions.semantics import to_num
+    cols = [to_num(c).alias(c) for c in measures.values()]
+    wide = df.select(*ids, *cols)
+    long = wide.unpivot(list(ids), list(measures.values()), "column", "value").where(F.col("value").isNotNull())
+    names = F.create_map(*[x for k, v in measures.items() for x in (F.lit(v), F.lit(k))])
+    return long.withColumn("measure", names[F.col("column")])
+
+
+def outliers_iqr(df: DataFrame, measures: Mapping[str, str], domain_limits: Mapping[str, float] | None = None,
+                 min_n: int = 10, exact: bool = True) -> DataFrame:
+    """Per measure with at least ``min_n`` values: mean, median, std, min, max,
+    IQR fences and counts of values strictly outside them, their percent, and
+    the count above a domain limit."""
+    long = measures_long(df, measures)
+    stats = (long.groupBy("measure", "column").agg(
+        F.count("value").alias("n_valid"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"), F.max("value").alias("max"),
+        quantiles("value", [0.25, 0.5, 0.75], exact).alias("_q"))
+        .where(F.col("n_valid") >= min_n)
+        .withColumn("median", F.col("_q")[1])
+        .withColumn("fence_low", F.col("_q")[0] - 1.5 * (F.col("_q")[2] - F.col("_q")[0]))
+        .withColumn("fence_high", F.col("_q")[2] + 1.5 * (F.col("_q")[2] - F.col("_q")[0])).drop("_q"))
+    lim = F.create_map(*[x for k, v in (domain_limits or {}).items() for x in (F.lit(k), F.lit(float(v)))]) \
+        if domain_limits else None
+    j = long.join(stats.select("column", "fence_low", "fence_high"), "column")
+    counts = j.groupBy("column").agg(
+        F.sum(F.when(F.col("value") < F.col("fence_low"), 1).otherwise(0)).cast("long").alias("n_low"),
+        F.sum(F.when(F.col("value") > F.col("fence_high"), 1).otherwise(0)).cast("long").alias("n_high"),
+        (F.sum(F.when(F.col("value") > lim[F.col("column")], 1).otherwise(0)).cast("long") if lim is not None
+         else F.lit(None).cast("long")).alias("n_above_domain"))
+    out = stats.join(counts, "column")
+    return (out.withColumn("n_outliers", F.col("n_low") + F.col("n_high"))
+               .withColumn("pct_outliers", F.col("n_outliers") * 100.0 / F.col("n_valid"))
+               .withColumn("domain_limit", lim[F.col("column")] if lim is not None else F.lit(None).cast("double")))
+
+
+def data_quality(df: DataFrame, columns: Sequence[str], total_override: int | None = None,
+                 labels: Mapping[str, str] | None = None) -> DataFrame:
+    """Per column: filled, missing, missing %, mean, std, min, max and the
+    value distribution of its sibling ``<column>_cat`` column as text
+    'code=n, ...'. All statistics come from one unpivot + one aggregate."""
+    from pulseframe.functions.semantics import to_num
+    n_rows = df.agg(F.count(F.lit(1)).alias("_rows"))
+    long = df.select(*[to_num(c).alias(c) for c in columns]).unpivot([], list(columns), "column", "value")
+    stats = long.groupBy("column").agg(F.count("value").alias("filled"), F.avg("value").alias("mean"),
+                                       F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
+                                       F.max("value").alias("max"))
+    denom = F.lit(total_override) if total_override else F.col("_rows")
+    out = (stats.crossJoin(F.broadcast(n_rows))
+                .withColumn("missing", denom - F.col("filled"))
+                .withColumn("missing_pct", F.col("missing") * 100.0 / denom).drop("_rows"))
+    cats = [c for c in columns if f"{c}_cat" in df.columns]
+    if cats:
+        cl = (df.select(*[to_num(f"{c}_cat").alias(c) for c in cats]).unpivot([], cats, "column", "code")
+                .where(F.col("code").isNotNull())
+                .groupBy("column", "code").agg(F.count(F.lit(1)).alias("n"))
+                .groupBy("column").agg(F.array_join(F.transform(
+                    F.array_sort(F.collect_list(F.struct("code", "n"))),
+                    lambda s: F.concat(s["code"].cast("long").cast("string"), F.lit("="), s["n"].cast("string"))),
+                    ", ").alias("category_distribution")))
+        out = out.join(cl, "column", "left")
+    else:
+        out = out.withColumn("category_distribution", F.lit(None).cast("string"))
+    if labels:
+        lab = F.create_map(*[x for k, v in labels.items() for x in (F.lit(k), F.lit(v))])
+        out = out.withColumn("label", F.coalesce(lab[F.col("column")], F.col("column")))
+    return out
+
+
+def missing_band(pct: Column | str) -> Column:
+    p = F.col(pct) if isinstance(pct, str) else pct
+    return F.when(p > 50, "hoog").when(p > 20, "matig").otherwise("laag")
+
+
+def duplicate_stats(frames: Mapping[str, DataFrame], id_col: str = "id") -> DataFrame:
+    """Per table: rows, full-row duplicates (NULL equals NULL, floats with NaN
+    and -0.0 normalised), unique rows, duplicate percent and duplicate ids
+    (rows minus distinct ids; NULL ids count as duplicates).
+
+    Full-row duplicates are ``count(*) - count(distinct row)`` via a grouped
+    count on all columns: a shuffle aggregation with spill, no row cap.
+    """
+    parts = []
+    for name, df in frames.items():
+        norm = []
+        for f, t in df.dtypes:
+            c = F.col(f"`{f}`")
+            if t in ("double", "float"):
+                c = F.when(F.isnan(c), F.lit(float("nan"))).when(c == 0, F.lit(0.0)).otherwise(c)
+            elif t.startswith("map"):
+                c = F.to_json(c)  # maps are not groupable
+            norm.append(c.alias(f))
+        g = df.select(*norm).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c"))
+        agg = g.agg(F.sum("_c").alias("rows"), F.count(F.lit(1)).alias("unique_rows"))
+        if id_col in df.columns:
+            ids = df.agg((F.count(F.lit(1)) - F.countDistinct(id_col)).alias("duplicate_ids"))
+        else:
+            ids = df.sparkSession.range(1).select(F.lit(None).cast("long").alias("duplicate_ids"))
+        parts.append(agg.crossJoin(ids).select(F.lit(name).alias("table"), "*"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return (out.withColumn("rows", F.col("rows").cast("long"))
+               .withColumn("full_row_duplicates", F.col("rows") - F.col("unique_rows"))
+               .withColumn("duplicate_pct", F.when(F.col("rows") > 0,
+                                                   F.col("full_row_duplicates") * 100.0 / F.col("rows"))
+                           .otherwise(0.0)))
+
+
+def mode_per_group(df: DataFrame, group: str, code: str) -> DataFrame:
+    """Per group: modal code (smallest of tied modes), its count, valid n and
+    dominance percent. Counts per (group, code) first, then a window over the
+    small (group, code) table."""
+    x = df.select(F.col(group), F.col(code).alias("code")).where(F.col(group).isNotNull() & F.col("code").isNotNull())
+    cnt = x.groupBy(group, "code").agg(F.count(F.lit(1)).alias("n_code"))
+    w = Window.partitionBy(group)
+    ranked = (cnt.withColumn("n_valid", F.sum("n_code").over(w))
+                 .withColumn("_rk", F.row_number().over(w.orderBy(F.col("n_code").desc(), F.col("code").asc()))))
+    return (ranked.where("_rk = 1").drop("_rk")
+                  .withColumnRenamed("code", "modal_code")
+                  .withColumn("dominance_pct", F.col("n_code") * 100.0 / F.col("n_valid")))

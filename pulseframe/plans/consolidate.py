@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.functions import rules
 from pulseframe.functions.semantics import month_start, row_mean, to_num
-from pulseframe.operators.reshape import latest_per_key, pivot_first, unpivot_columns
+from pulseframe.operators.reshape import latest_per_key, unpivot_columns
 
 # Category columns derived from a raw score column when they are wholly empty.
 CATEGORY_RULES = {
@@ -61,13 +61,26 @@ def latest_scores_wide(history: DataFrame, slug_columns: Mapping[str, str], part
                        slug: str = "slug", value: str = "score_value", at: str = "completion_created_at",
                        tiebreak: Sequence[str] = ("id",)) -> DataFrame:
     """Newest score per (participant, slug), pivoted to one column per slug
-    (column name from ``slug_columns``)."""
-    h = history.select(participant, slug, value, at, *tiebreak).where(F.col(slug).isNotNull())
-    latest = latest_per_key(h, [participant, slug], at, tiebreak)
-    mapped = latest.withColumn("_column", rules.map_lookup(dict(slug_columns), F.col(slug))).where(
-        F.col("_column").isNotNull())
-    cols = list(dict.fromkeys(slug_columns.values()))
-    return pivot_first(mapped, [participant], "_column", cols, value)
+    (column name from ``slug_columns``).
+
+    Dedupe and pivot are fused into one aggregation keyed by participant:
+    per output column a ``max_by`` over the rows of its slugs, ordered by
+    (timestamp present, timestamp, tiebreak, value). One shuffle instead of
+    three (dedupe, pivot pre-aggregation, pivot), and the aggregate is
+    combined map-side, so hot participants are reduced before the shuffle.
+    The newest row wins even when its value is NULL, as in a plain
+    latest-row pivot.
+    """
+    by_column: dict[str, list[str]] = {}
+    for s_value, c in slug_columns.items():
+        by_column.setdefault(c, []).append(s_value)
+    order = F.struct(F.col(at).isNotNull(), F.col(at), *[F.col(t) for t in tiebreak], F.col(value))
+    aggs = []
+    for c, slugs in by_column.items():
+        hit = F.col(slug).isin(slugs)
+        aggs.append(F.max_by(F.when(hit, F.col(value)), F.when(hit, order)).alias(c))
+    h = history.where(F.col(slug).isin(list(slug_columns)))
+    return h.groupBy(participant).agg(*aggs)
 
 
 def consolidate_scores(participants: DataFrame, history: DataFrame, completions: DataFrame,
