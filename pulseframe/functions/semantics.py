@@ -156,21 +156,28 @@ def weighted_average(value: ColumnOrName, weight: ColumnOrName) -> Column:
 # S4: first / last non-null value per group, per column
 # --------------------------------------------------------------------------
 
-def first_non_null(value: ColumnOrName, order: ColumnOrName, tiebreak: ColumnOrName | None = None) -> Column:
-    """Aggregate: value at the smallest ``order`` among rows where value is not NULL.
+def _order_key(value: Column, order: ColumnOrName, tiebreak) -> Column:
+    if tiebreak is None:
+        return F.struct(col(order), value)
+    ties = tiebreak if isinstance(tiebreak, (list, tuple)) else [tiebreak]
+    return F.struct(col(order), *[col(t) for t in ties], value)
 
-    Uses ``min_by`` on a struct key so ties are broken by ``tiebreak`` and the
+
+def first_non_null(value: ColumnOrName, order: ColumnOrName, tiebreak=None) -> Column:
+    """Aggregate: value at the smallest (``order``, ``tiebreak``..., value)
+    among rows where value is not NULL.
+
+    Uses ``min_by`` on a struct key: the value itself is the last tiebreak,
+    so the result is deterministic even with duplicate keys, and the
     aggregate stays algebraic (map-side partial aggregation, skew-safe).
     """
     v = col(value)
-    key = F.struct(col(order), col(tiebreak)) if tiebreak is not None else col(order)
-    return F.min_by(F.when(v.isNotNull(), v), F.when(v.isNotNull(), key))
+    return F.min_by(F.when(v.isNotNull(), v), F.when(v.isNotNull(), _order_key(v, order, tiebreak)))
 
 
-def last_non_null(value: ColumnOrName, order: ColumnOrName, tiebreak: ColumnOrName | None = None) -> Column:
+def last_non_null(value: ColumnOrName, order: ColumnOrName, tiebreak=None) -> Column:
     v = col(value)
-    key = F.struct(col(order), col(tiebreak)) if tiebreak is not None else col(order)
-    return F.max_by(F.when(v.isNotNull(), v), F.when(v.isNotNull(), key))
+    return F.max_by(F.when(v.isNotNull(), v), F.when(v.isNotNull(), _order_key(v, order, tiebreak)))
 
 
 def round6(c: ColumnOrName) -> Column:

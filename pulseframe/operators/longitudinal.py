@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pyspark.sql import Column
+
 
 from pulseframe.functions.semantics import cut, days_between, first_non_null, last_non_null, month_start
 
@@ -45,3 +45,271 @@ def month_trend_by_store(history: DataFrame, links: DataFrame, slug: str | None
     w = Window.partitionBy("store_id").orderBy("month")
     return (kept.join(overall, "month", "left")
                 .withColumn("mean_change", F.coalesce(F.col("mean_score") - F.lag("mean_score").over(w), F.lit(0.0))))
+
+
+def change_vs_first(history: DataFrame, participant: str = "participant_id", slug: str = "slug",
+                    value: str = "score_value", at: str = "completion_created_at", tiebreak: str = "id") -> DataFrame:
+    """Change versus the first measurement per (participant, slug), bucketed by
+    days since the first measurement; mean per participant, then per
+    (period, slug): mean, count and distinct participants.
+
+    The first value is the first non-null value and the first date the first
+    non-null date (independently, as a grouped first() does). Both come from
+    one algebraic aggregate joined back on the key, not from a window, so a
+    key holding a huge share of rows is pre-reduced map-side; the join back
+    is a plain equi-join that AQE can split when skewed.
+    """
+    from pulseframe.functions import rules
+    keys = [participant, slug]
+    h = history.select(*keys, value, at, tiebreak)
+    firsts = h.groupBy(*keys).agg(first_non_null(value, at, tiebreak).alias("_first_value"),
+                                  F.min(at).alias("_first_at"))
+    j = h.join(firsts, keys).where(F.col(at) > F.col("_first_at"))
+    j = (j.withColumn("change", F.col(value) - F.col("_first_value"))
+          .withColumn("days", days_between("_first_at", at))
+          .withColumn("period", cut("days", rules.CHANGE_PERIOD_EDGES, rules.CHANGE_PERIOD_LABELS))
+          .where(F.col("period").isNotNull()))
+    per_p = j.groupBy(participant, slug, "period").agg(F.avg("change").alias("change_per_participant"))
+    return (per_p.groupBy("period", slug).agg(F.avg("change_per_participant").alias("mean"),
+                                              F.count("change_per_participant").alias("count"),
+                                              F.countDistinct(participant).alias("n_participants"))
+                 .where(F.col("n_participants") >= 1))
+
+
+def score_trajectory(history: DataFrame, participant: str = "participant_id", completion: str = "completion_id",
+                     value: str = "score_value", at: str = "completion_created_at", max_fill: int = 10) -> DataFrame:
+    """Mean score at the k-th completion (k <= ``max_fill``) over participants
+    having at least k completions. One score per completion (mean of
+    duplicates) is computed first, so the per-participant numbering runs on
+    completions, not raw rows."""
+    per_c = (history.where(F.col(value).isNotNull() & F.col(at).isNotNull())
+             .groupBy(participant, completion, at).agg(F.avg(value).alias("score")))
+    w = Window.partitionBy(participant).orderBy(at, completion)
+    numbered = per_c.withColumn("fill_nr", F.row_number().over(w)).where(F.col("fill_nr") <= max_fill)
+    return (numbered.groupBy("fill_nr")
+            .agg(F.avg("score").alias("mean_score"), F.countDistinct(participant).alias("n_participants"))
+            .withColumn("fill_label", F.concat(F.col("fill_nr").cast("string"), F.lit("e invulling"))))
+
+
+def repeat_change_summary(history: DataFrame, participant: str = "participant_id",
+                          completion: str = "completion_id", value: str = "score_value",
+                          at: str = "completion_created_at") -> DataFrame:
+    """First versus last completion score by number of completions ('1x'..'5x',
+    '6+x'): participants, mean first/last score, mean and std of the change
+    (std 0 for a single participant). First/last come from min_by/max_by
+    aggregates (map-side combined, skew-safe)."""
+    from pulseframe.functions import rules
+    per_c = (history.where(F.col(value).isNotNull() & F.col(at).isNotNull())
+             .groupBy(participant, completion, at).agg(F.avg(value).alias("score")))
+    order = F.struct(F.col(at), F.col(completion))
+    per_p = per_c.groupBy(participant).agg(F.count(F.lit(1)).alias("n_total"),
+                                           F.min_by("score", order).alias("first_score"),
+                                           F.max_by("score", order).alias("last_score"))
+    label, key = rules.frequency_bucket("n_total")
+    per_p = per_p.withColumn("change", F.col("last_score") - F.col("first_score"))
+    return (per_p.groupBy(label.alias("frequency"), key.alias("frequency_order"))
+            .agg(F.countDistinct(participant).alias("n_participants"), F.avg("first_score").alias("mean_first"),
+                 F.avg("last_score").alias("mean_last"), F.avg("change").alias("mean_change"),
+                 F.coalesce(F.stddev_samp("change"), F.lit(0.0)).alias("std_change")))
+
+
+def participant_month_means(history: DataFrame, slug: str | None, participant: str = "participant_id",
+                            slug_col: str = "slug", value: str = "score_value",
+                            at: str = "completion_created_at") -> DataFrame:
+    h = history if slug is None else history.where(F.col(slug_col) == slug)
+    h = h.where(F.col(value).isNotNull() & F.col(at).isNotNull())
+    return h.groupBy(participant, month_start(at).alias("month")).agg(F.avg(value).alias("p_mean"))
+
+
+def rolling_month_mean(history: DataFrame, slug: str, window: int = 3, min_participants: int = 2,
+                       participant: str = "participant_id") -> DataFrame:
+    """Monthly mean and std of participant means (months with at least
+    ``min_participants``), centred rolling mean of both over ``window`` rows
+    (min_periods 1) and the band mean +- rolling std. The rolling window runs
+    over the month series (one row per month), so it stays tiny."""
+    pm = participant_month_means(history, slug, participant)
+    monthly = (pm.groupBy("month").agg(F.avg("p_mean").alias("mean"), F.stddev_samp("p_mean").alias("std"),
+                                       F.countDistinct(participant).alias("n_participants"))
+                 .where(F.col("n_participants") >= min_participants))
+    w = Window.orderBy("month").rowsBetween(-(window // 2), (window - 1) // 2)
+    out = (monthly.withColumn("rolling_mean", F.avg("mean").over(w))
+                  .withColumn("rolling_std", F.avg("std").over(w)))
+    return (out.withColumn("band_low", F.col("rolling_mean") - F.col("rolling_std"))
+               .withColumn("band_high", F.col("rolling_mean") + F.col("rolling_std")))
+
+
+def month_and_year_weighted(history: DataFrame, slug: str, participant: str = "participant_id") -> DataFrame:
+    """Monthly mean of participant means and its participant count, with the
+    yearly mean weighted by the monthly participant counts."""
+    pm = participant_month_means(history, slug, participant)
+    monthly = pm.groupBy("month").agg(F.avg("p_mean").alias("month_mean"),
+                                      F.countDistinct(participant).alias("n_participants"))
+    yearly = (monthly.groupBy(F.year("month").alias("year"))
+              .agg(weighted_average_col("month_mean", "n_participants").alias("year_weighted_mean")))
+    return monthly.withColumn("year", F.year("month")).join(yearly, "year", "left")
+
+
+def weighted_average_col(value: str, weight: str):
+    from pulseframe.functions.semantics import weighted_average
+    return weighted_average(value, weight)
+
+
+def year_metric_pair(history: DataFrame, slug_a: str, slug_b: str, participant: str = "participant_id",
+                     slug_col: str = "slug", value: str = "score_value",
+                     at: str = "completion_created_at") -> DataFrame:
+    """Per year: mean of participant means for two slugs side by side, and the
+    participants counted over both slugs."""
+    h = (history.where(F.col(slug_col).isin(slug_a, slug_b) & F.col(value).isNotNull() & F.col(at).isNotNull())
+         .withColumn("year", F.year(at)))
+    pm = h.groupBy("year", slug_col, participant).agg(F.avg(value).alias("p_mean"))
+    return pm.groupBy("year").agg(
+        F.avg(F.when(F.col(slug_col) == slug_a, F.col("p_mean"))).alias("mean_a"),
+        F.avg(F.when(F.col(slug_col) == slug_b, F.col("p_mean"))).alias("mean_b"),
+        F.countDistinct(participant).alias("n_participants"))
+
+
+def cumulative_new(events: DataFrame, participant: str, at: str, grain: str = "day",
+                   min_year: int | None = None) -> DataFrame:
+    """New participants per day (or year) by their first appearance and the
+    running total. Participants are reduced to their first timestamp first
+    (an aggregate), then to one row per period, so the global running window
+    only sees the short period series."""
+    first = (events.where(F.col(participant).isNotNull() & F.col(at).isNotNull())
+             .groupBy(participant).agg(F.min(at).alias("_first")))
+    if min_year is not None:
+        first = first.where(F.year("_first") >= min_year)
+    period = F.date_trunc("day", "_first").cast("timestamp_ntz") if grain == "day" else F.year("_first")
+    per = first.groupBy(period.alias(grain)).agg(F.count(F.lit(1)).alias("new_participants"))
+    w = Window.orderBy(grain).rowsBetween(Window.unboundedPreceding, 0)
+    return per.withColumn("cumulative", F.sum("new_participants").over(w))
+
+
+def migration_matrix(history: DataFrame, slug: str, category: str, participant: str = "participant_id",
+                     slug_col: str = "slug", at: str = "completion_created_at", tiebreak: str = "id") -> DataFrame:
+    """First -> last category per participant with at least two measurements
+    (first/last non-null values, S4), counted per (from, to)."""
+    h = history.where(F.col(slug_col) == slug)
+    cat = F.col(category).cast("double")
+    per_p = (h.groupBy(participant).agg(F.count(F.lit(1)).alias("_n"),
+                                        first_non_null(cat, at, tiebreak).alias("from_code"),
+                                        last_non_null(cat, at, tiebreak).alias("to_code"))
+             .where((F.col("_n") >= 2) & F.col("from_code").isNotNull() & F.col("to_code").isNotNull()))
+    return per_p.groupBy("from_code", "to_code").agg(F.count(F.lit(1)).alias("n"))
+
+
+def migration_binned(history: DataFrame, slug: str, participant: str = "participant_id", slug_col: str = "slug",
+                     value: str = "score_value", at: str = "completion_created_at", tiebreak: str = "id",
+                     bins: tuple[list[float], list[str]] | None = None, n_bins: int = 5,
+                     max_unique: int = 6) -> DataFrame:
+    """First -> last value per participant (>= 2 measurements), binned by the
+    configured edges, else by the values themselves when there are at most
+    ``max_unique`` integer-like values, else by pooled quantile edges
+    (``n_bins`` bins, duplicate edges removed). Counts per (from, to) code.
+
+    The choice between the three rules is a one-row aggregate over the pairs;
+    pooled quantiles come from one exact ``percentile`` aggregate.
+    """
+    h = history.where(F.col(slug_col) == slug)
+    v = F.col(value).cast("double")
+    pairs = (h.groupBy(participant).agg(F.count(F.lit(1)).alias("_n"), first_non_null(v, at, tiebreak).alias("v_from"),
+                                        last_non_null(v, at, tiebreak).alias("v_to"))
+             .where((F.col("_n") >= 2) & F.col("v_from").isNotNull() & F.col("v_to").isNotNull()))
+    if bins is not None:
+        edges, _labels = bins
+        return (pairs.select(cut("v_from", edges, None, True, True).alias("from_code"),
+                             cut("v_to", edges, None, True, True).alias("to_code"))
+                .where(F.col("from_code").isNotNull() & F.col("to_code").isNotNull())
+                .groupBy("from_code", "to_code").agg(F.count(F.lit(1)).alias("n")))
+    pooled = pairs.select(F.explode(F.array("v_from", "v_to")).alias("x"))
+    probs = [i / n_bins for i in range(n_bins + 1)]
+    meta = pooled.agg(
+        F.countDistinct("x").alias("_n_unique"),
+        F.min(F.col("x") == F.floor("x")).alias("_int_like"),
+        F.array_distinct(F.percentile("x", F.array(*[F.lit(p) for p in probs]))).alias("_edges"))
+    # Rank of a value among the distinct pooled values (for the few-values rule).
+    # Only kept when there are at most ``max_unique`` values, so the global
+    # ranking window never sees more than a handful of rows.
+    distinct_vals = (pooled.select("x").distinct()
+                     .crossJoin(F.broadcast(meta.select("_n_unique")))  # one row
+                     .where(F.col("_n_unique") <= max_unique).drop("_n_unique"))
+    ranks = distinct_vals.withColumn("_code", F.dense_rank().over(Window.orderBy("x")) - 1)
+    j = pairs.crossJoin(F.broadcast(meta))  # one row
+    j = (j.join(ranks.select(F.col("x").alias("v_from"), F.col("_code").alias("_c_from")), "v_from", "left")
+          .join(ranks.select(F.col("x").alias("v_to"), F.col("_code").alias("_c_to")), "v_to", "left"))
+    few = (F.col("_n_unique") <= max_unique) & F.col("_int_like")
+
+    def qcode(x):
+        # pandas cut(include_lowest): first bin [e0, e1], then (e_i, e_i+1]
+        e = F.col("_edges")
+        idx = F.size(F.filter(e, lambda t: t < x))  # number of edges strictly below x
+        return F.when((F.size(e) >= 2) & (x >= e[0]) & (x <= F.element_at(e, -1)),
+                      F.greatest(idx - 1, F.lit(0)))
+    out = j.select(F.when(few, F.col("_c_from")).otherwise(qcode(F.col("v_from"))).alias("from_code"),
+                   F.when(few, F.col("_c_to")).otherwise(qcode(F.col("v_to"))).alias("to_code"))
+    return (out.where(F.col("from_code").isNotNull() & F.col("to_code").isNotNull())
+               .groupBy("from_code", "to_code").agg(F.count(F.lit(1)).alias("n")))
+
+
+def migration_flows(matrix: DataFrame, higher_is_better: bool = False) -> DataFrame:
+    """Per (from, to): count, percent of the source category, totals per
+    category at first/last measurement, and the direction (better / worse /
+    same) given whether a higher code is better."""
+    w_from = Window.partitionBy("from_code")
+    out = (matrix.withColumn("from_total", F.sum("n").over(w_from))
+                 .withColumn("pct_of_source", F.col("n") * 100.0 / F.col("from_total")))
+    to_tot = matrix.groupBy("to_code").agg(F.sum("n").alias("to_total"))
+    out = out.join(to_tot, "to_code", "left")
+    up = F.col("to_code") > F.col("from_code")
+    down = F.col("to_code") < F.col("from_code")
+    better, worse = (up, down) if higher_is_better else (down, up)
+    return out.withColumn("direction", F.when(better, "verbeterd").when(worse, "verslechterd").otherwise("gelijk"))
+
+
+def engagement_trend(completions: DataFrame, links: DataFrame, min_participants: int = 1,
+                     participant: str = "participant_id", at: str = "created_at") -> DataFrame:
+    """Per store and month (every month seen in any completion, from the
+    store's first month on): cumulative distinct participants, share of them
+    with two or more completions so far, proxy = 60 + 0.4 * share (1 dp), and
+    the month benchmark weighted by participants.
+
+    Exact and linear: completions reduce to counts per (store, participant,
+    month); each participant contributes its first month and the month of
+    its second completion; running sums over a per-store month series give
+    the cumulative figures. No per-month rescans.
+    """
+    c = (completions.select(participant, at).where(F.col(participant).isNotNull() & F.col(at).isNotNull())
+         .join(links.select("participant_id", "store_id", "store_name"), participant)
+         .withColumn("month", month_start(at)))
+    per_pm = c.groupBy("store_id", "store_name", participant, "month").agg(F.count(F.lit(1)).alias("k"))
+    per_p = per_pm.groupBy("store_id", "store_name", participant).agg(
+        F.min("month").alias("m1"),
+        F.array_sort(F.collect_list(F.struct("month", "k"))).alias("_mk"))
+    # month of the 2nd completion: the first month where the running count reaches 2
+    second = F.aggregate(
+        "_mk", F.struct(F.lit(0).cast("long").alias("c"), F.lit(None).cast("timestamp_ntz").alias("m2")),
+        lambda acc, x: F.struct((acc["c"] + x["k"]).alias("c"),
+                                F.when(acc["m2"].isNull() & (acc["c"] + x["k"] >= 2), x["month"])
+                                 .otherwise(acc["m2"]).alias("m2")))
+    per_p = per_p.withColumn("m2", second["m2"]).drop("_mk")
+    new = per_p.groupBy("store_id", F.col("m1").alias("month")).agg(F.count(F.lit(1)).alias("new_n"))
+    rep = (per_p.where(F.col("m2").isNotNull()).groupBy("store_id", F.col("m2").alias("month"))
+           .agg(F.count(F.lit(1)).alias("new_repeat")))
+    months = c.select("month").distinct()
+    last_month = months.agg(F.max("month").alias("_last"))
+    stores = (per_p.groupBy("store_id", "store_name").agg(F.min("m1").alias("_start"))
+              .crossJoin(F.broadcast(last_month)))  # one row
+    grid = (stores.select("store_id", "store_name",
+                          F.explode(F.sequence(F.col("_start"), F.col("_last"), F.expr("INTERVAL 1 MONTH")))
+                          .alias("month"))
+            .withColumn("month", F.col("month").cast("timestamp_ntz"))
+            .join(months, "month", "left_semi"))
+    g = grid.join(new, ["store_id", "month"], "left").join(rep, ["store_id", "month"], "left")
+    w = Window.partitionBy("store_id").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
+    g = (g.withColumn("n_participants", F.sum(F.coalesce("new_n", F.lit(0))).over(w))
+          .withColumn("n_repeat", F.sum(F.coalesce("new_repeat", F.lit(0))).over(w))
+          .where(F.col("n_participants") >= max(1, int(min_participants)))
+          .withColumn("pct_repeat", F.col("n_repeat") * 100.0 / F.col("n_participants"))
+          .withColumn("engagement_score", F.round(F.lit(60.0) + 0.4 * F.col("pct_repeat"), 1))
+          .drop("new_n", "new_repeat"))
+    bench = g.groupBy("month").agg(weighted_average_col("engagement_score", "n_participants").alias("benchmark"))
+    return g.join(bench, "month", "left")
