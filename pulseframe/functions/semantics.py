@@ -180,6 +180,15 @@ def last_non_null(value: ColumnOrName, order: ColumnOrName, tiebreak=None) -> Co
     return F.max_by(F.when(v.isNotNull(), v), F.when(v.isNotNull(), _order_key(v, order, tiebreak)))
 
 
+def pearson(a: ColumnOrName, b: ColumnOrName) -> Column:
+    """Aggregate Pearson r over rows where both are non-null; NULL (instead of
+    a division-by-zero error under ANSI) when either side is constant."""
+    x, y = col(a), col(b)
+    both = x.isNotNull() & y.isNotNull()
+    xa, ya = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(xa, ya), F.stddev_pop(xa) * F.stddev_pop(ya))
+
+
 def round6(c: ColumnOrName) -> Column:
     return F.round(col(c), 6)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.functions import rules
 from pulseframe.functions.distributions import t_pvalue
-from pulseframe.functions.semantics import to_num
+from pulseframe.functions.semantics import pearson, to_num
 from pulseframe.operators.describe import measures_long
 
 
@@ -87,7 +87,7 @@ def correlation_matrix(df: DataFrame, variables: Mapping[str, str], min_n: int =
     aggs = [F.count(c).alias(f"n__{c}") for c in cols]
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     for a, b in pairs:
-        aggs.append(F.corr(a, b).alias(f"r__{a}__{b}"))
+        aggs.append(pearson(a, b).alias(f"r__{a}__{b}"))
         aggs.append(F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).alias(f"p__{a}__{b}"))
     wide = x.agg(*aggs)
     structs = []
@@ -109,7 +109,7 @@ def scatter_correlation(df: DataFrame, x: str, y: str, group: str | None = None,
     if group:
         d = d.where(F.col(group).isNotNull())
     keys = [group] if group else []
-    out = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("_x", "_y").alias("r"),
+    out = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson("_x", "_y").alias("r"),
                                F.regr_slope("_y", "_x").alias("slope"), F.regr_intercept("_y", "_x").alias("intercept"))
     out = out.withColumn("t_stat", F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))))
     if with_p:

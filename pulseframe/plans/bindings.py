@@ -246,3 +246,61 @@ def views(*names: str, extra: list[tuple[str, str]] | None = None) -> str:
     for n in names:
         add(n)
     return with_views(*order, extra=extra)
+
+
+# --------------------------------------------------------------------------
+# Behaviour bindings: questionnaires, item scores, purchases, views, products
+# --------------------------------------------------------------------------
+
+def questionnaires(d: Domain) -> DataFrame:
+    return (d.t.orders.select(F.col("o_orderpriority").alias("id")).distinct()
+            .withColumn("name", F.col("id")))
+
+
+def item_scores(d: Domain) -> DataFrame:
+    """completion_scores: one row per answered item (line) of a completion."""
+    return d.t.lineitem.select(F.col("l_orderkey").alias("completion_id"),
+                               F.col("l_linenumber").cast("string").alias("slug"),
+                               F.col("l_quantity").alias("value"))
+
+
+def purchases(d: Domain) -> DataFrame:
+    """Purchase events; low-value ones are cancelled."""
+    e = d.t.events.where(F.col("event_type") == "purchase")
+    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("participant_id"), F.col("user_id"),
+                    F.get_json_object("props", "$.k").cast("long").alias("product_id"),
+                    F.when(F.col("value") < 5, "cancelled").otherwise("completed").alias("status"),
+                    F.col("ts").alias("created_at"), F.col("value").alias("amount"))
+
+
+def article_views(d: Domain) -> DataFrame:
+    e = d.t.events.where(F.col("event_type") == "view")
+    return e.select(F.col("event_id").alias("id"), F.col("user_id"), F.col("user_id").alias("participant_id"),
+                    F.lit("view").alias("type"),
+                    F.get_json_object("props", "$.k").cast("long").alias("interactable_id"),
+                    F.col("ts").alias("created_at"))
+
+
+def products(d: Domain) -> DataFrame:
+    return d.t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"),
+                           F.col("p_retailprice").alias("price"))
+
+
+def titles(d: Domain) -> DataFrame:
+    return d.t.part.select(F.col("p_partkey").alias("content_id"), F.col("p_name").alias("title"))
+
+
+SQL.update({
+    "questionnaires": "SELECT DISTINCT o_orderpriority AS id, o_orderpriority AS name FROM orders",
+    "item_scores": """SELECT l_orderkey AS completion_id, CAST(l_linenumber AS VARCHAR) AS slug, l_quantity AS value
+        FROM lineitem""",
+    "purchases": """SELECT event_id AS id, user_id AS participant_id, user_id,
+        CAST(json_extract_string(props, '$.k') AS BIGINT) AS product_id,
+        CASE WHEN value < 5 THEN 'cancelled' ELSE 'completed' END AS status, ts AS created_at, value AS amount
+        FROM events WHERE event_type = 'purchase'""",
+    "article_views": """SELECT event_id AS id, user_id, user_id AS participant_id, 'view' AS type,
+        CAST(json_extract_string(props, '$.k') AS BIGINT) AS interactable_id, ts AS created_at
+        FROM events WHERE event_type = 'view'""",
+    "products": "SELECT p_partkey AS id, p_name AS name, p_retailprice AS price FROM part",
+    "titles": "SELECT p_partkey AS content_id, p_name AS title FROM part",
+})
