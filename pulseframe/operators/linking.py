@@ -72,3 +72,125 @@ def direct_store_links(participants: DataFrame, stores: DataFrame) -> DataFrame:
     return (participants.select(F.col("id").alias("participant_id"), "store_id")
             .where(F.col("store_id").isNotNull())
             .join(names, "store_id").select("participant_id", "store_id", "store_name"))
+
+
+def link_active_store(links: DataFrame | None, store_employees: DataFrame, stores: DataFrame) -> DataFrame:
+    """One store per user: the smallest store id of the participant->store
+    links when there are any; otherwise from employments that are neither
+    deleted nor archived and point to an existing store."""
+    if links is not None:
+        return (links.select("user_id", "store_id").where(F.col("user_id").isNotNull() & F.col("store_id").isNotNull())
+                .groupBy("user_id").agg(F.min("store_id").alias("store_id")))
+    emp = not_deleted(store_employees, "deleted_at", "archived_at").select("user_id", "store_id").where(
+        F.col("user_id").isNotNull() & F.col("store_id").isNotNull())
+    emp = emp.join(stores.select(F.col("id").alias("store_id")), "store_id", "left_semi")
+    return emp.groupBy("user_id").agg(F.min("store_id").alias("store_id"))
+
+
+def link_store_routes(participants: DataFrame, app_users: DataFrame, store_employees: DataFrame) -> DataFrame:
+    """participant -> store through three routes, in priority order:
+    1. participants.user_id, 2. participants.public_id -> app user,
+    3. participants.pmo_id -> app user id. NULLs are dropped and the first
+    route (then the smallest store id) wins per participant."""
+    emp = (store_employees.select("user_id", "store_id")
+           .where(F.col("user_id").isNotNull() & F.col("store_id").isNotNull()).distinct())
+    routes = []
+    if "user_id" in participants.columns:
+        r1 = participants.select(F.col("id").alias("participant_id"), "user_id").where(
+            F.col("participant_id").isNotNull() & F.col("user_id").isNotNull())
+        routes.append(r1.join(emp, "user_id").select("participant_id", "store_id", F.lit(1).alias("route")))
+    if "public_id" in participants.columns and "qe_participant_id" in app_users.columns:
+        p = participants.select(F.col("id").alias("participant_id"), "public_id").where(F.col("public_id").isNotNull())
+        u = app_users.select("qe_participant_id", "user_id").where(F.col("user_id").isNotNull())
+        r2 = p.join(u, p.public_id == u.qe_participant_id).select("participant_id", "user_id")
+        routes.append(r2.join(emp, "user_id").select("participant_id", "store_id", F.lit(2).alias("route")))
+    if "pmo_id" in participants.columns and "id" in app_users.columns:
+        p = participants.select(F.col("id").alias("participant_id"), "pmo_id").where(F.col("pmo_id").isNotNull())
+        u = app_users.select(F.col("id").alias("_app_id"), "user_id").where(F.col("user_id").isNotNull())
+        r3 = p.join(u, p.pmo_id == u._app_id).select("participant_id", "user_id")
+        routes.append(r3.join(emp, "user_id").select("participant_id", "store_id", F.lit(3).alias("route")))
+    allr = routes[0]
+    for r in routes[1:]:
+        allr = allr.unionByName(r)
+    best = allr.groupBy("participant_id").agg(F.min(F.struct("route", "store_id")).alias("_b"))
+    return best.select("participant_id", F.col("_b.store_id").alias("store_id"), F.col("_b.route").alias("route"))
+
+
+def store_fallback(participants: DataFrame, store_employees: DataFrame) -> DataFrame:
+    """Participant store: its own store_id when any participant has one
+    (table-wide, as the original decides), else the employment store of its
+    user (smallest store id per user)."""
+    link = (store_employees.select("user_id", "store_id").where(F.col("user_id").isNotNull()
+                                                                 & F.col("store_id").isNotNull())
+            .groupBy("user_id").agg(F.min("store_id").alias("_emp_store")))
+    has_any = participants.agg((F.count("store_id") > 0).alias("_any_store"))
+    p = participants.select(F.col("id").alias("participant_id"), F.coalesce("user_id", "id").alias("user_id"), "store_id")
+    return (p.join(link, "user_id", "left").crossJoin(F.broadcast(has_any))  # one row
+             .select("participant_id", "user_id",
+                     F.when(F.col("_any_store"), F.col("store_id")).otherwise(F.col("_emp_store")).alias("store_id")))
+
+
+def newest_participant_per_user(participants: DataFrame) -> DataFrame:
+    """user_id -> the participant with the largest id."""
+    return (participants.where(F.col("user_id").isNotNull()).groupBy("user_id")
+            .agg(F.max("id").alias("participant_id")))
+
+
+def join_orders_products(orders: DataFrame, products: DataFrame, participants: DataFrame) -> DataFrame:
+    """Orders LEFT products on the id compared as text, LEFT the newest
+    participant of the ordering user."""
+    prod = products.select(F.col("id").cast("string").alias("_pid"), F.col("name").alias("product_name"),
+                           F.col("price").alias("product_price"))
+    o = orders.withColumn("_pid", F.col("product_id").cast("string"))
+    pmap = newest_participant_per_user(participants).withColumnRenamed("participant_id", "mapped_participant_id")
+    return o.join(prod, "_pid", "left").join(pmap, "user_id", "left").drop("_pid")
+
+
+def merge_latest_over(base: DataFrame, latest: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """LEFT join ``latest`` on ``key``; a non-null latest value replaces the
+    base value for every overlapping column."""
+    lt = latest.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns if c in latest.columns])
+    j = base.join(lt, key, "left")
+    for c in columns:
+        if c in latest.columns and c in base.columns:
+            j = j.withColumn(c, F.coalesce(F.col(f"_new_{c}"), F.col(c))).drop(f"_new_{c}")
+        elif c in latest.columns:
+            j = j.withColumnRenamed(f"_new_{c}", c)
+    return j
+
+
+def store_display_names(store_rows: DataFrame, stores: DataFrame, partners: DataFrame) -> DataFrame:
+    """Rows keyed by store_id LEFT stores LEFT partners; display name =
+    partner name, else store name, else 'Store #<id>'."""
+    s = stores.select(F.col("id").alias("store_id"), F.col("name").alias("_store_name"),
+                      F.col("partner_id").alias("_partner_id"))
+    p = partners.select(F.col("id").alias("_partner_id"), F.col("name").alias("_partner_name"))
+    blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    return (store_rows.join(s, "store_id", "left").join(p, "_partner_id", "left")
+            .withColumn("display_name", F.coalesce(blank("_partner_name"), blank("_store_name"),
+                                                   F.concat(F.lit("Store #"), F.col("store_id").cast("string"))))
+            .drop("_store_name", "_partner_id", "_partner_name"))
+
+
+def flag_in_set(df: DataFrame, key: str, ids: DataFrame, id_col: str, flag: str) -> DataFrame:
+    """Adds boolean ``flag``: ``key`` occurs in ``ids`` (left join on the
+    distinct ids, no driver-side id list)."""
+    s = ids.select(F.col(id_col).alias("_fid")).where(F.col("_fid").isNotNull()).distinct()
+    return (df.join(s, df[key] == s["_fid"], "left").withColumn(flag, F.col("_fid").isNotNull()).drop("_fid"))
+
+
+def overlap_counts(sets: dict[str, DataFrame], key: str) -> DataFrame:
+    """Pairwise intersection sizes of named id sets (plus each set's size).
+
+    All sets are tagged and unioned, reduced to one row per id holding the
+    sorted tag list, and then every pair of tags of that id is counted: work
+    is linear in the ids times the (small, fixed) number of sets."""
+    tagged = None
+    for name, df in sets.items():
+        t = df.select(F.col(key).alias("_k")).where(F.col("_k").isNotNull()).distinct().withColumn("_set", F.lit(name))
+        tagged = t if tagged is None else tagged.unionByName(t)
+    per_id = tagged.groupBy("_k").agg(F.array_sort(F.collect_list("_set")).alias("_sets"))
+    pairs = per_id.select(F.explode(F.flatten(F.transform(
+        "_sets", lambda a: F.transform(F.filter("_sets", lambda b: b >= a),
+                                       lambda b: F.struct(a.alias("set_a"), b.alias("set_b")))))).alias("p"))
+    return pairs.groupBy("p.set_a", "p.set_b").agg(F.count(F.lit(1)).alias("n_overlap"))
