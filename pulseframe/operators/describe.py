@@ -227,3 +227,44 @@ def mode_per_group(df: DataFrame, group: str, code: str) -> DataFrame:
     return (ranked.where("_rk = 1").drop("_rk")
                   .withColumnRenamed("code", "modal_code")
                   .withColumn("dominance_pct", F.col("n_code") * 100.0 / F.col("n_valid")))
+
+
+def normalize_p5_p95(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
+    """Scale to 1..10 by the 5th/95th percentiles: 1 + 9 * clip((x-p5)/(p95-p5), 0, 1).
+    Degenerate spread falls back to 1 + 9 * clip(x/max, 0, 1); a non-positive
+    max leaves values unchanged. Percentiles come from one aggregate."""
+    from pulseframe.functions.semantics import to_num
+    out = out or f"{column}_norm"
+    x = to_num(column)
+    stats = df.agg(F.percentile(x, 0.05).alias("_p5"), F.percentile(x, 0.95).alias("_p95"), F.max(x).alias("_max"))
+    j = df.crossJoin(F.broadcast(stats))  # one row
+    clip01 = lambda e: F.least(F.greatest(e, F.lit(0.0)), F.lit(1.0))
+    degenerate = F.col("_p5").isNull() | F.col("_p95").isNull() | (F.col("_p95") <= F.col("_p5"))
+    val = (F.when(~degenerate, 1.0 + 9.0 * clip01((x - F.col("_p5")) / (F.col("_p95") - F.col("_p5"))))
+            .when(F.col("_max").isNull() | (F.col("_max") <= 0), x)
+            .otherwise(1.0 + 9.0 * clip01(x / F.col("_max"))))
+    return j.withColumn(out, val).drop("_p5", "_p95", "_max")
+
+
+def normalize_to_max(df: DataFrame, column: str, target_max: float = 10.0, out: str | None = None) -> DataFrame:
+    """x * target / max(x); unchanged when the max is 0 or missing."""
+    from pulseframe.functions.semantics import to_num
+    out = out or f"{column}_scaled"
+    x = to_num(column)
+    m = df.agg(F.max(x).alias("_max"))
+    return (df.crossJoin(F.broadcast(m))  # one row
+              .withColumn(out, F.when(F.col("_max").isNull() | (F.col("_max") == 0), x)
+                          .otherwise(x * (target_max / F.col("_max")))).drop("_max"))
+
+
+def clip_outlier_max(df: DataFrame, column: str, outlier_max: float | None, scale: float | None = None) -> DataFrame:
+    """Drop rows above the registry's ``outlier_max`` and optionally rescale by
+    ``scale`` (rounded to 1 decimal)."""
+    from pulseframe.functions.semantics import to_num
+    x = to_num(column)
+    out = df.where(x.isNotNull())
+    if outlier_max is not None:
+        out = out.where(x <= outlier_max)
+    if scale is not None:
+        out = out.withColumn(column, F.round(x * scale, 1))
+    return out

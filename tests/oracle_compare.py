@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import duckdb
+import numpy as np
 import pandas as pd
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
@@ -22,6 +23,8 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def _norm(v):
     if v is None or v is pd.NA or v is pd.NaT:
         return None
+    if isinstance(v, np.generic):
+        v = v.item()
     if isinstance(v, float):
         if math.isnan(v):
             return None
