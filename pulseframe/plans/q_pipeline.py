@@ -229,3 +229,55 @@ def q_group_aggregate(spark, sf_dir):
     return group_aggregate(wide(Domain(spark, sf_dir)), ["segment", "rec_heartrisk_cat"],
                            {"n": F.count(F.lit(1)), "mean_lifestyle": F.avg("rec_ls_lifestyle_score"),
                             "sum_bmi": F.round(F.sum("rec_med_bmi"), 2)})
+
+
+# --------------------------------------------------------------------------
+# sources: table scans, unique parquet, sniffed CSV import, import validation
+# --------------------------------------------------------------------------
+
+from pulseframe.plans.bindings import TABLES, Tables  # noqa: E402
+from pulseframe.sources import readers  # noqa: E402
+
+
+@register("scan_table", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS rows FROM {t}" for t in TABLES))
+def q_scan_table(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return readers.row_counts({name: readers.read_table(spark, f"{t.sf_dir}/{name}.parquet") for name in TABLES})
+
+
+@register("scan_parquet", """SELECT event_id, ts, user_id, event_type, value, props FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events
+    WHERE user_id IS NOT NULL) WHERE rn = 1""")
+def q_scan_parquet(spark, sf_dir):
+    out = readers.read_parquet_unique(spark, f"{sf_dir.rstrip('/')}/events.parquet", "user_id", order="ts")
+    return out.select("event_id", "ts", "user_id", "event_type", "value", "props")
+
+
+def _customer_csv(spark, sf_dir) -> str:
+    """Export the customer table as CSV files under the shared folder."""
+    import uuid
+
+    from pulseframe.session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/imports/customer-{uuid.uuid4().hex[:12]}"
+    Tables(spark, sf_dir).customer.write.option("header", True).csv(path)
+    return path
+
+
+@register("scan_csv_sniffed", "SELECT * FROM customer")
+def q_scan_csv_sniffed(spark, sf_dir):
+    path = _customer_csv(spark, sf_dir)
+    schema = Tables(spark, sf_dir).customer.schema
+    return readers.read_csv_sniffed(spark, path, schema=schema, terms=["c_custkey"])
+
+
+IMPORT_ALIASES = {"c_custkey": "id", "c_nationkey": "store_id", "c_mktsegment": "segment", "c_name": "name"}
+IMPORT_NOW = "2001-09-01 00:00:00"
+
+
+@register("upload_validate", f"""SELECT CAST(c_custkey AS VARCHAR) AS id, CAST(c_custkey AS VARCHAR) AS user_id,
+    CAST(c_nationkey AS VARCHAR) AS store_id, c_mktsegment AS segment, TIMESTAMP '{IMPORT_NOW}' AS created_at
+    FROM customer""")
+def q_upload_validate(spark, sf_dir):
+    raw = readers.read_csv_sniffed(spark, _customer_csv(spark, sf_dir), terms=["c_custkey"])
+    return readers.upload_validate(raw, ["id", "user_id", "store_id", "segment", "created_at"],
+                                   aliases=IMPORT_ALIASES, now=IMPORT_NOW)
