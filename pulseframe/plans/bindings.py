@@ -42,6 +42,9 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def paths(self, *names: str) -> list[str]:
+        return [f"{self.sf_dir}/{n}.parquet" for n in names]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.read(name)
@@ -99,6 +102,11 @@ class Domain:
 
     @property
     def history(self) -> DataFrame:
+        """The score history table (written once per source version)."""
+        from pulseframe.plans.materialize import materialized
+        return materialized(self.spark, "score_history", self.t.paths("lineitem", "orders"), self.history_plan)
+
+    def history_plan(self) -> DataFrame:
         li = self.t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity")
         o = self.t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
         return li.join(o, li.l_orderkey == o.o_orderkey).select(
@@ -181,13 +189,21 @@ BINDING_SLUG_COLUMNS = {"A": "rec_med_bmi", "N": "rec_heartrisk", "R": "rec_ls_s
 BINDING_SCORE_COLUMNS = list(BINDING_SLUG_COLUMNS.values())
 
 
-def wide(d: Domain) -> DataFrame:
-    """The consolidated per-user table built from the bindings."""
+def wide_plan(d: Domain) -> DataFrame:
+    """The consolidated per-user table built from the bindings (full plan)."""
     from pulseframe.plans.consolidate import consolidate_scores
     return consolidate_scores(d.participants, d.history, d.completions, None, BINDING_SLUG_COLUMNS,
                               lifestyle_components=BINDING_SCORE_COLUMNS)
 
 
+def wide(d: Domain) -> DataFrame:
+    """The consolidated per-user table (``users_met_scores``), written once
+    per source version and read by the analyses, as the original stores it."""
+    from pulseframe.plans.materialize import materialized
+    return materialized(d.spark, "users_met_scores", d.t.paths("customer", "lineitem", "orders"),
+                        lambda: wide_plan(d))
+
+
 def _num(x: str) -> str:
     return f"TRY_CAST(trim(CAST({x} AS VARCHAR)) AS DOUBLE)"
 

@@ -49,7 +49,8 @@ def q_pivot_scores(spark, sf_dir):
 
 @register("consolidate_scores", views("wide") + "SELECT * FROM d_wide")
 def q_consolidate_scores(spark, sf_dir):
-    return wide(Domain(spark, sf_dir))
+    from pulseframe.plans.bindings import wide_plan
+    return wide_plan(Domain(spark, sf_dir))
 
 
 UNPIVOT_SQL = views("wide") + " UNION ALL ".join(
