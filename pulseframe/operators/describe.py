@@ -180,26 +180,36 @@ def missing_band(pct: Column | str) -> Column:
     return F.when(p > 50, "hoog").when(p > 20, "matig").otherwise("laag")
 
 
+def _normalised(df: DataFrame) -> list[Column]:
+    """Columns prepared for row equality: NaN and -0.0 normalised, maps as JSON."""
+    out = []
+    for f, t in df.dtypes:
+        c = F.col(f"`{f}`")
+        if t in ("double", "float"):
+            c = F.when(F.isnan(c), F.lit(float("nan"))).when(c == 0, F.lit(0.0)).otherwise(c)
+        elif t.startswith("map"):
+            c = F.to_json(c)  # maps are not groupable
+        out.append(c.alias(f))
+    return out
+
+
+def exact_distinct_rows(df: DataFrame) -> DataFrame:
+    """One-row frame (rows, unique_rows) with exact full-row equality (NULL
+    equals NULL): a grouped count on all columns. Duplicates are combined
+    map-side before the shuffle, so heavily duplicated tables shuffle little;
+    the aggregation spills, so there is no row cap."""
+    x = df.select(*_normalised(df))
+    g = x.groupBy(*[F.col(f"`{c}`") for c in x.columns]).agg(F.count(F.lit(1)).alias("_c"))
+    return g.agg(F.sum("_c").cast("long").alias("rows"), F.count(F.lit(1)).cast("long").alias("unique_rows"))
+
+
 def duplicate_stats(frames: Mapping[str, DataFrame], id_col: str = "id") -> DataFrame:
     """Per table: rows, full-row duplicates (NULL equals NULL, floats with NaN
     and -0.0 normalised), unique rows, duplicate percent and duplicate ids
-    (rows minus distinct ids; NULL ids count as duplicates).
-
-    Full-row duplicates are ``count(*) - count(distinct row)`` via a grouped
-    count on all columns: a shuffle aggregation with spill, no row cap.
-    """
+    (rows minus distinct ids; NULL ids count as duplicates). Exact, no row cap."""
     parts = []
     for name, df in frames.items():
-        norm = []
-        for f, t in df.dtypes:
-            c = F.col(f"`{f}`")
-            if t in ("double", "float"):
-                c = F.when(F.isnan(c), F.lit(float("nan"))).when(c == 0, F.lit(0.0)).otherwise(c)
-            elif t.startswith("map"):
-                c = F.to_json(c)  # maps are not groupable
-            norm.append(c.alias(f))
-        g = df.select(*norm).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c"))
-        agg = g.agg(F.sum("_c").alias("rows"), F.count(F.lit(1)).alias("unique_rows"))
+        agg = exact_distinct_rows(df)
         if id_col in df.columns:
             ids = df.agg((F.count(F.lit(1)) - F.countDistinct(id_col)).alias("duplicate_ids"))
         else:
@@ -208,8 +218,7 @@ def duplicate_stats(frames: Mapping[str, DataFrame], id_col: str = "id") -> Data
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return (out.withColumn("rows", F.col("rows").cast("long"))
-               .withColumn("full_row_duplicates", F.col("rows") - F.col("unique_rows"))
+    return (out.withColumn("full_row_duplicates", F.col("rows") - F.col("unique_rows"))
                .withColumn("duplicate_pct", F.when(F.col("rows") > 0,
                                                    F.col("full_row_duplicates") * 100.0 / F.col("rows"))
                            .otherwise(0.0)))

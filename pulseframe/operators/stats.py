@@ -81,25 +81,29 @@ def ttest_filter(tests: DataFrame, min_abs_d: float = 0.0) -> DataFrame:
 def correlation_matrix(df: DataFrame, variables: Mapping[str, str], min_n: int = 200) -> DataFrame:
     """Pairwise-complete Pearson r between the variables that have at least
     ``min_n`` values; all ordered pairs (diagonal included) in long form,
-    with the pairwise count. One aggregate computes every pair."""
+    with the pairwise count.
+
+    Each row emits one (pair, x, y) entry per unordered pair, then a single
+    grouped aggregate computes every pair's sufficient statistics; the
+    aggregate code stays small however many variables there are."""
     cols = list(variables.values())
     x = df.select(*[to_num(c).alias(c) for c in cols])
-    aggs = [F.count(c).alias(f"n__{c}") for c in cols]
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    for a, b in pairs:
-        aggs.append(pearson(a, b).alias(f"r__{a}__{b}"))
-        aggs.append(F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).alias(f"p__{a}__{b}"))
-    wide = x.agg(*aggs)
-    structs = []
-    for a, b in pairs:
-        for u, v in ((a, b), (b, a)) if a != b else ((a, b),):
-            structs.append(F.struct(F.lit(u).alias("var_a"), F.lit(v).alias("var_b"),
-                                    F.col(f"r__{a}__{b}").alias("r"), F.col(f"p__{a}__{b}").alias("n_pairs"),
-                                    (F.col(f"n__{u}") >= min_n).alias("ok_a"), (F.col(f"n__{v}") >= min_n).alias("ok_b")))
-    long = wide.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
-    labels = F.create_map(*[x for k, v in variables.items() for x in (F.lit(v), F.lit(k))])
-    return (long.where(F.col("ok_a") & F.col("ok_b")).drop("ok_a", "ok_b")
-                .withColumn("label_a", labels[F.col("var_a")]).withColumn("label_b", labels[F.col("var_b")]))
+    entries = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y"))
+                        for a, b in pairs])
+    long = x.select(F.explode(entries).alias("e")).select("e.*")
+    per_pair = long.groupBy("a", "b").agg(pearson("x", "y").alias("r"),
+                                          F.count(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 1))
+                                          .alias("n_pairs"))
+    n_valid = x.unpivot([], cols, "var", "v").groupBy("var").agg(F.count("v").alias("n"))
+    kept = n_valid.where(F.col("n") >= min_n).select("var")
+    both = per_pair.unionByName(per_pair.where(F.col("a") != F.col("b"))
+                                .select(F.col("b").alias("a"), F.col("a").alias("b"), "r", "n_pairs"))
+    out = (both.join(kept.withColumnRenamed("var", "a"), "a", "left_semi")
+               .join(kept.withColumnRenamed("var", "b"), "b", "left_semi")
+               .select(F.col("a").alias("var_a"), F.col("b").alias("var_b"), "r", "n_pairs"))
+    labels = F.create_map(*[y for k, v in variables.items() for y in (F.lit(v), F.lit(k))])
+    return out.withColumn("label_a", labels[F.col("var_a")]).withColumn("label_b", labels[F.col("var_b")])
 
 
 def scatter_correlation(df: DataFrame, x: str, y: str, group: str | None = None, with_p: bool = True) -> DataFrame:
