@@ -111,10 +111,11 @@ def predict_classifier(models: list, df: DataFrame, n_classes: int) -> DataFrame
     return out.withColumn("prediction", best.cast("double"))
 
 
-def train_regressor(train: DataFrame, feats: Sequence[str], num_trees: int = 60, max_depth: int = 6) -> list:
+def train_regressor(train: DataFrame, feats: Sequence[str], num_trees: int = 60, max_depth: int = 6,
+                    gbt_iter: int = 40) -> list:
     rf = Pipeline(stages=_assembler(feats) + [RandomForestRegressor(numTrees=num_trees, maxDepth=max_depth, seed=SEED,
                                                                     predictionCol="pred_rf")]).fit(train)
-    gbt = Pipeline(stages=_assembler(feats) + [GBTRegressor(maxIter=40, maxDepth=4, seed=SEED,
+    gbt = Pipeline(stages=_assembler(feats) + [GBTRegressor(maxIter=gbt_iter, maxDepth=4, seed=SEED,
                                                             predictionCol="pred_gbt")]).fit(train)
     return [rf, gbt]
 
@@ -132,13 +133,13 @@ def predict_regressor(models: list, df: DataFrame) -> DataFrame:
     return out.withColumn("prediction", sum((F.col(p) for p in preds), F.lit(0.0)) / len(preds)).drop(*preds)
 
 
-def train_binary(train: DataFrame, feats: Sequence[str]) -> list:
+def train_binary(train: DataFrame, feats: Sequence[str], num_trees: int = 60, gbt_iter: int = 30) -> list:
     """Binary target: balanced random forest + gradient-boosted trees."""
     tw = balanced_weights(train)
     rf = Pipeline(stages=_assembler(feats) + [RandomForestClassifier(
-        numTrees=60, maxDepth=6, seed=SEED, weightCol="w", probabilityCol="p_rf", rawPredictionCol="raw_rf",
+        numTrees=num_trees, maxDepth=6, seed=SEED, weightCol="w", probabilityCol="p_rf", rawPredictionCol="raw_rf",
         predictionCol="pred_rf")]).fit(tw)
-    gbt_est = (GBTClassifier(maxIter=30, maxDepth=4, seed=SEED, weightCol="w")
+    gbt_est = (GBTClassifier(maxIter=gbt_iter, maxDepth=4, seed=SEED, weightCol="w")
                .setProbabilityCol("p_gbt").setRawPredictionCol("raw_gbt").setPredictionCol("pred_gbt"))
     gbt = Pipeline(stages=_assembler(feats) + [gbt_est]).fit(tw)
     return [rf, gbt]

@@ -142,7 +142,7 @@ def _classification(spark, sf_dir, target, features, name):
     w = wide(Domain(spark, sf_dir))
     data, feats = models.prepare(w, features, target, "participant_id", classes=[0, 1, 2])
     train, test = models.split(data)
-    ms = models.train_classifier(train, feats, num_trees=30, max_depth=5)
+    ms = models.train_classifier(train, feats, num_trees=20, max_depth=5)
     pred = models.predict_classifier(ms, test, 3)
     return ms, feats, train, test, pred
 
@@ -165,7 +165,7 @@ def q_train_bp(spark, sf_dir):
 def _regression(spark, w, target, features):
     data, feats = models.prepare(w, features, target, "participant_id")
     train, test = models.split(data)
-    ms = models.train_regressor(train, feats, num_trees=30, max_depth=5)
+    ms = models.train_regressor(train, feats, num_trees=20, max_depth=5, gbt_iter=15)
     return ms, feats, test, models.predict_regressor(ms, test)
 
 
@@ -197,7 +197,7 @@ def q_train_improvement(spark, sf_dir):
 def _binary(spark, w, target, features, name):
     data, feats = models.prepare(w, features, target, "participant_id", classes=[0, 1])
     train, test = models.split(data)
-    ms = models.train_binary(train, feats)
+    ms = models.train_binary(train, feats, num_trees=20, gbt_iter=15)
     pred = models.predict_classifier(ms, test, 2)
     return _metrics_frame(spark, [(name, k, float(v)) for k, v in models.classification_metrics(pred).items()])
 
