@@ -25,10 +25,11 @@ def col(c: ColumnOrName) -> Column:
 # --------------------------------------------------------------------------
 
 def to_num(c: ColumnOrName) -> Column:
-    """Lenient text -> double: blanks, 'None', unparsable text and NaN become NULL."""
-    s = F.trim(col(c).cast("string"))
-    d = s.try_cast("double")
-    return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
+    """Lenient value -> double: blanks, 'None', unparsable text and NaN become
+    NULL. Numeric input is a plain widening cast (no text round trip); text
+    is trimmed by the cast itself. One reference to the input, so the
+    expression stays cheap when repeated (e.g. inside ``cut``)."""
+    return F.nanvl(col(c).try_cast("double"), F.lit(None).cast("double"))
 
 
 DAYFIRST_FORMATS = ("dd-MM-yyyy HH:mm:ss", "dd-MM-yyyy", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy")

@@ -481,9 +481,10 @@ def diet_score(cols: Sequence[str]) -> Column:
 
 def diet_distribution(wide: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Share per diet category (mean of diet scores binned, include lowest)."""
-    cat = cut(diet_score(cols), rules.DIET_EDGES, rules.DIET_LABELS, right=True, include_lowest=True)
+    cat = cut("_diet", rules.DIET_EDGES, rules.DIET_LABELS, right=True, include_lowest=True)
     order = F.array_position(F.array(*[F.lit(x) for x in rules.DIET_LABELS]), F.col("diet_cat"))
-    x = wide.select(cat.alias("diet_cat")).where(F.col("diet_cat").isNotNull())
+    x = (wide.select(diet_score(cols).alias("_diet")).select(cat.alias("diet_cat"))
+             .where(F.col("diet_cat").isNotNull()))
     per = x.groupBy("diet_cat").agg(F.count(F.lit(1)).alias("n"))
     tot = per.agg(F.sum("n").alias("_t"))
     return (per.crossJoin(F.broadcast(tot)).withColumn("pct", F.col("n") * 100.0 / F.col("_t"))
@@ -492,8 +493,8 @@ def diet_distribution(wide: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def diet_by_bmi(wide: DataFrame, cols: Sequence[str], bmi_cat: str = "rec_med_bmi_cat") -> DataFrame:
     """Within each diet category: share of each BMI category and n."""
-    cat = cut(diet_score(cols), rules.DIET_EDGES, rules.DIET_LABELS, right=True, include_lowest=True)
-    x = wide.select(cat.alias("diet_cat"), to_num(bmi_cat).alias("bmi_code")).where(
+    cat = cut("_diet", rules.DIET_EDGES, rules.DIET_LABELS, right=True, include_lowest=True)
+    x = wide.select(diet_score(cols).alias("_diet"), bmi_cat).select(cat.alias("diet_cat"), to_num(bmi_cat).alias("bmi_code")).where(
         F.col("diet_cat").isNotNull() & F.col("bmi_code").isNotNull())
     per = x.groupBy("diet_cat", "bmi_code").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("diet_cat")

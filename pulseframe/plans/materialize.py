@@ -43,6 +43,15 @@ def materialized(spark: SparkSession, name: str, sources: Sequence[str], build:
     version does not exist yet."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/tables/{name}-{_signature(spark, sources)}"
+    key = (id(spark), path)
+    if key in _READ_CACHE:
+        return _READ_CACHE[key]
     if not _done(spark, path):
         build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    df = spark.read.parquet(path)
+    _READ_CACHE[key] = df
+    return df
+
+
+# Resolved readers of finished tables (the folder name pins the version).
+_READ_CACHE: dict[tuple[int, str], DataFrame] = {}
