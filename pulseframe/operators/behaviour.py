@@ -502,3 +502,12 @@ def diet_by_bmi(wide: DataFrame, cols: Sequence[str], bmi_cat: str = "rec_med_bm
     return (per.withColumn("n_in_diet_cat", F.sum("n").over(w))
                .withColumn("pct", F.col("n") * 100.0 / F.col("n_in_diet_cat"))
                .withColumn("bmi_label", bmi_label[F.col("bmi_code")]))
+
+
+def scores_for_questionnaire(completions: DataFrame, item_scores: DataFrame, questionnaire: str) -> DataFrame:
+    """Score slugs of one questionnaire by frequency: dashboard scores only
+    (``rec_`` prefix), no ``_cat`` columns and no raw ``answers_`` blocks."""
+    c = completions.where(F.col("questionnaire_id") == questionnaire).select(F.col("id").alias("completion_id"))
+    s = item_scores.where(F.col("slug").startswith("rec_") & ~F.col("slug").endswith("_cat")
+                          & ~F.col("slug").startswith("answers_"))
+    return s.join(c, "completion_id").groupBy("slug").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "slug")

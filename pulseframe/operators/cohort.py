@@ -167,3 +167,35 @@ def kpi_counts(df: DataFrame, kpis: Mapping[str, tuple[str, str, float]]) -> Dat
         out = out.withColumn(f"{name}_pct", F.coalesce(
             F.try_divide(F.col(f"{name}_count") * 100.0, F.col(f"{name}_valid")), F.lit(0.0)))
     return out
+
+
+def cohort_quick_stats(subset: DataFrame, total: DataFrame) -> DataFrame:
+    """Headline figures of a cohort: size and share of the whole population,
+    women/men counts and shares, mean age, postcode coverage, high heart
+    risk, mean BMI, high stress, poor sleep and mean lifestyle score.
+    Shares use all cohort rows as denominator (NULLs included). One
+    aggregate over the cohort plus one count of the population."""
+    def cnt(cond):
+        return F.sum(F.when(cond, 1).otherwise(0)).cast("long")
+
+    def share(cond):
+        return F.avg(F.when(cond, 1.0).otherwise(0.0)) * 100
+
+    g = to_num("rec_user_gender")
+    hr, st, sl = to_num("rec_heartrisk_cat"), to_num("rec_ls_stress_cat"), to_num("rec_ls_sleep_cat")
+    stats = subset.agg(
+        F.count(F.lit(1)).alias("n"),
+        cnt(g == 0).alias("n_women"), share(g == 0).alias("pct_women"),
+        cnt(g == 1).alias("n_men"), share(g == 1).alias("pct_men"),
+        F.avg(to_num("rec_age_current")).alias("mean_age"),
+        cnt(F.col("postal_code").isNotNull()).alias("n_postcode"),
+        share(F.col("postal_code").isNotNull()).alias("pct_postcode"),
+        cnt(hr == 2).alias("n_high_heartrisk"), share(hr == 2).alias("pct_high_heartrisk"),
+        F.avg(to_num("rec_med_bmi")).alias("mean_bmi"),
+        cnt(st == 2).alias("n_high_stress"), share(st == 2).alias("pct_high_stress"),
+        cnt(sl >= 1).alias("n_poor_sleep"), share(sl >= 1).alias("pct_poor_sleep"),
+        F.avg(to_num("rec_ls_lifestyle_score")).alias("mean_lifestyle"))
+    tot = total.agg(F.count(F.lit(1)).alias("_total"))
+    return (stats.crossJoin(tot)
+                 .withColumn("pct_of_total", F.when(F.col("_total") > 0, F.round(F.col("n") * 100.0 / F.col("_total"), 1))
+                             .otherwise(0.0)).drop("_total"))

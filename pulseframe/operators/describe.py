@@ -169,6 +169,7 @@ def data_quality(df: DataFrame, columns: Sequence[str], total_override: int | No
         out = out.join(cl, "column", "left")
     else:
         out = out.withColumn("category_distribution", F.lit(None).cast("string"))
+    out = out.withColumn("missing_band", missing_band("missing_pct"))
     if labels:
         lab = F.create_map(*[x for k, v in labels.items() for x in (F.lit(k), F.lit(v))])
         out = out.withColumn("label", F.coalesce(lab[F.col("column")], F.col("column")))
@@ -277,3 +278,11 @@ def clip_outlier_max(df: DataFrame, column: str, outlier_max: float | None, scal
     if scale is not None:
         out = out.withColumn(column, F.round(x * scale, 1))
     return out
+
+
+def pivot_text(long: DataFrame, row: str, column: str, value: str, columns: Sequence, prefix: str = "") -> DataFrame:
+    """Metric x group table of formatted cells 'mean (n=count)', mean to 1 decimal."""
+    g = long.groupBy(row, column).agg(F.round(F.avg(value), 1).alias("_m"), F.count(value).alias("_n"))
+    cell = F.format_string("%.1f (n=%d)", F.col("_m"), F.col("_n"))
+    out = g.groupBy(row).pivot(column, list(columns)).agg(F.first(cell))
+    return out.select(row, *[F.col(f"`{c}`").alias(f"{prefix}{c}") for c in columns])

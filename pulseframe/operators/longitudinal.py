@@ -313,3 +313,21 @@ def engagement_trend(completions: DataFrame, links: DataFrame, min_participants:
           .drop("new_n", "new_repeat"))
     bench = g.groupBy("month").agg(weighted_average_col("engagement_score", "n_participants").alias("benchmark"))
     return g.join(bench, "month", "left")
+
+
+def longitudinal_history(history: DataFrame, wide: DataFrame, participants: DataFrame, links: DataFrame,
+                         bmi_slug: str = "bmi", bmi_col: str = "rec_med_bmi", min_year: int = 2019) -> DataFrame:
+    """Score history for the longitudinal pages: the history rows plus the
+    latest BMI per participant dated at its last completion, with gender
+    and store attached; rows without a valid date or before ``min_year``
+    are dropped."""
+    from pulseframe.functions import rules
+    hist = history.select("participant_id", "slug", "score_value", "completion_created_at",
+                          F.lit("history").alias("source"))
+    bmi = (wide.where(F.col(bmi_col).isNotNull())
+           .select("participant_id", F.lit(bmi_slug).alias("slug"), F.col(bmi_col).alias("score_value"),
+                   F.col("latest_completion_at").alias("completion_created_at"), F.lit("latest").alias("source")))
+    g = participants.select(F.col("id").alias("participant_id"), rules.gender_code("gender_raw").alias("gender"))
+    st = links.select("participant_id", "store_id")
+    out = hist.unionByName(bmi).join(g, "participant_id", "left").join(st, "participant_id", "left")
+    return out.where(F.col("completion_created_at").isNotNull() & (F.year("completion_created_at") >= min_year))

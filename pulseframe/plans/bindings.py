@@ -276,7 +276,7 @@ def questionnaires(d: Domain) -> DataFrame:
 def item_scores(d: Domain) -> DataFrame:
     """completion_scores: one row per answered item (line) of a completion."""
     return d.t.lineitem.select(F.col("l_orderkey").alias("completion_id"),
-                               F.col("l_linenumber").cast("string").alias("slug"),
+                               F.concat(F.lit("rec_item_"), F.col("l_linenumber").cast("string")).alias("slug"),
                                F.col("l_quantity").alias("value"))
 
 
@@ -308,7 +308,8 @@ def titles(d: Domain) -> DataFrame:
 
 SQL.update({
     "questionnaires": "SELECT DISTINCT o_orderpriority AS id, o_orderpriority AS name FROM orders",
-    "item_scores": """SELECT l_orderkey AS completion_id, CAST(l_linenumber AS VARCHAR) AS slug, l_quantity AS value
+    "item_scores": """SELECT l_orderkey AS completion_id, 'rec_item_' || CAST(l_linenumber AS VARCHAR) AS slug,
+        l_quantity AS value
         FROM lineitem""",
     "purchases": """SELECT event_id AS id, user_id AS participant_id, user_id,
         CAST(json_extract_string(props, '$.k') AS BIGINT) AS product_id,

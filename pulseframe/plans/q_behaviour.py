@@ -496,3 +496,13 @@ SELECT diet_cat, bmi_code, n, CAST(sum(n) OVER (PARTITION BY diet_cat) AS BIGINT
        {r('n * 100.0 / sum(n) OVER (PARTITION BY diet_cat)')} AS pct, {BMI_LAB_SQL} AS bmi_label FROM per""")
 def q_diet_by_bmi(spark, sf_dir):
     return behaviour.diet_by_bmi(_diet_wide(_d(spark, sf_dir)), DIET_COLS)
+
+
+@register("scores_for_questionnaire", views("completions", "item_scores") + """
+SELECT s.slug, count(*) AS n FROM d_completions c JOIN d_item_scores s ON s.completion_id = c.id
+WHERE c.questionnaire_id = '2-HIGH' AND s.slug LIKE 'rec\\_%' ESCAPE '\\' AND s.slug NOT LIKE '%\\_cat' ESCAPE '\\'
+  AND s.slug NOT LIKE 'answers\\_%' ESCAPE '\\'
+GROUP BY 1""")
+def q_scores_for_questionnaire(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    return behaviour.scores_for_questionnaire(d.completions, item_scores(d), "2-HIGH")

@@ -122,3 +122,39 @@ def q_kpi_overview(spark, sf_dir):
 def q_detect_date_column(spark, sf_dir):
     w = _w(spark, sf_dir)
     return spark.createDataFrame([(cohort.detect_date_column(w),)], "date_column string")
+
+
+def _share(cond: str) -> str:
+    return r(f"avg(CASE WHEN {cond} THEN 1.0 ELSE 0.0 END) * 100")
+
+
+def _cnt(cond: str) -> str:
+    return f"CAST(sum(CASE WHEN {cond} THEN 1 ELSE 0 END) AS BIGINT)"
+
+
+QUICK_SQL = W + f""", c AS (SELECT * FROM d_wide WHERE rec_user_gender = 1 AND rec_age_current BETWEEN 25 AND 60)
+SELECT count(*) AS n, {_cnt('rec_user_gender = 0')} AS n_women, {_share('rec_user_gender = 0')} AS pct_women,
+       {_cnt('rec_user_gender = 1')} AS n_men, {_share('rec_user_gender = 1')} AS pct_men,
+       {r('avg(rec_age_current)')} AS mean_age, {_cnt('postal_code IS NOT NULL')} AS n_postcode,
+       {_share('postal_code IS NOT NULL')} AS pct_postcode, {_cnt('rec_heartrisk_cat = 2')} AS n_high_heartrisk,
+       {_share('rec_heartrisk_cat = 2')} AS pct_high_heartrisk, {r('avg(rec_med_bmi)')} AS mean_bmi,
+       {_cnt('rec_ls_stress_cat = 2')} AS n_high_stress, {_share('rec_ls_stress_cat = 2')} AS pct_high_stress,
+       {_cnt('rec_ls_sleep_cat >= 1')} AS n_poor_sleep, {_share('rec_ls_sleep_cat >= 1')} AS pct_poor_sleep,
+       {r('avg(rec_ls_lifestyle_score)')} AS mean_lifestyle,
+       {r('CASE WHEN (SELECT count(*) FROM d_wide) > 0 THEN round(count(*) * 100.0 / (SELECT count(*) FROM d_wide), 1) ELSE 0 END')}
+           AS pct_of_total
+FROM c"""
+
+
+@register("cohort_quick_stats", QUICK_SQL)
+def q_cohort_quick_stats(spark, sf_dir):
+    w = _w(spark, sf_dir)
+    return cohort.cohort_quick_stats(cohort.cohort_subset(w, "man", (25, 60)), w)
+
+
+@register("count_postcodes", W + """SELECT count(*) AS participants, count(postal_code) AS with_postcode,
+    count(nullif(regexp_extract(postal_code, '(\\d{4})', 1), '')) AS with_pc4 FROM d_wide""")
+def q_count_postcodes(spark, sf_dir):
+    w = _w(spark, sf_dir)
+    return w.agg(F.count(F.lit(1)).alias("participants"), F.count("postal_code").alias("with_postcode"),
+                 F.count(rules.pc4("postal_code")).alias("with_pc4"))

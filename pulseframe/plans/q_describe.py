@@ -141,7 +141,9 @@ cd AS (SELECT "column", string_agg(CAST(CAST(code AS BIGINT) AS VARCHAR) || '='
        FROM (SELECT "column", code, count(*) AS n FROM cl WHERE code IS NOT NULL GROUP BY ALL) GROUP BY "column"),
 rows AS (SELECT count(*) AS n FROM d_wide)
 SELECT s."column", s.filled, {r('s.mean')} AS mean, {r('s.std')} AS std, {r('s.min')} AS min, {r('s.max')} AS max,
-       rows.n - s.filled AS missing, {r('(rows.n - s.filled) * 100.0 / rows.n')} AS missing_pct, cd.category_distribution
+       rows.n - s.filled AS missing, {r('(rows.n - s.filled) * 100.0 / rows.n')} AS missing_pct, cd.category_distribution,
+       CASE WHEN (rows.n - s.filled) * 100.0 / rows.n > 50 THEN 'hoog'
+            WHEN (rows.n - s.filled) * 100.0 / rows.n > 20 THEN 'matig' ELSE 'laag' END AS missing_band
 FROM (SELECT "column", count(value) AS filled, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min,
              max(value) AS max FROM long GROUP BY "column") s
 CROSS JOIN rows LEFT JOIN cd ON cd."column" = s."column\""""
@@ -226,3 +228,19 @@ def q_region_comparison(spark, sf_dir):
     return w.groupBy("region").agg(F.avg("rec_med_bmi").alias("mean_bmi"), F.avg("rec_heartrisk").alias("mean_heartrisk"),
                                    F.avg("rec_ls_stress_sum").alias("mean_stress"),
                                    F.countDistinct("participant_id").alias("n_participants"))
+
+
+@register("pivot_text", views("wide", "stores") + """, g AS (
+  SELECT 'BMI' AS metric, s.partner_id AS region, round(avg(w.rec_med_bmi), 1) AS m, count(w.rec_med_bmi) AS n
+  FROM d_wide w JOIN d_stores s ON s.id = w.store_id GROUP BY 1, 2
+  UNION ALL
+  SELECT 'Stress', s.partner_id, round(avg(w.rec_ls_stress_sum), 1), count(w.rec_ls_stress_sum)
+  FROM d_wide w JOIN d_stores s ON s.id = w.store_id GROUP BY 1, 2)
+SELECT metric, """ + ", ".join(f"max(CASE WHEN region = {k} THEN printf('%.1f (n=%d)', m, n) END) AS region_{k}"
+                              for k in range(5)) + " FROM g GROUP BY metric")
+def q_pivot_text(spark, sf_dir):
+    d = Domain(spark, sf_dir)
+    w = wide(d).join(d.stores.select(F.col("id").alias("store_id"), F.col("partner_id").alias("region")), "store_id")
+    long = describe.measures_long(w, {"BMI": "rec_med_bmi", "Stress": "rec_ls_stress_sum"}, ids=["region"])
+    return describe.pivot_text(long, "measure", "region", "value", list(range(5)), "region_").withColumnRenamed(
+        "measure", "metric")

@@ -155,7 +155,7 @@ def q_semi_active(spark, sf_dir):
 @register("join_completion_scores", views("completions", "item_scores") + f"""
 SELECT c.id AS completion_id, c.participant_id, c.created_at, s.slug, s.value
 FROM d_completions c JOIN d_item_scores s ON s.completion_id = c.id
-WHERE c.questionnaire_id = '1-URGENT' AND s.slug = '1'""")
+WHERE c.questionnaire_id = '1-URGENT' AND s.slug = 'rec_item_1'""")
 def q_join_completion_scores(spark, sf_dir):
     from pulseframe.plans.bindings import item_scores
     d = _d(spark, sf_dir)
@@ -164,7 +164,7 @@ def q_join_completion_scores(spark, sf_dir):
     return spark.sql("""SELECT c.id AS completion_id, c.participant_id, c.created_at, s.slug, s.value
         FROM pf_completions c JOIN pf_completion_scores s ON s.completion_id = c.id
         WHERE c.questionnaire_id = :questionnaire AND s.slug = :slug""",
-                     args={"questionnaire": "1-URGENT", "slug": "1"})
+                     args={"questionnaire": "1-URGENT", "slug": "rec_item_1"})
 
 
 @register("range_join_eligible", views("completions") + """,

@@ -273,3 +273,21 @@ def q_score_change_sign(spark, sf_dir):
     sign = (F.when(F.col("mean") == 0, "gelijk")
              .when((F.col("mean") > 0) == better, "beter").otherwise("slechter"))
     return ch.withColumn("sign", sign)
+
+
+LONG_HIST_SQL = views("history", "participants", "stores", "wide") + """,
+u AS (SELECT participant_id, slug, score_value, completion_created_at, 'history' AS source FROM d_history
+      UNION ALL
+      SELECT participant_id, 'A', rec_med_bmi, latest_completion_at, 'latest' FROM d_wide WHERE rec_med_bmi IS NOT NULL)
+SELECT u.*, CAST(CASE WHEN p.gender_raw = '1' THEN 1 WHEN p.gender_raw = '0' THEN 0 END AS INTEGER) AS gender,
+       s.id AS store_id
+FROM u LEFT JOIN d_participants p ON p.id = u.participant_id LEFT JOIN d_stores s ON s.id = p.store_id
+WHERE u.completion_created_at IS NOT NULL AND year(u.completion_created_at) >= 1995"""
+
+
+@register("longitudinal_history", LONG_HIST_SQL)
+def q_longitudinal_history(spark, sf_dir):
+    from pulseframe.plans.bindings import wide
+    d = Domain(spark, sf_dir)
+    return longitudinal.longitudinal_history(d.history, wide(d), d.participants, direct_links(d), bmi_slug="A",
+                                             min_year=1995)

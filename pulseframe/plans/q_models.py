@@ -281,3 +281,25 @@ def q_segmentation(spark, sf_dir):
     w = wide(Domain(spark, sf_dir)).select("participant_id", "rec_age_current", "rec_med_bmi", "rec_ls_stress_sum")
     seg = models.segmentation(w, ["rec_age_current", "rec_med_bmi", "rec_ls_stress_sum"])
     return seg.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("rec_age_current").alias("mean_age"))
+
+
+@register("improvement_target", """WITH d_history AS (SELECT l_orderkey * 8 + l_linenumber AS id, o_custkey AS participant_id,
+    l_returnflag AS slug, l_quantity AS score_value, o_orderdate AS completion_created_at
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+t AS (SELECT participant_id, completion_created_at, avg(score_value) AS v FROM d_history
+      WHERE slug = 'A' AND score_value IS NOT NULL GROUP BY ALL)
+SELECT participant_id, round(arg_max(v, completion_created_at) - arg_min(v, completion_created_at), 6) AS improvement
+FROM t GROUP BY participant_id HAVING count(*) >= 2""")
+def q_improvement_target(spark, sf_dir):
+    return improvement_target(Domain(spark, sf_dir).history, "A")
+
+
+@register("purchase_target", """WITH p AS (SELECT user_id AS participant_id, user_id,
+    CASE WHEN value < 5 THEN 'cancelled' ELSE 'completed' END AS status FROM events WHERE event_type = 'purchase'),
+ok AS (SELECT * FROM p WHERE lower(trim(status)) NOT IN ('cancelled', 'failed', 'refunded'))
+SELECT c_custkey AS participant_id, CAST((c_custkey IN (SELECT participant_id FROM ok)
+       OR c_custkey IN (SELECT user_id FROM ok)) AS INTEGER) AS has_purchase FROM customer""")
+def q_purchase_target(spark, sf_dir):
+    d = Domain(spark, sf_dir)
+    w = wide(d).select("participant_id", "user_id")
+    return purchase_target(w, purchases(d)).select("participant_id", "has_purchase")

@@ -282,3 +282,96 @@ def q_upload_validate(spark, sf_dir):
     raw = readers.read_csv_sniffed(spark, _customer_csv(spark, sf_dir), terms=["c_custkey"])
     return readers.upload_validate(raw, ["id", "user_id", "store_id", "segment", "created_at"],
                                    aliases=IMPORT_ALIASES, now=IMPORT_NOW)
+
+
+PERIODS = [("tot_1997", None, "1997-01-01"), ("1997_1999", "1997-01-01", "1999-01-01"), ("vanaf_1999", "1999-01-01", None)]
+
+
+def _period_wide(h, lo, hi):
+    c = F.col("completion_created_at")
+    cond = F.lit(True)
+    if lo:
+        cond = cond & (c >= F.lit(lo).cast("timestamp_ntz"))
+    if hi:
+        cond = cond & (c < F.lit(hi).cast("timestamp_ntz"))
+    return consolidate.latest_scores_wide(h.where(cond), BINDING_SLUG_COLUMNS)
+
+
+def _merge_sql() -> str:
+    ctes = []
+    for name, lo, hi in PERIODS:
+        conds = ["TRUE"] + ([f"completion_created_at >= TIMESTAMP '{lo}'"] if lo else []) + \
+                ([f"completion_created_at < TIMESTAMP '{hi}'"] if hi else [])
+        ctes.append((f"k_{name}", f"SELECT DISTINCT participant_id FROM d_history WHERE slug IN ('A', 'N', 'R') AND "
+                                  + " AND ".join(conds)))
+    body = views("history", extra=ctes)
+    n1, n2, n3 = [f"k_{p[0]}" for p in PERIODS]
+    return body + f"""
+SELECT 1 AS step, '{PERIODS[0][0]}' AS source, count(*) AS rows, count(*) AS inserted, CAST(0 AS BIGINT) AS updated
+FROM {n1}
+UNION ALL
+SELECT 2, '{PERIODS[1][0]}', count(*), count(*) FILTER (WHERE participant_id NOT IN (SELECT participant_id FROM {n1})),
+       count(*) FILTER (WHERE participant_id IN (SELECT participant_id FROM {n1})) FROM {n2}
+UNION ALL
+SELECT 3, '{PERIODS[2][0]}', count(*),
+       count(*) FILTER (WHERE participant_id NOT IN (SELECT participant_id FROM {n1} UNION SELECT participant_id FROM {n2})),
+       count(*) FILTER (WHERE participant_id IN (SELECT participant_id FROM {n1} UNION SELECT participant_id FROM {n2}))
+FROM {n3}"""
+
+
+@register("merge_sources", _merge_sql())
+def q_merge_sources(spark, sf_dir):
+    h = Domain(spark, sf_dir).history
+    srcs = [(name, _period_wide(h, lo, hi)) for name, lo, hi in PERIODS]
+    return sinks.merge_sources(srcs, ["participant_id"], checkpoint_every=1)[1]
+
+
+@register("schema_evolve", views("purchases", "article_views") + """
+SELECT * FROM d_purchases UNION ALL BY NAME SELECT * FROM d_article_views""")
+def q_schema_evolve(spark, sf_dir):
+    from pulseframe.plans.bindings import article_views, purchases
+    d = Domain(spark, sf_dir)
+    return sinks.schema_evolve(purchases(d), article_views(d))
+
+
+def _out_path(spark, name):
+    import uuid
+
+    from pulseframe.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/exports/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@register("sink_table", STORE_AVG_SQL)
+def q_sink_table(spark, sf_dir):
+    path = _out_path(spark, "store_average_scores")
+    sinks.write_table(consolidate.store_month_averages(wide(Domain(spark, sf_dir))), path)
+    return spark.read.parquet(path)
+
+
+@register("sink_csv", STORE_AVG_SQL)
+def q_sink_csv(spark, sf_dir):
+    avg = consolidate.store_month_averages(wide(Domain(spark, sf_dir)))
+    path = _out_path(spark, "store_average_scores_csv")
+    sinks.write_csv(avg, path)
+    return spark.read.schema(avg.schema).option("header", True).csv(path)
+
+
+@register("participants_expanded", views("wide", "history", extra=[("lat", _latest_wide_sql(
+    f"completion_created_at >= TIMESTAMP '{CUTOFF}'"))]) + """,
+m AS (SELECT w.participant_id, w.user_id, coalesce(l.rec_med_bmi, w.rec_med_bmi) AS rec_med_bmi,
+             coalesce(l.rec_heartrisk, w.rec_heartrisk) AS rec_heartrisk,
+             coalesce(l.rec_ls_stress_sum, w.rec_ls_stress_sum) AS rec_ls_stress_sum, w.rec_user_gender
+      FROM d_wide w LEFT JOIN lat l ON l.participant_id = w.participant_id)
+SELECT *, CASE WHEN (rec_med_bmi IS NOT NULL)::INT + (rec_heartrisk IS NOT NULL)::INT + (rec_ls_stress_sum IS NOT NULL)::INT > 0
+    THEN round((coalesce(rec_med_bmi, 0) + coalesce(rec_heartrisk, 0) + coalesce(rec_ls_stress_sum, 0))
+         / ((rec_med_bmi IS NOT NULL)::INT + (rec_heartrisk IS NOT NULL)::INT + (rec_ls_stress_sum IS NOT NULL)::INT), 6)
+    END AS rec_ls_lifestyle_score FROM m""")
+def q_participants_expanded(spark, sf_dir):
+    from pulseframe.functions.semantics import row_mean
+    from pulseframe.operators.linking import merge_latest_over
+    d = Domain(spark, sf_dir)
+    base = wide(d).select("participant_id", "user_id", *SCORES, "rec_user_gender")
+    lat = consolidate.latest_scores_wide(d.history.where(F.col("completion_created_at")
+                                                         >= F.lit(CUTOFF).cast("timestamp_ntz")), BINDING_SLUG_COLUMNS)
+    m = merge_latest_over(base, lat, "participant_id", SCORES)
+    return m.withColumn("rec_ls_lifestyle_score", row_mean(SCORES))

@@ -119,3 +119,33 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV export with a header line (one folder of part files)."""
     df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def merge_sources(sources: Sequence[tuple[str, DataFrame]], keys: Sequence[str],
+                  checkpoint_every: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Upsert the named sources in order into an initially empty table.
+
+    Returns (final table, per-source stats with rows, inserted, updated).
+    With ``checkpoint_every`` > 0 the intermediate table is written to the
+    shared checkpoint folder every that many sources, so a long list does not
+    grow one ever longer lineage."""
+    from pulseframe.session import cut_lineage
+    target = None
+    stats = []
+    for i, (name, df) in enumerate(sources, start=1):
+        if target is None:
+            merged = df.withColumn("_op", F.lit("insert"))
+        else:
+            merged = upsert_frames(target, df, keys)
+        counted = merged.where(F.col("_op") != "keep") if target is not None else merged
+        stats.append(counted.agg(F.count(F.lit(1)).alias("rows"),
+                                 F.sum(F.when(F.col("_op") == "insert", 1).otherwise(0)).cast("long").alias("inserted"),
+                                 F.sum(F.when(F.col("_op") == "update", 1).otherwise(0)).cast("long").alias("updated"))
+                     .select(F.lit(i).alias("step"), F.lit(name).alias("source"), "rows", "inserted", "updated"))
+        target = merged.drop("_op")
+        if checkpoint_every and i % checkpoint_every == 0 and i < len(sources):
+            target = cut_lineage(target)
+    out = stats[0]
+    for s in stats[1:]:
+        out = out.unionByName(s)
+    return target, out
