@@ -87,23 +87,39 @@ def questionnaire_overview(completions: DataFrame, questionnaires: DataFrame, pa
                .fillna(0, ["completions", "participants", "repeaters"]))
 
 
+def consecutive_gaps(df: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
+    """Days between consecutive rows of each key (floor of elapsed days), one
+    row per gap: (keys..., gap).
+
+    A key's rows are split by calendar day: gaps inside a day come from a
+    window over (key, day); the gap before each day's first row comes from a
+    window over the key's per-day (first, last) table. No window ever holds
+    all rows of a busy key, only one key-day or one key's day list."""
+    d = df.select(*keys, at).where(F.col(at).isNotNull()).withColumn("_day", F.date_trunc("day", at))
+    w_in = Window.partitionBy(*keys, "_day").orderBy(at)
+    inner = (d.withColumn("gap", days_between(F.lag(at).over(w_in), F.col(at)))
+              .where(F.col("gap").isNotNull()).select(*keys, "gap"))
+    per_day = d.groupBy(*keys, "_day").agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
+    w_days = Window.partitionBy(*keys).orderBy("_day")
+    across = (per_day.withColumn("gap", days_between(F.lag("_last").over(w_days), F.col("_first")))
+                     .where(F.col("gap").isNotNull()).select(*keys, "gap"))
+    return inner.unionByName(across)
+
+
 def questionnaire_repeats(completions: DataFrame, participant: str = "participant_id",
                           questionnaire: str = "questionnaire_id", at: str = "created_at") -> DataFrame:
     """(participant, questionnaire) pairs filled more than once: count, first,
     last, span days and mean/min/max days between consecutive fills, with
     the participant id hashed (first 12 hex of SHA-256)."""
-    c = completions.select(participant, questionnaire, at).where(
-        F.col(participant).isNotNull() & F.col(questionnaire).isNotNull())
-    counts = c.groupBy(participant, questionnaire).agg(F.count(F.lit(1)).alias("times_filled"))
-    rep = counts.where(F.col("times_filled") > 1)
-    dated = c.where(F.col(at).isNotNull()).join(rep.select(participant, questionnaire), [participant, questionnaire],
-                                                "left_semi")
-    w = Window.partitionBy(participant, questionnaire).orderBy(at)
-    gaps = dated.withColumn("_gap", days_between(F.lag(at).over(w), F.col(at)))
-    per = gaps.groupBy(participant, questionnaire).agg(
-        F.min(at).alias("first_date"), F.max(at).alias("last_date"), F.count(F.lit(1)).alias("_n_dated"),
-        F.avg("_gap").alias("mean_gap_days"), F.min("_gap").alias("min_gap_days"), F.max("_gap").alias("max_gap_days"))
-    return (rep.join(per.where(F.col("_n_dated") > 1), [participant, questionnaire])
+    keys = [participant, questionnaire]
+    c = completions.select(*keys, at).where(F.col(participant).isNotNull() & F.col(questionnaire).isNotNull())
+    counts = c.groupBy(*keys).agg(F.count(F.lit(1)).alias("times_filled"), F.min(at).alias("first_date"),
+                                  F.max(at).alias("last_date"), F.count(at).alias("_n_dated"))
+    rep = counts.where((F.col("times_filled") > 1) & (F.col("_n_dated") > 1))
+    dated = c.join(rep.select(*keys), keys, "left_semi")
+    gaps = consecutive_gaps(dated, keys, at).groupBy(*keys).agg(
+        F.avg("gap").alias("mean_gap_days"), F.min("gap").alias("min_gap_days"), F.max("gap").alias("max_gap_days"))
+    return (rep.join(gaps, keys)
                .withColumn("span_days", days_between("first_date", "last_date"))
                .withColumn("participant_id_hashed", rules.hash_id(participant))
                .withColumn("mean_gap_days", F.round("mean_gap_days", 1))

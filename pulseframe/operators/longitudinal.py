@@ -84,8 +84,19 @@ def score_trajectory(history: DataFrame, participant: str = "participant_id", co
     completions, not raw rows."""
     per_c = (history.where(F.col(value).isNotNull() & F.col(at).isNotNull())
              .groupBy(participant, completion, at).agg(F.avg(value).alias("score")))
-    w = Window.partitionBy(participant).orderBy(at, completion)
-    numbered = per_c.withColumn("fill_nr", F.row_number().over(w)).where(F.col("fill_nr") <= max_fill)
+    # Only the days that can hold one of the first ``max_fill`` completions
+    # are numbered: completions per (participant, day), a running count over
+    # each participant's day list, and a semi join. The numbering window then
+    # sees at most the completions of those days, not a busy participant's
+    # whole history.
+    per_c = per_c.withColumn("_day", F.date_trunc("day", at))
+    days = per_c.groupBy(participant, "_day").agg(F.count(F.lit(1)).alias("_k"))
+    wd = Window.partitionBy(participant).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_before", F.coalesce(F.sum("_k").over(wd), F.lit(0))).where(F.col("_before") < max_fill)
+    early = per_c.join(days.select(participant, "_day", "_before"), [participant, "_day"])
+    w = Window.partitionBy(participant, "_day").orderBy(at, completion)
+    numbered = (early.withColumn("fill_nr", F.col("_before") + F.row_number().over(w))
+                     .where(F.col("fill_nr") <= max_fill))
     return (numbered.groupBy("fill_nr")
             .agg(F.avg("score").alias("mean_score"), F.countDistinct(participant).alias("n_participants"))
             .withColumn("fill_label", F.concat(F.col("fill_nr").cast("string"), F.lit("e invulling"))))

@@ -220,15 +220,35 @@ def pr_curve(scored: DataFrame, positive: float, score: str = "score") -> DataFr
     is_pos = (F.col("label") == positive).cast("long")
     per = scored.groupBy(F.col(score).alias("threshold")).agg(F.sum(is_pos).alias("_tp"),
                                                               F.sum(1 - is_pos).alias("_fp"))
-    w = Window.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
     tot = per.agg(F.sum("_tp").alias("_P"))
-    out = (per.withColumn("tp", F.sum("_tp").over(w)).withColumn("fp", F.sum("_fp").over(w))
-              .crossJoin(F.broadcast(tot)))  # one row
+    out = running_sums(per, "threshold", {"_tp": "tp", "_fp": "fp"}, descending=True).crossJoin(
+        F.broadcast(tot))  # one row
     return (out.withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp")))
                .withColumn("recall", F.try_divide(F.col("tp"), F.col("_P")))
                .select("threshold", "tp", "fp", "precision", "recall"))
 
 
+def running_sums(df: DataFrame, order: str, columns: dict, descending: bool = False,
+                 partitions: int | None = None) -> DataFrame:
+    """Exact running sums over a global order without a single-partition
+    window: rows are range-partitioned on ``order``, each range gets its
+    offset from the totals of the ranges before it (a tiny table, one row per
+    range) and a window inside each range adds the local running sum.
+    ``order`` must be unique (aggregate to it first)."""
+    n = partitions or max(1, df.sparkSession.sparkContext.defaultParallelism)
+    o = F.col(order).desc() if descending else F.col(order).asc()
+    ranged = df.repartitionByRange(n, o).withColumn("_pid", F.spark_partition_id())
+    totals = ranged.groupBy("_pid").agg(*[F.sum(c).alias(f"_t{c}") for c in columns])
+    wp = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_t{c}").over(wp), F.lit(0)).alias(f"_o{c}")
+                                     for c in columns])
+    w = Window.partitionBy("_pid").orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(F.broadcast(offsets), "_pid")  # one row per range
+    for c, name in columns.items():
+        out = out.withColumn(name, F.col(f"_o{c}") + F.sum(c).over(w))
+    return out.drop("_pid", *[f"_o{c}" for c in columns])
+
+
 def bias_classification(pred: DataFrame, group: str, classes: Sequence[float]) -> DataFrame:
     """Per group: n, accuracy and macro recall / precision / F1, plus per-class
     recall and precision (rounded to 3 decimals, 0 when a class is empty).
