@@ -286,3 +286,24 @@ def pivot_text(long: DataFrame, row: str, column: str, value: str, columns: Sequ
     cell = F.format_string("%.1f (n=%d)", F.col("_m"), F.col("_n"))
     out = g.groupBy(row).pivot(column, list(columns)).agg(F.first(cell))
     return out.select(row, *[F.col(f"`{c}`").alias(f"{prefix}{c}") for c in columns])
+
+
+def analysis_columns(columns: Sequence[str], skip_prefixes: Sequence[str] = (), skip_exact: Sequence[str] = (),
+                     drop_cat_with_raw: bool = True, keep_prefixes: Sequence[str] = ("rec_", "feat_")) -> list[str]:
+    """Column-name rules for the quality and outlier pages (no data pass):
+    keep score columns, skip names starting with any of ``skip_prefixes``,
+    names in ``skip_exact``, and ``<x>_cat`` when the raw ``<x>`` exists."""
+    names = list(columns)
+    present = set(names)
+    out = []
+    for c in names:
+        if keep_prefixes and not c.startswith(tuple(keep_prefixes)):
+            continue
+        if skip_prefixes and c.startswith(tuple(skip_prefixes)):
+            continue
+        if c in skip_exact:
+            continue
+        if drop_cat_with_raw and c.endswith("_cat") and c[:-4] in present:
+            continue
+        out.append(c)
+    return out

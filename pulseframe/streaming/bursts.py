@@ -79,8 +79,9 @@ def bursts_stream(stream: DataFrame, key: str, at: str, window_s: int = 600, max
                   watermark: str = "20 minutes") -> DataFrame:
     """Streaming version: per-key state holds the failures of the last
     ``window_s`` seconds; state expires by event-time timeout behind the
-    watermark. Input rows must arrive in event-time order per key within a
-    micro-batch (sorted inside the state function)."""
+    watermark. Rows are sorted by event time inside each micro-batch; across
+    micro-batches a key's rows must arrive in event-time order (the batch
+    version, ``bursts_batch``, has no such requirement)."""
     s = (stream.select(F.col(key).cast("long").alias("key"), F.col(at).cast("timestamp").alias("at"))
          .where(F.col("key").isNotNull() & F.col("at").isNotNull()).withWatermark("at", watermark))
     return s.groupBy("key").applyInPandasWithState(
@@ -111,9 +112,12 @@ def run_to_table(spark: SparkSession, stream_df: DataFrame, name: str, output_mo
     return out
 
 
-def stream_source(spark: SparkSession, path: str, like: DataFrame, max_files: int = 1) -> DataFrame:
-    """File stream over ``path`` (a parquet file or folder) with the schema of ``like``."""
-    r = spark.readStream.schema(like.schema).option("maxFilesPerTrigger", max_files)
+def stream_source(spark: SparkSession, path: str, like: DataFrame, max_files: int | None = None) -> DataFrame:
+    """File stream over ``path`` (a parquet file or folder) with the schema of
+    ``like``; ``max_files`` caps the files per micro-batch."""
+    r = spark.readStream.schema(like.schema)
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
     if os.path.isdir(path):
         return r.parquet(path)
     folder, name = os.path.split(path.rstrip("/"))

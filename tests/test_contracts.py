@@ -96,3 +96,25 @@ def test_store_links_smallest_store_and_deleted(spark):
     out = {r.participant_id: (r.store_id, r.store_name)
            for r in linking.link_participant_store(participants, users, emp, stores).collect()}
     assert out == {1: (3, "A"), 2: (6, "Store 6")}
+
+
+def test_backup_table_copies(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="pf-backup-"), "t")
+    spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string").write.parquet(path)
+    dest = sinks.backup_table(spark, path)
+    assert dest.startswith(path + "_backup_")
+    assert spark.read.parquet(dest).count() == 2
+
+
+def test_streaming_bursts_match_batch(spark):
+    base = dt.datetime(2024, 1, 1)
+    ts = [base + dt.timedelta(seconds=s) for s in (0, 100, 200, 300, 400, 1500, 1590, 1600, 1700, 1800, 2100)]
+    d = tempfile.mkdtemp(prefix="pf-stream-")
+    src = os.path.join(d, "events")
+    ev = spark.createDataFrame([(7, t) for t in ts], "user_id long, ts timestamp_ntz")
+    ev.write.parquet(src)
+    stream = bursts.stream_source(spark, src, ev)
+    out = bursts.run_to_table(spark, bursts.bursts_stream(stream, "user_id", "ts", 600, 5), "test_bursts")
+    got = sorted((r.at.replace(tzinfo=None), r.n_in_window) for r in spark.read.parquet(out).collect())
+    want = sorted((r.ts, r.n_in_window) for r in bursts.bursts_batch(ev, "user_id", "ts", 600, 5).collect())
+    assert got == want

@@ -94,3 +94,24 @@ def test_quantiles_degenerate_normalisation(spark):
     df = spark.createDataFrame([(5.0,), (5.0,), (5.0,)], "x double")
     got = [r.x_norm for r in describe.normalize_p5_p95(df, "x").collect()]
     assert got == [10.0, 10.0, 10.0]
+
+
+def test_analysis_columns_rules():
+    cols = ["participant_id", "rec_med_bmi", "rec_med_bmi_cat", "rec_heartrisk_cat", "show_tip", "rec_coach_x",
+            "rec_ls_sleep_sum", "feat_a"]
+    got = describe.analysis_columns(cols, skip_prefixes=["show_", "rec_coach_"], skip_exact=["rec_ls_sleep_sum"])
+    assert got == ["rec_med_bmi", "rec_heartrisk_cat", "feat_a"]
+
+
+def test_sleep_text_buckets(spark):
+    df = spark.createDataFrame([("6-7 hours",), ("Entre 7 et 9 heures",), (" 9-10 uur ",), ("x",)], "s string")
+    b, k = rules.sleep_bucket("s")
+    got = [(r[0], r[1]) for r in df.select(b, k).collect()]
+    assert got == [("6-7 uur", 2), ("7-9 uur", 3), ("9-10 uur", 4), (None, None)]
+
+
+def test_email_parts_and_region(spark):
+    df = spark.createDataFrame([(" Jan.Smit@Example.com ", "NL", None), ("a@b.org", None, "1234 AB"),
+                                (None, "Belgie", "9999")], "e string, c string, pc string")
+    rows = df.select(rules.email_local_part("e"), rules.region_flag("c", "pc")).collect()
+    assert [tuple(r) for r in rows] == [("jan.smit", "Nederland"), ("a", "Nederland"), (None, "Buitenland")]
