@@ -137,23 +137,28 @@ def questionnaire_dropoff(completions: DataFrame, item_scores: DataFrame, comple
                 .groupBy("completion_id").agg(F.countDistinct(item).alias("answered")))
     c = (completions.select(F.col(completion_id).alias("completion_id"), participant, questionnaire)
          .join(answered, "completion_id", "left").fillna(0, ["answered"]))
-    expected = (c.groupBy(questionnaire).agg(F.percentile("answered", 0.95).alias("_p95"))
+    from pulseframe.operators.describe import quantile_table
+    expected = (quantile_table(c, [questionnaire], "answered", [0.95], ["_p95"])
                 .select(questionnaire, F.greatest(F.bround("_p95", 0), F.lit(1.0)).alias("expected_items")))
     d = (c.join(expected, questionnaire, "left").fillna(1.0, ["expected_items"])
           .withColumn("completion_pct", F.least(F.greatest(F.col("answered") / F.col("expected_items"), F.lit(0.0)),
                                                 F.lit(1.0)))
           .withColumn("half_dropped", F.col("completion_pct") < 0.5)
           .withColumn("nearly_done", F.col("completion_pct") >= 0.8))
+    med = quantile_table(d, [questionnaire], "completion_pct", [0.5], ["_med"])
     per_q = d.groupBy(questionnaire).agg(
         F.count("completion_id").alias("completions"), F.countDistinct(participant).alias("participants"),
         F.max("expected_items").alias("expected_items"), F.round(F.avg("answered"), 1).alias("mean_answered"),
-        F.round(F.percentile("completion_pct", 0.5) * 100, 1).alias("median_completion_pct"),
         F.round(F.avg(F.col("half_dropped").cast("double")) * 100, 1).alias("dropoff_half_pct"),
         F.round(F.avg(F.col("nearly_done").cast("double")) * 100, 1).alias("nearly_done_pct"))
+    per_q = (per_q.join(med, questionnaire, "left")
+                  .withColumn("median_completion_pct", F.round(F.col("_med") * 100, 1)).drop("_med"))
+    gmed = quantile_table(d, [], "completion_pct", [0.5], ["_gmed"])
     summary = d.agg(F.count(F.lit(1)).alias("total_completions"),
-                    F.round(F.percentile("completion_pct", 0.5) * 100, 1).alias("median_completion_pct"),
                     F.round(F.avg(F.col("half_dropped").cast("double")) * 100, 1).alias("dropoff_half_pct"),
                     F.round(F.avg(F.col("nearly_done").cast("double")) * 100, 1).alias("nearly_done_pct"))
+    summary = (summary.join(gmed, F.lit(True), "left")
+                      .withColumn("median_completion_pct", F.round(F.col("_gmed") * 100, 1)).drop("_gmed"))
     corr = per_q.agg(F.when(F.count(F.lit(1)) >= 2, F.round(pearson("expected_items", "dropoff_half_pct"), 3))
                      .alias("corr_length_dropoff"))
     return per_q, summary.crossJoin(corr)

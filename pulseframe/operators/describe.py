@@ -83,17 +83,21 @@ def quantiles(value: Column | str, probs: Sequence[float], exact: bool = True, a
 
 def box_stats(df: DataFrame, value: str, group: str | None = None, exact: bool = True) -> DataFrame:
     """Per group: n, mean, q1, median, q3 and whiskers (extreme values inside
-    the 1.5 IQR fences). Quartiles in one aggregate, fences joined back for
-    the whisker pass (two aggregates, no per-row driver work)."""
+    the 1.5 IQR fences). Quartiles come from the distributed exact
+    ``quantile_table`` (or the bounded sketch with ``exact=False``); fences
+    are joined back for the whisker pass."""
     from pulseframe.functions.semantics import to_num
     keys = [group] if group else []
     x = df.select(*keys, to_num(value).alias("v")).where(F.col("v").isNotNull())
     if group:
         x = x.where(F.col(group).isNotNull())
-    q = (x.groupBy(*keys).agg(F.count("v").alias("n"), F.avg("v").alias("mean"),
-                              quantiles("v", [0.25, 0.5, 0.75], exact).alias("_q"))
-           .select(*keys, "n", "mean", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                   F.col("_q")[2].alias("q3")))
+    base = x.groupBy(*keys).agg(F.count("v").alias("n"), F.avg("v").alias("mean"))
+    if exact:
+        qs = quantile_table(x, keys, "v", [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    else:
+        qs = (x.groupBy(*keys).agg(quantiles("v", [0.25, 0.5, 0.75], False).alias("_q"))
+               .select(*keys, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3")))
+    q = base.join(qs, keys) if keys else base.crossJoin(qs)
     fences = q.select(*keys, (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("_lo"),
                       (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("_hi"))
     joined = x.join(fences, keys) if keys else x.crossJoin(fences)
@@ -120,14 +124,18 @@ def outliers_iqr(df: DataFrame, measures: Mapping[str, str], domain_limits: Mapp
     IQR fences and counts of values strictly outside them, their percent, and
     the count above a domain limit."""
     long = measures_long(df, measures)
-    stats = (long.groupBy("measure", "column").agg(
+    base = long.groupBy("measure", "column").agg(
         F.count("value").alias("n_valid"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
-        quantiles("value", [0.25, 0.5, 0.75], exact).alias("_q"))
-        .where(F.col("n_valid") >= min_n)
-        .withColumn("median", F.col("_q")[1])
-        .withColumn("fence_low", F.col("_q")[0] - 1.5 * (F.col("_q")[2] - F.col("_q")[0]))
-        .withColumn("fence_high", F.col("_q")[2] + 1.5 * (F.col("_q")[2] - F.col("_q")[0])).drop("_q"))
+        F.min("value").alias("min"), F.max("value").alias("max"))
+    if exact:
+        qs = quantile_table(long, ["column"], "value", [0.25, 0.5, 0.75], ["_q1", "median", "_q3"])
+    else:
+        qs = (long.groupBy("column").agg(quantiles("value", [0.25, 0.5, 0.75], False).alias("_q"))
+                  .select("column", F.col("_q")[0].alias("_q1"), F.col("_q")[1].alias("median"),
+                          F.col("_q")[2].alias("_q3")))
+    stats = (base.join(qs, "column").where(F.col("n_valid") >= min_n)
+             .withColumn("fence_low", F.col("_q1") - 1.5 * (F.col("_q3") - F.col("_q1")))
+             .withColumn("fence_high", F.col("_q3") + 1.5 * (F.col("_q3") - F.col("_q1"))).drop("_q1", "_q3"))
     lim = F.create_map(*[x for k, v in (domain_limits or {}).items() for x in (F.lit(k), F.lit(float(v)))]) \
         if domain_limits else None
     j = long.join(stats.select("column", "fence_low", "fence_high"), "column")
@@ -246,7 +254,8 @@ def normalize_p5_p95(df: DataFrame, column: str, out: str | None = None) -> Data
     from pulseframe.functions.semantics import to_num
     out = out or f"{column}_norm"
     x = to_num(column)
-    stats = df.agg(F.percentile(x, 0.05).alias("_p5"), F.percentile(x, 0.95).alias("_p95"), F.max(x).alias("_max"))
+    qs = quantile_table(df.select(x.alias("_x")), [], "_x", [0.05, 0.95], ["_p5", "_p95"])
+    stats = df.agg(F.max(x).alias("_max")).join(qs, F.lit(True), "left")  # one row, also when empty
     j = df.crossJoin(F.broadcast(stats))  # one row
     clip01 = lambda e: F.least(F.greatest(e, F.lit(0.0)), F.lit(1.0))
     degenerate = F.col("_p5").isNull() | F.col("_p95").isNull() | (F.col("_p95") <= F.col("_p5"))
@@ -307,3 +316,48 @@ def analysis_columns(columns: Sequence[str], skip_prefixes: Sequence[str] = (),
             continue
         out.append(c)
     return out
+
+
+def quantile_table(df: DataFrame, keys: Sequence[str], value: Column | str, probs: Sequence[float],
+                   names: Sequence[str] | None = None, partitions: int | None = None) -> DataFrame:
+    """Exact quantiles (linear interpolation, as pandas ``quantile`` and SQL
+    ``quantile_cont``) per group, without holding a group in one task.
+
+    1. count rows per (group, value): duplicates collapse map-side and a hot
+       group is spread over tasks by value;
+    2. range-partition the (group, value) counts and give every range its
+       offset within each group from the per-range totals (a table of at most
+       groups x ranges rows), so the running count runs inside each range;
+    3. each group's target ranks floor(h), ceil(h) with h = p * (n - 1) are
+       joined to the rows whose rank interval holds them (an equi-join on the
+       group that AQE can split when one group is very large) and
+       interpolated.
+    Returns one row per group with one column per probability.
+    """
+    keys = list(keys)
+    names = list(names or [f"q{i}" for i in range(len(probs))])
+    v = F.col(value) if isinstance(value, str) else value
+    x = df.select(*keys, v.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    cnt = x.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    n_parts = partitions or max(1, df.sparkSession.sparkContext.defaultParallelism)
+    ranged = cnt.repartitionByRange(n_parts, *keys, "_v").withColumn("_pid", F.spark_partition_id())
+    tot = ranged.groupBy(*keys, "_pid").agg(F.sum("_c").alias("_t"))
+    wo = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.withColumn("_o", F.coalesce(F.sum("_t").over(wo), F.lit(0))).drop("_t")
+    wr = Window.partitionBy("_pid", *keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    cum = (ranged.join(off, keys + ["_pid"]).withColumn("_hi", F.col("_o") + F.sum("_c").over(wr))
+                 .withColumn("_lo", F.col("_hi") - F.col("_c")).select(*keys, "_v", "_lo", "_hi"))
+    n = cnt.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    targets = n.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("h"))
+        for i, p in enumerate(probs)])).alias("_t")).select(*keys, "_t.i", "_t.h")
+    targets = targets.withColumn("_f", F.floor("h")).withColumn("_g", F.ceil("h"))
+    hit = cum.join(targets, keys) if keys else cum.crossJoin(targets)
+    hit = hit.where(((F.col("_lo") <= F.col("_f")) & (F.col("_f") < F.col("_hi")))
+                    | ((F.col("_lo") <= F.col("_g")) & (F.col("_g") < F.col("_hi"))))
+    inside = lambda r: (F.col("_lo") <= F.col(r)) & (F.col(r) < F.col("_hi"))
+    per = hit.groupBy(*keys, "i", "h", "_f").agg(F.max(F.when(inside("_f"), F.col("_v"))).alias("_a"),
+                                                 F.max(F.when(inside("_g"), F.col("_v"))).alias("_b"))
+    per = per.withColumn("q", F.col("_a") + (F.col("h") - F.col("_f")) * (F.col("_b") - F.col("_a")))
+    wide = per.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(nm) for i, nm in enumerate(names)])
+    return wide

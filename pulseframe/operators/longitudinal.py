@@ -236,7 +236,12 @@ def migration_binned(history: DataFrame, slug: str, participant: str = "particip
     meta = pooled.agg(
         F.countDistinct("x").alias("_n_unique"),
         F.min(F.col("x") == F.floor("x")).alias("_int_like"),
-        F.array_distinct(F.percentile("x", F.array(*[F.lit(p) for p in probs]))).alias("_edges"))
+        )
+    from pulseframe.operators.describe import quantile_table
+    qn = [f"_e{i}" for i in range(len(probs))]
+    edges = quantile_table(pooled, [], "x", probs, qn).select(
+        F.array_distinct(F.array_sort(F.array(*[F.col(c) for c in qn]))).alias("_edges"))
+    meta = meta.join(edges, F.lit(True), "left")  # one row
     # Rank of a value among the distinct pooled values (for the few-values rule).
     # Only kept when there are at most ``max_unique`` values, so the global
     # ranking window never sees more than a handful of rows.

@@ -213,9 +213,9 @@ def q_geo_category_mode(spark, sf_dir):
     WHERE regexp_extract(postal_code, '(\\d{{4}})', 1) <> '' AND rec_ls_lifestyle_score IS NOT NULL GROUP BY 1""")
 def q_geo_median(spark, sf_dir):
     w = _w(spark, sf_dir).withColumn("pc3", rules.pc3("postal_code"))
-    return (w.where(F.col("pc3").isNotNull() & F.col("rec_ls_lifestyle_score").isNotNull())
-             .groupBy("pc3").agg(F.percentile("rec_ls_lifestyle_score", 0.5).alias("median"),
-                                 F.count("rec_ls_lifestyle_score").alias("n")))
+    x = w.where(F.col("pc3").isNotNull() & F.col("rec_ls_lifestyle_score").isNotNull())
+    n = x.groupBy("pc3").agg(F.count("rec_ls_lifestyle_score").alias("n"))
+    return n.join(describe.quantile_table(x, ["pc3"], "rec_ls_lifestyle_score", [0.5], ["median"]), "pc3")
 
 
 @register("region_comparison", views("wide", "stores") + f"""

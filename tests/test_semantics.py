@@ -115,3 +115,18 @@ def test_email_parts_and_region(spark):
                                 (None, "Belgie", "9999")], "e string, c string, pc string")
     rows = df.select(rules.email_local_part("e"), rules.region_flag("c", "pc")).collect()
     assert [tuple(r) for r in rows] == [("jan.smit", "Nederland"), ("a", "Nederland"), (None, "Buitenland")]
+
+
+def test_quantile_table_matches_linear_interpolation(spark):
+    import numpy as np
+    rows = [("hot", float(v % 37)) for v in range(3000)] + [("a", 1.0), ("a", 2.0), ("a", 10.0), ("b", 5.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.0, 0.05, 0.25, 0.5, 0.95, 1.0]
+    got = {r.g: [r[f"q{i}"] for i in range(len(probs))]
+           for r in describe.quantile_table(df, ["g"], "v", probs, partitions=7).collect()}
+    for g in ("hot", "a", "b"):
+        vals = np.array([v for k, v in rows if k == g])
+        want = [float(np.quantile(vals, p)) for p in probs]
+        assert np.allclose(got[g], want), (g, got[g], want)
+    empty = describe.quantile_table(df.where("v < 0"), [], "v", [0.5]).collect()
+    assert len(empty) == 1 and empty[0][0] is None  # a global aggregate of nothing is one NULL row
