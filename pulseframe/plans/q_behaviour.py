@@ -340,12 +340,12 @@ comp AS (SELECT participant_id, sum(k) AS nc, max(k) AS maxk, count(DISTINCT que
 art AS (SELECT DISTINCT participant_id FROM d_article_views WHERE participant_id IS NOT NULL),
 buy AS (SELECT DISTINCT participant_id FROM d_purchases WHERE participant_id IS NOT NULL),
 s AS (SELECT p.id AS participant_id, p.store_id,
-             CASE WHEN comp.nc >= 2 THEN 100.0 WHEN comp.nc = 1 THEN 50.0 ELSE 0.0 END AS c_completion,
-             CASE WHEN comp.maxk > 1 THEN 100.0 ELSE 0.0 END AS c_repeat,
-             least(coalesce(comp.nq, 0) * 100.0 / 5, 100.0) AS c_breadth,
-             CASE WHEN art.participant_id IS NOT NULL THEN 100.0 ELSE 0.0 END AS c_articles,
-             CASE WHEN buy.participant_id IS NOT NULL THEN 100.0 ELSE 0.0 END AS c_purchase,
-             0.0 AS c_challenge
+             CAST(CASE WHEN comp.nc >= 2 THEN 100 WHEN comp.nc = 1 THEN 50 ELSE 0 END AS DOUBLE) AS c_completion,
+             CAST(CASE WHEN comp.maxk > 1 THEN 100 ELSE 0 END AS DOUBLE) AS c_repeat,
+             CAST(least(coalesce(comp.nq, 0) * 100.0 / 5, 100.0) AS DOUBLE) AS c_breadth,
+             CAST(CASE WHEN art.participant_id IS NOT NULL THEN 100 ELSE 0 END AS DOUBLE) AS c_articles,
+             CAST(CASE WHEN buy.participant_id IS NOT NULL THEN 100 ELSE 0 END AS DOUBLE) AS c_purchase,
+             CAST(0 AS DOUBLE) AS c_challenge
       FROM d_participants p LEFT JOIN comp ON comp.participant_id = p.id LEFT JOIN art ON art.participant_id = p.id
       LEFT JOIN buy ON buy.participant_id = p.id),
 e AS (SELECT *, round((c_completion + c_repeat + c_breadth + c_articles + c_purchase + c_challenge) / 6.0, 1)

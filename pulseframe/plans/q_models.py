@@ -41,7 +41,7 @@ def scored(spark, sf_dir):
 
 
 @register("threshold_scan", SCORED_SQL + f""",
-g AS (SELECT round(0.10 + i * 0.05, 2) AS t FROM range(16) r(i)),
+g AS (SELECT CAST(round(0.10 + i * 0.05, 2) AS DOUBLE) AS t FROM range(16) r(i)),
 p AS (SELECT a.t AS t_high, b.t AS t_moderate, s.label,
              CASE WHEN s.p_high >= a.t THEN 2 WHEN s.p_moderate >= b.t THEN 1 ELSE 0 END AS pred
       FROM s, g a, g b),
@@ -53,14 +53,14 @@ def q_threshold_scan(spark, sf_dir):
 
 
 @register("apply_thresholds", SCORED_SQL + """SELECT doc_id, label,
-    CASE WHEN p_high >= 0.25 THEN 2.0 WHEN p_moderate >= 0.5 THEN 1.0 ELSE 0.0 END AS prediction FROM s""")
+    CAST(CASE WHEN p_high >= 0.25 THEN 2 WHEN p_moderate >= 0.5 THEN 1 ELSE 0 END AS DOUBLE) AS prediction FROM s""")
 def q_apply_thresholds(spark, sf_dir):
     return models.apply_thresholds(scored(spark, sf_dir), 0.25, 0.5).select("doc_id", "label", "prediction")
 
 
 @register("confusion_matrix", SCORED_SQL + """, p AS (SELECT label,
-    CASE WHEN p_high >= 0.25 THEN 2.0 WHEN p_moderate >= 0.5 THEN 1.0 ELSE 0.0 END AS prediction FROM s),
-grid AS (SELECT a AS actual, b AS predicted FROM (VALUES (0.0), (1.0), (2.0)) x(a), (VALUES (0.0), (1.0), (2.0)) y(b))
+    CAST(CASE WHEN p_high >= 0.25 THEN 2 WHEN p_moderate >= 0.5 THEN 1 ELSE 0 END AS DOUBLE) AS prediction FROM s),
+grid AS (SELECT CAST(a AS DOUBLE) AS actual, CAST(b AS DOUBLE) AS predicted FROM (VALUES (0), (1), (2)) x(a), (VALUES (0), (1), (2)) y(b))
 SELECT grid.actual, grid.predicted, coalesce(c.n, 0) AS n FROM grid
 LEFT JOIN (SELECT label AS actual, prediction AS predicted, count(*) AS n FROM p GROUP BY ALL) c
 ON c.actual = grid.actual AND c.predicted = grid.predicted""")
@@ -99,7 +99,7 @@ def _bias_cls_sql() -> str:
               f"{r('round((' + ' + '.join(prec) + ') / 3, 3)')} AS macro_precision",
               f"{r('round((' + ' + '.join(f1) + ') / 3, 3)')} AS macro_f1"]
     return SCORED_SQL + f""", p AS (SELECT lang, label,
-        CASE WHEN p_high >= 0.25 THEN 2.0 WHEN p_moderate >= 0.5 THEN 1.0 ELSE 0.0 END AS prediction FROM s)
+        CAST(CASE WHEN p_high >= 0.25 THEN 2 WHEN p_moderate >= 0.5 THEN 1 ELSE 0 END AS DOUBLE) AS prediction FROM s)
     SELECT lang, count(*) AS n, {r('round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 3)')} AS accuracy,
     {', '.join(parts)} FROM p GROUP BY lang"""
 
