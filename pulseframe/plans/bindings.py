@@ -104,7 +104,8 @@ class Domain:
     def history(self) -> DataFrame:
         """The score history table (written once per source version)."""
         from pulseframe.plans.materialize import materialized
-        return materialized(self.spark, "score_history", self.t.paths("lineitem", "orders"), self.history_plan)
+        return materialized(self.spark, "score_history", self.t.paths("lineitem", "orders"), self.history_plan,
+                            bucket_by="participant_id")
 
     def history_plan(self) -> DataFrame:
         li = self.t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity")

@@ -38,17 +38,36 @@ def _done(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def materialized(spark: SparkSession, name: str, sources: Sequence[str], build: Callable[[], DataFrame]) -> DataFrame:
+def materialized(spark: SparkSession, name: str, sources: Sequence[str], build: Callable[[], DataFrame],
+                 bucket_by: str | None = None) -> DataFrame:
     """Read table ``name`` derived from ``sources``, writing it first if this
-    version does not exist yet."""
+    version does not exist yet.
+
+    With ``bucket_by`` the table is hash-bucketed on that column (one bucket
+    per shuffle partition) and registered as an external table, so later
+    aggregations and joins keyed by it read already co-located data and skip
+    their shuffle."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/tables/{name}-{_signature(spark, sources)}"
+    sig = _signature(spark, sources)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) if bucket_by else 0
+    path = f"{root}/tables/{name}-{sig}" + (f"-b{buckets}" if bucket_by else "")
     key = (id(spark), path)
     if key in _READ_CACHE:
         return _READ_CACHE[key]
-    if not _done(spark, path):
-        build().write.mode("overwrite").parquet(path)
-    df = spark.read.parquet(path)
+    if bucket_by:
+        table = f"pf_{name}_{sig}_b{buckets}"
+        if not spark.catalog.tableExists(table):
+            if not _done(spark, path):
+                (build().repartition(buckets, bucket_by).write.mode("overwrite").bucketBy(buckets, bucket_by)
+                 .option("path", path).saveAsTable(table))
+            else:
+                spark.sql(f"CREATE TABLE {table} USING parquet CLUSTERED BY ({bucket_by}) INTO {buckets} BUCKETS "
+                          f"LOCATION '{path}'")
+        df = spark.table(table)
+    else:
+        if not _done(spark, path):
+            build().write.mode("overwrite").parquet(path)
+        df = spark.read.parquet(path)
     _READ_CACHE[key] = df
     return df
 
