@@ -35,13 +35,17 @@ def month_trend_by_store(history: DataFrame, links: DataFrame, slug: str | None
     lk = links.select(F.col("participant_id"), "store_id", "store_name").where(
         F.col("store_id").isNotNull() & F.col("store_name").isNotNull())
     per_p = per_pm.join(lk, "participant_id")
+    # per_p holds one row per (participant, month) and a participant has one
+    # store, so counting rows counts distinct participants. The month-wide
+    # mean is rolled up from the store-month sums (sum / count decomposes),
+    # so the history is aggregated once for both outputs.
     store_month = (per_p.groupBy("store_id", "store_name", "month")
-                   .agg(F.avg("p_mean").alias("mean_score"),
-                        F.countDistinct("participant_id").alias("n_participants"),
+                   .agg(F.sum("p_mean").alias("_sum"), F.count(F.lit(1)).alias("n_participants"),
                         F.sum("p_n").alias("n_measurements"),
-                        F.countDistinct(F.to_date("p_first")).alias("n_days")))
-    overall = per_p.groupBy("month").agg(F.avg("p_mean").alias("overall_mean"))
-    kept = store_month.where(F.col("n_participants") >= max(1, int(min_participants)))
+                        F.countDistinct(F.to_date("p_first")).alias("n_days"))
+                   .withColumn("mean_score", F.col("_sum") / F.col("n_participants")))
+    overall = store_month.groupBy("month").agg((F.sum("_sum") / F.sum("n_participants")).alias("overall_mean"))
+    kept = store_month.where(F.col("n_participants") >= max(1, int(min_participants))).drop("_sum")
     w = Window.partitionBy("store_id").orderBy("month")
     return (kept.join(overall, "month", "left")
                 .withColumn("mean_change", F.coalesce(F.col("mean_score") - F.lag("mean_score").over(w), F.lit(0.0))))

@@ -61,8 +61,11 @@ def materialized(spark: SparkSession, name: str, sources: Sequence[str], build:
                 (build().repartition(buckets, bucket_by).write.mode("overwrite").bucketBy(buckets, bucket_by)
                  .option("path", path).saveAsTable(table))
             else:
-                spark.sql(f"CREATE TABLE {table} USING parquet CLUSTERED BY ({bucket_by}) INTO {buckets} BUCKETS "
-                          f"LOCATION '{path}'")
+                # Written by an earlier session: register it again with its
+                # schema and bucket spec (the session catalog is in memory).
+                ddl = spark.read.parquet(path)._jdf.schema().toDDL()
+                spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({ddl}) USING parquet "
+                          f"CLUSTERED BY ({bucket_by}) INTO {buckets} BUCKETS LOCATION '{path}'")
         df = spark.table(table)
     else:
         if not _done(spark, path):
