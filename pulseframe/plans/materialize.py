@@ -5,8 +5,8 @@ stored tables that every analysis reads. The bindings here derive them from
 the driver's tables; instead of re-deriving them in every query they are
 written once to the shared folder named by ``spark.checkpoint.dir`` and
 read back. The folder name carries a signature of the source files (path,
-size, modification time), so changed inputs produce a new table and a stale
-one is never read. A written table also cuts lineage: a lost executor
+size, modification time) and of the engine's code, so changed inputs or a
+changed derivation produce a new table and a stale one is never read. A written table also cuts lineage: a lost executor
 re-reads the parquet instead of recomputing the joins.
 """
 
@@ -20,10 +20,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pulseframe.session import ensure_checkpoint_dir
 
 
+def _code_version() -> str:
+    """Hash of the engine's own source, so a changed derivation never reads a
+    table written by an older version of the code."""
+    global _CODE_VERSION
+    if _CODE_VERSION is None:
+        import pathlib
+        h = hashlib.sha1()
+        root = pathlib.Path(__file__).resolve().parents[1]
+        for f in sorted(root.rglob("*.py")):
+            h.update(f.read_bytes())
+        _CODE_VERSION = h.hexdigest()[:12]
+    return _CODE_VERSION
+
+
+_CODE_VERSION: str | None = None
+
+
 def _signature(spark: SparkSession, paths: Sequence[str]) -> str:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    h = hashlib.sha1()
+    h = hashlib.sha1(_code_version().encode())
     for p in sorted(paths):
         hp = jvm.org.apache.hadoop.fs.Path(p)
         fs = hp.getFileSystem(conf)
