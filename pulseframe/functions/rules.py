@@ -235,6 +235,12 @@ def steps_category(c: ColumnOrName, scale_small: bool = False) -> Column:
     return _three_level(x, 10000, 5000)
 
 
+def steps_scale(value: ColumnOrName, column_name: ColumnOrName, steps_column: str = "rec_ls_exercise_steps_per_day") -> Column:
+    """Steps are stored in thousands: x1000 for the steps score only (matched
+    on the exact column name)."""
+    return F.when(col(column_name) == steps_column, col(value) * 1000).otherwise(col(value))
+
+
 def blood_pressure_category(c: ColumnOrName) -> Column:
     return _three_level(to_num(c), 2, 1)
 

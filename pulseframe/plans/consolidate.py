@@ -144,3 +144,25 @@ def store_month_averages(wide: DataFrame, user: str = "user_id", store: str = "s
     return (long.groupBy("store_id", "score_slug", month_start("_at").alias("date"))
                 .agg(F.avg("score_value").alias("average"),
                      F.countDistinct("user_id").alias("participants_count")))
+
+
+def participants_with_factor_scores(participants: DataFrame, history: DataFrame,
+                                    slug_columns: Mapping[str, str]) -> DataFrame:
+    """Participants that have scores, straight from the history: newest
+    non-null score per slug pivoted to columns, INNER joined to the
+    participants, gender normalised, and the categories always derived from
+    their raw scores (a missing BMI gives category -1 here)."""
+    scores = latest_scores_wide(history.where(F.col("score_value").isNotNull()), slug_columns)
+    demo = [c for c in ("store_id", "gender_raw", "age", "postal_code", "segment") if c in participants.columns]
+    base = participants.select(F.col("id").alias("participant_id"),
+                               F.coalesce(F.col("user_id"), F.col("id")).alias("user_id"), *demo)
+    df = base.join(scores, "participant_id")
+    if "gender_raw" in df.columns:
+        df = df.withColumn("rec_user_gender", rules.gender_code("gender_raw")).drop("gender_raw")
+    if "age" in df.columns:
+        df = df.withColumnRenamed("age", "rec_age_current")
+    for cat, (raw, rule) in CATEGORY_RULES.items():
+        if raw in df.columns:
+            expr = rules.bmi_category(raw, missing_code=-1) if cat == "rec_med_bmi_cat" else rule(raw)
+            df = df.withColumn(cat, expr)
+    return df

@@ -375,3 +375,26 @@ def q_participants_expanded(spark, sf_dir):
                                                          >= F.lit(CUTOFF).cast("timestamp_ntz")), BINDING_SLUG_COLUMNS)
     m = merge_latest_over(base, lat, "participant_id", SCORES)
     return m.withColumn("rec_ls_lifestyle_score", row_mean(SCORES))
+
+
+@register("participants_with_factor_scores", views("history", "participants") + """,
+lat AS (SELECT participant_id, slug, score_value FROM (
+    SELECT *, row_number() OVER (PARTITION BY participant_id, slug
+        ORDER BY completion_created_at DESC NULLS LAST, id DESC, score_value DESC) AS rn
+    FROM d_history WHERE slug IN ('A', 'N', 'R') AND score_value IS NOT NULL) WHERE rn = 1),
+piv AS (SELECT participant_id, max(CASE WHEN slug = 'A' THEN score_value END) AS rec_med_bmi,
+               max(CASE WHEN slug = 'N' THEN score_value END) AS rec_heartrisk,
+               max(CASE WHEN slug = 'R' THEN score_value END) AS rec_ls_stress_sum FROM lat GROUP BY 1)
+SELECT p.id AS participant_id, coalesce(p.user_id, p.id) AS user_id, p.store_id, p.age AS rec_age_current,
+       p.postal_code, p.segment, piv.rec_med_bmi, piv.rec_heartrisk, piv.rec_ls_stress_sum,
+       CAST(CASE WHEN p.gender_raw = '1' THEN 1 WHEN p.gender_raw = '0' THEN 0 END AS INTEGER) AS rec_user_gender,
+       CAST(CASE WHEN rec_heartrisk >= 20 THEN 2 WHEN rec_heartrisk >= 10 THEN 1 ELSE 0 END AS INTEGER) AS rec_heartrisk_cat,
+       CAST(CASE WHEN rec_med_bmi >= 30 THEN 2 WHEN rec_med_bmi >= 25 THEN 1 WHEN rec_med_bmi >= 18.5 THEN 0
+                 ELSE -1 END AS INTEGER) AS rec_med_bmi_cat,
+       CAST(CASE WHEN rec_ls_stress_sum >= 40 THEN 2 WHEN rec_ls_stress_sum >= 20 THEN 1 ELSE 0 END AS INTEGER)
+           AS rec_ls_stress_cat,
+       CAST(CASE WHEN p.age >= 55 THEN 2 WHEN p.age >= 40 THEN 1 ELSE 0 END AS INTEGER) AS rec_med_age_cat
+FROM d_participants p JOIN piv ON piv.participant_id = p.id""")
+def q_participants_with_factor_scores(spark, sf_dir):
+    d = Domain(spark, sf_dir)
+    return consolidate.participants_with_factor_scores(d.participants, d.history, BINDING_SLUG_COLUMNS)

@@ -152,7 +152,7 @@ CATEGORY_SQL = f"""SELECT q,
          ELSE '{rules.BUYER_GROUPS[2]}' END AS days_between_bucket,
     {r('CASE WHEN q = 0 THEN 0.0 ELSE 0.15 + (least(greatest(q, 1), 50) - 1) / 49.0 * 0.70 END')} AS opacity_by_count,
     {r('least(greatest(70 + 3 * (q - 25), 0), 100)')} AS productivity_estimate,
-    {r('least(q, 1.5 * 30)')} AS winsor_cap
+    {r('least(q, 1.5 * 30)')} AS winsor_cap, {r('q * 1000')} AS steps_scaled, {r('q')} AS other_scaled
 FROM (SELECT DISTINCT l_quantity AS q FROM lineitem)"""
 
 
@@ -175,7 +175,9 @@ def q_category_rules(spark, sf_dir):
         rules.days_between_bucket(F.col("q") * 10 - 100).alias("days_between_bucket"),
         rules.opacity_by_count("q").alias("opacity_by_count"),
         rules.productivity_estimate(F.col("q") - 25).alias("productivity_estimate"),
-        rules.winsor_cap("q", 30).alias("winsor_cap"))
+        rules.winsor_cap("q", 30).alias("winsor_cap"),
+        rules.steps_scale("q", F.lit("rec_ls_exercise_steps_per_day")).alias("steps_scaled"),
+        rules.steps_scale("q", F.lit("rec_ls_score_exercise")).alias("other_scaled"))
 
 
 @register("json_value", f"""SELECT event_type, {r("avg(CAST(json_extract_string(props, '$.k') AS DOUBLE))")} AS mean_k,
