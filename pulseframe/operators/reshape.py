@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: str, tiebreak: Sequence[str] = ("id",),
-                   newest: bool = True) -> DataFrame:
+                   newest: bool = True, payload_tiebreak: bool = True) -> DataFrame:
     """Keep one row per ``keys``: the newest (or oldest) by ``order`` then ``tiebreak``.
 
     Implemented as a ``max_by``/``min_by`` aggregate over a struct of the
@@ -23,7 +23,9 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: str, tiebreak: Seq
     the choice deterministic.
     """
     payload = [c for c in df.columns if c not in keys]
-    rest = [F.col(c) for c in payload if c not in tiebreak and c != order]
+    # ``payload_tiebreak=False`` when (order, tiebreak) is already unique per
+    # key: the ordering struct then stays small.
+    rest = [F.col(c) for c in payload if c not in tiebreak and c != order] if payload_tiebreak else []
     # newest: max over (has_order, order, tiebreak..., payload...)
     # oldest: min over (order_missing, order, tiebreak..., payload...)
     has = F.col(order).isNotNull() if newest else F.col(order).isNull()

@@ -129,7 +129,8 @@ def consolidate_scores(participants: DataFrame, history: DataFrame, completions:
     df = df.join(last, "participant_id", "left")
 
     df = df.where(F.col("user_id").isNotNull())
-    return latest_per_key(df, ["user_id"], "participant_id", tiebreak=())
+    # participant ids are unique, so they alone order the rows of a user
+    return latest_per_key(df, ["user_id"], "participant_id", tiebreak=(), payload_tiebreak=False)
 
 
 def store_month_averages(wide: DataFrame, user: str = "user_id", store: str = "store_id",
