@@ -3,7 +3,7 @@ trajectories and category migration."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

@@ -23,7 +23,7 @@ Binding (domain role -> table):
 
 from __future__ import annotations
 
-from functools import cached_property
+
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
