@@ -58,15 +58,29 @@ def null_if_text_null(c: ColumnOrName) -> Column:
 # --------------------------------------------------------------------------
 
 def month_start(c: ColumnOrName) -> Column:
-    """First instant of the month, as timestamp_ntz."""
-    return F.date_trunc("month", col(c)).cast("timestamp_ntz")
+    """First day of the month as timestamp_ntz (date arithmetic, no session
+    time zone involved)."""
+    return F.trunc(F.to_date(col(c)), "month").cast("timestamp_ntz")
+
+
+def day_start(c: ColumnOrName) -> Column:
+    """Midnight of the day as timestamp_ntz (no session time zone involved)."""
+    return F.to_date(col(c)).cast("timestamp_ntz")
+
+
+EPOCH = "1970-01-01 00:00:00"
+
+
+def epoch_micros(c: ColumnOrName) -> Column:
+    """Microseconds since 1970-01-01 of a wall-clock timestamp (time-zone free)."""
+    return F.timestamp_diff("MICROSECOND", F.lit(EPOCH).cast("timestamp_ntz"), col(c).cast("timestamp_ntz"))
 
 
 def days_between(start: ColumnOrName, end: ColumnOrName) -> Column:
-    """Whole elapsed days (floor), like pandas ``(end - start).dt.days``."""
-    a = F.unix_micros(col(start).cast("timestamp"))
-    b = F.unix_micros(col(end).cast("timestamp"))
-    return F.floor((b - a) / F.lit(float(MICROS_PER_DAY))).cast("long")
+    """Whole elapsed days (floor), like pandas ``(end - start).dt.days``;
+    computed on wall-clock values, independent of the session time zone."""
+    diff = F.timestamp_diff("MICROSECOND", col(start).cast("timestamp_ntz"), col(end).cast("timestamp_ntz"))
+    return F.floor(diff / F.lit(float(MICROS_PER_DAY))).cast("long")
 
 
 # --------------------------------------------------------------------------

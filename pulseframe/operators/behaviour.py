@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pulseframe.functions import rules
-from pulseframe.functions.semantics import cut, days_between, pearson, to_num, weighted_average
+from pulseframe.functions.semantics import cut, day_start, days_between, pearson, to_num, weighted_average
 
 # --------------------------------------------------------------------------
 # Questionnaires
@@ -95,7 +95,7 @@ def consecutive_gaps(df: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
     window over (key, day); the gap before each day's first row comes from a
     window over the key's per-day (first, last) table. No window ever holds
     all rows of a busy key, only one key-day or one key's day list."""
-    d = df.select(*keys, at).where(F.col(at).isNotNull()).withColumn("_day", F.date_trunc("day", at))
+    d = df.select(*keys, at).where(F.col(at).isNotNull()).withColumn("_day", day_start(at))
     w_in = Window.partitionBy(*keys, "_day").orderBy(at)
     inner = (d.withColumn("gap", days_between(F.lag(at).over(w_in), F.col(at)))
               .where(F.col("gap").isNotNull()).select(*keys, "gap"))

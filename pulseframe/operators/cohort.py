@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.functions import rules
-from pulseframe.functions.semantics import col, cut, to_num, to_ts
+from pulseframe.functions.semantics import col, cut, day_start, to_num, to_ts
 
 DATE_CANDIDATES = ("latest_completion_at", "completion_created_at", "completed_at", "created_at", "updated_at", "date")
 UNKNOWN = "Onbekend"
@@ -76,9 +76,9 @@ def filter_period(df: DataFrame, date_col: str, preset: str = "all", start: str
     ts = _as_ts(df, date_col)
     if preset == "custom" and start and end:
         lo, hi = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
-        return df.where((ts >= F.date_trunc("day", lo)) & (ts < F.date_trunc("day", hi) + F.expr("INTERVAL 1 DAY")))
-    rng = df.agg(F.date_trunc("day", F.min(ts)).cast("timestamp_ntz").alias("_dmin"),
-                 F.date_trunc("day", F.max(ts)).cast("timestamp_ntz").alias("_dmax"))
+        return df.where((ts >= day_start(lo)) & (ts < day_start(hi) + F.expr("INTERVAL 1 DAY")))
+    rng = df.agg(day_start(F.min(ts)).alias("_dmin"),
+                 day_start(F.max(ts)).alias("_dmax"))
     months = {"3m": 3, "1y": 12}.get(preset)
     if months:
         back = F.add_months(F.col("_dmax"), -months).cast("timestamp_ntz")

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 
 
-from pulseframe.functions.semantics import cut, days_between, first_non_null, last_non_null, month_start
+from pulseframe.functions.semantics import cut, day_start, days_between, first_non_null, last_non_null, month_start
 
 
 def month_trend_by_store(history: DataFrame, links: DataFrame, slug: str | None = None, min_participants: int = 1,
@@ -93,7 +93,7 @@ def score_trajectory(history: DataFrame, participant: str = "participant_id", co
     # each participant's day list, and a semi join. The numbering window then
     # sees at most the completions of those days, not a busy participant's
     # whole history.
-    per_c = per_c.withColumn("_day", F.date_trunc("day", at))
+    per_c = per_c.withColumn("_day", day_start(at))
     days = per_c.groupBy(participant, "_day").agg(F.count(F.lit(1)).alias("_k"))
     wd = Window.partitionBy(participant).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     days = days.withColumn("_before", F.coalesce(F.sum("_k").over(wd), F.lit(0))).where(F.col("_before") < max_fill)
@@ -193,7 +193,7 @@ def cumulative_new(events: DataFrame, participant: str, at: str, grain: str = "d
              .groupBy(participant).agg(F.min(at).alias("_first")))
     if min_year is not None:
         first = first.where(F.year("_first") >= min_year)
-    period = F.date_trunc("day", "_first").cast("timestamp_ntz") if grain == "day" else F.year("_first")
+    period = day_start("_first") if grain == "day" else F.year("_first")
     per = first.groupBy(period.alias(grain)).agg(F.count(F.lit(1)).alias("new_participants"))
     w = Window.orderBy(grain).rowsBetween(Window.unboundedPreceding, 0)
     return per.withColumn("cumulative", F.sum("new_participants").over(w))

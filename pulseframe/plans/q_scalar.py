@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulseframe.functions import rules
-from pulseframe.functions.semantics import cut, cut_sql, month_start, to_num
+from pulseframe.functions.semantics import cut, cut_sql, day_start, month_start, to_num
 from pulseframe.operators import cohort, describe, linking
 from pulseframe.plans.bindings import Domain, Tables, views, wide
 from pulseframe.plans.catalog import r, register
@@ -192,7 +192,7 @@ def q_json_value(spark, sf_dir):
     CAST(date_trunc('month', ts) AS TIMESTAMP) AS month FROM events""")
 def q_date_parts(spark, sf_dir):
     e = _t(spark, sf_dir).events
-    return e.select(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), F.year("ts").alias("year"),
+    return e.select(day_start("ts").alias("day"), F.year("ts").alias("year"),
                     month_start("ts").alias("month")).distinct()
 
 

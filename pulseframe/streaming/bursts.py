@@ -17,6 +17,8 @@ import uuid
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from pulseframe.functions.semantics import epoch_micros
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.window import Window
 
@@ -35,7 +37,7 @@ def bursts_batch(events: DataFrame, key: str, at: str, window_s: int = 600, max_
     preceding ``window_s`` seconds. Partitions are bounded by one key's
     rows in two buckets, so one very busy key is spread over many tasks.
     """
-    us = F.unix_micros(F.col("at").cast("timestamp"))
+    us = epoch_micros("at")
     base = (events.select(F.col(key).alias("key"), F.col(at).alias("at")).where(F.col("key").isNotNull()
                                                                             & F.col("at").isNotNull())
             .withColumn("_us", us).withColumn("_b", F.floor(F.col("_us") / (window_s * MICROS)).cast("long")))

@@ -130,3 +130,16 @@ def test_quantile_table_matches_linear_interpolation(spark):
         assert np.allclose(got[g], want), (g, got[g], want)
     empty = describe.quantile_table(df.where("v < 0"), [], "v", [0.5]).collect()
     assert len(empty) == 1 and empty[0][0] is None  # a global aggregate of nothing is one NULL row
+
+
+def test_time_helpers_ignore_session_time_zone(spark):
+    from pulseframe.functions.semantics import day_start, month_start
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Amsterdam")
+    try:
+        df = spark.createDataFrame([(dt.datetime(2024, 3, 30, 23, 0), dt.datetime(2024, 3, 31, 23, 30))],
+                                   "a timestamp_ntz, b timestamp_ntz")
+        r = df.select(days_between("a", "b"), month_start("b"), day_start("b")).first()
+        assert tuple(r) == (1, dt.datetime(2024, 3, 1), dt.datetime(2024, 3, 31))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
