@@ -145,7 +145,16 @@ def questionnaire_dropoff(completions: DataFrame, item_scores: DataFrame, comple
                                                 F.lit(1.0)))
           .withColumn("half_dropped", F.col("completion_pct") < 0.5)
           .withColumn("nearly_done", F.col("completion_pct") >= 0.8))
-    med = quantile_table(d, [questionnaire], "completion_pct", [0.5], ["_med"])
+    # Per-questionnaire and overall medians in one distributed quantile pass:
+    # the overall group is the same rows under one extra (flagged) key.
+    both = (d.select(F.col(questionnaire).cast("string").alias("_qk"), F.lit(False).alias("_all"), "completion_pct")
+             .unionByName(d.select(F.lit("*").alias("_qk"), F.lit(True).alias("_all"),
+                                   "completion_pct")))
+    meds = quantile_table(both, ["_all", "_qk"], "completion_pct", [0.5], ["_m"])
+    med = (meds.where(~F.col("_all")).join(d.select(questionnaire).distinct()
+                                            .withColumn("_qk", F.col(questionnaire).cast("string")), "_qk")
+               .select(questionnaire, F.col("_m").alias("_med")))
+    gmed = meds.where(F.col("_all")).select(F.col("_m").alias("_gmed"))
     per_q = d.groupBy(questionnaire).agg(
         F.count("completion_id").alias("completions"), F.countDistinct(participant).alias("participants"),
         F.max("expected_items").alias("expected_items"), F.round(F.avg("answered"), 1).alias("mean_answered"),
@@ -153,7 +162,6 @@ def questionnaire_dropoff(completions: DataFrame, item_scores: DataFrame, comple
         F.round(F.avg(F.col("nearly_done").cast("double")) * 100, 1).alias("nearly_done_pct"))
     per_q = (per_q.join(med, questionnaire, "left")
                   .withColumn("median_completion_pct", F.round(F.col("_med") * 100, 1)).drop("_med"))
-    gmed = quantile_table(d, [], "completion_pct", [0.5], ["_gmed"])
     summary = d.agg(F.count(F.lit(1)).alias("total_completions"),
                     F.round(F.avg(F.col("half_dropped").cast("double")) * 100, 1).alias("dropoff_half_pct"),
                     F.round(F.avg(F.col("nearly_done").cast("double")) * 100, 1).alias("nearly_done_pct"))

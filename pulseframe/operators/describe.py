@@ -332,7 +332,8 @@ def quantile_table(df: DataFrame, keys: Sequence[str], value: Column | str, prob
        joined to the rows whose rank interval holds them (an equi-join on the
        group that AQE can split when one group is very large) and
        interpolated.
-    Returns one row per group with one column per probability.
+    Returns one row per group with one column per probability. Rows with a
+    NULL group key are left out (as a grouped quantile drops NULL keys).
     """
     keys = list(keys)
     names = list(names or [f"q{i}" for i in range(len(probs))])
