@@ -194,3 +194,74 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     first = np.cumsum(counts) - counts
     return np.repeat(starts - first, counts) + np.arange(total)
+
+
+def single_spaced(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words end to end, one space after each: (bytes, word starts, word ends,
+    word offsets of the rows)."""
+    starts, ends, rows = word_spans(buf, offsets)
+    lens = ends - starts
+    stops = np.cumsum(lens + 1)
+    out = np.full(int(stops[-1]) if len(stops) else 0, 32, np.uint8)
+    keep = np.ones(len(out), bool)
+    keep[stops - 1] = False
+    out[keep] = buf[~_SEP[buf]]
+    return out, stops - 1 - lens, stops - 1, rows
+
+
+# ---------------------------------------------------------------- components
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Connected components of edges, as (node, smallest node) for every node
+    that is not the smallest of its component. Vectorised hooking to the
+    smaller label and pointer jumping."""
+    nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = inv[:len(a)], inv[len(a):]
+    label = np.arange(len(nodes))
+    while len(x):
+        lo = np.minimum(x, y)
+        hook = np.arange(len(nodes))
+        np.minimum.at(hook, x, lo)
+        np.minimum.at(hook, y, lo)
+        while True:
+            jumped = hook[hook]
+            if np.array_equal(jumped, hook):
+                break
+            hook = jumped
+        label = hook[label]
+        x, y = hook[x], hook[y]
+        live = x != y
+        x, y = x[live], y[live]
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(a, b) edges -> (node, label): the smallest node of each node's component.
+
+    Rounds of hooking every node to its smallest neighbour, one pointer jump
+    and contraction, each stored in the checkpoint folder. The minimum is
+    combined map-side, and the joins are plain inner ones, so a hub with very
+    many edges is pre-aggregated or split.
+    """
+    spark = edges.sparkSession
+    live = saved(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    nodes = None
+    while not live.isEmpty():
+        both = live.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
+            live.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        hook = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p"))
+        hook = saved(hook)
+        jump = hook.select(F.col("u").alias("p"), F.col("p").alias("q"))
+        hook = saved(hook.join(jump, "p").select("u", F.col("q").alias("p")))
+        if nodes is None:
+            nodes = hook.select(F.col("u").alias("node"), F.col("p").alias("label"))
+        else:
+            h = hook.select(F.col("u").alias("label"), "p")
+            nodes = saved(nodes.join(h, "label", "left").select("node", F.coalesce("p", "label").alias("label")))
+        ha, hb = (hook.select(F.col("u").alias(c), F.col("p").alias(f"p{c}")) for c in "ab")
+        live = saved(live.join(ha, "a").join(hb, "b").where("pa != pb")
+                     .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+    if nodes is None:
+        return spark.createDataFrame([], "node long, label long")
+    return nodes
