@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["bpe", "mixing", "quality", "simhash"]
+MODULES = ["substring", "bpe", "mixing", "quality", "simhash"]
 
 
 def _all(name: str) -> dict:
