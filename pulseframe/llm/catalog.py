@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["substring", "bpe", "mixing", "quality", "simhash"]
+MODULES = ["substring", "bpe", "quality", "lines", "simhash", "mixing"]
 
 
 def _all(name: str) -> dict:

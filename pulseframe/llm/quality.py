@@ -51,7 +51,7 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = df.select(
         *keep, "word_chars", "n_symbols", F.size("_w").cast("long").alias("n_words"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.expr("CASE WHEN size(_w) >= 5 THEN transform(sequence(1, size(_w) - 4), i -> concat_ws(' ', slice(_w, i, 5)))"
+        F.expr("CASE WHEN size(_w) >= 5 THEN transform(sequence(1, size(_w) - 4), i -> concat_ws(' ', get(_w, i - 1), get(_w, i), get(_w, i + 1), get(_w, i + 2), get(_w, i + 3)))"
                " ELSE cast(array() AS array<string>) END").alias("_g"))
     # Only texts that repeat a window at all pay for sorting their windows.
     df = df.select(
