@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["substring", "bpe", "quality", "lines", "simhash", "mixing"]
+MODULES = ["substring", "bpe", "quality", "lines", "topk", "simhash", "mixing"]
 
 
 def _all(name: str) -> dict:
