@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["substring", "toxicity", "bpe", "quality", "lines", "topk", "simhash", "mixing"]
+MODULES = ["substring", "toxicity", "bpe", "quality", "lines", "langid", "topk", "simhash", "mixing"]
 
 
 def _all(name: str) -> dict:
