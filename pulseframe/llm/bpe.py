@@ -209,6 +209,7 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", as_tex
     Characters split over tokens are joined before UTF-8 is read; bytes that
     still form no character become U+FFFD (``as_text=False`` keeps them).
     """
+    common.small_arrow_batches(df.sparkSession, 500)
     path, pattern = path or vocabulary_path(), split_pattern()
     rest = [f for f in df.schema.fields if f.name != out_col]
     schema = T.StructType(rest + [T.StructField(out_col, T.StringType() if as_text else T.BinaryType())])

@@ -7,6 +7,7 @@ separator is ASCII, so byte-wise splitting never cuts a character.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes handled at once by the vectorised Python code of a task.
 CHUNK_BYTES = 8 << 20
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -36,7 +38,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def small_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of one Arrow batch, so that a run of very long texts
-    does not arrive in Python as one batch of gigabytes."""
+    does not arrive in Python as one batch of gigabytes; and let the workers
+    find this package where the driver has it (harmless where it is installed)."""
+    env = spark.sparkContext.environment
+    here = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if _ROOT not in here:
+        env["PYTHONPATH"] = os.pathsep.join([_ROOT, *here])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

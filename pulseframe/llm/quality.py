@@ -64,8 +64,10 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
                " (j > 0 AND get(_s, j - 1).g = x.g) OR (get(_s, j + 1).g = x.g)), x -> x.i)) END").alias("_p"))
     covered = F.expr("aggregate(_p, named_struct('n', 0L, 'last', -5), (a, x) ->"
                      " named_struct('n', a.n + least(5, x - a.last), 'last', x), a -> a.n)")
-    return df.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines",
-                     F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    # Generated rather than projected: conditions on the statistics stay above
+    # and do not take the whole expression down with them.
+    return df.select(*keep, F.inline(F.array(F.struct(
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words")))))
 
 
 def base_failed() -> Column:
