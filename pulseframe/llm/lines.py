@@ -7,15 +7,17 @@ more words take part, shorter ones always stay. A line goes if an earlier line
 or differs in one word: one replaced, inserted or left out. Lines are judged
 on the input, so the earliest of each neighbourhood stays.
 
-1. Equal lines meet by their hash (two 64-bit hashes and the word count); the
+1. Equal lines meet by their hash (two 64-bit hashes of all words); the
    earliest stays as their only representative.
-2. A line within one edit of another shares its first or its last four words
-   with it. Representatives that share neither with a second one have no
-   neighbour and drop out here, without loss.
-3. The others emit all their variants with one word deleted as hashed keys.
-   Equal variants at the same position join lines that differ by a replaced
-   word; a variant that equals a whole line joins those that differ by one
-   word more or less.
+2. One edit lies in one half of a line and leaves the other half as it is.
+   Lines whose halves (taken for their own word count and for one word less)
+   no different line shares have no neighbour and drop out here, without loss.
+   The words of the others are read once more; a bitmap of fixed size over
+   their positions spares the rest the shuffle.
+3. They emit their variants with one word deleted (in the halves that may
+   differ) as hashed keys. Equal variants at the same position join lines that
+   differ by a replaced word; a variant that equals a whole line, cut at the
+   same place, joins those that differ by one word more or less.
 4. Every line keeps the earliest partner of each key only (a minimum, combined
    map-side, never the pairs of a group), and the edit is verified on the
    words themselves.
@@ -33,7 +35,8 @@ from pyspark.sql import functions as F
 from pulseframe.llm import common
 
 MIN_WORDS = 8
-ANCHOR_WORDS = 4
+#: Bits of the bitmap over positions (2 MB when broadcast, whatever the corpus).
+BITMAP_BITS = 1 << 24
 _STEP = 2147483648
 
 
@@ -48,59 +51,66 @@ def _position(doc: str, line: str) -> Column:
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
-    """Add the word count, two hashes of all words and the anchors' hashes."""
-    a = ANCHOR_WORDS
+    """Add the word count, two hashes of all words, and the hashes of the
+    halves: head and tail for n words, head and tail for n - 1."""
+    def half(side: int, n: str) -> str:
+        h = f"({n} div 2)"
+        return f"xxhash64({side}, {n}, slice(w, 1, {h}))" if side == 0 else f"xxhash64(1, {n}, slice(w, {h} - {n}, {n} - {h}))"
+
     return (lines.withColumn("n", F.size("w")).where(F.col("n") >= MIN_WORDS)
             .withColumn("h", F.xxhash64("w")).withColumn("g", F.xxhash64(F.lit(2), F.col("w")))
-            .withColumn("head", F.xxhash64(F.lit(3), F.slice("w", 1, a)))
-            .withColumn("tail", F.xxhash64(F.lit(4), F.slice("w", -a, a))))
+            .withColumn("halves", F.expr(f"array({half(0, 'n')}, {half(1, 'n')}, {half(0, '(n - 1)')}, {half(1, '(n - 1)')})")))
 
 
-def _half_sharing(texts: DataFrame) -> DataFrame:
-    """Lines (pos, n, h, w) that share a half with a second one of the same
-    word count, or one word more or less. One edit lies in one half of the
-    shorter line and leaves the other as it is, so no neighbour is lost."""
-    def halves(n: str) -> str:
-        h = f"({n} div 2)"
-        return f"xxhash64(0, {n}, slice(w, 1, {h})), xxhash64(1, {n}, slice(w, n - ({n} - {h}) + 1, {n} - {h}))"
-
-    keys = texts.select("pos", F.explode(F.expr(f"array({halves('n')}, {halves('(n - 1)')})")).alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    return texts.join(keys.join(shared, "key").select("pos").distinct(), "pos")
+def _in_bitmap(rows: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
+    """Rows whose key may be among the wanted ones: a fixed number of hashed
+    bits, so false hits only, and a broadcast of a fixed size."""
+    bit = F.pmod(F.xxhash64(*key), F.lit(BITMAP_BITS)).cast("long")
+    maps = (wanted.select(bit.alias("bit")).groupBy((F.col("bit") / 32768).cast("int").alias("_part"))
+            .agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("_bits")))
+    rows = rows.withColumn("_bit", bit).withColumn("_part", (F.col("_bit") / 32768).cast("int"))
+    byte = F.expr("conv(hex(substring(_bits, cast(_bit % 32768 div 8 AS int) + 1, 1)), 16, 10)").cast("int")
+    met = rows.join(F.broadcast(maps), "_part").withColumn("_byte", byte)
+    return met.where(F.expr("shiftright(_byte, cast(_bit % 8 AS int)) % 2 = 1")).drop("_part", "_bit", "_bits", "_byte")
 
 
 def _deletions(texts: DataFrame) -> DataFrame:
-    """(pos, n, i, before, after): hashes of the words before and after every
-    word i (from 1). Position-dependent hashes are summed along the line, so a
-    variant costs the same in a long line as in a short one; sums of 40-bit
-    hashes stay exact."""
+    """(pos, n, i, v, gap): the line without word i (from 1), and the line cut
+    before it (up to n + 1), as hashes of what stands before and after. Position-dependent
+    hashes are summed along the line, so a variant costs the same in a long
+    line as in a short one; sums of 40-bit hashes stay exact. Only positions
+    in a half that may differ: ``head`` (the first half is shared), ``tail``."""
     from pyspark.sql.window import Window
 
-    words = texts.select("pos", "n", F.posexplode("w").alias("j", "x"))
-    words = words.select("pos", "n", (F.col("j") + 1).alias("i"),
+    words = texts.select("pos", "n", "head", "tail", F.posexplode("w").alias("j", "x"))
+    words = words.select("pos", "n", "head", "tail", (F.col("j") + 1).alias("i"),
                          F.shiftrightunsigned(F.xxhash64("x", "j"), 24).alias("front"),
                          F.shiftrightunsigned(F.xxhash64("x", F.col("n") - F.col("j")), 24).alias("back"))
     line = Window.partitionBy("pos").orderBy("i")
     run = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rest = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return words.select("pos", "n", "i", "front", "back", F.sum("front").over(run).alias("front_to"),
-                        (F.sum("back").over(rest) - F.sum("back").over(run)).alias("after")
-                        ).withColumn("before", F.col("front_to") - F.col("front"))
+    sums = words.select("pos", "n", "head", "tail", "i", "front", "back", F.sum("front").over(run).alias("to"),
+                        (F.sum("back").over(rest) - F.sum("back").over(run)).alias("after"))
+    own = F.struct("i", F.xxhash64(F.col("to") - F.col("front"), "after").alias("v"),
+                   F.xxhash64(F.col("to") - F.col("front"), F.col("after") + F.col("back")).alias("gap"))
+    end = F.struct((F.col("i") + 1).alias("i"), F.lit(None).cast("long").alias("v"),
+                   F.xxhash64(F.col("to"), F.lit(0).cast("long")).alias("gap"))
+    cuts = sums.select("pos", "n", "head", "tail", F.explode(F.when(F.col("i") == F.col("n"), F.array(own, end)).otherwise(F.array(own))).alias("c"))
+    cuts = cuts.select("pos", "n", "head", "tail", "c.*")
+    return cuts.where(F.expr("(head AND i > (n - 1) div 2) OR (tail AND i <= n div 2 + 1)")).select("pos", "n", "i", "v", "gap")
 
 
 def _near(texts: DataFrame) -> DataFrame:
     """Representatives (pos, n, h, w) with a verified earlier neighbour:
     (pos, witness)."""
-    words = common.saved(_deletions(texts))
-    variants = words.select("pos", "n", "i", F.xxhash64("before", "after").alias("v"))
+    cuts = common.stored(_deletions(texts))
+    variants = cuts.where("v IS NOT NULL").select("pos", "n", "i", "v")
     # One word replaced: equal variants at one position of equally long lines.
     earliest = (variants.groupBy("n", "i", "v").agg(F.min("pos").alias("witness"), F.count("*").alias("c"))
                 .where("c > 1").drop("c"))
     replaced = variants.join(earliest, ["n", "i", "v"]).where("pos > witness").select("pos", "witness", "i")
     # One word more or less: a variant that is a whole line, cut at the same place.
-    gaps = words.select("pos", "n", "i", "before", (F.col("after") + F.col("back")).alias("after")).unionByName(
-        words.where("i = n").select("pos", "n", (F.col("i") + 1).alias("i"), F.col("front_to").alias("before"), F.lit(0).cast("long").alias("after")))
-    whole = gaps.select((F.col("n") + 1).alias("n"), "i", F.xxhash64("before", "after").alias("v"), F.col("pos").alias("short"))
+    whole = cuts.select((F.col("n") + 1).alias("n"), "i", F.col("gap").alias("v"), F.col("pos").alias("short"))
     met = variants.join(whole, ["n", "i", "v"]).select(F.col("pos").alias("long"), "short", "i")
     longer = met.where("long > short").groupBy("long").agg(F.min(F.struct("short", "i")).alias("s"))
     shorter = met.where("long < short").groupBy("short").agg(F.min(F.struct("long", "i")).alias("s"))
@@ -122,27 +132,25 @@ def removed_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     64-bit hash, line numbers count from 0."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
     split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    lines = docs.select("doc_id", "tag", F.posexplode(split).alias("line_no", "line"))
-    lines = _hashed(lines.select("doc_id", "tag", "line_no", _words("line").alias("w"))).drop("w")
-    lines = common.saved(lines.withColumn("pos", _position("doc_id", "line_no")))
-    same = ["n", "h", "g", "head", "tail"]
+    exploded = docs.select("doc_id", "tag", F.posexplode(split).alias("line_no", "line"))
+    hashed = _hashed(exploded.select("doc_id", "tag", "line_no", _words("line").alias("w"))).drop("w")
+    lines = common.stored(hashed).withColumn("pos", _position("doc_id", "line_no"))
     # Representatives: the earliest of each set of equal lines.
-    rep = common.saved(lines.groupBy(*same).agg(F.min("pos").alias("first")))
-    anchors = rep.select("first", "n", "h", F.explode(F.array("head", "tail")).alias("anchor"))
-    shared = anchors.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    wanted = anchors.join(shared, "anchor").select("first", "n", "h").distinct()
-    at = F.floor(F.col("first") / _STEP).cast("decimal(38,0)")
-    wanted = (wanted.withColumn("d", at).withColumn("line_no", (F.col("first") - F.col("d") * _STEP).cast("int"))
-              .withColumn("d", F.when(F.col("d") < F.lit(str(2**63)).cast("decimal(20,0)"), F.col("d").cast("long")))
-              .groupBy("d").agg(F.collect_list(F.struct("line_no", "n", "h", "first")).alias("wanted")))
+    rep = common.stored(lines.groupBy("h", "g").agg(F.min("pos").alias("first"), F.first("n").alias("n")))
+    halves = lines.select("h", F.posexplode("halves").alias("side", "half"))
+    shared = (halves.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select("half"))
+    wanted = (halves.join(shared, "half").groupBy("h")
+              .agg(F.max(F.col("side") % 2 == 0).alias("head"), F.max(F.col("side") % 2 == 1).alias("tail")))
+    wanted = common.saved(rep.join(wanted, "h").select(F.col("first").alias("pos"), "h", "g", "head", "tail"))
     # Their words are read from the documents once more.
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["d"])).select(split.alias("ls"), F.explode("wanted").alias("x"))
-    texts = texts.select("x.*", F.get("ls", F.col("x.line_no")).alias("line")).where("line IS NOT NULL")
-    texts = (texts.select(F.col("first").alias("pos"), "n", "h", _words("line").alias("w"))
-             .where((F.size("w") == F.col("n")) & (F.xxhash64("w") == F.col("h"))).dropDuplicates(["pos", "h"]))
-    near = common.saved(_near(common.saved(_half_sharing(common.saved(texts)))))
+    again = exploded.select(_position("doc_id", "line_no").alias("pos"), "line")
+    texts = _in_bitmap(again, wanted, "pos").join(wanted, "pos").select("*", _words("line").alias("w"))
+    texts = (texts.where((F.xxhash64("w") == F.col("h")) & (F.xxhash64(F.lit(2), F.col("w")) == F.col("g")))
+             .select("pos", F.size("w").alias("n"), "head", "tail", "w"))
+    near = common.saved(_near(common.stored(texts)))
     gone = near.select(F.col("pos").alias("first")).distinct().withColumn("near", F.lit(True))
-    judged = lines.join(rep.join(gone, "first", "left"), same)
+    judged = lines.select("doc_id", "tag", "line_no", "pos", "h", "g").join(
+        rep.select("h", "g", "first").join(gone, "first", "left"), ["h", "g"])
     return judged.where("pos > first OR near").select("doc_id", "tag", "line_no")
 
 
