@@ -122,8 +122,10 @@ def thresholds(sketch: DataFrame, spread: int = SPREAD, min_group: int = MIN_GRO
 
 
 def judge(docs: DataFrame, text_col: str = "text", spread: int = SPREAD, min_group: int = MIN_GROUP) -> DataFrame:
-    """Statistics, the group's limits (max_*), base_failed and kept of every row."""
-    stats = common.saved(statistics(docs.select(*[c for c in docs.columns if c != text_col], text_col), text_col).drop(text_col))
+    """Statistics, the group's limits (max_*), base_failed and kept of every
+    row; columns of ``docs`` with one of these names are replaced."""
+    made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *(f"max_{k}" for k in RATIOS)}
+    stats = common.saved(statistics(docs.select(*[c for c in docs.columns if c not in made]), text_col).drop(text_col))
     return _judged(stats, stats, spread, min_group)
 
 
