@@ -145,12 +145,13 @@ def _judged(stats: DataFrame, rows: DataFrame, spread: int, min_group: int) -> D
 def filter_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows that the rules keep, with the columns of ``docs``.
 
-    Statistics are stored without the texts for the sketches; the texts are
-    then read once more and judged as they are read, so no text is shuffled.
+    The rows are stored once with their statistics: the sketches read the
+    statistics alone from there, the filter the texts. No text is shuffled or
+    measured twice.
     """
-    clean = docs.select(*[F.col(c).alias(f"_in_{c}") for c in docs.columns], "lang", "source", text_col)
-    stats = common.saved(statistics(docs.select("lang", "source", text_col), text_col).drop(text_col))
-    kept = _judged(stats, statistics(clean, text_col), SPREAD, MIN_GROUP).where("kept")
+    clean = docs.select(*[F.col(c).alias(f"_in_{c}") for c in docs.columns], "lang", "source", F.col(text_col).alias("_text"))
+    rows = common.stored(statistics(clean, "_text").drop("_text"))
+    kept = _judged(rows, rows, SPREAD, MIN_GROUP).where("kept")
     return kept.select(*[F.col(f"_in_{c}").alias(c) for c in docs.columns])
 
 
