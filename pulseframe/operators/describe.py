@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pulseframe.session import cut_lineage
+
 
 def group_aggregate(df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
     """``groupBy(by).agg(...)`` keeping NULL group keys (pandas ``dropna=False``)."""
@@ -340,8 +342,10 @@ def quantile_table(df: DataFrame, keys: Sequence[str], value: Column | str, prob
     v = F.col(value) if isinstance(value, str) else value
     x = df.select(*keys, v.cast("double").alias("_v")).where(F.col("_v").isNotNull())
     cnt = x.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    n_parts = partitions or max(1, df.sparkSession.sparkContext.defaultParallelism)
-    ranged = cnt.repartitionByRange(n_parts, *keys, "_v").withColumn("_pid", F.spark_partition_id())
+    n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Range bounds are sampled anew for every shuffle, so the ranged counts are
+    # written once and both branches below read the same range numbers.
+    ranged = cut_lineage(cnt.repartitionByRange(n_parts, *keys, "_v").withColumn("_pid", F.spark_partition_id()))
     tot = ranged.groupBy(*keys, "_pid").agg(F.sum("_c").alias("_t"))
     wo = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.withColumn("_o", F.coalesce(F.sum("_t").over(wo), F.lit(0))).drop("_t")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pulseframe.functions.semantics import to_num
+from pulseframe.session import cut_lineage
 
 SEED = 42
 
@@ -235,9 +236,10 @@ def running_sums(df: DataFrame, order: str, columns: dict, descending: bool = Fa
     offset from the totals of the ranges before it (a tiny table, one row per
     range) and a window inside each range adds the local running sum.
     ``order`` must be unique (aggregate to it first)."""
-    n = partitions or max(1, df.sparkSession.sparkContext.defaultParallelism)
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     o = F.col(order).desc() if descending else F.col(order).asc()
-    ranged = df.repartitionByRange(n, o).withColumn("_pid", F.spark_partition_id())
+    # Written once: range bounds are sampled anew for every shuffle.
+    ranged = cut_lineage(df.repartitionByRange(n, o).withColumn("_pid", F.spark_partition_id()))
     totals = ranged.groupBy("_pid").agg(*[F.sum(c).alias(f"_t{c}") for c in columns])
     wp = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_t{c}").over(wp), F.lit(0)).alias(f"_o{c}")
