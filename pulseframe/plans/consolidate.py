@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.functions import rules
@@ -46,15 +46,17 @@ def wholly_null_flags(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.agg(*[(F.count(c) == 0).alias(f"{c}__all_null") for c in cols])
 
 
-def with_column_if_all_null(df: DataFrame, target: str, derived) -> DataFrame:
-    """Set ``target`` to ``derived`` only when ``target`` is NULL in every row
-    (the table-wide rule), decided by a one-row aggregate joined back."""
-    if target not in df.columns:
-        return df.withColumn(target, derived)
-    flag = wholly_null_flags(df, [target])
-    return (df.crossJoin(F.broadcast(flag))  # one row: size proven
-              .withColumn(target, F.when(F.col(f"{target}__all_null"), derived).otherwise(F.col(target)))
-              .drop(f"{target}__all_null"))
+def with_columns_if_all_null(df: DataFrame, derived: Mapping[str, Column]) -> DataFrame:
+    """Set each target to its derived value only when it is NULL in every row
+    (the table-wide rule). One one-row aggregate decides for all targets and
+    is joined back once, so the source occurs twice however many there are."""
+    present = [t for t in derived if t in df.columns]
+    if not present:
+        return df.withColumns(dict(derived))
+    flags = wholly_null_flags(df, present)
+    out = df.crossJoin(F.broadcast(flags))  # one row: size proven
+    return out.withColumns({t: F.when(F.col(f"{t}__all_null"), c).otherwise(F.col(t)) if t in present else c
+                            for t, c in derived.items()}).drop(*flags.columns)
 
 
 def latest_scores_wide(history: DataFrame, slug_columns: Mapping[str, str], participant: str = "participant_id",
@@ -113,13 +115,12 @@ def consolidate_scores(participants: DataFrame, history: DataFrame, completions:
     df = df.withColumn("rec_user_gender", rules.gender_code("gender_raw")).drop("gender_raw")
     if "age" in df.columns:
         df = df.withColumnRenamed("age", "rec_age_current")
-    for cat, (raw, rule) in CATEGORY_RULES.items():
-        if raw in df.columns:
-            df = with_column_if_all_null(df, cat, rule(raw))
+    derived = {cat: rule(raw) for cat, (raw, rule) in CATEGORY_RULES.items() if raw in df.columns}
     comps = list(lifestyle_components) if lifestyle_components is not None else \
         [c for c in df.columns if c.startswith("rec_ls_score_")]
     if comps:
-        df = with_column_if_all_null(df, "rec_ls_lifestyle_score", row_mean([to_num(c) for c in comps]))
+        derived["rec_ls_lifestyle_score"] = row_mean([to_num(c) for c in comps])
+    df = with_columns_if_all_null(df, derived)
     for c, t in REQUIRED_COLUMNS.items():
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast(t))

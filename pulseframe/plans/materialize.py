@@ -43,9 +43,12 @@ def _signature(spark: SparkSession, paths: Sequence[str]) -> str:
     h = hashlib.sha1(_code_version().encode())
     for p in sorted(paths):
         hp = jvm.org.apache.hadoop.fs.Path(p)
-        fs = hp.getFileSystem(conf)
-        for st in fs.listStatus(hp):
-            h.update(f"{st.getPath()}|{st.getLen()}|{st.getModificationTime()};".encode())
+        files = hp.getFileSystem(conf).listFiles(hp, True)  # nested folders too
+        found = []
+        while files.hasNext():
+            st = files.next()
+            found.append(f"{st.getPath()}|{st.getLen()}|{st.getModificationTime()};")
+        h.update("".join(sorted(found)).encode())
     return h.hexdigest()[:16]
 
 
@@ -55,42 +58,13 @@ def _done(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def materialized(spark: SparkSession, name: str, sources: Sequence[str], build: Callable[[], DataFrame],
-                 bucket_by: str | None = None) -> DataFrame:
+def materialized(spark: SparkSession, name: str, sources: Sequence[str], build: Callable[[], DataFrame]) -> DataFrame:
     """Read table ``name`` derived from ``sources``, writing it first if this
-    version does not exist yet.
-
-    With ``bucket_by`` the table is hash-bucketed on that column (one bucket
-    per shuffle partition) and registered as an external table, so later
-    aggregations and joins keyed by it read already co-located data and skip
-    their shuffle."""
+    version does not exist yet. Plain parquet, not bucketed: a scan splits by
+    bytes, so a busy participant's rows are read and pre-aggregated by many
+    tasks."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    sig = _signature(spark, sources)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) if bucket_by else 0
-    path = f"{root}/tables/{name}-{sig}" + (f"-b{buckets}" if bucket_by else "")
-    key = (id(spark), path)
-    if key in _READ_CACHE:
-        return _READ_CACHE[key]
-    if bucket_by:
-        table = f"pf_{name}_{sig}_b{buckets}"
-        if not spark.catalog.tableExists(table):
-            if not _done(spark, path):
-                (build().repartition(buckets, bucket_by).write.mode("overwrite").bucketBy(buckets, bucket_by)
-                 .option("path", path).saveAsTable(table))
-            else:
-                # Written by an earlier session: register it again with its
-                # schema and bucket spec (the session catalog is in memory).
-                ddl = spark.read.parquet(path)._jdf.schema().toDDL()
-                spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({ddl}) USING parquet "
-                          f"CLUSTERED BY ({bucket_by}) INTO {buckets} BUCKETS LOCATION '{path}'")
-        df = spark.table(table)
-    else:
-        if not _done(spark, path):
-            build().write.mode("overwrite").parquet(path)
-        df = spark.read.parquet(path)
-    _READ_CACHE[key] = df
-    return df
-
-
-# Resolved readers of finished tables (the folder name pins the version).
-_READ_CACHE: dict[tuple[int, str], DataFrame] = {}
+    path = f"{root}/tables/{name}-{_signature(spark, sources)}"
+    if not _done(spark, path):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
