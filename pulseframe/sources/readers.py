@@ -98,39 +98,55 @@ def read_parquet_unique(spark: SparkSession, path: str, key: str = "user_id", or
     return out.drop("_pos") if "_pos" in out.columns else out
 
 
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with their position: (file, start of the split, line within it)."""
+    lines = spark.read.text(path).select(
+        F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+                 F.monotonically_increasing_id().alias("line")).alias("at"),
+        F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    return lines
+
+
 def sniff_header(spark: SparkSession, path: str, terms: Sequence[str] = HEADER_TERMS,
-                 separators: Sequence[str] = HEADER_SEPARATORS, max_lines: int = 200) -> tuple[int, str, list[str]]:
-    """Find the header line (first line holding a known term and a
-    separator) among the first ``max_lines`` lines; returns (index, separator,
-    leading lines up to and including the header). Only the leading lines
-    are brought to the driver (``limit`` on a text scan)."""
-    head = [r.value for r in spark.read.text(path).limit(max_lines).collect()]
-    head = [h.lstrip("﻿") if i == 0 else h for i, h in enumerate(head)]
-    for i, line in enumerate(head):
-        if any(t in line for t in terms) and any(s in line for s in separators):
-            sep = max(separators, key=line.count)
-            return i, sep, head[: i + 1]
-    first = head[0] if head else ""
-    return 0, max(separators, key=first.count), head[:1]
+                 separators: Sequence[str] = HEADER_SEPARATORS) -> DataFrame:
+    """One row per file: the position ``at`` and text ``header`` of its first
+    line holding a known term and a separator, wherever it stands; the first
+    line where none does. A ``min_by`` aggregate, so only one line per task
+    and file moves."""
+    lines = _numbered_lines(spark, path)
+    has_term, has_sep = F.lit(False), F.lit(False)
+    for t in terms:
+        has_term = has_term | F.col("value").contains(t)
+    for s in separators:
+        has_sep = has_sep | F.col("value").contains(s)
+    order = F.struct((~(has_term & has_sep)).alias("miss"), F.col("at"))
+    return (lines.groupBy(F.col("at.file").alias("file"))
+            .agg(F.min_by(F.struct("at", "value"), order).alias("h"))
+            .select("file", F.col("h.at").alias("at"), F.col("h.value").alias("header")))
 
 
 def read_csv_sniffed(spark: SparkSession, path: str, schema: StructType | None = None,
-                     terms: Sequence[str] = HEADER_TERMS) -> DataFrame:
+                     terms: Sequence[str] = HEADER_TERMS, separators: Sequence[str] = HEADER_SEPARATORS) -> DataFrame:
     """Distributed CSV read after sniffing the header line and separator.
 
-    The file is read as text in parallel; the header line and the junk lines
-    before it are removed by value; the remaining lines are parsed with
-    ``from_csv`` (all strings unless a ``schema`` is given). A BOM on the
-    first line is tolerated. A data line textually equal to one of the
-    leading junk lines would be dropped too; import files do not repeat
-    their title lines as data.
+    The file is read as text in parallel; every line up to and including the
+    header of its file goes by position, however often its text returns as
+    data, and blank lines go; the rest is parsed with ``from_csv`` (all
+    strings unless a ``schema`` is given). All files share the columns of the
+    first one. A BOM on the first line is tolerated. Lines are split before
+    they are parsed, so a quoted field may not hold a line break.
     """
-    idx, sep, leading = sniff_header(spark, path, terms)
-    header = leading[idx]
-    names = [c.strip().strip('"') for c in header.split(sep)]
-    drop = list({*leading})
-    text = spark.read.text(path).withColumn("value", F.regexp_replace("value", "^﻿", ""))
-    body = text.where(~F.col("value").isin(drop) & (F.length(F.trim("value")) > 0))
+    headers = sniff_header(spark, path, terms, separators)
+    first = headers.orderBy("file").select("header").first()
+    if first is None:
+        raise ValueError(f"no lines in {path}")
+    sep = max(separators, key=first.header.count)
+    names = [c.strip().strip('"') for c in first.header.split(sep)]
+    after = headers.select("file", F.col("at").alias("_header_at"))
+    lines = _numbered_lines(spark, path)
+    # One short row per file of the import; a broadcast keeps the lines in file order.
+    body = (lines.join(F.broadcast(after), lines["at.file"] == after["file"])
+            .where((F.col("at") > F.col("_header_at")) & (F.length(F.trim("value")) > 0)))
     ddl = ", ".join(f"`{n}` string" for n in names)
     parsed = body.select(F.from_csv("value", ddl, {"sep": sep}).alias("r")).select("r.*")
     if schema is not None:

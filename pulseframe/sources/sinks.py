@@ -70,9 +70,15 @@ def upsert_table(spark: SparkSession, incoming: DataFrame, path: str, keys: Sequ
 
     The merged result is written to a staging folder next to the table and
     then swapped in, so the table being read is never overwritten in place
-    and a failed job leaves the old table intact. Returns the counts.
+    and a failed job leaves the old table intact. Both renames are checked;
+    the old table goes only once the new one is in place, and one left aside
+    by a run that died between the renames is put back first. Raises when the
+    keys of ``incoming`` are not unique. Returns the counts.
     """
     spark = incoming.sparkSession
+    _recover(spark, path)
+    if not incoming.groupBy(*keys).count().where("count > 1").isEmpty():
+        raise ValueError(f"keys {list(keys)} are not unique in the incoming rows")
     if not table_exists(spark, path):
         if not create_if_missing:
             raise FileNotFoundError(path)
@@ -90,12 +96,26 @@ def upsert_table(spark: SparkSession, incoming: DataFrame, path: str, keys: Sequ
     counts = upsert_counts(upsert_frames(target.select(*keys), incoming.select(*keys), keys)).first().asDict()
     fs, hpath, jvm = _fs_and_path(spark, path)
     old = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.__old_{stamp}")
-    fs.rename(hpath, old)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(staging), hpath)
+    if not fs.rename(hpath, old):
+        raise OSError(f"could not set the old table aside: {path}")
+    if not (fs.rename(jvm.org.apache.hadoop.fs.Path(staging), hpath) and fs.exists(hpath)):
+        fs.rename(old, hpath)
+        raise OSError(f"could not put the new table in place: {path}")
     fs.delete(old, True)
     return counts
 
 
+def _recover(spark: SparkSession, path: str) -> None:
+    """Put back the newest table set aside by a run that died during its swap."""
+    fs, hpath, jvm = _fs_and_path(spark, path)
+    if fs.exists(hpath):
+        return
+    left = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.__old_*")) or []
+    left = sorted((st.getPath() for st in left), key=lambda p: p.getName())
+    if left and not fs.rename(left[-1], hpath):
+        raise OSError(f"could not put back {left[-1]}")
+
+
 def backup_table(spark: SparkSession, path: str) -> str:
     """Copy the table to ``<path>_backup_<UTC timestamp>`` and return that path."""
     stamp = _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%d_%H%M%S")
