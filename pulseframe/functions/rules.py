@@ -161,7 +161,7 @@ BUYER_GROUPS = ("Vroege koper (≤90 dagen)", "Late koper (91-365 dagen)", "Zeer
 
 # Statuses counted as a successful purchase; statuses excluded as failed.
 SUCCESS_STATUSES = ("completed", "paid", "success", "shipped", "delivered", "voltooid", "betaald")
-FAILED_STATUSES = ("cancelled", "failed", "refunded")
+FAILED_STATUSES = ("cancelled", "canceled", "failed", "refunded")
 
 # ==========================================================================
 

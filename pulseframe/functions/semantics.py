@@ -26,10 +26,13 @@ def col(c: ColumnOrName) -> Column:
 
 def to_num(c: ColumnOrName) -> Column:
     """Lenient value -> double: blanks, 'None', unparsable text and NaN become
-    NULL. Numeric input is a plain widening cast (no text round trip); text
-    is trimmed by the cast itself. One reference to the input, so the
-    expression stays cheap when repeated (e.g. inside ``cut``)."""
-    return F.nanvl(col(c).try_cast("double"), F.lit(None).cast("double"))
+    NULL, also the number literals of a Java cast that no import file means
+    ('12d', '1f', '0x1p3'). The type test folds at planning, so numeric input
+    is a plain widening cast (no text round trip)."""
+    x = col(c)
+    text = F.regexp_replace(x.cast("string"), r"(?i)(?<=[0-9.])[df]\s*$|x", "?")
+    number = F.when(F.typeof(x) == "string", text.try_cast("double")).otherwise(x.try_cast("double"))
+    return F.nanvl(number, F.lit(None).cast("double"))
 
 
 DAYFIRST_FORMATS = ("dd-MM-yyyy HH:mm:ss", "dd-MM-yyyy", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy")

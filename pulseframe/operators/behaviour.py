@@ -194,15 +194,17 @@ def frequency_vs_scores(completions: DataFrame, wide: DataFrame, scores: Mapping
 def scores_per_store(wide: DataFrame, names: DataFrame, value: str, min_n: int = 1,
                      category_edges: tuple[list[float], list[str]] | None = None) -> DataFrame:
     """Per store: mean score (2 dp), participants with a score, participants,
-    kept when at least ``min_n`` have a score; the participant-weighted total
-    mean over the kept stores; category of each store mean."""
+    kept when at least ``min_n`` (and at least one) have a score; the total
+    of the rounded means weighted by the participants with a score; category
+    of each rounded mean."""
     x = wide.select("store_id", "participant_id", to_num(value).alias("_v")).where(F.col("store_id").isNotNull())
     per = x.groupBy("store_id").agg(F.avg("_v").alias("_mean"), F.count("_v").alias("n_with_score"),
                                     F.countDistinct("participant_id").alias("n_participants"))
-    per = per.where(F.col("n_with_score") >= min_n)
+    per = per.where(F.col("n_with_score") >= max(min_n, 1))
+    per = per.withColumn("_mean", F.round(F.col("_mean").cast("decimal(28,9)"), 2).cast("double"))
     total = per.agg(weighted_average("_mean", "n_with_score").alias("weighted_total"))
     out = (per.join(names, "store_id", "left").crossJoin(F.broadcast(total))  # one row
-              .withColumn("mean_score", F.round("_mean", 2)))
+              .withColumn("mean_score", F.col("_mean")))
     if category_edges is not None:
         out = out.withColumn("category", cut("_mean", category_edges[0], category_edges[1], True, True))
     return out.drop("_mean")
@@ -249,9 +251,10 @@ def available_stores(data: DataFrame, names: DataFrame, store: str = "store_id",
 def article_overview(interactions: DataFrame, titles: DataFrame, users: DataFrame | None = None,
                      internal_domains: Sequence[str] = (), top: int = 20) -> tuple[DataFrame, DataFrame]:
     """Views per (article, title): views, distinct readers, last view; the top
-    ``top`` by views; and a one-row summary (articles, views, readers,
-    mean views per article, top title). Readers whose e-mail local part also
-    occurs at an internal domain are removed first (anti join)."""
+    ``top`` by distinct readers, then views, then article; and a one-row
+    summary (articles, views, readers, mean views per article). Readers whose
+    e-mail local part is also that of an internal reader go first (anti join);
+    readers without a users row or an e-mail stay."""
     v = interactions.where(F.col("type") == "view")
     if users is not None and internal_domains:
         u = users.select(F.col("id").alias("user_id"), rules.email_local_part("email").alias("_local"),
@@ -259,16 +262,17 @@ def article_overview(interactions: DataFrame, titles: DataFrame, users: DataFram
         internal_cond = F.lit(False)
         for dom in internal_domains:
             internal_cond = internal_cond | F.col("_email").endswith(dom)
-        internal_locals = u.where(internal_cond).select("_local").distinct()
-        external = u.join(internal_locals, "_local", "left_anti").select("user_id")
-        v = v.join(external, "user_id", "left_semi")
+        readers = u.join(v.select("user_id").distinct(), "user_id", "left_semi")
+        internal_locals = readers.where(internal_cond).select("_local").distinct()
+        internal = readers.join(internal_locals, "_local", "left_semi").select("user_id")
+        v = v.join(internal, "user_id", "left_anti")
     t = titles.groupBy("content_id").agg(F.min("title").alias("title"))  # one title per content
     j = (v.join(t, v["interactable_id"] == t["content_id"], "left")
           .withColumn("title", F.coalesce("title", F.lit("Onbekend artikel"))))
     per = j.groupBy("interactable_id", "title").agg(F.count(F.lit(1)).alias("views"),
                                                     F.countDistinct("user_id").alias("unique_readers"),
                                                     F.max("created_at").alias("last_view"))
-    topk = per.orderBy(F.col("views").desc(), F.col("interactable_id").asc()).limit(top)
+    topk = per.orderBy(F.col("unique_readers").desc(), F.col("views").desc(), F.col("interactable_id").asc()).limit(top)
     summary = j.agg(F.countDistinct("interactable_id").alias("articles"), F.count(F.lit(1)).alias("total_views"),
                     F.countDistinct("user_id").alias("unique_readers"))
     summary = summary.withColumn("views_per_article", F.try_divide(F.col("total_views"), F.col("articles")))
@@ -358,9 +362,10 @@ def engagement_funnel(participants: DataFrame, completions: DataFrame, purchases
                                           for i, s in enumerate(stages)])).alias("s")).select("s.*")
 
 
-def dataflow_funnel(wide: DataFrame, completions: DataFrame, score_cols: Sequence[str]) -> DataFrame:
+def dataflow_funnel(wide: DataFrame, completions: DataFrame,
+                    score_cols: Sequence[str] = ("rec_ls_lifestyle_score",)) -> DataFrame:
     """Sequential steps registered -> age known -> gender known -> started a
-    questionnaire -> has scores; each step requires the previous ones. Per
+    questionnaire -> has a lifestyle score; each step requires the previous ones. Per
     step: count, percent of the first step and drop since the previous step.
     A parallel metric counts participants with a name-like field (postcode)."""
     started = completions.select("participant_id").where(F.col("participant_id").isNotNull()).distinct()
@@ -385,56 +390,79 @@ def dataflow_funnel(wide: DataFrame, completions: DataFrame, score_cols: Sequenc
                 .withColumn("drop_since_previous", F.coalesce(F.lag("n").over(w) - F.col("n"), F.lit(0)).cast("long")))
 
 
-# Engagement component weights (equal unless given).
-ENGAGEMENT_COMPONENTS = ("completion", "repeat", "breadth", "articles", "purchase", "challenge")
+# Engagement component weights (fixed values; normalised to a sum of 1).
+ENGAGEMENT_WEIGHTS = {"completion": 0.30, "repeat": 0.20, "breadth": 0.15, "articles": 0.15, "challenge": 0.10,
+                      "purchase": 0.10}
 
+# Challenge statuses that count as taking part (fixed values).
+CHALLENGE_STATUSES = ("completed", "active", "in_progress")
 
-def engagement_scores(participants: DataFrame, completions: DataFrame, views: DataFrame, purchases: DataFrame,
-                      challenges: DataFrame | None, n_questionnaires: int = 8,
-                      weights: Mapping[str, float] | None = None) -> DataFrame:
+
+def challenge_share(participants: DataFrame, challenges: DataFrame) -> DataFrame:
+    """Per store: people taking part in a challenge per hundred of its
+    participants, at most 100."""
+    takes = (challenges.where(F.lower(F.col("status")).isin(list(CHALLENGE_STATUSES)) & F.col("store_id").isNotNull())
+             .groupBy("store_id").agg(F.countDistinct("user_ref").alias("_takes")))
+    size = (participants.where(F.col("store_id").isNotNull())
+            .groupBy("store_id").agg(F.countDistinct("id").alias("_size")))
+    return takes.join(size, "store_id").select(
+        "store_id", F.least(F.col("_takes") / F.col("_size") * 100.0, F.lit(100.0)).alias("_challenge"))
+
+
+def engagement_scores(participants: DataFrame, lifestyle: DataFrame, completions: DataFrame, views: DataFrame,
+                      purchases: DataFrame, challenges: DataFrame | None, questionnaires: Sequence | None = None,
+                      n_questionnaires: int = 8, weights: Mapping[str, float] | None = None) -> DataFrame:
     """Per participant six components on 0-100 and their weighted sum (1 dp):
-    completion (100 if >= 2 completions, 50 if 1, else 0), repeat (100 if any
-    questionnaire repeated), breadth (distinct questionnaires / n, capped),
-    articles (100 if any view), purchase (100 if any purchase), challenge
-    (completed / total challenges, clipped). Weights are normalised to 1.
+    completion (100 with a lifestyle score, 50 with any completion, else 0),
+    repeat (100 with two or more completions), breadth (distinct
+    questionnaires / n, capped, 1 dp), articles (100 if the user viewed one),
+    purchase (100 if the participant bought), challenge (its store's
+    ``challenge_share``; 0 without). Only completions of ``questionnaires``
+    count where given. ``lifestyle`` holds (participant_id, lifestyle_score).
     Each source is aggregated per participant before the joins."""
-    w = dict(weights or {k: 1.0 for k in ENGAGEMENT_COMPONENTS})
+    w = dict(weights or ENGAGEMENT_WEIGHTS)
     total = sum(w.values()) or 1.0
     w = {k: v / total for k, v in w.items()}
-    comp = (completions.where(F.col("participant_id").isNotNull())
-            .groupBy("participant_id", "questionnaire_id").agg(F.count(F.lit(1)).alias("_k"))
-            .groupBy("participant_id").agg(F.sum("_k").alias("_nc"), F.max("_k").alias("_maxk"),
-                                           F.countDistinct("questionnaire_id").alias("_nq")))
-    art = views.select("participant_id").where(F.col("participant_id").isNotNull()).distinct().withColumn("_art", F.lit(1))
+    known = completions.where(F.col("participant_id").isNotNull())
+    if questionnaires is not None:
+        known = known.where(F.col("questionnaire_id").isin(list(questionnaires)))
+    comp = known.groupBy("participant_id").agg(F.countDistinct("id").alias("_nc"),
+                                               F.countDistinct("questionnaire_id").alias("_nq"))
+    scored = (lifestyle.where(to_num("lifestyle_score").isNotNull()).select("participant_id").distinct()
+              .withColumn("_scored", F.lit(1)))
+    art = views.select("user_id").where(F.col("user_id").isNotNull()).distinct().withColumn("_art", F.lit(1))
     buy = purchases.select("participant_id").where(F.col("participant_id").isNotNull()).distinct().withColumn("_buy", F.lit(1))
-    base = participants.select(F.col("id").alias("participant_id"), "store_id")
-    j = base.join(comp, "participant_id", "left").join(art, "participant_id", "left").join(buy, "participant_id", "left")
+    base = participants.select(F.col("id").alias("participant_id"), "user_id", "store_id")
+    j = (base.join(comp, "participant_id", "left").join(scored, "participant_id", "left")
+             .join(art, "user_id", "left").join(buy, "participant_id", "left"))
     if challenges is not None:
-        ch = challenges.groupBy("participant_id").agg(
-            F.try_divide(F.sum(F.when(F.col("completed"), 1).otherwise(0)), F.count(F.lit(1))).alias("_ratio"))
-        j = j.join(ch, "participant_id", "left")
+        j = j.join(challenge_share(participants, challenges), "store_id", "left")
     else:
-        j = j.withColumn("_ratio", F.lit(None).cast("double"))
+        j = j.withColumn("_challenge", F.lit(None).cast("double"))
+    breadth = F.least(F.coalesce(F.col("_nq"), F.lit(0)), F.lit(n_questionnaires)) / float(n_questionnaires) * 100.0
     comps = {
-        "completion": F.when(F.col("_nc") >= 2, 100.0).when(F.col("_nc") == 1, 50.0).otherwise(0.0),
-        "repeat": F.when(F.col("_maxk") > 1, 100.0).otherwise(0.0),
-        "breadth": F.least(F.coalesce(F.col("_nq"), F.lit(0)) * 100.0 / n_questionnaires, F.lit(100.0)),
+        "completion": F.when(F.col("_scored").isNotNull(), 100.0).when(F.col("_nc") > 0, 50.0).otherwise(0.0),
+        "repeat": F.when(F.col("_nc") >= 2, 100.0).otherwise(0.0),
+        "breadth": F.round(breadth, 1),
         "articles": F.when(F.col("_art").isNotNull(), 100.0).otherwise(0.0),
+        "challenge": F.coalesce(F.col("_challenge"), F.lit(0.0)),
         "purchase": F.when(F.col("_buy").isNotNull(), 100.0).otherwise(0.0),
-        "challenge": F.least(F.greatest(F.coalesce(F.col("_ratio"), F.lit(0.0)) * 100, F.lit(0.0)), F.lit(100.0)),
     }
     out = j.select("participant_id", "store_id", *[c.alias(f"c_{k}") for k, c in comps.items()])
     score = sum((F.col(f"c_{k}") * float(w.get(k, 0.0)) for k in comps), F.lit(0.0))
-    return out.withColumn("engagement_score", F.round(score, 1))
+    return out.withColumn("engagement_score", F.round(score.cast("decimal(28,9)"), 1).cast("double"))
 
 
 def engagement_by_store(scores: DataFrame, names: DataFrame, min_participants: int = 1) -> DataFrame:
-    """Per store: participants, mean engagement and mean components, the
-    participant-weighted benchmark over stores and the difference to it."""
+    """Per store: participants, mean engagement and mean components (1 dp), the
+    benchmark (rounded store means weighted by participants) and the
+    difference to it."""
+    def mean(c):
+        return F.round(F.avg(c).cast("decimal(28,9)"), 1).cast("double")
     comp_cols = [c for c in scores.columns if c.startswith("c_")]
     per = (scores.where(F.col("store_id").isNotNull()).groupBy("store_id")
-           .agg(F.count(F.lit(1)).alias("n_participants"), F.avg("engagement_score").alias("mean_engagement"),
-                *[F.avg(c).alias(f"mean_{c[2:]}") for c in comp_cols])
+           .agg(F.count(F.lit(1)).alias("n_participants"), mean("engagement_score").alias("mean_engagement"),
+                *[mean(c).alias(f"mean_{c[2:]}") for c in comp_cols])
            .where(F.col("n_participants") >= min_participants))
     bench = per.agg(weighted_average("mean_engagement", "n_participants").alias("benchmark"))
     return (per.join(names, "store_id", "left").crossJoin(F.broadcast(bench))  # one row

@@ -156,13 +156,14 @@ def data_quality(df: DataFrame, columns: Sequence[str], total_override: int | No
                  labels: Mapping[str, str] | None = None) -> DataFrame:
     """Per column: filled, missing, missing %, mean, std, min, max and the
     value distribution of its sibling ``<column>_cat`` column as text
-    'code=n, ...'. All statistics come from one unpivot + one aggregate."""
+    'code=n, ...'. Columns without any value are left out. All statistics
+    come from one unpivot + one aggregate."""
     from pulseframe.functions.semantics import to_num
     n_rows = df.agg(F.count(F.lit(1)).alias("_rows"))
     long = df.select(*[to_num(c).alias(c) for c in columns]).unpivot([], list(columns), "column", "value")
     stats = long.groupBy("column").agg(F.count("value").alias("filled"), F.avg("value").alias("mean"),
                                        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-                                       F.max("value").alias("max"))
+                                       F.max("value").alias("max")).where(F.col("filled") > 0)
     denom = F.lit(total_override) if total_override else F.col("_rows")
     out = (stats.crossJoin(F.broadcast(n_rows))
                 .withColumn("missing", denom - F.col("filled"))

@@ -32,22 +32,23 @@ def store_names(stores: DataFrame) -> DataFrame:
 
 
 def link_participant_store(participants: DataFrame, app_users: DataFrame, store_employees: DataFrame,
-                           stores: DataFrame) -> DataFrame:
+                           stores: DataFrame, drop_archived: bool = False,
+                           drop_closed_stores: bool = False) -> DataFrame:
     """participant -> user (public_id = qe_participant_id) -> employment -> store.
 
-    Deleted employments and deleted/inactive stores are dropped, NULL keys
-    never match, and a participant employed by several stores keeps the
+    Deleted employments are dropped, archived ones and deleted or inactive
+    stores only on request. NULL keys never match, and a participant employed by several stores keeps the
     smallest store id. The choice is a ``min`` aggregate (map-side combined),
     so a participant with a huge number of employment rows is reduced before
     the shuffle.
     """
     st = stores
-    if "deleted_at" in st.columns:
+    if drop_closed_stores:
         st = not_deleted(st, "deleted_at")
-    if "is_active" in st.columns:
-        st = st.where(active_flag("is_active"))
+        if "is_active" in st.columns:
+            st = st.where(active_flag("is_active"))
     names = store_names(st)
-    emp = not_deleted(store_employees, "deleted_at", "archived_at").select("user_id", "store_id").where(
+    emp = not_deleted(store_employees, "deleted_at", *(["archived_at"] if drop_archived else [])).select("user_id", "store_id").where(
         F.col("user_id").isNotNull() & F.col("store_id").isNotNull())
     emp = emp.join(names.select("store_id"), "store_id", "left_semi")
     p = participants.select(F.col("id").alias("participant_id"), "public_id").where(F.col("public_id").isNotNull())

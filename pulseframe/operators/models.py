@@ -175,7 +175,8 @@ def threshold_grid(lo: float = 0.10, hi: float = 0.85, step: float = 0.05) -> li
 def threshold_scan(scored: DataFrame, grid: Sequence[float] | None = None, top: int = 5) -> DataFrame:
     """Grid search of (t_high, t_moderate) for the rule: class 2 if
     p_high >= t_high, else class 1 if p_moderate >= t_moderate, else 0;
-    ranked by macro recall (top ``top``).
+    ranked by macro recall to 3 dp, then smaller t_moderate, then smaller
+    t_high (top ``top``), with the recall of each class (0 where absent).
 
     Each row is reduced to the number of grid thresholds its p_high and
     p_moderate pass, then counted per (label, bucket_high, bucket_moderate):
@@ -195,8 +196,15 @@ def threshold_scan(scored: DataFrame, grid: Sequence[float] | None = None, top:
     per_class = (j.groupBy("t_high", "t_moderate", "label")
                  .agg(F.sum(F.when(pred == F.col("label"), F.col("n")).otherwise(0)).alias("_hit"),
                       F.sum("n").alias("_tot")))
-    rec = per_class.groupBy("t_high", "t_moderate").agg(F.avg(F.col("_hit") / F.col("_tot")).alias("macro_recall"))
-    return rec.orderBy(F.col("macro_recall").desc(), "t_high", "t_moderate").limit(top)
+    hit = F.col("_hit") / F.col("_tot")
+
+    def three(x):
+        return F.round(x.cast("decimal(28,12)"), 3).cast("double")
+    rec = per_class.groupBy("t_high", "t_moderate").agg(
+        three(F.avg(hit)).alias("macro_recall"),
+        *[three(F.coalesce(F.max(F.when(F.col("label") == k, hit)), F.lit(0.0))).alias(f"recall_{n}")
+          for k, n in enumerate(("low", "moderate", "high"))])
+    return rec.orderBy(F.col("macro_recall").desc(), "t_moderate", "t_high").limit(top)
 
 
 def apply_thresholds(scored: DataFrame, t_high: float, t_moderate: float) -> DataFrame:
@@ -305,7 +313,8 @@ def feature_importance(models: list, feats: Sequence[str]) -> list[tuple[str, fl
 
 
 def local_influence(rows: DataFrame, test: DataFrame, importances: list[tuple[str, float]]) -> DataFrame:
-    """(value - test mean) x importance per feature, long form."""
+    """(value - test mean) x importance per feature, long form; 0 where the
+    value or the mean is missing."""
     feats = [f for f, _ in importances]
     means = test.agg(*[F.avg(f).alias(f"_m_{f}") for f in feats])
     imp = F.create_map(*[x for f, v in importances for x in (F.lit(f), F.lit(v))])
@@ -313,7 +322,8 @@ def local_influence(rows: DataFrame, test: DataFrame, importances: list[tuple[st
         "_id", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value"),
                                             F.col(f"_m_{f}").alias("test_mean")) for f in feats])).alias("s"))
     return (long.select("_id", "s.*").withColumn("importance", imp[F.col("feature")])
-                .withColumn("influence", (F.col("value") - F.col("test_mean")) * F.col("importance")))
+                .withColumn("influence", F.coalesce((F.col("value") - F.col("test_mean")) * F.col("importance"),
+                                                    F.lit(0.0))))
 
 
 def segmentation(df: DataFrame, feats: Sequence[str], k: int = 3) -> DataFrame:

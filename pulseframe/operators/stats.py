@@ -121,16 +121,23 @@ def scatter_correlation(df: DataFrame, x: str, y: str, group: str | None = None,
     return out
 
 
-def insights(n_participants: DataFrame, quality: DataFrame, outliers: DataFrame, tests: DataFrame) -> DataFrame:
-    """Rule-based findings as (kind, title, text, rank) rows: population size,
-    columns with >50% missing, measures with >5% outliers (top 3) and
-    significant medium/large effects (top 5)."""
-    pop = n_participants.select(F.lit("info").alias("kind"), F.lit("Populatie").alias("title"),
-                                F.format_string("%d deelnemers in de selectie", F.col("n")).alias("text"),
-                                F.lit(1).alias("rank"))
-    miss = quality.where(F.col("missing_pct") > 50).select(
-        F.lit("warning").alias("kind"), F.lit("Veel ontbrekende data").alias("title"),
-        F.format_string("%s: %.1f%% ontbreekt", F.col("column"), F.col("missing_pct")).alias("text"),
+def insights(population: DataFrame, quality: DataFrame, outliers: DataFrame, tests: DataFrame) -> DataFrame:
+    """Rule-based findings as (kind, title, text, rank) rows: population size
+    with share of women and ages; one row naming up to five columns with >50%
+    missing; measures with >5% outliers (top 3); significant medium/large
+    effects (top 5). ``population`` is one row: n, n_women, n_gender,
+    mean_age, min_age, max_age."""
+    pop = population.select(F.lit("info").alias("kind"), F.lit("Populatie").alias("title"), F.format_string(
+        "%d deelnemers, waarvan %.1f%% vrouw; gemiddelde leeftijd %.1f jaar (spreiding: %.0f-%.0f jaar)", F.col("n"),
+        F.try_divide(F.col("n_women") * 100.0, F.col("n_gender")), F.col("mean_age"), F.col("min_age"),
+        F.col("max_age")).alias("text"), F.lit(1).alias("rank"))
+    # bounded by the number of columns
+    gaps = quality.where(F.col("missing_pct") > 50).agg(
+        F.count(F.lit(1)).alias("k"), F.array_sort(F.collect_list(F.struct(-F.col("missing_pct"), "column"))).alias("c"))
+    miss = gaps.where(F.col("k") > 0).select(
+        F.lit("warning").alias("kind"), F.lit("Datakwaliteit: hoge missende waarden").alias("title"),
+        F.format_string("%d variabelen hebben meer dan 50%% missende waarden: %s", F.col("k"),
+                        F.array_join(F.slice(F.col("c.column"), 1, 5), ", ")).alias("text"),
         F.lit(1).alias("rank"))
     out_rows = outliers.where(F.col("pct_outliers") > 5).select(
         F.lit("warning").alias("kind"), F.lit("Uitschieters").alias("title"),

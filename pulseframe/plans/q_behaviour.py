@@ -156,12 +156,12 @@ LS_EDGES = rules.SCORE_CATEGORIES["rec_ls_lifestyle_score"]
 
 
 @register("scores_per_store", views("wide", "stores", extra=[("names", STORE_NAMES_SQL)]) + f""",
-per AS (SELECT store_id, avg(rec_ls_lifestyle_score) AS m, count(rec_ls_lifestyle_score) AS n_with_score,
+per AS (SELECT store_id, CAST(round(CAST(avg(rec_ls_lifestyle_score) AS DECIMAL(28,9)), 2) AS DOUBLE) AS m, count(rec_ls_lifestyle_score) AS n_with_score,
                count(DISTINCT participant_id) AS n_participants FROM d_wide WHERE store_id IS NOT NULL GROUP BY 1
         HAVING count(rec_ls_lifestyle_score) >= 5),
 tot AS (SELECT sum(m * n_with_score) / sum(n_with_score) AS weighted_total FROM per WHERE n_with_score > 0)
 SELECT per.store_id, per.n_with_score, per.n_participants, names.store_name, {r('tot.weighted_total')} AS weighted_total,
-       {r('round(per.m, 2)')} AS mean_score, {cut_sql('per.m', LS_EDGES[0], LS_EDGES[1], True, True)} AS category
+       {r('per.m')} AS mean_score, {cut_sql('per.m', LS_EDGES[0], LS_EDGES[1], True, True)} AS category
 FROM per LEFT JOIN names ON names.store_id = per.store_id, tot""")
 def q_scores_per_store(spark, sf_dir):
     d = _d(spark, sf_dir)
@@ -209,7 +209,7 @@ j AS (SELECT v.*, coalesce(t.title, 'Onbekend artikel') AS title FROM d_article_
 
 @register("article_overview", ARTICLE_CTE + """SELECT interactable_id, title, count(*) AS views,
     count(DISTINCT user_id) AS unique_readers, max(created_at) AS last_view FROM j GROUP BY ALL
-    ORDER BY views DESC, interactable_id LIMIT 20""")
+    ORDER BY unique_readers DESC, views DESC, interactable_id LIMIT 20""")
 def q_article_overview(spark, sf_dir):
     d = _d(spark, sf_dir)
     return behaviour.article_overview(article_views(d), titles(d))[0]
@@ -268,11 +268,14 @@ def q_is_buyer_either_key(spark, sf_dir):
 EARLY_IND = {"bmi": "rec_med_bmi", "stress": "rec_ls_stress_sum"}
 
 
-@register("early_buyer_profile", views("wide", "purchases") + f""",
-fp AS (SELECT participant_id, min(created_at) AS fpur FROM d_purchases WHERE participant_id IS NOT NULL GROUP BY 1),
-j AS (SELECT w.*, {DAYS.format(a='w.latest_completion_at', b='fp.fpur')} AS days_to_purchase,
+@register("early_buyer_profile", views("wide", "purchases", "completions") + f""",
+fp AS (SELECT participant_id, min(created_at) AS fpur FROM d_purchases
+       WHERE participant_id IS NOT NULL AND lower(trim(status)) IN ({SUCCESS_SQL}) GROUP BY 1),
+acc AS (SELECT participant_id, min(created_at) AS account_at FROM d_completions GROUP BY 1),
+j AS (SELECT w.*, {DAYS.format(a='acc.account_at', b='fp.fpur')} AS days_to_purchase,
              {cut_sql('w.rec_ls_lifestyle_score / 5', [0.5, 3.5, 5.5, 7.5, 10.5], [1, 2, 3, 4])} AS ls_cat
-      FROM d_wide w LEFT JOIN fp ON fp.participant_id = w.participant_id),
+      FROM d_wide w LEFT JOIN fp ON fp.participant_id = w.participant_id
+      LEFT JOIN acc ON acc.participant_id = w.participant_id),
 g AS (SELECT *, CASE WHEN days_to_purchase IS NULL THEN '{rules.BUYER_GROUPS[3]}'
                      WHEN days_to_purchase <= 90 THEN '{rules.BUYER_GROUPS[0]}'
                      WHEN days_to_purchase <= 365 THEN '{rules.BUYER_GROUPS[1]}'
@@ -285,8 +288,11 @@ SELECT g.buyer_group, count(*) AS n_participants, {r('avg(days_to_purchase)')} A
 FROM g LEFT JOIN mm ON mm.buyer_group = g.buyer_group GROUP BY g.buyer_group""")
 def q_early_buyer_profile(spark, sf_dir):
     d = _d(spark, sf_dir)
-    w = wide(d).withColumn("ls_scaled", F.col("rec_ls_lifestyle_score") / 5)
-    return behaviour.early_buyer_profile(w, purchases(d), "latest_completion_at", EARLY_IND, lifestyle="ls_scaled")
+    account = d.completions.groupBy("participant_id").agg(F.min("created_at").alias("account_at"))
+    w = (wide(d).withColumn("ls_scaled", F.col("rec_ls_lifestyle_score") / 5)
+         .join(account, "participant_id", "left"))
+    return behaviour.early_buyer_profile(w, behaviour.successful_purchases(purchases(d)), "account_at", EARLY_IND,
+                                         lifestyle="ls_scaled")
 
 
 # --------------------------------------------------------------------------
@@ -311,7 +317,7 @@ def q_engagement_funnel(spark, sf_dir):
 @register("dataflow_funnel", views("wide", "completions") + f""",
 st AS (SELECT DISTINCT participant_id FROM d_completions WHERE participant_id IS NOT NULL),
 f AS (SELECT w.*, st.participant_id IS NOT NULL AS started,
-             (rec_med_bmi IS NOT NULL OR rec_heartrisk IS NOT NULL OR rec_ls_stress_sum IS NOT NULL) AS has_scores
+             rec_ls_lifestyle_score IS NOT NULL AS has_scores
       FROM d_wide w LEFT JOIN st ON st.participant_id = w.participant_id),
 a AS (SELECT count(*) AS s0,
              sum(CASE WHEN rec_age_current IS NOT NULL THEN 1 ELSE 0 END) AS s1,
@@ -330,44 +336,65 @@ SELECT step, stage, CAST(n AS BIGINT) AS n, with_postcode,
        CAST(coalesce(lag(n) OVER (ORDER BY step) - n, 0) AS BIGINT) AS drop_since_previous FROM l""")
 def q_dataflow_funnel(spark, sf_dir):
     d = _d(spark, sf_dir)
-    return behaviour.dataflow_funnel(wide(d), d.completions, BINDING_SCORE_COLUMNS)
+    return behaviour.dataflow_funnel(wide(d), d.completions)
 
 
 ENG_BODY = """,
-comp AS (SELECT participant_id, sum(k) AS nc, max(k) AS maxk, count(DISTINCT questionnaire_id) AS nq FROM (
-           SELECT participant_id, questionnaire_id, count(*) AS k FROM d_completions WHERE participant_id IS NOT NULL
-           GROUP BY ALL) GROUP BY 1),
-art AS (SELECT DISTINCT participant_id FROM d_article_views WHERE participant_id IS NOT NULL),
+comp AS (SELECT participant_id, count(DISTINCT id) AS nc, count(DISTINCT questionnaire_id) AS nq FROM d_completions
+         WHERE participant_id IS NOT NULL GROUP BY 1),
+art AS (SELECT DISTINCT user_id FROM d_article_views WHERE user_id IS NOT NULL),
 buy AS (SELECT DISTINCT participant_id FROM d_purchases WHERE participant_id IS NOT NULL),
+size AS (SELECT store_id, count(DISTINCT id) AS n FROM d_participants GROUP BY 1),
+ch AS (SELECT p.store_id, count(DISTINCT p.id) AS n FROM d_participants p JOIN d_completions c ON c.participant_id = p.id
+       WHERE c.total > 300000 AND c.status IN ('F', 'O') GROUP BY 1),
 s AS (SELECT p.id AS participant_id, p.store_id,
-             CAST(CASE WHEN comp.nc >= 2 THEN 100 WHEN comp.nc = 1 THEN 50 ELSE 0 END AS DOUBLE) AS c_completion,
-             CAST(CASE WHEN comp.maxk > 1 THEN 100 ELSE 0 END AS DOUBLE) AS c_repeat,
-             CAST(least(coalesce(comp.nq, 0) * 100.0 / 5, 100.0) AS DOUBLE) AS c_breadth,
-             CAST(CASE WHEN art.participant_id IS NOT NULL THEN 100 ELSE 0 END AS DOUBLE) AS c_articles,
+             CAST(CASE WHEN w.rec_ls_lifestyle_score IS NOT NULL THEN 100 WHEN comp.nc > 0 THEN 50 ELSE 0 END AS DOUBLE)
+               AS c_completion,
+             CAST(CASE WHEN comp.nc >= 2 THEN 100 ELSE 0 END AS DOUBLE) AS c_repeat,
+             CAST(round(least(coalesce(comp.nq, 0), 5) * 100.0 / 5, 1) AS DOUBLE) AS c_breadth,
+             CAST(CASE WHEN art.user_id IS NOT NULL THEN 100 ELSE 0 END AS DOUBLE) AS c_articles,
              CAST(CASE WHEN buy.participant_id IS NOT NULL THEN 100 ELSE 0 END AS DOUBLE) AS c_purchase,
-             CAST(0 AS DOUBLE) AS c_challenge
-      FROM d_participants p LEFT JOIN comp ON comp.participant_id = p.id LEFT JOIN art ON art.participant_id = p.id
-      LEFT JOIN buy ON buy.participant_id = p.id),
-e AS (SELECT *, round((c_completion + c_repeat + c_breadth + c_articles + c_purchase + c_challenge) / 6.0, 1)
+             coalesce(least(CAST(ch.n AS DOUBLE) / size.n * 100, 100), 0) AS c_challenge
+      FROM d_participants p LEFT JOIN comp ON comp.participant_id = p.id LEFT JOIN art ON art.user_id = p.user_id
+      LEFT JOIN buy ON buy.participant_id = p.id LEFT JOIN d_wide w ON w.participant_id = p.id
+      LEFT JOIN ch ON ch.store_id = p.store_id LEFT JOIN size ON size.store_id = p.store_id),
+e AS (SELECT *, CAST(round(CAST((0.30 * c_completion + 0.20 * c_repeat + 0.15 * c_breadth + 0.15 * c_articles
+                + 0.10 * c_challenge + 0.10 * c_purchase) / CAST(1.0 AS DOUBLE) AS DECIMAL(28,9)), 1) AS DOUBLE)
                 AS engagement_score FROM s)
 """
 
 
-ENG_CTE = views("participants", "completions", "article_views", "purchases") + ENG_BODY
+ENG_VIEWS = ("wide", "participants", "completions", "article_views", "purchases")
 
 
-@register("engagement_scores", ENG_CTE + "SELECT * FROM e")
+def challenges(d):
+    """Stand-in challenge log: large completions; open ones are still running."""
+    who = d.participants.select(F.col("id").alias("user_ref"), "store_id")
+    done = d.completions.where(F.col("total") > 300000).select(F.col("participant_id").alias("user_ref"), F.when(
+        F.col("status") == "F", "Completed").when(F.col("status") == "O", "in_progress").otherwise("stopped").alias("status"))
+    return done.join(who, "user_ref")
+
+
+def _engagement(d):
+    scores = wide(d).select("participant_id", F.col("rec_ls_lifestyle_score").alias("lifestyle_score"))
+    return behaviour.engagement_scores(d.participants, scores, d.completions, article_views(d), purchases(d),
+                                       challenges(d), n_questionnaires=5)
+
+
+@register("engagement_scores", views(*ENG_VIEWS) + ENG_BODY + "SELECT * FROM e")
 def q_engagement_scores(spark, sf_dir):
-    d = _d(spark, sf_dir)
-    return behaviour.engagement_scores(d.participants, d.completions, article_views(d), purchases(d), None,
-                                       n_questionnaires=5)
+    return _engagement(_d(spark, sf_dir))
+
+
+ROUNDED = "CAST(round(CAST(avg({}) AS DECIMAL(28,9)), 1) AS DOUBLE)"
 
 
-@register("engagement_by_store", views("participants", "completions", "article_views", "purchases", "stores",
-                                        extra=[("names", STORE_NAMES_SQL)]) + ENG_BODY + f""",
-per AS (SELECT store_id, count(*) AS n_participants, avg(engagement_score) AS me, avg(c_completion) AS a1,
-               avg(c_repeat) AS a2, avg(c_breadth) AS a3, avg(c_articles) AS a4, avg(c_purchase) AS a5,
-               avg(c_challenge) AS a6 FROM e WHERE store_id IS NOT NULL GROUP BY 1),
+@register("engagement_by_store", views(*ENG_VIEWS, "stores", extra=[("names", STORE_NAMES_SQL)]) + ENG_BODY + f""",
+per AS (SELECT store_id, count(*) AS n_participants, {ROUNDED.format('engagement_score')} AS me,
+               {ROUNDED.format('c_completion')} AS a1, {ROUNDED.format('c_repeat')} AS a2,
+               {ROUNDED.format('c_breadth')} AS a3, {ROUNDED.format('c_articles')} AS a4,
+               {ROUNDED.format('c_purchase')} AS a5, {ROUNDED.format('c_challenge')} AS a6
+        FROM e WHERE store_id IS NOT NULL GROUP BY 1),
 b AS (SELECT sum(me * n_participants) / sum(n_participants) AS benchmark FROM per)
 SELECT per.store_id, per.n_participants, {r('me')} AS mean_engagement, {r('a1')} AS mean_completion,
        {r('a2')} AS mean_repeat, {r('a3')} AS mean_breadth, {r('a4')} AS mean_articles, {r('a5')} AS mean_purchase,
@@ -375,9 +402,7 @@ SELECT per.store_id, per.n_participants, {r('me')} AS mean_engagement, {r('a1')}
 FROM per LEFT JOIN names ON names.store_id = per.store_id, b""")
 def q_engagement_by_store(spark, sf_dir):
     d = _d(spark, sf_dir)
-    sc = behaviour.engagement_scores(d.participants, d.completions, article_views(d), purchases(d), None,
-                                     n_questionnaires=5)
-    return behaviour.engagement_by_store(sc, _names(d))
+    return behaviour.engagement_by_store(_engagement(d), _names(d))
 
 
 @register("link_coverage", views("history", "interactions", "participants", "stores", "app_users") + f""",

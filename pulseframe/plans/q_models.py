@@ -46,8 +46,11 @@ p AS (SELECT a.t AS t_high, b.t AS t_moderate, s.label,
              CASE WHEN s.p_high >= a.t THEN 2 WHEN s.p_moderate >= b.t THEN 1 ELSE 0 END AS pred
       FROM s, g a, g b),
 pc AS (SELECT t_high, t_moderate, label, avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END) AS rc FROM p GROUP BY ALL)
-SELECT t_high, t_moderate, {r('avg(rc)')} AS macro_recall FROM pc GROUP BY ALL
-ORDER BY avg(rc) DESC, t_high, t_moderate LIMIT 5""")
+SELECT t_high, t_moderate, CAST(round(CAST(avg(rc) AS DECIMAL(28,12)), 3) AS DOUBLE) AS macro_recall,
+       CAST(round(CAST(coalesce(max(rc) FILTER (label = 0), 0) AS DECIMAL(28,12)), 3) AS DOUBLE) AS recall_low,
+       CAST(round(CAST(coalesce(max(rc) FILTER (label = 1), 0) AS DECIMAL(28,12)), 3) AS DOUBLE) AS recall_moderate,
+       CAST(round(CAST(coalesce(max(rc) FILTER (label = 2), 0) AS DECIMAL(28,12)), 3) AS DOUBLE) AS recall_high
+FROM pc GROUP BY t_high, t_moderate ORDER BY macro_recall DESC, t_moderate, t_high LIMIT 5""")
 def q_threshold_scan(spark, sf_dir):
     return models.threshold_scan(scored(spark, sf_dir))
 
@@ -142,7 +145,7 @@ def _classification(spark, sf_dir, target, features, name):
     w = wide(Domain(spark, sf_dir))
     data, feats = models.prepare(w, features, target, "participant_id", classes=[0, 1, 2])
     train, test = models.split(data)
-    ms = models.train_classifier(train, feats, num_trees=20, max_depth=5)
+    ms = models.train_classifier(train, feats)
     pred = models.predict_classifier(ms, test, 3)
     return ms, feats, train, test, pred
 
@@ -165,7 +168,7 @@ def q_train_bp(spark, sf_dir):
 def _regression(spark, w, target, features):
     data, feats = models.prepare(w, features, target, "participant_id")
     train, test = models.split(data)
-    ms = models.train_regressor(train, feats, num_trees=20, max_depth=5, gbt_iter=15)
+    ms = models.train_regressor(train, feats)
     return ms, feats, test, models.predict_regressor(ms, test)
 
 
@@ -197,20 +200,22 @@ def q_train_improvement(spark, sf_dir):
 def _binary(spark, w, target, features, name):
     data, feats = models.prepare(w, features, target, "participant_id", classes=[0, 1])
     train, test = models.split(data)
-    ms = models.train_binary(train, feats, num_trees=20, gbt_iter=15)
+    ms = models.train_binary(train, feats)
     pred = models.predict_classifier(ms, test, 2)
     return _metrics_frame(spark, [(name, k, float(v)) for k, v in models.classification_metrics(pred).items()])
 
 
 @register("train_dropoff")
 def q_train_dropoff(spark, sf_dir):
-    w = wide(Domain(spark, sf_dir)).withColumn("dropped", F.col("rec_ls_stress_sum").isNull().cast("int"))
+    w = wide(Domain(spark, sf_dir)).withColumn("dropped", F.col("rec_ls_lifestyle_score").isNull().cast("int"))
     return _binary(spark, w, "dropped", ["rec_age_current", "balance", "rec_user_gender", "rec_med_bmi"], "dropoff")
 
 
 def purchase_target(w, purch):
     ok = purch.where(~F.lower(F.trim("status")).isin(list(rules.FAILED_STATUSES)))
-    return behaviour.buyer_flags(w, ok).withColumn("has_purchase", F.col("is_buyer").cast("int")).drop("is_buyer")
+    key = "participant_id" if {"participant_id"} <= {*w.columns} & {*ok.columns} else "user_id"
+    buyers = ok.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_buys", F.lit(1))
+    return w.join(buyers, key, "left").withColumn("has_purchase", F.coalesce("_buys", F.lit(0))).drop("_buys")
 
 
 @register("train_purchase")
@@ -235,18 +240,18 @@ def q_train_all(spark, sf_dir):
 
 
 @register("cv_metrics")
-def q_cv_metrics(spark, sf_dir, k: int = 3):
+def q_cv_metrics(spark, sf_dir, k: int = 5):
     w = wide(Domain(spark, sf_dir))
     data, feats = models.prepare(w, FEATURES, "rec_heartrisk_cat", "participant_id", classes=[0, 1, 2])
     data = models.fold_column(data, k)
     rows = []
     for f in range(k):
         train, test = data.where(F.col("_fold") != f), data.where(F.col("_fold") == f)
-        ms = models.train_classifier(train, feats, num_trees=20, max_depth=4)
+        ms = models.train_classifier(train, feats)
         m = models.classification_metrics(models.predict_classifier(ms, test, 3))
         rows += [(f, name, float(v)) for name, v in m.items()]
     folds = spark.createDataFrame(rows, "fold int, metric string, value double")
-    return folds.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+    return folds.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
                                        F.count(F.lit(1)).alias("folds"))
 
 
@@ -296,9 +301,9 @@ def q_improvement_target(spark, sf_dir):
 
 @register("purchase_target", """WITH p AS (SELECT user_id AS participant_id, user_id,
     CASE WHEN value < 5 THEN 'cancelled' ELSE 'completed' END AS status FROM events WHERE event_type = 'purchase'),
-ok AS (SELECT * FROM p WHERE lower(trim(status)) NOT IN ('cancelled', 'failed', 'refunded'))
-SELECT c_custkey AS participant_id, CAST((c_custkey IN (SELECT participant_id FROM ok)
-       OR c_custkey IN (SELECT user_id FROM ok)) AS INTEGER) AS has_purchase FROM customer""")
+ok AS (SELECT * FROM p WHERE lower(trim(status)) NOT IN ('cancelled', 'canceled', 'failed', 'refunded'))
+SELECT c_custkey AS participant_id, CAST(c_custkey IN (SELECT participant_id FROM ok) AS INTEGER) AS has_purchase
+FROM customer""")
 def q_purchase_target(spark, sf_dir):
     d = Domain(spark, sf_dir)
     w = wide(d).select("participant_id", "user_id")

@@ -98,6 +98,8 @@ def q_scatter_correlation(spark, sf_dir):
 @register("insights")
 def q_insights(spark, sf_dir):
     w = _w(spark, sf_dir)
-    n = w.agg(F.count(F.lit(1)).alias("n"))
-    return stats.insights(n, describe.data_quality(w, DQ_COLS), describe.outliers_iqr(w, MEASURES, LIMITS),
+    sex, age = F.col("rec_user_gender").cast("double"), F.col("rec_age_current").cast("double")
+    people = w.agg(F.count(F.lit(1)).alias("n"), F.count_if(sex == 0).alias("n_women"), F.count(sex).alias("n_gender"),
+                   F.avg(age).alias("mean_age"), F.min(age).alias("min_age"), F.max(age).alias("max_age"))
+    return stats.insights(people, describe.data_quality(w, DQ_COLS), describe.outliers_iqr(w, MEASURES, LIMITS),
                           stats.ttest_gender(w, MEASURES))
