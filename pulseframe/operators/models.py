@@ -105,7 +105,7 @@ def predict_classifier(models: list, df: DataFrame, n_classes: int) -> DataFrame
         out = t.select(*keep, vector_to_array(pcol).alias(f"_p{i}"))
         keep.append(f"_p{i}")
     avg = F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)),
-                      lambda j: sum((F.coalesce(F.col(f"_p{i}")[j], F.lit(0.0)) for i in range(len(models))),
+                      lambda j: sum((F.coalesce(F.get(F.col(f"_p{i}"), j), F.lit(0.0)) for i in range(len(models))),
                                     F.lit(0.0)) / len(models))
     out = out.withColumn("prob", avg).drop(*[f"_p{i}" for i in range(len(models))])
     best = F.array_position(F.col("prob"), F.array_max(F.col("prob"))) - 1
