@@ -9,6 +9,7 @@ prediction table and are checkable with SQL.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -17,8 +18,8 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionE
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,6 +27,10 @@ from pulseframe.functions.semantics import to_num
 from pulseframe.session import cut_lineage
 
 SEED = 42
+#: Rows of a training table that one task holds. The estimators run a job for
+#: every iteration or tree level, so a table in needlessly many pieces pays
+#: the scheduling of each piece hundreds of times.
+ROWS_PER_TASK = 50_000
 
 
 # --------------------------------------------------------------------------
@@ -48,7 +53,9 @@ def prepare(df: DataFrame, features: Sequence[str], target: str, id_col: str, cl
         raise ValueError(f"not enough data: {counts['_n']} rows, {len(feats)} features")
     # Iterative estimators scan the training data many times: keep it
     # (memory, spilling to disk; recomputed from lineage if an executor goes).
-    return x.select("_id", *feats, "label").persist(StorageLevel.MEMORY_AND_DISK), feats
+    # Callers release it with ``unpersist`` once their models are fitted.
+    x = x.select("_id", *feats, "label").repartition(counts["_n"] // ROWS_PER_TASK + 1)
+    return x.persist(StorageLevel.MEMORY_AND_DISK), feats
 
 
 def split(df: DataFrame, train_pct: int = 75, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -81,17 +88,27 @@ def balanced_weights(train: DataFrame) -> DataFrame:
 # training
 # --------------------------------------------------------------------------
 
+def fit_members(train: DataFrame, feats: Sequence[str], estimators: Sequence) -> list:
+    """One pipeline model per estimator, all on the same imputed and assembled
+    vectors: the preprocessing is fitted once and its result kept while they train."""
+    prep = Pipeline(stages=_assembler(feats)).fit(train)
+    ready = prep.transform(train).select("features", "label", *[c for c in train.columns if c == "w"])
+    ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fitted = [est.fit(ready) for est in estimators]
+    finally:
+        ready.unpersist()
+    return [PipelineModel(prep.stages + (m.stages if isinstance(m, PipelineModel) else [m])) for m in fitted]
+
+
 def train_classifier(train: DataFrame, feats: Sequence[str], num_trees: int = 60, max_depth: int = 6) -> list:
     """Soft-voting pair: balanced random forest + multinomial logistic regression."""
-    tw = balanced_weights(train)
-    rf = Pipeline(stages=_assembler(feats) + [RandomForestClassifier(
-        numTrees=num_trees, maxDepth=max_depth, seed=SEED, weightCol="w", probabilityCol="p_rf",
-        rawPredictionCol="raw_rf", predictionCol="pred_rf")]).fit(tw)
-    lr = Pipeline(stages=_assembler(feats) + [StandardScaler(inputCol="features", outputCol="zfeatures"),
-                                               LogisticRegression(featuresCol="zfeatures", weightCol="w", maxIter=100,
-                                                                  probabilityCol="p_lr", rawPredictionCol="raw_lr",
-                                                                  predictionCol="pred_lr")]).fit(tw)
-    return [rf, lr]
+    rf = RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=SEED, weightCol="w", probabilityCol="p_rf",
+                                rawPredictionCol="raw_rf", predictionCol="pred_rf")
+    lr = Pipeline(stages=[StandardScaler(inputCol="features", outputCol="zfeatures"),
+                          LogisticRegression(featuresCol="zfeatures", weightCol="w", maxIter=100, probabilityCol="p_lr",
+                                             rawPredictionCol="raw_lr", predictionCol="pred_lr")])
+    return fit_members(balanced_weights(train), feats, [rf, lr])
 
 
 def predict_classifier(models: list, df: DataFrame, n_classes: int) -> DataFrame:
@@ -114,11 +131,9 @@ def predict_classifier(models: list, df: DataFrame, n_classes: int) -> DataFrame
 
 def train_regressor(train: DataFrame, feats: Sequence[str], num_trees: int = 60, max_depth: int = 6,
                     gbt_iter: int = 40) -> list:
-    rf = Pipeline(stages=_assembler(feats) + [RandomForestRegressor(numTrees=num_trees, maxDepth=max_depth, seed=SEED,
-                                                                    predictionCol="pred_rf")]).fit(train)
-    gbt = Pipeline(stages=_assembler(feats) + [GBTRegressor(maxIter=gbt_iter, maxDepth=4, seed=SEED,
-                                                            predictionCol="pred_gbt")]).fit(train)
-    return [rf, gbt]
+    rf = RandomForestRegressor(numTrees=num_trees, maxDepth=max_depth, seed=SEED, predictionCol="pred_rf")
+    gbt = GBTRegressor(maxIter=gbt_iter, maxDepth=4, seed=SEED, predictionCol="pred_gbt")
+    return fit_members(train, feats, [rf, gbt])
 
 
 def predict_regressor(models: list, df: DataFrame) -> DataFrame:
@@ -136,14 +151,11 @@ def predict_regressor(models: list, df: DataFrame) -> DataFrame:
 
 def train_binary(train: DataFrame, feats: Sequence[str], num_trees: int = 60, gbt_iter: int = 30) -> list:
     """Binary target: balanced random forest + gradient-boosted trees."""
-    tw = balanced_weights(train)
-    rf = Pipeline(stages=_assembler(feats) + [RandomForestClassifier(
-        numTrees=num_trees, maxDepth=6, seed=SEED, weightCol="w", probabilityCol="p_rf", rawPredictionCol="raw_rf",
-        predictionCol="pred_rf")]).fit(tw)
-    gbt_est = (GBTClassifier(maxIter=gbt_iter, maxDepth=4, seed=SEED, weightCol="w")
-               .setProbabilityCol("p_gbt").setRawPredictionCol("raw_gbt").setPredictionCol("pred_gbt"))
-    gbt = Pipeline(stages=_assembler(feats) + [gbt_est]).fit(tw)
-    return [rf, gbt]
+    rf = RandomForestClassifier(numTrees=num_trees, maxDepth=6, seed=SEED, weightCol="w", probabilityCol="p_rf",
+                                rawPredictionCol="raw_rf", predictionCol="pred_rf")
+    gbt = (GBTClassifier(maxIter=gbt_iter, maxDepth=4, seed=SEED, weightCol="w")
+           .setProbabilityCol("p_gbt").setRawPredictionCol("raw_gbt").setPredictionCol("pred_gbt"))
+    return fit_members(balanced_weights(train), feats, [rf, gbt])
 
 
 # --------------------------------------------------------------------------
@@ -151,15 +163,29 @@ def train_binary(train: DataFrame, feats: Sequence[str], num_trees: int = 60, gb
 # --------------------------------------------------------------------------
 
 def classification_metrics(pred: DataFrame) -> dict:
+    pred = pred.select("label", "prediction").persist(StorageLevel.MEMORY_AND_DISK)
     ev = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction")
-    return {"accuracy": ev.setMetricName("accuracy").evaluate(pred),
-            "f1": ev.setMetricName("f1").evaluate(pred),
-            "macro_recall": macro_recall(pred).first()[0]}
+    out = {"accuracy": ev.setMetricName("accuracy").evaluate(pred),
+           "f1": ev.setMetricName("f1").evaluate(pred),
+           "macro_recall": macro_recall(pred).first()[0]}
+    pred.unpersist()
+    return out
 
 
 def regression_metrics(pred: DataFrame) -> dict:
+    pred = pred.select("label", "prediction").persist(StorageLevel.MEMORY_AND_DISK)
     ev = RegressionEvaluator(labelCol="label", predictionCol="prediction")
-    return {m: ev.setMetricName(m).evaluate(pred) for m in ("mae", "rmse", "r2")}
+    out = {m: ev.setMetricName(m).evaluate(pred) for m in ("mae", "rmse", "r2")}
+    pred.unpersist()
+    return out
+
+
+def in_threads(calls: Sequence) -> list:
+    """Results of independent fits, run side by side as Spark ML's own cross
+    validation does: the small jobs of one fill the gaps of the others."""
+    spark = SparkSession.active()
+    with ThreadPoolExecutor(max_workers=max(1, len(calls))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(c)) for c in calls]]
 
 
 def macro_recall(pred: DataFrame) -> DataFrame:

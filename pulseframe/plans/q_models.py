@@ -8,6 +8,9 @@ checked for rows and schema only.
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.functions import rules
@@ -146,6 +149,7 @@ def _classification(spark, sf_dir, target, features, name):
     data, feats = models.prepare(w, features, target, "participant_id", classes=[0, 1, 2])
     train, test = models.split(data)
     ms = models.train_classifier(train, feats)
+    data.unpersist()
     pred = models.predict_classifier(ms, test, 3)
     return ms, feats, train, test, pred
 
@@ -169,6 +173,7 @@ def _regression(spark, w, target, features):
     data, feats = models.prepare(w, features, target, "participant_id")
     train, test = models.split(data)
     ms = models.train_regressor(train, feats)
+    data.unpersist()
     return ms, feats, test, models.predict_regressor(ms, test)
 
 
@@ -201,6 +206,7 @@ def _binary(spark, w, target, features, name):
     data, feats = models.prepare(w, features, target, "participant_id", classes=[0, 1])
     train, test = models.split(data)
     ms = models.train_binary(train, feats)
+    data.unpersist()
     pred = models.predict_classifier(ms, test, 2)
     return _metrics_frame(spark, [(name, k, float(v)) for k, v in models.classification_metrics(pred).items()])
 
@@ -227,29 +233,33 @@ def q_train_purchase(spark, sf_dir):
 
 @register("train_all")
 def q_train_all(spark, sf_dir):
-    out = None
-    for fn in (q_train_heartrisk, q_train_bp, q_train_lifestyle, q_train_improvement, q_train_dropoff,
-               q_train_purchase):
+    fns = (q_train_heartrisk, q_train_bp, q_train_lifestyle, q_train_improvement, q_train_dropoff, q_train_purchase)
+    wide(Domain(spark, sf_dir))  # written once before the fits read it side by side
+
+    def fit(fn):
         try:
-            part = fn(spark, sf_dir).withColumn("error", F.lit(None).cast("string"))
+            return fn(spark, sf_dir).withColumn("error", F.lit(None).cast("string"))
         except Exception as e:  # noqa: BLE001 - one failing model must not stop the others
-            part = spark.createDataFrame([(fn.__name__[8:], "error", None, str(e)[:200])],
+            return spark.createDataFrame([(fn.__name__[8:], "error", None, str(e)[:200])],
                                          "model string, metric string, value double, error string")
-        out = part if out is None else out.unionByName(part)
-    return out
+
+    return reduce(DataFrame.unionByName, models.in_threads([partial(fit, fn) for fn in fns]))
 
 
 @register("cv_metrics")
 def q_cv_metrics(spark, sf_dir, k: int = 5):
     w = wide(Domain(spark, sf_dir))
-    data, feats = models.prepare(w, FEATURES, "rec_heartrisk_cat", "participant_id", classes=[0, 1, 2])
-    data = models.fold_column(data, k)
-    rows = []
-    for f in range(k):
+    kept, feats = models.prepare(w, FEATURES, "rec_heartrisk_cat", "participant_id", classes=[0, 1, 2])
+    data = models.fold_column(kept, k)
+
+    def fold(f):
         train, test = data.where(F.col("_fold") != f), data.where(F.col("_fold") == f)
         ms = models.train_classifier(train, feats)
         m = models.classification_metrics(models.predict_classifier(ms, test, 3))
-        rows += [(f, name, float(v)) for name, v in m.items()]
+        return [(f, name, float(v)) for name, v in m.items()]
+
+    rows = [r for part in models.in_threads([partial(fold, f) for f in range(k)]) for r in part]
+    kept.unpersist()
     folds = spark.createDataFrame(rows, "fold int, metric string, value double")
     return folds.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
                                        F.count(F.lit(1)).alias("folds"))
