@@ -45,10 +45,10 @@ WINDOW_WORDS = 20
 MER_WORDS = 5
 HOT_SHARE = 1 << 17
 #: Packed bytes in one bucket, text bytes in one group of documents.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 14 << 20
 GROUP_BYTES = 12 << 20
 #: Packed bytes a map task gathers before it writes its buckets' rows.
-GATHERED = 48 << 20
+GATHERED = 32 << 20
 _NO_ID = np.iinfo(np.int64).max
 _TOP = np.uint64(1 << 63)
 
