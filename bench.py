@@ -21,6 +21,7 @@ ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 
 from pulseframe.plans import catalog  # noqa: E402
+from pulseframe.plans.bindings import Domain, wide  # noqa: E402
 from pulseframe.session import build_session, ensure_checkpoint_dir  # noqa: E402
 
 
@@ -53,8 +54,13 @@ def main() -> None:
                 qs[n](spark, warm_dir).write.format("noop").mode("overwrite").save()
             except Exception:  # noqa: BLE001 - the timed run reports failures
                 pass
-    run("month_trend_by_store")
+    # The stored tables are built first, each under an entry of its own, so
+    # that no query is charged for them and none of their work goes unseen.
     times, failed = {}, {}
+    for n, build in (("build_score_history", lambda d: d.history), ("build_users_met_scores", wide)):
+        t = time.perf_counter()
+        build(Domain(spark, sf_dir))
+        times[n] = round(time.perf_counter() - t, 3)
     for n in names:
         try:
             times[n] = round(run(n), 3)

@@ -366,7 +366,8 @@ def dataflow_funnel(wide: DataFrame, completions: DataFrame,
                     score_cols: Sequence[str] = ("rec_ls_lifestyle_score",)) -> DataFrame:
     """Sequential steps registered -> age known -> gender known -> started a
     questionnaire -> has a lifestyle score; each step requires the previous ones. Per
-    step: count, percent of the first step and drop since the previous step.
+    step: count, percent of the first step, drop since the previous step and
+    its percent.
     A parallel metric counts participants with a name-like field (postcode)."""
     started = completions.select("participant_id").where(F.col("participant_id").isNotNull()).distinct()
     f = wide.join(started.withColumn("_started", F.lit(True)), "participant_id", "left")
@@ -386,8 +387,28 @@ def dataflow_funnel(wide: DataFrame, completions: DataFrame,
                                                    F.col(f"s{i}").alias("n")) for i, (n, _) in enumerate(steps)]))
                       .alias("s"), "with_postcode").select("s.*", "with_postcode")
     w = Window.orderBy("step")
+    before = F.lag("n").over(w)
     return (long.withColumn("pct_of_start", F.col("n") * 100.0 / F.first("n").over(w))
-                .withColumn("drop_since_previous", F.coalesce(F.lag("n").over(w) - F.col("n"), F.lit(0)).cast("long")))
+                .withColumn("drop_since_previous", F.coalesce(before - F.col("n"), F.lit(0)).cast("long"))
+                .withColumn("pct_dropped", F.coalesce(F.round((before - F.col("n")) * 100.0 / F.greatest(before, F.lit(1)), 1),
+                                                      F.lit(0.0))))
+
+
+def funnel_name_metric(wide: DataFrame, bridge: DataFrame) -> DataFrame:
+    """One row beside the data-flow funnel: participants with a name, their
+    percent of all, and how many (and what percent) of those with a known age
+    have none. ``bridge`` is ``linking.funnel_bridge``."""
+    j = bridge.join(wide.select("participant_id", to_num("rec_age_current").alias("_age")), "participant_id", "left")
+    aged = F.col("_age").isNotNull()
+    agg = j.agg(F.count(F.lit(1)).alias("_all"), F.count(F.when(F.col("has_name"), 1)).alias("n"),
+                F.count(F.when(aged, 1)).alias("_aged"),
+                F.count(F.when(aged & F.col("has_name"), 1)).alias("n_after_age"), F.count("user_id").alias("with_user"))
+    drop = F.greatest(F.col("_aged") - F.col("n_after_age"), F.lit(0))
+    one = F.lit(1)
+    return agg.select(F.lit("Naam ingevuld").alias("stage"), "n", "n_after_age", "with_user",
+                      F.round(F.col("n") * 100.0 / F.greatest("_all", one), 1).alias("pct_of_start"),
+                      drop.alias("drop_since_age"),
+                      F.round(drop * 100.0 / F.greatest("_aged", one), 1).alias("pct_drop_since_age"))
 
 
 # Engagement component weights (fixed values; normalised to a sum of 1).

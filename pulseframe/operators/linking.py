@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.functions.semantics import null_if_text_null
+from pulseframe.functions.semantics import null_if_text_null, to_num
 
 
 def not_deleted(df: DataFrame, *cols: str) -> DataFrame:
@@ -131,6 +131,78 @@ def store_fallback(participants: DataFrame, store_employees: DataFrame) -> DataF
                      F.when(F.col("_any_store"), F.col("store_id")).otherwise(F.col("_emp_store")).alias("store_id")))
 
 
+# Address columns that enrichment adds (fixed values).
+ADDRESS_COLUMNS = ("lat", "long", "city", "country", "postal_code")
+
+
+def live_user_addresses(addresses: DataFrame, order: str = "id", newest: bool = True) -> DataFrame:
+    """(app_user_id, address columns): the newest (largest ``order``) address
+    of each user, or the oldest, of those that are not deleted and belong to a
+    user. One ``max_by`` aggregate, combined map-side."""
+    cols = [c for c in (*ADDRESS_COLUMNS, "first_name", "last_name") if c in addresses.columns]
+    live = not_deleted(addresses, "deleted_at")
+    if "model_type" in addresses.columns:
+        live = live.where(F.col("model_type") == "user")
+    live = live.select(to_num("model_id").cast("long").alias("app_user_id"), F.col(order).alias("_o"), *cols)
+    pick = F.max_by if newest else F.min_by
+    best = live.where(F.col("app_user_id").isNotNull()).groupBy("app_user_id").agg(pick(F.struct(*cols), "_o").alias("_a"))
+    return best.select("app_user_id", "_a.*")
+
+
+def enrich_address(rows: DataFrame, addresses: DataFrame, bridge: DataFrame | None = None, order: str = "id") -> DataFrame:
+    """Rows LEFT the newest live address of their app user.
+
+    The app user is ``user_id`` when that finds an address for any row (one
+    decision for the whole table); else an ``app_user_id`` column with any
+    value; else the user that ``bridge`` (public_id, app_user_id) names for
+    the row's ``public_id`` (the smallest if several). Adds ``app_user_id``
+    and the address columns, with ``_addr`` behind names the rows already
+    have; NULL where nothing is found."""
+    best = live_user_addresses(addresses, order).select("app_user_id", *[c for c in ADDRESS_COLUMNS if c in addresses.columns])
+    own = F.col("app_user_id") if "app_user_id" in rows.columns else F.lit(None).cast("long")
+    direct = to_num("user_id").cast("long") if "user_id" in rows.columns else F.lit(None).cast("long")
+    x = rows.withColumns({"_direct": direct, "_own": own.cast("long")}).drop("app_user_id")
+    hits = x.select("_direct").join(best.select(F.col("app_user_id").alias("_direct")), "_direct", "left_semi")
+    rule = hits.agg((F.count(F.lit(1)) > 0).alias("_any_direct")).crossJoin(
+        x.agg((F.count("_own") > 0).alias("_any_own")))  # one row
+    if bridge is not None and "public_id" in rows.columns:
+        b = (bridge.where(F.col("app_user_id").isNotNull()).groupBy(F.col("public_id").cast("string").alias("_public"))
+             .agg(F.min("app_user_id").cast("long").alias("_bridged")))
+        x = x.withColumn("_public", F.col("public_id").cast("string")).join(b, "_public", "left").drop("_public")
+    else:
+        x = x.withColumn("_bridged", F.lit(None).cast("long"))
+    x = x.crossJoin(F.broadcast(rule))  # one row
+    user = F.when(F.col("_any_direct"), F.col("_direct")).when(F.col("_any_own"), F.col("_own")).otherwise(F.col("_bridged"))
+    x = x.withColumn("app_user_id", user).drop("_direct", "_own", "_bridged", "_any_direct", "_any_own")
+    names = {c: f"{c}_addr" if c in rows.columns else c for c in best.columns if c != "app_user_id"}
+    return x.join(best.withColumnsRenamed(names), "app_user_id", "left").select(
+        *[c for c in rows.columns if c != "app_user_id"], "app_user_id", *names.values())
+
+
+def geo_points(rows: DataFrame, keep: tuple[str, ...] = ("participant_id", "postal_code"), lat: str = "lat",
+               lon: str = "long") -> DataFrame:
+    """Rows whose coordinates are both numbers, as (kept columns, lat, lon)."""
+    return (rows.select(*[c for c in keep if c in rows.columns], to_num(lat).alias("lat"), to_num(lon).alias("lon"))
+            .where(F.col("lat").isNotNull() & F.col("lon").isNotNull()))
+
+
+def funnel_bridge(participants: DataFrame, app_users: DataFrame, users: DataFrame, addresses: DataFrame,
+                  order: str = "id") -> DataFrame:
+    """(participant_id, user_id, has_name): each participant's app user (the
+    smallest) and whether the user's name or the first or last name of the
+    user's first live address holds more than blanks."""
+    user = link_participant_user(participants, app_users)
+    named = users.select(F.col("id").alias("user_id"), F.col("name").alias("_user_name"))
+    addr = live_user_addresses(addresses, order, newest=False).select(
+        F.col("app_user_id").alias("user_id"), F.col("first_name").alias("_first"), F.col("last_name").alias("_last"))
+    filled = F.lit(False)
+    for c in ("_user_name", "_first", "_last"):
+        filled = filled | F.coalesce(F.length(F.trim(F.col(c))) > 0, F.lit(False))
+    p = participants.select(F.col("id").alias("participant_id")).where(F.col("participant_id").isNotNull()).distinct()
+    return (p.join(user, "participant_id", "left").join(named, "user_id", "left").join(addr, "user_id", "left")
+            .select("participant_id", "user_id", filled.alias("has_name")))
+
+
 def newest_participant_per_user(participants: DataFrame) -> DataFrame:
     """user_id -> the participant with the largest id."""
     return (participants.where(F.col("user_id").isNotNull()).groupBy("user_id")

@@ -212,18 +212,55 @@ def migration_matrix(history: DataFrame, slug: str, category: str, participant:
     return per_p.groupBy("from_code", "to_code").agg(F.count(F.lit(1)).alias("n"))
 
 
+# ==========================================================================
+# FIXED VALUES: bin edges and labels per score slug of the risk migration
+# ==========================================================================
+MIGRATION_BINS = {
+    "bmi": ([-0.1, 18.5, 25.0, 30.0, 1000.0],
+            ["Ondergewicht (<18.5)", "Normaal gewicht (18.5-25)", "Overgewicht (25-30)", "Obesitas (>30)"]),
+    "fruit": ([-0.1, 0.5, 1.5, 10000.0], ["Weinig (<1/dag)", "Matig (~1/dag)", "Veel (≥2/dag)"]),
+    "vegetables": ([-0.1, 150.0, 250.0, 100000.0], ["Laag (<150g)", "Matig (150-250g)", "Veel (≥250g)"]),
+    "stress": ([-0.1, 5.0, 14.0, 100.0], ["Weinig stress (<5)", "Matig stress (5-14)", "Veel stress (>14)"]),
+    "dass_stress": ([-0.1, 14.0, 18.0, 25.0, 100.0],
+                    ["Normaal (0-14)", "Matig (15-18)", "Ernstig (19-25)", "Zeer ernstig (>25)"]),
+    "dass_anxiety": ([-0.1, 7.0, 9.0, 14.0, 100.0],
+                     ["Normaal (0-7)", "Matig (8-9)", "Ernstig (10-14)", "Zeer ernstig (>14)"]),
+    "dass_depression": ([-0.1, 9.0, 13.0, 20.0, 100.0],
+                        ["Normaal (0-9)", "Matig (10-13)", "Ernstig (14-20)", "Zeer ernstig (>20)"]),
+    "sleep": ([-0.1, 5.0, 10.0, 100.0], ["Goed (PSQI ≤5)", "Matig (PSQI 6-10)", "Slecht (PSQI >10)"]),
+    "alcohol": ([-0.1, 0.5, 14.0, 1000.0], ["Geen/Zelden (<1/wk)", "Matig (1-14/wk)", "Hoog (>14/wk)"]),
+    "sugar": ([-0.1, 25.0, 50.0, 10000.0], ["Laag (<25g)", "Matig (25-50g)", "Hoog (>50g)"]),
+    "fat": ([-0.1, 22.0, 35.0, 10000.0], ["Laag (<22g)", "Matig (22-35g)", "Hoog (>35g)"]),
+    "salt": ([-0.1, 2400.0, 3500.0, 100000.0], ["Laag (<2400mg)", "Matig (2400-3500mg)", "Hoog (>3500mg)"]),
+    "blood_pressure": ([-0.1, 0.5, 1.5, 10.0], ["Normaal", "Verhoogd", "Hoog"]),
+    "steps": ([-0.1, 5000.0, 10000.0, 100000.0], ["Weinig (<5.000)", "Matig (5.000-10.000)", "Veel (>10.000)"]),
+    "exercise": ([-0.1, 150.0, 300.0, 10000.0],
+                 ["Onvoldoende (<150 min)", "Voldoende (150-300 min)", "Actief (>300 min)"]),
+    "wellbeing": ([-0.1, 50.0, 75.0, 100.0],
+                  ["Laag welzijn (<50)", "Matig welzijn (50-75)", "Hoog welzijn (>75)"]),
+    "resilience": ([-0.1, 20.0, 30.0, 40.0], ["Laag (<20)", "Gemiddeld (20-30)", "Hoog (>30)"]),
+    "workload": ([-0.1, 3.0, 7.0, 10.0],
+                 ["Lage werkdruk (<3)", "Normale werkdruk (3-7)", "Hoge werkdruk (>7)"]),
+    "job_satisfaction": ([-0.1, 5.0, 7.5, 10.0], ["Ontevreden (<5)", "Voldoende (5-7.5)", "Tevreden (>7.5)"]),
+    "lifestyle": ([-0.1, 60.0, 80.0, 100.0], ["Matig (<60)", "Voldoende (60-80)", "Uitstekend (>80)"]),
+    "heartrisk": ([-0.1, 0.5, 1.5, 10.0], ["Laag risico", "Matig risico", "Hoog risico"]),
+}
+# ==========================================================================
+
+
 def migration_binned(history: DataFrame, slug: str, participant: str = "participant_id", slug_col: str = "slug",
                      value: str = "score_value", at: str = "completion_created_at", tiebreak: str = "id",
                      bins: tuple[list[float], list[str]] | None = None, n_bins: int = 5,
                      max_unique: int = 6) -> DataFrame:
     """First -> last value per participant (>= 2 measurements), binned by the
-    configured edges, else by the values themselves when there are at most
+    given edges or those of ``MIGRATION_BINS`` for the slug, else by the values themselves when there are at most
     ``max_unique`` integer-like values, else by pooled quantile edges
     (``n_bins`` bins, duplicate edges removed). Counts per (from, to) code.
 
     The choice between the three rules is a one-row aggregate over the pairs;
     pooled quantiles come from one exact ``percentile`` aggregate.
     """
+    bins = bins or MIGRATION_BINS.get(slug)
     h = history.where(F.col(slug_col) == slug)
     v = F.col(value).cast("double")
     pairs = (h.groupBy(participant).agg(F.count(F.lit(1)).alias("_n"), first_non_null(v, at, tiebreak).alias("v_from"),
@@ -270,6 +307,12 @@ def migration_binned(history: DataFrame, slug: str, participant: str = "particip
                .groupBy("from_code", "to_code").agg(F.count(F.lit(1)).alias("n")))
 
 
+def migration_labels(matrix: DataFrame, labels: list[str]) -> DataFrame:
+    """Names for the codes of a binned migration matrix."""
+    names = F.array(*[F.lit(x) for x in labels])
+    return matrix.withColumns({f"{c}_label": F.get(names, F.col(f"{c}_code").cast("int")) for c in ("from", "to")})
+
+
 def migration_flows(matrix: DataFrame, higher_is_better: bool = False) -> DataFrame:
     """Per (from, to): count, percent of the source category, totals per
     category at first/last measurement, and the direction (better / worse /

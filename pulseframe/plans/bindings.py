@@ -321,3 +321,41 @@ SQL.update({
     "products": "SELECT p_partkey AS id, p_name AS name, p_retailprice AS price FROM part",
     "titles": "SELECT p_partkey AS content_id, p_name AS title FROM part",
 })
+
+
+# --------------------------------------------------------------------------
+# Addresses and user accounts (two address rows per customer, the later one
+# deleted for customers in debt; every seventh belongs to a store)
+# --------------------------------------------------------------------------
+
+SQL.update({
+    "addresses": """SELECT c_custkey * 2 + k AS id, c_custkey AS model_id,
+        CASE WHEN c_custkey % 7 = 0 THEN 'store' ELSE 'user' END AS model_type,
+        CASE WHEN k = 1 AND c_acctbal < 0 THEN '2020-01-01' END AS deleted_at,
+        CASE WHEN c_custkey % 5 = 0 THEN 'unknown' ELSE CAST(n_nationkey + k AS VARCHAR) END AS lat,
+        CAST(n_regionkey AS VARCHAR) AS long, n_name AS city, r_name AS country, right(c_name, 4) AS postal_code,
+        CASE WHEN k = 0 AND c_custkey % 3 = 0 THEN c_name ELSE ' ' END AS first_name, CAST(NULL AS VARCHAR) AS last_name
+        FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey,
+             (SELECT 0 AS k UNION ALL SELECT 1 AS k)""",
+    "accounts": "SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'BUILDING' THEN c_name ELSE '' END AS name FROM customer",
+})
+
+
+def addresses(d: Domain) -> DataFrame:
+    n, g = d.t.nation, d.t.region
+    x = (d.t.customer.join(n, F.col("c_nationkey") == n["n_nationkey"]).join(g, n["n_regionkey"] == g["r_regionkey"])
+         .withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))))
+    key = F.col("c_custkey")
+    return x.select((key * 2 + F.col("k")).alias("id"), key.alias("model_id"),
+                    F.when(key % 7 == 0, "store").otherwise("user").alias("model_type"),
+                    F.when((F.col("k") == 1) & (F.col("c_acctbal") < 0), "2020-01-01").alias("deleted_at"),
+                    F.when(key % 5 == 0, "unknown").otherwise((F.col("n_nationkey") + F.col("k")).cast("string")).alias("lat"),
+                    F.col("n_regionkey").cast("string").alias("long"), F.col("n_name").alias("city"),
+                    F.col("r_name").alias("country"), F.substring("c_name", -4, 4).alias("postal_code"),
+                    F.when((F.col("k") == 0) & (key % 3 == 0), F.col("c_name")).otherwise(" ").alias("first_name"),
+                    F.lit(None).cast("string").alias("last_name"))
+
+
+def accounts(d: Domain) -> DataFrame:
+    return d.t.customer.select(F.col("c_custkey").alias("id"),
+                               F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_name")).otherwise("").alias("name"))

@@ -333,7 +333,9 @@ l AS (SELECT 1 AS step, 'Geregistreerd' AS stage, s0 AS n, with_postcode FROM a
       UNION ALL SELECT 5, 'Scores beschikbaar', s4, with_postcode FROM a)
 SELECT step, stage, CAST(n AS BIGINT) AS n, with_postcode,
        {r('n * 100.0 / first(n) OVER (ORDER BY step)')} AS pct_of_start,
-       CAST(coalesce(lag(n) OVER (ORDER BY step) - n, 0) AS BIGINT) AS drop_since_previous FROM l""")
+       CAST(coalesce(lag(n) OVER (ORDER BY step) - n, 0) AS BIGINT) AS drop_since_previous,
+       coalesce(round((lag(n) OVER (ORDER BY step) - n) * 100.0 / greatest(lag(n) OVER (ORDER BY step), 1), 1), 0.0)::DOUBLE
+       AS pct_dropped FROM l""")
 def q_dataflow_funnel(spark, sf_dir):
     d = _d(spark, sf_dir)
     return behaviour.dataflow_funnel(wide(d), d.completions)

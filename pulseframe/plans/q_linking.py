@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulseframe.operators import behaviour, linking
-from pulseframe.plans.bindings import (BINDING_SCORE_COLUMNS, BINDING_SLUG_COLUMNS, Domain, article_views, products,
+from pulseframe.plans.bindings import (BINDING_SCORE_COLUMNS, BINDING_SLUG_COLUMNS, Domain, accounts, addresses,
+                                       article_views, products,
                                        purchases, views)
 from pulseframe.plans.catalog import r, register
 from pulseframe.plans.consolidate import latest_scores_wide, store_month_averages
@@ -186,3 +187,69 @@ def q_overlap_counts(spark, sf_dir):
     d = _d(spark, sf_dir)
     return linking.overlap_counts({"scored": d.history, "buyers": purchases(d), "readers": article_views(d)},
                                   "participant_id")
+
+
+NEWEST_SQL = """newest AS (SELECT model_id, arg_max(struct_pack(lat := lat, long := long, city := city, country := country,
+    postal_code := postal_code), id) AS a FROM d_addresses WHERE model_type = 'user' AND deleted_at IS NULL GROUP BY 1)"""
+ADDRESS_SELECT = """, a.lat AS lat, a.long AS long, a.city AS city, a.country AS country, a.postal_code AS postal_code_addr"""
+
+
+@register("enrich_address", views("participants", "addresses") + f""", {NEWEST_SQL}
+SELECT p.id AS participant_id, p.user_id, p.postal_code, p.user_id AS app_user_id {ADDRESS_SELECT}
+FROM d_participants p LEFT JOIN newest ON newest.model_id = p.user_id""")
+def q_enrich_address(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    rows = d.participants.select(F.col("id").alias("participant_id"), "user_id", "postal_code")
+    return linking.enrich_address(rows, addresses(d))
+
+
+@register("enrich_address_bridge", views("participants", "app_users", "addresses") + f""", {NEWEST_SQL},
+b AS (SELECT qe_participant_id AS public_id, min(user_id) AS app_user_id FROM d_app_users GROUP BY 1)
+SELECT p.id AS participant_id, p.public_id, p.postal_code, b.app_user_id {ADDRESS_SELECT}
+FROM d_participants p LEFT JOIN b ON b.public_id = p.public_id LEFT JOIN newest ON newest.model_id = b.app_user_id""")
+def q_enrich_address_bridge(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    rows = d.participants.select(F.col("id").alias("participant_id"), "public_id", "postal_code")
+    bridge = d.app_users.select(F.col("qe_participant_id").alias("public_id"), F.col("user_id").alias("app_user_id"))
+    return linking.enrich_address(rows, addresses(d), bridge)
+
+
+@register("geo_points", views("participants", "addresses") + f""", {NEWEST_SQL}
+SELECT p.id AS participant_id, p.postal_code, TRY_CAST(a.lat AS DOUBLE) AS lat, TRY_CAST(a.long AS DOUBLE) AS lon
+FROM d_participants p JOIN newest ON newest.model_id = p.user_id
+WHERE TRY_CAST(a.lat AS DOUBLE) IS NOT NULL AND TRY_CAST(a.long AS DOUBLE) IS NOT NULL""")
+def q_geo_points(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    rows = d.participants.select(F.col("id").alias("participant_id"), "user_id", "postal_code")
+    return linking.geo_points(linking.enrich_address(rows, addresses(d)))
+
+
+BRIDGE_SQL = """u AS (SELECT p.id AS participant_id, min(a.user_id) AS user_id FROM d_participants p
+    LEFT JOIN d_app_users a ON a.qe_participant_id = p.public_id GROUP BY 1),
+oldest AS (SELECT model_id, arg_min(first_name, id) AS first_name FROM d_addresses
+    WHERE model_type = 'user' AND deleted_at IS NULL GROUP BY 1),
+bridge AS (SELECT u.participant_id, u.user_id, (coalesce(length(trim(c.name)), 0) > 0
+    OR coalesce(length(trim(o.first_name)), 0) > 0) AS has_name
+    FROM u LEFT JOIN d_accounts c ON c.id = u.user_id LEFT JOIN oldest o ON o.model_id = u.user_id)"""
+
+
+def _bridge(d):
+    return linking.funnel_bridge(d.participants, d.app_users, accounts(d), addresses(d))
+
+
+@register("join_funnel_bridge", views("participants", "app_users", "accounts", "addresses") + f""", {BRIDGE_SQL}
+SELECT participant_id, user_id, has_name FROM bridge""")
+def q_join_funnel_bridge(spark, sf_dir):
+    return _bridge(_d(spark, sf_dir))
+
+
+@register("funnel_name_metric", views("app_users", "accounts", "addresses", "wide") + f""", {BRIDGE_SQL},
+t AS (SELECT count(*) AS n_all, count(*) FILTER (has_name) AS n, count(rec_age_current) AS aged,
+             count(rec_age_current) FILTER (has_name) AS n_after_age, count(b.user_id) AS with_user
+      FROM bridge b LEFT JOIN d_wide w ON w.participant_id = b.participant_id)
+SELECT 'Naam ingevuld' AS stage, n, n_after_age, with_user, round(n * 100.0 / greatest(n_all, 1), 1)::DOUBLE AS pct_of_start,
+       aged - n_after_age AS drop_since_age, round((aged - n_after_age) * 100.0 / greatest(aged, 1), 1)::DOUBLE AS pct_drop_since_age
+FROM t""")
+def q_funnel_name_metric(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    return behaviour.funnel_name_metric(wide(d), _bridge(d))

@@ -235,6 +235,22 @@ def q_migration_binned_config(spark, sf_dir):
     return longitudinal.migration_binned(_h(spark, sf_dir), "A", bins=CONFIG_BINS)
 
 
+BMI_EDGES, BMI_LABELS = longitudinal.MIGRATION_BINS["bmi"]
+
+
+@register("migration_binned_bmi", H + f""", pr AS ({MIG_PAIRS.format(v='score_value', slug='A')}),
+p AS (SELECT * FROM pr WHERE n >= 2 AND v_from IS NOT NULL AND v_to IS NOT NULL)
+SELECT * FROM (SELECT {cut_sql('v_from', BMI_EDGES, None, True, True)} AS from_code,
+       {cut_sql('v_to', BMI_EDGES, None, True, True)} AS to_code, count(*) AS n,
+       {cut_sql('v_from', BMI_EDGES, BMI_LABELS, True, True)} AS from_label,
+       {cut_sql('v_to', BMI_EDGES, BMI_LABELS, True, True)} AS to_label FROM p GROUP BY ALL)
+WHERE from_code IS NOT NULL AND to_code IS NOT NULL""")
+def q_migration_binned_bmi(spark, sf_dir):
+    """The configured bins of a slug are found by its name."""
+    h = _h(spark, sf_dir).withColumn("slug", F.when(F.col("slug") == "A", "bmi").otherwise(F.col("slug")))
+    return longitudinal.migration_labels(longitudinal.migration_binned(h, "bmi"), BMI_LABELS)
+
+
 ENG_SQL = views("completions", "participants", "stores", extra=[("links", LINKS_SQL)]) + """
 , c AS (SELECT l.store_id, l.store_name, c.participant_id, CAST(date_trunc('month', c.created_at) AS TIMESTAMP) AS month
         FROM d_completions c JOIN links l ON l.participant_id = c.participant_id

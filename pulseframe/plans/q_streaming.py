@@ -29,13 +29,19 @@ def q_login_bursts(spark, sf_dir):
     return bursts.bursts_batch(_failures(ev), "user_id", "ts", WINDOW_S, MAX_ATTEMPTS)
 
 
+@register("login_bursts_lockout", BURSTS_SQL.replace(f"{WINDOW_S} SECOND", "600 SECOND"))
+def q_login_bursts_lockout(spark, sf_dir):
+    """The login page's own rule: five failures within 600 seconds."""
+    return bursts.bursts_batch(_failures(Tables(spark, sf_dir).events), "user_id", "ts", 600, MAX_ATTEMPTS)
+
+
 @register("login_bursts_stream", BURSTS_SQL)
 def q_login_bursts_stream(spark, sf_dir):
     t = Tables(spark, sf_dir)
     src = bursts.stream_source(spark, f"{t.sf_dir}/events.parquet", t.events)
     out = bursts.run_to_table(spark, bursts.bursts_stream(_failures(src), "user_id", "ts", WINDOW_S, MAX_ATTEMPTS),
                               "login_bursts")
-    res = spark.read.parquet(out)
+    res = bursts.settled(spark.read.parquet(out))
     return res.select(F.col("key").alias("user_id"), F.col("at").cast("timestamp_ntz").alias("ts"),
                       "n_in_window", F.col("locked_until").cast("timestamp_ntz").alias("locked_until"))
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from pulseframe.functions.semantics import to_ts
 from pulseframe.operators.reshape import latest_per_key
@@ -125,6 +126,38 @@ def sniff_header(spark: SparkSession, path: str, terms: Sequence[str] = HEADER_T
             .select("file", F.col("h.at").alias("at"), F.col("h.value").alias("header")))
 
 
+def _joined_records(body: DataFrame) -> DataFrame:
+    """(at, value) lines -> (at, value) records: a line with an odd number of
+    quotes opens a field that runs on to the next such line of its file.
+
+    Where no line has an odd number there is nothing to join and the lines
+    pass as they are. Otherwise the quotes are counted per split, the counts
+    before a split are added up over the (few) splits of its file, and a
+    window over the lines of one split tells which of them start a record;
+    only the lines of records that span several are gathered."""
+    odd = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    q = body.select("at", F.col("at.file").alias("file"), F.col("at.split").alias("split"), "value", (odd % 2).alias("q"))
+    if q.where("q = 1").isEmpty():
+        return body
+    before = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = (q.groupBy("file", "split").agg(F.sum("q").alias("_q"))
+              .withColumn("_q_before", F.coalesce(F.sum("_q").over(earlier), F.lit(0))).drop("_q"))
+    told = (q.join(splits, ["file", "split"])
+            .withColumn("_open", (F.col("_q_before") + F.coalesce(F.sum("q").over(before), F.lit(0))) % 2 == 1)
+            .withColumn("_start", F.when(~F.col("_open"), F.col("at"))))
+    # A split may begin inside a record: its start is the last one before the split.
+    last = (told.groupBy("file", "split").agg(F.max("_start").alias("_last"))
+            .withColumn("_carried", F.max("_last").over(earlier)).drop("_last"))
+    told = (told.join(last, ["file", "split"])
+            .withColumn("_record", F.coalesce(F.max("_start").over(upto), "_carried", "at")))
+    whole = ~F.col("_open") & (F.col("q") == 0)
+    pieces = (told.where(~whole).groupBy("_record").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("_p"))
+              .select(F.col("_record").alias("at"), F.array_join(F.transform("_p", lambda x: x["value"]), "\n").alias("value")))
+    return told.where(whole).select("at", "value").unionByName(pieces)
+
+
 def read_csv_sniffed(spark: SparkSession, path: str, schema: StructType | None = None,
                      terms: Sequence[str] = HEADER_TERMS, separators: Sequence[str] = HEADER_SEPARATORS) -> DataFrame:
     """Distributed CSV read after sniffing the header line and separator.
@@ -133,8 +166,8 @@ def read_csv_sniffed(spark: SparkSession, path: str, schema: StructType | None =
     header of its file goes by position, however often its text returns as
     data, and blank lines go; the rest is parsed with ``from_csv`` (all
     strings unless a ``schema`` is given). All files share the columns of the
-    first one. A BOM on the first line is tolerated. Lines are split before
-    they are parsed, so a quoted field may not hold a line break.
+    first one. A BOM on the first line is tolerated. A quoted field may hold
+    line breaks (``_joined_records``) and doubled quotes.
     """
     headers = sniff_header(spark, path, terms, separators)
     first = headers.orderBy("file").select("header").first()
@@ -146,9 +179,10 @@ def read_csv_sniffed(spark: SparkSession, path: str, schema: StructType | None =
     lines = _numbered_lines(spark, path)
     # One short row per file of the import; a broadcast keeps the lines in file order.
     body = (lines.join(F.broadcast(after), lines["at.file"] == after["file"])
-            .where((F.col("at") > F.col("_header_at")) & (F.length(F.trim("value")) > 0)))
+            .where(F.col("at") > F.col("_header_at")).select("at", "value"))
+    body = _joined_records(body).where(F.length(F.trim("value")) > 0)
     ddl = ", ".join(f"`{n}` string" for n in names)
-    parsed = body.select(F.from_csv("value", ddl, {"sep": sep}).alias("r")).select("r.*")
+    parsed = body.select(F.from_csv("value", ddl, {"sep": sep, "escape": '"'}).alias("r")).select("r.*")
     if schema is not None:
         parsed = parsed.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields
                                  if f.name in names])

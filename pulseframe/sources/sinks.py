@@ -73,12 +73,11 @@ def upsert_table(spark: SparkSession, incoming: DataFrame, path: str, keys: Sequ
     and a failed job leaves the old table intact. Both renames are checked;
     the old table goes only once the new one is in place, and one left aside
     by a run that died between the renames is put back first. Raises when the
-    keys of ``incoming`` are not unique. Returns the counts.
+    keys of ``incoming`` or of the table are not unique. Returns the counts.
     """
     spark = incoming.sparkSession
     _recover(spark, path)
-    if not incoming.groupBy(*keys).count().where("count > 1").isEmpty():
-        raise ValueError(f"keys {list(keys)} are not unique in the incoming rows")
+    _require_unique(incoming, keys, "incoming rows")
     if not table_exists(spark, path):
         if not create_if_missing:
             raise FileNotFoundError(path)
@@ -88,6 +87,7 @@ def upsert_table(spark: SparkSession, incoming: DataFrame, path: str, keys: Sequ
     if backup_first:
         backup_table(spark, path)
     target = spark.read.parquet(path)
+    _require_unique(target, keys, "stored table")
     merged = upsert_frames(target, incoming, keys)
     stamp = _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%d%H%M%S%f")
     staging = f"{path.rstrip('/')}.__staging_{stamp}"
@@ -105,6 +105,11 @@ def upsert_table(spark: SparkSession, incoming: DataFrame, path: str, keys: Sequ
     return counts
 
 
+def _require_unique(df: DataFrame, keys: Sequence[str], what: str) -> None:
+    if not df.groupBy(*keys).count().where("count > 1").isEmpty():
+        raise ValueError(f"keys {list(keys)} are not unique in the {what}")
+
+
 def _recover(spark: SparkSession, path: str) -> None:
     """Put back the newest table set aside by a run that died during its swap."""
     fs, hpath, jvm = _fs_and_path(spark, path)

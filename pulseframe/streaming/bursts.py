@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,55 +54,84 @@ def bursts_batch(events: DataFrame, key: str, at: str, window_s: int = 600, max_
 
 
 def _burst_state_fn(window_s: int, max_attempts: int):
-    lock = pd.Timedelta(seconds=min(300, window_s))
-    span = pd.Timedelta(seconds=window_s)
+    span = window_s * MICROS
 
     def fn(key, pdfs, state):
-        recent = list(state.get[0]) if state.exists else []
-        out = []
-        chunks = [pdf["at"] for pdf in pdfs]
-        times = pd.concat(chunks).sort_values() if chunks else pd.Series([], dtype="datetime64[us]")
-        for ts in times:
-            recent = [t for t in recent if ts - t <= span]
-            recent.append(ts)
-            if len(recent) >= max_attempts:
-                out.append((key[0], ts, len(recent), ts + lock))
+        """State: the sorted times (microseconds) of one key in one bucket and
+        the bucket before it."""
+        empty = np.zeros(0, np.int64)
         if state.hasTimedOut:
             state.remove()
+            at = n = rows = empty
         else:
-            state.update((recent,))
-            if recent:
-                state.setTimeoutTimestamp(int((max(recent) + span).timestamp() * 1000) + 1)
-        yield pd.DataFrame(out, columns=["key", "at", "n_in_window", "locked_until"])
+            new = np.sort(np.concatenate([empty, *[pdf["us"].to_numpy(np.int64) for pdf in pdfs]]))
+            old = np.asarray(state.get[0], np.int64) if state.exists else empty
+            times = np.sort(np.concatenate([old, new]))
+            state.update((times.tolist(),))
+            # No row of the bucket can come once the watermark has left it.
+            state.setTimeoutTimestamp((int(key[1]) + 1) * window_s * 1000 + 1)
+
+            def within(t, found, back):
+                return np.searchsorted(found, t, "right") - np.searchsorted(found, t - back, "left")
+
+            at = np.unique(times[times >= key[1] * span])
+            n = within(at, times, span)
+            hit = (n >= max_attempts) & (within(at, new, span) > 0)
+            at, n = at[hit], n[hit]
+            rows = within(at, times, 0)
+        yield pd.DataFrame({"key": np.full(len(at), key[0], np.int64), "us": at, "n_in_window": n.astype(np.int64),
+                            "n_rows": rows.astype(np.int64)})
 
     return fn
 
 
 def bursts_stream(stream: DataFrame, key: str, at: str, window_s: int = 600, max_attempts: int = 5,
                   watermark: str = "20 minutes") -> DataFrame:
-    """Streaming version: per-key state holds the failures of the last
-    ``window_s`` seconds; state expires by event-time timeout behind the
-    watermark. Rows are sorted by event time inside each micro-batch; across
-    micro-batches a key's rows must arrive in event-time order (the batch
-    version, ``bursts_batch``, has no such requirement)."""
+    """Streaming version: revisions (key, at, n_in_window, n_rows,
+    locked_until), one for every failure time whose count a micro-batch
+    brought to ``max_attempts`` or raised beyond it; ``n_rows`` failures stand
+    at that time. Counts only grow as rows arrive, in whatever order, so the
+    largest revision of a time is its result: ``settled`` gives the rows of
+    ``bursts_batch``. Rows later than ``watermark`` are dropped.
+
+    As in the batch version a row goes to its time bucket and, as look-back,
+    to the next one. State is kept per (key, bucket), so a very busy key is
+    spread over tasks, and goes when the watermark leaves the bucket.
+    """
+    bucket = F.floor(F.col("us") / (window_s * MICROS)).cast("long")
     s = (stream.select(F.col(key).cast("long").alias("key"), F.col(at).cast("timestamp").alias("at"))
-         .where(F.col("key").isNotNull() & F.col("at").isNotNull()).withWatermark("at", watermark))
-    return s.groupBy("key").applyInPandasWithState(
+         .where(F.col("key").isNotNull() & F.col("at").isNotNull()).withWatermark("at", watermark)
+         .withColumn("us", F.unix_micros("at"))
+         .withColumn("bucket", F.explode(F.array(bucket, bucket + 1))))
+    found = s.groupBy("key", "bucket").applyInPandasWithState(
         _burst_state_fn(window_s, max_attempts),
-        outputStructType="key long, at timestamp, n_in_window long, locked_until timestamp",
-        stateStructType="recent array<timestamp>",
+        outputStructType="key long, us long, n_in_window long, n_rows long",
+        stateStructType="times array<long>",
         outputMode="append",
         timeoutConf=GroupStateTimeout.EventTimeTimeout)
+    lock = F.expr(f"make_dt_interval(0, 0, 0, {min(300, window_s)})")
+    at_col = F.timestamp_micros("us")
+    return found.select("key", at_col.alias("at"), "n_in_window", "n_rows", (at_col + lock).alias("locked_until"))
+
+
+def settled(revisions: DataFrame) -> DataFrame:
+    """(key, at, n_in_window, locked_until), one row per failure, from the
+    revisions of ``bursts_stream``: the largest of each time."""
+    last = revisions.groupBy("key", "at", "locked_until").agg(F.max("n_in_window").alias("n_in_window"),
+                                                              F.max("n_rows").alias("n_rows"))
+    return (last.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))
+            .select("key", "at", "n_in_window", "locked_until"))
 
 
 def run_to_table(spark: SparkSession, stream_df: DataFrame, name: str, output_mode: str = "append",
-                 foreach_batch=None) -> str:
+                 foreach_batch=None, resume_as: str | None = None) -> str:
     """Run a streaming query to completion over the available input
     (``availableNow``) into parquet under the shared checkpoint folder;
-    returns the output path. The sink and its checkpoint live in the
-    folder named by ``spark.checkpoint.dir`` so a restarted driver resumes."""
+    returns the output path. The sink and its checkpoint live in the folder
+    named by ``spark.checkpoint.dir``: a new one for every call, or the one
+    named ``resume_as``, which a later call or a restarted driver continues."""
     root = ensure_checkpoint_dir(spark)
-    run = f"{root.rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:12]}"
+    run = f"{root.rstrip('/')}/streams/{resume_as or f'{name}-{uuid.uuid4().hex[:12]}'}"
     out = f"{run}/out"
     w = stream_df.writeStream.option("checkpointLocation", f"{run}/checkpoint").outputMode(output_mode)
     if foreach_batch is not None:

@@ -115,6 +115,6 @@ def test_streaming_bursts_match_batch(spark):
     ev.write.parquet(src)
     stream = bursts.stream_source(spark, src, ev)
     out = bursts.run_to_table(spark, bursts.bursts_stream(stream, "user_id", "ts", 600, 5), "test_bursts")
-    got = sorted((r.at.replace(tzinfo=None), r.n_in_window) for r in spark.read.parquet(out).collect())
+    got = sorted((r.at.replace(tzinfo=None), r.n_in_window) for r in bursts.settled(spark.read.parquet(out)).collect())
     want = sorted((r.ts, r.n_in_window) for r in bursts.bursts_batch(ev, "user_id", "ts", 600, 5).collect())
     assert got == want
