@@ -102,7 +102,7 @@ def _deletions(texts: DataFrame) -> DataFrame:
 
 def _near(texts: DataFrame) -> DataFrame:
     """Representatives (pos, n, h, w) with a verified earlier neighbour:
-    (pos, witness)."""
+    (pos, witness), up to three rows a line."""
     cuts = common.stored(_deletions(texts))
     variants = cuts.where("v IS NOT NULL").select("pos", "n", "i", "v")
     # One word replaced: equal variants at one position of equally long lines.
@@ -124,7 +124,9 @@ def _near(texts: DataFrame) -> DataFrame:
     cut = lambda x: f"concat(slice({x}, 1, i - 1), slice({x}, i + 1, size({x}) - i))"
     true = F.expr(f"CASE kind WHEN 'replaced' THEN size(a) = size(b) AND {cut('a')} = {cut('b')}"
                   f" WHEN 'longer' THEN {cut('a')} = b ELSE a = {cut('b')} END")
-    return found.join(own, "pos").join(other, "witness").where(true).select("pos", "witness").distinct()
+    # Nothing that needs the rows of one witness together follows, so that a
+    # join on a witness with very many near copies may be split.
+    return found.join(own, "pos").join(other, "witness").where(true).select("pos", "witness")
 
 
 def removed_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
