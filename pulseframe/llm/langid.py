@@ -11,14 +11,16 @@ the tree and looked up for every byte of every text. A text goes to the
 language with the shortest exact code; the score is that language's share of
 probability under equal priors.
 
-The trees are learned from at most about ``SAMPLE`` documents per language
-(whole texts, drawn by hash; a documented bound for the classifier), which
-bounds the tables that are broadcast. All texts are scored whole.
+The trees are learned from about ``SAMPLE`` different texts per language at
+most (whole texts, drawn by hash, each learned once however often it stands; a
+documented bound for the classifier), which bounds the tables that are
+broadcast. The text with the smallest hash is always drawn, so that every
+language with a text is learned. All texts are scored whole.
 
 ``und``: null texts and texts without a letter (score 0), and every text if no
 language is known. Equal code lengths go to the smaller language name. Null
-ids are learned from; repeated rows count as often as they occur. Learned
-values of ``lang`` are returned as they are.
+ids are learned from; copies of a text count once. Learned values of ``lang``
+are returned as they are.
 """
 
 from __future__ import annotations
@@ -157,14 +159,18 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[tuple[
     spark = docs.sparkSession
     common.small_arrow_batches(spark)
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    per = docs.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
+    space = 1 << 30
+    docs = docs.withColumn("_h", F.xxhash64("text"))
+    place = F.pmod("_h", F.lit(space))
+    # Different texts: copies are combined before anything moves.
+    per = (docs.select("lang", "_h").distinct().groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+           .orderBy("lang").limit(MAX_LANGUAGES + 1).collect())
     if len(per) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not per:
         return [], []
-    space = 1 << 30
-    rate = F.create_map(*[F.lit(x) for lang, n in per for x in (lang, min(space, -(-space * sample // n)))])
-    drawn = docs.where(F.pmod(F.xxhash64("text"), F.lit(space)) < rate[F.col("lang")])
+    rate = F.create_map(*[F.lit(x) for lang, n, first in per for x in (lang, max(first + 1, min(space, -(-space * sample // n))))])
+    drawn = docs.where(place < rate[F.col("lang")]).groupBy("lang", "_h").agg(F.min("text").alias("text")).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.chunks(batches, "text", 4 << 20):
@@ -177,7 +183,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[tuple[
 
     grams = common.saved(drawn.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     langs, counts = [], []
-    for lang, _ in per:
+    for lang, *_ in per:
         got = grams.where(F.col("lang") == lang).select("gram", "n").toArrow()
         if got.num_rows:
             langs.append(lang)

@@ -122,3 +122,17 @@ def test_pipeline_stages(spark, sf_dir):
         assert out.columns == docs.columns and 0 < out.count() <= docs.count()
     assert corpus_pipeline.run(spark, small).count() > 0
     assert {f"op{i}" for i in range(1, 11)} <= {k.split("_")[0] for k in catalog.queries()}
+
+
+def test_langid_draws_different_texts(spark):
+    """A language of many copies of few texts is learned, each text once."""
+    copies = [("aa", f"text number {i % 3} of the copied ones") for i in range(600)]
+    many = [("bb", f"ein anderer Satz {i} mit Zahl {i * i}") for i in range(400)]
+    docs = spark.createDataFrame(copies + many, "lang string, text string")
+    for sample in (1, 40):
+        langs, counts = langid.learn(docs, sample)
+        assert langs == ["aa", "bb"]
+        size = {lang: n.sum() for lang, (_, n) in zip(langs, counts, strict=True)}
+        assert size["aa"] <= sum(len(t) for t in {t for _, t in copies})
+        assert 0 < size["bb"] <= 2 * sample * max(len(t) for _, t in many)
+    assert size["aa"] == sum(len(t) for t in {t for _, t in copies})
