@@ -126,33 +126,56 @@ def sniff_header(spark: SparkSession, path: str, terms: Sequence[str] = HEADER_T
             .select("file", F.col("h.at").alias("at"), F.col("h.value").alias("header")))
 
 
-def _joined_records(body: DataFrame) -> DataFrame:
-    """(at, value) lines -> (at, value) records: a line with an odd number of
-    quotes opens a field that runs on to the next such line of its file.
-
-    Where no line has an odd number there is nothing to join and the lines
-    pass as they are. Otherwise the quotes are counted per split, the counts
-    before a split are added up over the (few) splits of its file, and a
-    window over the lines of one split tells which of them start a record;
-    only the lines of records that span several are gathered."""
-    odd = F.length("value") - F.length(F.replace("value", F.lit('"')))
-    q = body.select("at", F.col("at.file").alias("file"), F.col("at.split").alias("split"), "value", (odd % 2).alias("q"))
-    if q.where("q = 1").isEmpty():
+def _joined_records(body: DataFrame, sep: str) -> DataFrame:
+    """(at, value) lines -> (at, value) records: a quoted field may run on over
+    the following lines.
+
+    A quote opens a field only at its start (after the line's start or a
+    separator). Inside, two quotes stand for one, and any other quote ends the
+    quoted part, as the parser takes it. A line is thus a function of the state
+    it begins in (outside or inside a quoted field); it either leaves the state
+    as it is, swaps it, or sets it. Where no line begun outside ends inside
+    there is nothing to join and the lines pass as they are. Otherwise the
+    functions are chained per split, the states before a split follow from the
+    (few) splits of its file, and a window over the lines of one split tells
+    which of them start a record; only the lines of records that span several
+    are gathered. A field still open at the end of its file was never closed:
+    its lines stay records of their own."""
+    mark = "'" + sep.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    # Before a piece between quotes: 0 within an unquoted field, 1 at the start
+    # of a field or after a quote inside one, 2 inside.
+    ends = lambda start: (f"CASE WHEN NOT contains(value, '\"') THEN {start - 1} ELSE cast(aggregate(slice(_x, 1, size(_x) - 1), {start}, (s, x) -> "
+                          f"CASE WHEN s = 2 THEN 1 WHEN (s = 1 AND x = '') OR endswith(x, {mark}) THEN 2 ELSE 0 END) = 2 AS int) END")
+    q = (body.select("at", F.col("at.file").alias("file"), F.col("at.split").alias("split"), "value", F.split("value", '"', -1).alias("_x"))
+         .select("at", "file", "split", "value", F.expr(ends(1)).alias("_out"), F.expr(ends(2)).alias("_in")))
+    if q.where("_out = 1").isEmpty():
         return body
-    before = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    splits = (q.groupBy("file", "split").agg(F.sum("q").alias("_q"))
-              .withColumn("_q_before", F.coalesce(F.sum("_q").over(earlier), F.lit(0))).drop("_q"))
-    told = (q.join(splits, ["file", "split"])
-            .withColumn("_open", (F.col("_q_before") + F.coalesce(F.sum("q").over(before), F.lit(0))) % 2 == 1)
+    lines = Window.partitionBy("file", "split").orderBy("at")
+    upto = lines.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    splits = Window.partitionBy("file").orderBy("split")
+    so_far = splits.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = splits.rowsBetween(Window.unboundedPreceding, -1)
+    # The state after a line: that of the last line that set it (or the start
+    # of the split), swapped as often as lines swapped it since.
+    q = q.withColumn("_swaps", F.sum(((F.col("_out") == 1) & (F.col("_in") == 0)).cast("int")).over(upto))
+    q = q.withColumn("_set", F.last(F.when(F.col("_out") == F.col("_in"), (F.col("_out") + F.col("_swaps")) % 2), True).over(upto))
+    ahead = (q.groupBy("file", "split").agg(F.max_by(F.struct("_swaps", "_set"), "at").alias("e")).select("file", "split", "e.*")
+             .withColumn("_s", F.sum(F.when(F.col("_set").isNull(), F.col("_swaps")).otherwise(0)).over(so_far))
+             .withColumn("_c", F.last(F.when(F.col("_set").isNotNull(), (F.col("_set") + F.col("_swaps") + F.col("_s")) % 2), True).over(so_far))
+             .withColumn("_after", (F.coalesce("_c", F.lit(0)) + F.col("_s")) % 2)
+             .select("file", "split", F.coalesce(F.lag("_after").over(splits), F.lit(0)).alias("_before"),
+                     F.last("_after").over(splits.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_unclosed")))
+    told = (q.join(ahead, ["file", "split"])
+            .withColumn("_after", (F.coalesce("_set", "_before") + F.col("_swaps")) % 2)
+            .withColumn("_open", F.coalesce(F.lag("_after").over(lines), "_before") == 1)
             .withColumn("_start", F.when(~F.col("_open"), F.col("at"))))
     # A split may begin inside a record: its start is the last one before the split.
     last = (told.groupBy("file", "split").agg(F.max("_start").alias("_last"))
-            .withColumn("_carried", F.max("_last").over(earlier)).drop("_last"))
+            .withColumn("_carried", F.max("_last").over(earlier))
+            .withColumn("_tail", F.max("_last").over(Window.partitionBy("file"))).drop("_last"))
     told = (told.join(last, ["file", "split"])
             .withColumn("_record", F.coalesce(F.max("_start").over(upto), "_carried", "at")))
-    whole = ~F.col("_open") & (F.col("q") == 0)
+    whole = (~F.col("_open") & (F.col("_after") == 0)) | ((F.col("_unclosed") == 1) & (F.col("_record") == F.col("_tail")))
     pieces = (told.where(~whole).groupBy("_record").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("_p"))
               .select(F.col("_record").alias("at"), F.array_join(F.transform("_p", lambda x: x["value"]), "\n").alias("value")))
     return told.where(whole).select("at", "value").unionByName(pieces)
@@ -180,7 +203,7 @@ def read_csv_sniffed(spark: SparkSession, path: str, schema: StructType | None =
     # One short row per file of the import; a broadcast keeps the lines in file order.
     body = (lines.join(F.broadcast(after), lines["at.file"] == after["file"])
             .where(F.col("at") > F.col("_header_at")).select("at", "value"))
-    body = _joined_records(body).where(F.length(F.trim("value")) > 0)
+    body = _joined_records(body, sep).where(F.length(F.trim("value")) > 0)
     ddl = ", ".join(f"`{n}` string" for n in names)
     parsed = body.select(F.from_csv("value", ddl, {"sep": sep, "escape": '"'}).alias("r")).select("r.*")
     if schema is not None:

@@ -78,6 +78,24 @@ def test_quoted_line_breaks_in_imports(spark):
     assert sorted(rows) == [("1", "2", "a\n\nb, c"), ("2", "3", "plain"), ("3", "4", 'x "y"\nz'), ("4", "5", None)]
 
 
+def test_lone_quotes_in_imports(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="pf-csv-"), "in.csv")
+    plain = [(str(i), f"row {i}", "x") for i in range(2000)]
+    lines = [";".join(r) + "\n" for r in plain]
+    with open(path, "w") as f:
+        f.write("Participant ID;note;User ID\na;12;5\" pipe\n" + "".join(lines[:1000]) + 'b;"two\n\n""lines"";";y\nc;say "so";z\n'
+                + "".join(lines[1000:]) + 'd;"never closed;z\ne;last;z\n')
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (old, "3000", "700"):  # records may span splits
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = [tuple(r) for r in readers.read_csv_sniffed(spark, path).collect()]
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert sorted(rows[:], key=str) == sorted([*plain, ("a", "12", '5" pipe'), ("b", 'two\n\n"lines";', "y"), ("c", 'say "so"', "z"),
+                                                   ("d", "never closed;z", None), ("e", "last", "z")], key=str)
+
+
 def test_upsert_refuses_stored_duplicates(spark):
     path = os.path.join(tempfile.mkdtemp(prefix="pf-upsert-"), "t")
     spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string").write.parquet(path)
