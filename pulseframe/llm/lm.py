@@ -1,27 +1,32 @@
 """N-gram language model scoring over an Elias-Fano trie in shards.
 
 Tokens are words with A-Z lower-cased, and one end per text. The model is an
-interpolated bigram with absolute discounting over add-half unigrams:
+interpolated n-gram model (``order``) with absolute discounting over add-half
+unigrams. With a context u of one word, or more (two for order 3):
 
-    P(w | u) = (c(uw) - D) / c(u) + left(u) * P1(w)     P1 = base model
+    P(w | u) = (c(uw) - D) / c(u) + left(u) * P'(w)
 
-for the pairs seen ``MIN_COUNT`` times or more, where left(u) is the mass that
-the pairs under u leave, so that every context's probabilities sum to one.
+where P' is the model of the context one word shorter (P1, the base model, under
+one word), c(uw) counts if it is ``min_count`` or more, and left(u) is the mass
+that the children of u leave, so that every context's probabilities sum to one.
+A context never seen leaves all to P'. A context of several words lies within
+the text, except for the start as its first; a text's first token has the start
+alone. op9_lm has order ``ORDER`` and keeps all counts.
 
 The corpus is read once into packed chunks (compressed texts, stored). Each
-chunk asks for its distinct words and pairs, with their counts in its training
-texts. Requests travel packed to the shard of the context's hash. The shard
-adds the counts up and builds its part of the trie: level one holds the hashes
-of the words, pointers lead to the children of each context, level two holds
-the children as 40-bit fingerprints relative to their context, all of them
-monotone Elias-Fano sequences, with the smoothed counts quantised to one byte
+chunk asks for its distinct contexts and their children, level by level, with
+their counts in its training texts. Requests travel packed to the shard of the
+context's hash; each level has shards of its own. The shard adds the counts up
+and builds its part of the trie: the nodes are the hashes of the contexts (of a
+word, or of the words of a longer one), pointers lead to the children, which are
+held as 40-bit fingerprints relative to their context, all of them monotone Elias-Fano sequences, with the smoothed counts quantised to one byte
 by a codebook. The levels are written to a file, memory-mapped and queried by
 successor search; answers travel back to their chunk, which works out the
-probabilities of its texts. Nothing is broadcast but the hot contexts: words
-with more than 1 / ``HOT_SHARE`` of all tokens, at most HOT_SHARE of them,
-whose pairs are dealt by pair so that no shard gathers them.
+probabilities of its texts. Nothing is broadcast but the hot contexts: those
+with more than 1 / ``HOT_SHARE`` of all tokens, a bounded number per level,
+whose children are dealt singly so that no shard gathers them.
 
-Words are told apart by 64-bit hashes and children by 40 bits within their
+Contexts are told apart by 64-bit hashes and children by 40 bits within their
 context. Counts cover all training texts, whole. Null texts are empty: one end
 token. Rows are scored one by one, repeated ones too. Without training texts
 every token has P1 = 1. An empty table gives an empty result.
@@ -44,7 +49,10 @@ from pyspark.sql import functions as F
 from pulseframe.llm import common, eliasfano
 from pulseframe.session import ensure_checkpoint_dir
 
+#: Order and least count of ``score`` unless given, and the order of op9_lm.
+LOWEST_ORDER = 2
 MIN_COUNT = 2
+ORDER = 3
 DISCOUNT = 0.75
 HOT_SHARE = 1 << 13
 CHUNK_BYTES = 12 << 20
@@ -78,32 +86,38 @@ def _stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-class Chunk:
-    """Distinct words and pairs of a chunk, in the order of its requests."""
-
-    def __init__(self, texts: pa.Array, train: np.ndarray, hot: np.ndarray, n_shards: int):
-        buf, off = common.text_buffer(texts)
-        buf = common.lower_ascii(buf)
-        starts, ends, rows = common.word_spans(buf, off)
-        n = np.diff(rows)
-        token = np.full(len(starts) + len(n), END)
-        token[np.arange(len(starts)) + np.repeat(np.arange(len(n)), n)] = common.word_hashes(buf, starts, ends)
-        del buf, starts, ends
-        self.n_tokens = n + 1
-        stop = np.cumsum(self.n_tokens)
-        word, inv = np.unique(np.append(token, START), return_inverse=True)
-        self.token = inv[:-1]
-        self.context = np.empty(len(token), np.int64)
-        self.context[1:] = self.token[:-1]
-        self.context[stop - self.n_tokens] = inv[-1]
-        learned = np.repeat(train, self.n_tokens)
-        self.word = word
-        self.word_n = np.bincount(self.token[learned], minlength=len(word))
-        self.word_n[inv[-1]] = int(train.sum())
-        child = common.mix(word) >> np.uint64(64 - _CHILD)
-        key = self.context.astype(np.uint64) << np.uint64(_CHILD) | child[self.token]
+def _contexts(token: np.ndarray, n_tokens: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the tokens with ``length`` tokens before them (the start of
+    their text is one), and the hash of those; ``token`` holds word hashes."""
+    first = np.cumsum(n_tokens) - n_tokens
+    before = np.arange(len(token)) - np.repeat(first, n_tokens) + 1
+    at = np.flatnonzero(before >= length)
+    out = np.zeros(len(at), np.uint64)
+    for back in range(length, 0, -1):
+        inside = before[at] > back
+        word = np.where(inside, token[np.maximum(at - back, 0)], START)
+        out = word if length == 1 else common.mix(out * np.uint64(0x9E3779B97F4A7C15) + word)
+    return at, out
+
+
+class Level:
+    """Distinct contexts of one length and their children in a chunk, in the
+    order of its requests."""
+
+    def __init__(self, context: np.ndarray, child: np.ndarray, learned: np.ndarray, hot: np.ndarray, n_shards: int,
+                 nodes: tuple[np.ndarray, np.ndarray] | None = None):
+        """``nodes``: the contexts (sorted) and their counts where they are
+        more than those of the tokens."""
+        if nodes is None:
+            self.word, self.context = np.unique(context, return_inverse=True)
+            self.word_n = np.bincount(self.context[learned], minlength=len(self.word))
+        else:
+            self.word, self.word_n = nodes
+            self.context = np.searchsorted(self.word, context)
+        word = self.word
+        key = self.context.astype(np.uint64) << np.uint64(_CHILD) | child
         pair, self.pair_of = np.unique(key, return_inverse=True)
-        del key, token
+        del key
         self.pair_u = (pair >> np.uint64(_CHILD)).astype(np.int64)
         self.pair_w = pair & np.uint64((1 << _CHILD) - 1)
         self.pair_n = np.bincount(self.pair_of[learned], minlength=len(pair))
@@ -120,6 +134,7 @@ class Chunk:
         self.pair_at = np.searchsorted(self.pair_shard[self.pair_order], np.arange(n_shards + 1))
 
     def requests(self) -> Iterator[tuple[int, bytes]]:
+        """(shard of this level, request)"""
         for s in range(len(self.word_at) - 1):
             w = self.word_order[self.word_at[s]:self.word_at[s + 1]]
             p = self.pair_order[self.pair_at[s]:self.pair_at[s + 1]]
@@ -134,6 +149,29 @@ class Chunk:
                           self.pair_n[p].astype(np.uint32))
 
 
+class Chunk:
+    """Tokens of a chunk, its distinct words and the levels of the model."""
+
+    def __init__(self, texts: pa.Array, train: np.ndarray, hot: list[np.ndarray], n_shards: int, order: int):
+        token, self.n_tokens = _tokens(texts)
+        learned = np.repeat(train, self.n_tokens)
+        self.word, inv = np.unique(np.append(token, START), return_inverse=True)
+        self.token, start = inv[:-1], inv[-1]
+        word_n = np.bincount(self.token[learned], minlength=len(self.word))
+        word_n[start] = int(train.sum())
+        child = (common.mix(self.word) >> np.uint64(64 - _CHILD))[self.token]
+        self.n_shards, self.levels = n_shards, []
+        for length in range(1, order):
+            at, context = _contexts(token, self.n_tokens, length)
+            nodes = (self.word, word_n) if length == 1 else None
+            self.levels.append((at, Level(context, child[at], learned[at], hot[length - 1], n_shards, nodes)))
+
+    def requests(self) -> Iterator[tuple[int, bytes]]:
+        for i, (_, level) in enumerate(self.levels):
+            for s, request in level.requests():
+                yield i * self.n_shards + s, request
+
+
 class Trie:
     """One shard's trie in a memory-mapped file."""
 
@@ -165,6 +203,7 @@ class Trie:
         at = {k: np.frombuffer(whole, d, n, o) for k, (o, d, n) in place.items()}
         self.words, self.pointer, self.child = (eliasfano.Sequence({k[2:]: a for k, a in at.items() if k.startswith(x)}) for x in ("w_", "p_", "c_"))
         self.counts, self.code = at["counts"], at["code"]
+        self.upto = np.concatenate([[0.0], np.cumsum(10 ** self.book[self.code])])
 
     def _hits(self, seq: eliasfano.Sequence, x: np.ndarray, step: int = 1 << 19) -> np.ndarray:
         """Index of each value, or -1."""
@@ -185,11 +224,10 @@ class Trie:
 
     def given(self, node: np.ndarray) -> np.ndarray:
         """Sum of the smoothed counts of each context's children."""
-        upto = np.concatenate([[0.0], np.cumsum(10 ** self.book[self.code])])
         out = np.zeros(len(node))
         some = np.flatnonzero(node >= 0)
         lo, hi = self.pointer.access(node[some]).astype(np.int64), self.pointer.access(node[some] + 1).astype(np.int64)
-        out[some] = upto[hi] - upto[lo]
+        out[some] = self.upto[hi] - self.upto[lo]
         return out
 
     def codes(self, node: np.ndarray, child: np.ndarray) -> np.ndarray:
@@ -202,33 +240,53 @@ class Trie:
         return out
 
 
-def _hot_words(docs: DataFrame) -> np.ndarray:
-    """Hashes of the words above the share (and the start), sorted."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.chunks(batches, "text"):
-            buf, off = common.text_buffer(b.column("text"))
-            buf = common.lower_ascii(buf)
-            starts, ends, _ = common.word_spans(buf, off)
-            value, n = np.unique(common.word_hashes(buf, starts, ends), return_counts=True)
-            often = n >= max(2, len(starts) // (2 * HOT_SHARE))
-            yield pa.RecordBatch.from_arrays([pa.array([None, *value[often].view(np.int64).tolist()], pa.int64()),
-                                              pa.array([len(starts), *n[often].tolist()], pa.int64())], names=["word", "n"])
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts, an end after each, and their number per text."""
+    buf, off = common.text_buffer(texts)
+    buf = common.lower_ascii(buf)
+    starts, ends, rows = common.word_spans(buf, off)
+    n = np.diff(rows)
+    token = np.full(len(starts) + len(n), END)
+    token[np.arange(len(starts)) + np.repeat(np.arange(len(n)), n)] = common.word_hashes(buf, starts, ends)
+    return token, n + 1
 
-    counted = common.saved(docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total = counted.where("word IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = counted.where(F.col("word").isNotNull() & (F.col("n") * 2 * HOT_SHARE > total)).select("word").limit(2 * HOT_SHARE)
-    return np.sort(np.append(np.array([r[0] for r in hot.collect()], np.int64).view(np.uint64), START))
 
-
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT) -> DataFrame:
+def _hot_contexts(docs: DataFrame, order: int) -> list[np.ndarray]:
+    """Per length, the hashes of the contexts above the share, sorted (the
+    start is one of them)."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.chunks(batches, "text"):
+            token, n_tokens = _tokens(b.column("text"))
+            lengths, values, counts = [0], [None], [len(token)]
+            for length in range(1, order):
+                value, n = np.unique(_contexts(token, n_tokens, length)[1], return_counts=True)
+                often = n >= max(2, len(token) // (2 * HOT_SHARE))
+                values += value[often].view(np.int64).tolist()
+                counts += n[often].tolist()
+                lengths += [length] * int(often.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(lengths, pa.int32()), pa.array(values, pa.int64()), pa.array(counts, pa.int64())],
+                                             names=["length", "word", "n"])
+
+    counted = common.saved(docs.select("text").mapInArrow(count, "length int, word long, n long").groupBy("length", "word").agg(F.sum("n").alias("n")))
+    total = counted.where("length = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # At most 2 * HOT_SHARE contexts of a length can have such a share.
+    hot = counted.where((F.col("length") > 0) & (F.col("n") * 2 * HOT_SHARE > total)).select("length", "word").collect()
+    found = [np.array([r.word for r in hot if r.length == length], np.int64).view(np.uint64) for length in range(1, order)]
+    return [np.unique(np.append(h, START)) for h in found]
+
+
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT,
+          order: int = LOWEST_ORDER) -> DataFrame:
     """Per row: doc_id, trained (bool), n_tokens, n_known, train_tokens,
     base_score and score, learned from the rows where ``train`` holds."""
+    if order < LOWEST_ORDER:
+        raise ValueError(f"order {order} is below {LOWEST_ORDER}")
     spark = docs.sparkSession
     common.small_arrow_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n_shards = max(common.parts(spark), common.text_bytes(docs) // SHARD_BYTES + 1)
-    hot = spark.sparkContext.broadcast(_hot_words(docs))
+    hot = spark.sparkContext.broadcast(_hot_contexts(docs, order))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
@@ -259,7 +317,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all().combine_chunks()
 
     def chunk_of(t: pa.Table, n: int) -> Chunk:
-        return Chunk(t.column("text").combine_chunks(), t.column("train").combine_chunks().to_numpy(zero_copy_only=False), hot.value, n)
+        return Chunk(t.column("text").combine_chunks(), t.column("train").combine_chunks().to_numpy(zero_copy_only=False), hot.value, n, order)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -268,7 +326,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array([key] * len(shard), pa.int64()),
                                                   pa.array(request, pa.binary())], names=["shard", "chunk", "request"])
 
-    def answers(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    def answers(length: int, held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        busy = hot.value[length - 1]
         kinds = (np.uint64, np.uint32, np.uint64, np.uint32, np.uint8, np.uint32)
         got = [_unzip(r, *kinds) for _, r in held]
         words, inv = np.unique(np.concatenate([x for g in got for x in (g[0], g[2])]), return_inverse=True)
@@ -294,16 +353,17 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         key, seen = key[order[first]][kept], seen[kept]
         del order, first
         trie = Trie(words, counts, (key >> np.uint64(_CHILD)).astype(np.int64), key & np.uint64((1 << _CHILD) - 1), seen)
-        is_hot = np.isin(words, hot.value)
+        is_hot = np.isin(words, busy)
         rows = []
         for (chunk, _), g, u, w in zip(held, got, node, child, strict=True):
             n = trie.node(g[0])
             given = trie.given(n)
-            given[np.isin(g[0], hot.value)] = 0  # added up over all shards instead
+            given[np.isin(g[0], busy)] = 0  # added up over all shards instead
             rows.append((chunk, _zip(trie.count(n), given, trie.codes(u, w), trie.book), None, None, None, None))
-        for i in np.flatnonzero(is_hot).tolist():
-            rows.append((None, None, int(words[i:i + 1].view(np.int64)[0]), float(trie.given(np.array([i]))[0]), None, None))
-        tokens = words != START
+        some = np.flatnonzero(is_hot)
+        for word, part in zip(words[some].view(np.int64).tolist(), trie.given(some).tolist(), strict=True):
+            rows.append((None, None, word, part, None, None))
+        tokens = words != START if length == 1 else np.zeros(len(words), bool)
         rows.append((None, None, None, None, int(counts[tokens].sum()), int((counts[tokens] > 0).sum())))
         shard_types = [pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), shard_types, strict=True)],
@@ -311,7 +371,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(shard: int, held: list) -> pa.RecordBatch:
-            b = answers(held)
+            b = answers(shard // n_shards + 1, held)
             return pa.RecordBatch.from_arrays([pa.array([shard] * b.num_rows, pa.int32()), *b.columns], names=["shard", *b.schema.names])
 
         now, held = None, []
@@ -331,8 +391,10 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     met = asked.repartition(common.parts(spark), "shard").sortWithinPartitions("shard")
     replies = _stored(met.mapInArrow(meet, "shard int, chunk long, answer binary, hot long, given double, n long, v long"))
     n_train, v = replies.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    hot_given = replies.where("hot IS NOT NULL").groupBy("hot").agg(F.sum("given")).collect()
-    hot_table = spark.sparkContext.broadcast((np.array([r[0] for r in hot_given], np.int64).view(np.uint64), np.array([r[1] for r in hot_given], float)))
+    level_of = (F.col("shard") / n_shards).cast("int").alias("level")
+    hot_given = replies.where("hot IS NOT NULL").groupBy(level_of, "hot").agg(F.sum("given").alias("given")).orderBy("level").collect()
+    hot_table = spark.sparkContext.broadcast([(np.array([r.hot for r in hot_given if r.level == i], np.int64).view(np.uint64),
+                                               np.array([r.given for r in hot_given if r.level == i], float)) for i in range(order - 1)])
     den = n_train + 0.5 * (v + 1)
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -341,29 +403,32 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         for blob in left["docs"]:
             t = read(blob)
             c = chunk_of(t, n_shards)
-            count, given = np.zeros(len(c.word), np.int64), np.zeros(len(c.word))
-            value = np.full(len(c.pair_u), -np.inf)
-            for s in range(n_shards):
-                w, p = c.word_order[c.word_at[s]:c.word_at[s + 1]], c.pair_order[c.pair_at[s]:c.pair_at[s + 1]]
-                if len(w) or len(p):
-                    count[w], given[w], code, book = _unzip(reply[s], np.int64, np.float64, np.uint8, np.float64)
-                    value[p] = book[code]
-            keys, sums = hot_table.value
-            if len(keys):
-                order = np.argsort(keys)
-                i = np.minimum(np.searchsorted(keys[order], c.word), len(keys) - 1)
-                hit = keys[order][i] == c.word
-                given[hit] = sums[order][i[hit]]
-            p1 = (count + 0.5) / den
-            known = count > 0
-            left_over = np.where(known, np.maximum(1 - given / np.maximum(count, 1), 1e-9), 1.0)
-            pair = 10 ** value / np.maximum(count[c.pair_u], 1)
-            p = pair[c.pair_of] + left_over[c.context] * p1[c.token]
+            for i, (at, level) in enumerate(c.levels):
+                count, given = np.zeros(len(level.word), np.int64), np.zeros(len(level.word))
+                value = np.full(len(level.pair_u), -np.inf)
+                for s in range(n_shards):
+                    w, p = level.word_order[level.word_at[s]:level.word_at[s + 1]], level.pair_order[level.pair_at[s]:level.pair_at[s + 1]]
+                    if len(w) or len(p):
+                        count[w], given[w], code, book = _unzip(reply[i * n_shards + s], np.int64, np.float64, np.uint8, np.float64)
+                        value[p] = book[code]
+                keys, sums = hot_table.value[i]
+                if len(keys):
+                    by = np.argsort(keys)
+                    j = np.minimum(np.searchsorted(keys[by], level.word), len(keys) - 1)
+                    hit = keys[by][j] == level.word
+                    given[hit] = sums[by][j[hit]]
+                seen = count > 0
+                if i == 0:
+                    p1, known = (count + 0.5) / den, seen
+                    p_token = p1[c.token]
+                left_over = np.where(seen, np.maximum(1 - given / np.maximum(count, 1), 1e-9), 1.0)
+                pair = 10 ** value / np.maximum(count[level.pair_u], 1)
+                p_token[at] = pair[level.pair_of] + left_over[level.context] * p_token[at]
             at = np.cumsum(c.n_tokens) - c.n_tokens
             out.append(pd.DataFrame({
                 "doc_id": pd.array(t.column("doc_id").to_pylist(), "Int64"), "trained": t.column("train").to_pylist(), "n_tokens": c.n_tokens,
                 "n_known": np.add.reduceat(known[c.token].astype(np.int64), at), "train_tokens": n_train,
-                "base_score": np.add.reduceat(np.log10(p1)[c.token], at), "score": np.add.reduceat(np.log10(p), at)}))
+                "base_score": np.add.reduceat(np.log10(p1)[c.token], at), "score": np.add.reduceat(np.log10(p_token), at)}))
         return pd.concat(out) if out else pd.DataFrame(columns=["doc_id", "trained", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return chunks.groupBy("chunk").cogroup(replies.where("chunk IS NOT NULL").groupBy("chunk")).applyInPandas(
@@ -376,7 +441,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: token counts, the unigram base and the model's score."""
-    scored = score(common.documents(spark, sf_dir), ~held_out())
+    scored = score(common.documents(spark, sf_dir), ~held_out(), min_count=1, order=ORDER)
     return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -257,6 +257,44 @@ def test_lm(docs, rows, empty):
     assert lm.score(empty, ~lm.held_out()).count() == 0
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm_orders_keep_all_counts(docs, rows, order):
+    """Every context length up to the order, pairs seen once included."""
+    train = lambda d: d is None or zlib.crc32(str(d).encode()) % 5 != 1
+    seqs = [(d, words(lower(t)) + ["</s>"]) for d, t, *_ in rows]
+    c, under = Counter(), {}
+    grams = lambda w, i: [tuple((["<s>"] + w)[i + 1 - k:i + 1]) for k in range(1, order) if k <= i + 1]
+    for d, w in seqs:
+        if train(d):
+            c.update(w)
+            for i, x in enumerate(w):
+                for u in grams(w, i):
+                    under.setdefault(u, Counter())[x] += 1
+    total = sum(c.values())
+    sums = {u: sum(n.values()) for u, n in under.items()}
+    want = []
+    for d, w in seqs:
+        s = 0.0
+        for i, x in enumerate(w):
+            p = (c[x] + 0.5) / (total + 0.5 * (len(c) + 1))
+            for u in grams(w, i):
+                if u in under:
+                    p = (max(under[u][x] - 0.75, 0) + 0.75 * len(under[u]) * p) / sums[u]
+            s += math.log10(p)
+        want.append((key(d), len(w), round(s, 5)))
+    got = [(key(r.doc_id), r.n_tokens, round(r.score, 5)) for r in lm.score(docs, ~lm.held_out(), min_count=1, order=order).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_lm_query_has_trigrams(spark, sf_dir):
+    small = sf_dir.rsplit("/", 1)[0] + "/sf0.001"
+    got = {r.doc_id: r.score for r in lm.op9_lm(spark, small).collect()}
+    whole = lm.score(spark.read.parquet(f"{small}/documents.parquet"), ~lm.held_out(), min_count=1, order=3)
+    assert got == {r.doc_id: pytest.approx(r.score) for r in whole.collect()}
+    pairs = lm.score(spark.read.parquet(f"{small}/documents.parquet"), ~lm.held_out())
+    assert sum(got.values()) > sum(r.score for r in pairs.collect())
+
+
 def test_elias_fano():
     r = np.random.default_rng(2)
     for bits, n in ((64, 1000), (40, 3000), (12, 3000), (20, 1), (64, 0)):
