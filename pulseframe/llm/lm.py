@@ -54,6 +54,8 @@ LOWEST_ORDER = 2
 MIN_COUNT = 2
 ORDER = 3
 DISCOUNT = 0.75
+#: Counts up to this one are never rounded by the codebook.
+EXACT_COUNTS = 128
 HOT_SHARE = 1 << 13
 CHUNK_BYTES = 12 << 20
 SHARD_BYTES = 12 << 20
@@ -180,9 +182,14 @@ class Trie:
         index, child), with their counts ``seen``."""
         value = np.log10(seen - DISCOUNT)
         distinct = np.unique(value)
-        # Bins of the codebook hold equal shares of the distinct values; each
-        # stands for its least one, so no context gives away more than it has.
-        book = distinct if len(distinct) <= 255 else distinct[np.linspace(0, len(distinct) - 1, 256).astype(int)[:-1]]
+        # Small counts have entries of their own, larger ones share bins of equal
+        # logarithmic width; each bin stands for its least value, so no context
+        # gives away more than it has.
+        book = distinct
+        if len(distinct) > 255:
+            few, many = np.split(distinct, [np.searchsorted(distinct, np.log10(EXACT_COUNTS - DISCOUNT), "right")])
+            edges = np.linspace(many[0], many[-1], 255 - len(few))
+            book = np.concatenate([few, many[np.unique(np.searchsorted(many, edges))]])
         self.book = np.concatenate([[-np.inf], book])
         code = np.searchsorted(book, value, "right").astype(np.uint8)
         pointer = np.searchsorted(parent, np.arange(len(words) + 1)).astype(np.uint64)

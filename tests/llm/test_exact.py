@@ -295,6 +295,15 @@ def test_lm_query_has_trigrams(spark, sf_dir):
     assert sum(got.values()) > sum(r.score for r in pairs.collect())
 
 
+def test_codebook_keeps_small_counts():
+    n = 2000
+    seen = np.concatenate([np.arange(1, n), [10**9]])
+    trie = lm.Trie(np.array([5], np.uint64), np.array([seen.sum()]), np.zeros(n, np.int64), np.arange(n, dtype=np.uint64), seen)
+    got = 10 ** trie.book[trie.codes(np.zeros(n, np.int64), np.arange(n, dtype=np.uint64))] + lm.DISCOUNT
+    assert len(trie.book) <= 256 and np.allclose(got[:lm.EXACT_COUNTS], seen[:lm.EXACT_COUNTS])
+    assert (got <= seen * (1 + 1e-9)).all() and (got >= 0.85 * seen).all()
+
+
 def test_elias_fano():
     r = np.random.default_rng(2)
     for bits, n in ((64, 1000), (40, 3000), (12, 3000), (20, 1), (64, 0)):
