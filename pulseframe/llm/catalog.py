@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["substring", "toxicity", "bpe", "quality", "lines", "langid", "topk", "simhash", "lm", "mixing"]
+MODULES = ["substring", "toxicity", "bpe", "quality", "lines", "langid", "topk", "simhash", "lm", "mixing", "merkle", "whitening", "packing"]
 
 
 def _all(name: str) -> dict:
