@@ -25,15 +25,20 @@ places). An empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import itertools
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseframe.llm import common
+from pulseframe.llm.bpe import byte_table
 from pulseframe.llm.ordering import positions
 
 VOCABULARY = "word_bpe_49k.json"
@@ -42,40 +47,71 @@ END_ID = 1
 OPEN_BINS = 512
 GROUP_PIECES = 1 << 16
 SEED = 23
-#: Words kept per worker before the table starts anew; longer ones are not kept.
-KEPT_WORDS, KEPT_LENGTH = 400_000, 64
+#: Words and pieces kept per worker before their tables start anew; longer words are not kept.
+KEPT_WORDS, KEPT_PIECES, KEPT_LENGTH = 800_000, 500_000, 64
+#: Words that the library takes whole: with white space or controls inside,
+#: special tokens, or characters whose class may depend on the Unicode version.
+_WHOLE = re.compile("[\x1c-\x1f\x85\xa0\u0250-\U0010ffff]|<\\|")
 
 
 class Words:
-    """Token ids of texts, each distinct word encoded once."""
+    """Token ids of texts, each distinct word encoded once.
 
-    def __init__(self, path: str):
-        import os
+    New words are normalised together, cut by the vocabulary's own pattern,
+    and each distinct piece is merged once by the library's model.
+    """
 
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task owns one core
         self.tokenizer = Tokenizer.from_file(path)
+        cut = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.cut = regex.compile(cut).findall
+        self.chars = byte_table()
+        self.pieces: dict[str, list[int]] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids, self.first, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _piece(self, piece: str) -> list[int]:
+        raw = piece.encode("utf-8").decode("latin-1").translate(self.chars)
+        ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(raw)]
+        return ids
+
+    def _word_ids(self, texts: list[str]) -> list[list[int]]:
+        whole = [i for i, t in enumerate(texts) if _WHOLE.search(t)]
+        done: list[list[int]] = [[]] * len(texts)
+        if whole:
+            found = self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)
+            for i, e in zip(whole, found, strict=True):
+                done[i] = e.ids
+        skip = set(whole)
+        rest = [i for i in range(len(texts)) if i not in skip]
+        plain = self.tokenizer.normalizer.normalize_str(" ".join([texts[i] for i in rest])).split(" ")
+        if len(self.pieces) > KEPT_PIECES:
+            self.pieces = {}
+        get = self.pieces.get
+        for i, word in zip(rest, plain, strict=True) if rest else ():
+            parts = self.cut(word)
+            if len(parts) == 1:
+                done[i] = get(parts[0]) or self._piece(parts[0])
+            else:
+                done[i] = [x for p in parts for x in get(p) or self._piece(p)]
+        return done
+
     def _add(self, words: list[bytes]) -> None:
-        found, first, count, at = [], [], [], len(self.ids)
+        found: list[list[int]] = []
         for lo in range(0, len(words), 20_000):
-            texts = [w.decode("utf-8") for w in words[lo:lo + 20_000]]
-            for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-                ids = e.ids
-                first.append(at)
-                count.append(len(ids))
-                at += len(ids)
-                found += ids
-        n = len(self.first)
+            found += self._word_ids([w.decode("utf-8") for w in words[lo:lo + 20_000]])
+        n, at = len(self.first), len(self.ids)
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(count.sum()))
         self.known.update(zip(words, range(n, n + len(words)), strict=True))
-        self.ids = np.concatenate([self.ids, np.array(found, np.int32)])
-        self.first = np.concatenate([self.first, np.array(first, np.int64)])
-        self.count = np.concatenate([self.count, np.array(count, np.int64)])
+        self.ids = np.concatenate([self.ids, flat])
+        self.first = np.concatenate([self.first, at + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, offsets of the texts)."""
@@ -83,20 +119,20 @@ class Words:
         words = list(itertools.chain.from_iterable(split))
         per_text = np.fromiter(map(len, split), np.int64, len(split))
         del split
-        if len(self.known) > KEPT_WORDS:
+        if len(self.known) > KEPT_WORDS or len(self.ids) > 16 * KEPT_WORDS:
             self._reset()
         code = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(code < 0)
         if len(missing):
             unknown = [words[i] for i in missing.tolist()]
-            self._add(list(dict.fromkeys(unknown)))
+            new = list(dict.fromkeys(unknown))
+            self._add(new)
             code[missing] = np.fromiter(map(self.known.__getitem__, unknown), np.int64, len(unknown))
+            for w in new:
+                if len(w) > KEPT_LENGTH:
+                    del self.known[w]
         counts = self.count[code]
         ids = self.ids[common.spread(self.first[code], counts)]
-        for w in [w for w in dict.fromkeys(words[i] for i in missing.tolist()) if len(w) > KEPT_LENGTH]:
-            del self.known[w]
-        if len(self.ids) > 16 * KEPT_WORDS:
-            self._reset()
         ends = np.concatenate([[0], np.cumsum(counts)])
         return ids, ends[np.concatenate([[0], np.cumsum(per_text)])]
 
