@@ -394,3 +394,16 @@ def longitudinal_history(history: DataFrame, wide: DataFrame, participants: Data
     st = links.select("participant_id", "store_id")
     out = hist.unionByName(bmi).join(g, "participant_id", "left").join(st, "participant_id", "left")
     return out.where(F.col("completion_created_at").isNotNull() & (F.year("completion_created_at") >= min_year))
+
+
+def bmi_as_history(wide: DataFrame, completions: DataFrame, value: str = "rec_med_bmi", slug: str = "bmi") -> DataFrame:
+    """The latest BMI of every participant as a row of the score history, dated
+    by the participant's last completion: (participant_id, slug, score_value,
+    completion_created_at). Participants without a number are left out."""
+    from pulseframe.functions.semantics import to_num
+    last = completions.groupBy("participant_id").agg(F.max("created_at").alias("completion_created_at"))
+    one = (wide.select("participant_id", to_num(value).alias("score_value"))
+           .where(F.col("participant_id").isNotNull() & F.col("score_value").isNotNull())
+           .groupBy("participant_id").agg(F.max("score_value").alias("score_value")))
+    return one.join(last, "participant_id", "left").select(
+        "participant_id", F.lit(slug).alias("slug"), "score_value", "completion_created_at")

@@ -136,6 +136,24 @@ def q_upsert(spark, sf_dir):
     return sinks.upsert_frames(target, incoming, ["participant_id"]).withColumnRenamed("_op", "op")
 
 
+UPSERT_KEYED_SQL = UPSERT_CTES + "SELECT * EXCLUDE (op) FROM merged"
+
+
+@register("upsert_keyed", UPSERT_KEYED_SQL)
+def q_upsert_keyed(spark, sf_dir):
+    """The stored table after the batch: only buckets with its keys are rewritten."""
+    import uuid
+
+    from pulseframe.session import ensure_checkpoint_dir
+    from pulseframe.sources.keyed import KeyedTable
+    target, incoming = _snapshot_frames(Domain(spark, sf_dir))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/keyed/{uuid.uuid4().hex[:12]}"
+    table = KeyedTable(spark, path, ["participant_id"], buckets=16)
+    table.upsert(target)
+    table.upsert(incoming)
+    return table.read()
+
+
 @register("upsert_counts", UPSERT_CTES + """SELECT
     CAST(sum(CASE WHEN op = 'insert' THEN 1 ELSE 0 END) AS BIGINT) AS inserted,
     CAST(sum(CASE WHEN op = 'update' THEN 1 ELSE 0 END) AS BIGINT) AS updated,
@@ -170,21 +188,20 @@ def q_join_factor_slug(spark, sf_dir):
     return consolidate.join_factor_slug(h, factors)
 
 
-@register("union_bmi_history", views("wide", "history") + """
-    SELECT participant_id, slug, score_value, completion_created_at, 'history' AS source FROM d_history
-    WHERE slug = 'A'
+@register("union_bmi_history", views("wide", "history", "completions") + """
+    SELECT id, participant_id, slug, completion_id, score_value, completion_created_at, 'history' AS source FROM d_history
     UNION ALL
-    SELECT participant_id, 'A' AS slug, rec_med_bmi AS score_value, latest_completion_at AS completion_created_at,
-           'latest' AS source
-    FROM d_wide WHERE rec_med_bmi IS NOT NULL""")
+    SELECT NULL, w.participant_id, 'bmi', NULL, w.rec_med_bmi, c.at, 'latest' FROM d_wide w
+    LEFT JOIN (SELECT participant_id, max(created_at) AS at FROM d_completions GROUP BY 1) c USING (participant_id)
+    WHERE w.rec_med_bmi IS NOT NULL""")
 def q_union_bmi_history(spark, sf_dir):
+    """The whole history, and every participant's BMI dated by its last completion."""
+    from pulseframe.operators.longitudinal import bmi_as_history
     d = Domain(spark, sf_dir)
-    hist = (d.history.where(F.col("slug") == "A")
-            .select("participant_id", "slug", "score_value", "completion_created_at", F.lit("history").alias("source")))
-    latest = (wide(d).where(F.col("rec_med_bmi").isNotNull())
-              .select("participant_id", F.lit("A").alias("slug"), F.col("rec_med_bmi").alias("score_value"),
-                      F.col("latest_completion_at").alias("completion_created_at"), F.lit("latest").alias("source")))
-    return reshape.union_all([hist, latest])
+    hist = d.history.select("id", "participant_id", "slug", "completion_id", "score_value", "completion_created_at",
+                            F.lit("history").alias("source"))
+    bmi = bmi_as_history(wide(d), d.completions).withColumn("source", F.lit("latest"))
+    return sinks.schema_evolve(hist, bmi)
 
 
 @register("set_ops", views("history", "interactions") + """,
@@ -264,11 +281,27 @@ def _customer_csv(spark, sf_dir) -> str:
     return path
 
 
-@register("scan_csv_sniffed", "SELECT * FROM customer")
+def _customer_csv_layouts(spark, sf_dir) -> list[str]:
+    """The customer table as CSV files of three layouts: as it is, with another
+    separator and order, and without the segment."""
+    import uuid
+
+    from pulseframe.session import ensure_checkpoint_dir
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/imports/layouts-{uuid.uuid4().hex[:12]}"
+    c = Tables(spark, sf_dir).customer
+    kinds = [(c.columns, ","), (c.columns[::-1], ";"), ([x for x in c.columns if x != "c_mktsegment"], ",")]
+    for i, (columns, sep) in enumerate(kinds):
+        (c.where(F.col("c_custkey") % 3 == i).select(*columns)
+         .write.option("header", True).option("sep", sep).csv(f"{base}/{i}"))
+    return [f"{base}/{i}" for i in range(len(kinds))]
+
+
+@register("scan_csv_sniffed", """SELECT c_custkey, c_name, c_nationkey, c_acctbal,
+    CASE WHEN c_custkey % 3 < 2 THEN c_mktsegment END AS c_mktsegment FROM customer""")
 def q_scan_csv_sniffed(spark, sf_dir):
-    path = _customer_csv(spark, sf_dir)
+    """Files of three layouts, each read by its own and aligned by name."""
     schema = Tables(spark, sf_dir).customer.schema
-    return readers.read_csv_sniffed(spark, path, schema=schema, terms=["c_custkey"])
+    return readers.read_csv_sniffed(spark, _customer_csv_layouts(spark, sf_dir), schema=schema, terms=["c_custkey"])
 
 
 IMPORT_ALIASES = {"c_custkey": "id", "c_nationkey": "store_id", "c_mktsegment": "segment", "c_name": "name"}

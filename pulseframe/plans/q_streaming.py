@@ -61,4 +61,4 @@ def q_stream_latest_scores(spark, sf_dir):
     root = bursts.run_to_table(spark, rows, "latest_scores",
                                foreach_batch=latest.upsert_latest_sink(["participant_id", "slug"],
                                                                        "completion_created_at", ["id"]))
-    return spark.read.parquet(latest.latest_table_path(spark, root))
+    return latest.read_latest(spark, root, ["participant_id", "slug"])

@@ -99,16 +99,16 @@ def read_parquet_unique(spark: SparkSession, path: str, key: str = "user_id", or
     return out.drop("_pos") if "_pos" in out.columns else out
 
 
-def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def _numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Lines with their position: (file, start of the split, line within it)."""
-    lines = spark.read.text(path).select(
+    lines = spark.read.text(path if isinstance(path, str) else list(path)).select(
         F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
                  F.monotonically_increasing_id().alias("line")).alias("at"),
         F.regexp_replace("value", "^\ufeff", "").alias("value"))
     return lines
 
 
-def sniff_header(spark: SparkSession, path: str, terms: Sequence[str] = HEADER_TERMS,
+def sniff_header(spark: SparkSession, path: str | Sequence[str], terms: Sequence[str] = HEADER_TERMS,
                  separators: Sequence[str] = HEADER_SEPARATORS) -> DataFrame:
     """One row per file: the position ``at`` and text ``header`` of its first
     line holding a known term and a separator, wherever it stands; the first
@@ -126,8 +126,8 @@ def sniff_header(spark: SparkSession, path: str, terms: Sequence[str] = HEADER_T
             .select("file", F.col("h.at").alias("at"), F.col("h.value").alias("header")))
 
 
-def _joined_records(body: DataFrame, sep: str) -> DataFrame:
-    """(at, value) lines -> (at, value) records: a quoted field may run on over
+def _joined_records(body: DataFrame) -> DataFrame:
+    """(at, sep, value) lines -> (at, value) records: a quoted field may run on over
     the following lines.
 
     A quote opens a field only at its start (after the line's start or a
@@ -141,15 +141,14 @@ def _joined_records(body: DataFrame, sep: str) -> DataFrame:
     which of them start a record; only the lines of records that span several
     are gathered. A field still open at the end of its file was never closed:
     its lines stay records of their own."""
-    mark = "'" + sep.replace("\\", "\\\\").replace("'", "\\'") + "'"
     # Before a piece between quotes: 0 within an unquoted field, 1 at the start
     # of a field or after a quote inside one, 2 inside.
     ends = lambda start: (f"CASE WHEN NOT contains(value, '\"') THEN {start - 1} ELSE cast(aggregate(slice(_x, 1, size(_x) - 1), {start}, (s, x) -> "
-                          f"CASE WHEN s = 2 THEN 1 WHEN (s = 1 AND x = '') OR endswith(x, {mark}) THEN 2 ELSE 0 END) = 2 AS int) END")
-    q = (body.select("at", F.col("at.file").alias("file"), F.col("at.split").alias("split"), "value", F.split("value", '"', -1).alias("_x"))
+                          f"CASE WHEN s = 2 THEN 1 WHEN (s = 1 AND x = '') OR endswith(x, sep) THEN 2 ELSE 0 END) = 2 AS int) END")
+    q = (body.select("at", F.col("at.file").alias("file"), F.col("at.split").alias("split"), "value", "sep", F.split("value", '"', -1).alias("_x"))
          .select("at", "file", "split", "value", F.expr(ends(1)).alias("_out"), F.expr(ends(2)).alias("_in")))
     if q.where("_out = 1").isEmpty():
-        return body
+        return body.select("at", "value")
     lines = Window.partitionBy("file", "split").orderBy("at")
     upto = lines.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     splits = Window.partitionBy("file").orderBy("split")
@@ -181,34 +180,58 @@ def _joined_records(body: DataFrame, sep: str) -> DataFrame:
     return told.where(whole).select("at", "value").unionByName(pieces)
 
 
-def read_csv_sniffed(spark: SparkSession, path: str, schema: StructType | None = None,
+def sniff_layouts(headers: DataFrame, separators: Sequence[str] = HEADER_SEPARATORS) -> list[tuple[str, list[str]]]:
+    """The distinct (separator, column names) of header lines, in file order.
+
+    Only distinct header lines reach the driver, at most one per file. A name
+    that a header repeats gets its place added, so no column is lost."""
+    firsts = headers.groupBy("header").agg(F.min("file").alias("file")).orderBy("file").collect()
+    layouts = []
+    for row in firsts:
+        sep = max(separators, key=row.header.count)
+        names = [c.strip().strip('"') for c in row.header.split(sep)]
+        names = [n if names.index(n) == i else f"{n}_{i + 1}" for i, n in enumerate(names)]
+        layouts.append((row.header, sep, names))
+    return layouts
+
+
+def read_csv_sniffed(spark: SparkSession, path: str | Sequence[str], schema: StructType | None = None,
                      terms: Sequence[str] = HEADER_TERMS, separators: Sequence[str] = HEADER_SEPARATORS) -> DataFrame:
-    """Distributed CSV read after sniffing the header line and separator.
+    """Distributed CSV read after sniffing every file's header line and separator.
 
-    The file is read as text in parallel; every line up to and including the
+    The files are read as text in parallel; every line up to and including the
     header of its file goes by position, however often its text returns as
-    data, and blank lines go; the rest is parsed with ``from_csv`` (all
-    strings unless a ``schema`` is given). All files share the columns of the
-    first one. A BOM on the first line is tolerated. A quoted field may hold
-    line breaks (``_joined_records``) and doubled quotes.
+    data, and blank lines go; the rest is parsed with ``from_csv`` under its
+    own file's layout, in one pass (a CASE over the distinct layouts), and
+    aligned by column name. Columns stand in the order of the first file, then
+    those that later files add; a column that a file lacks is NULL there. All
+    are strings unless a ``schema`` is given. A BOM on the first line is
+    tolerated. A quoted field may hold line breaks (``_joined_records``) and
+    doubled quotes.
     """
     headers = sniff_header(spark, path, terms, separators)
-    first = headers.orderBy("file").select("header").first()
-    if first is None:
+    layouts = sniff_layouts(headers, separators)
+    if not layouts:
         raise ValueError(f"no lines in {path}")
-    sep = max(separators, key=first.header.count)
-    names = [c.strip().strip('"') for c in first.header.split(sep)]
-    after = headers.select("file", F.col("at").alias("_header_at"))
-    lines = _numbered_lines(spark, path)
+    kinds = list(dict.fromkeys((sep, tuple(names)) for _, sep, names in layouts))
+    columns = list(dict.fromkeys(n for _, names in kinds for n in names))
+    which = F.create_map(*[x for h, sep, names in layouts for x in (F.lit(h), F.lit(kinds.index((sep, tuple(names)))))])
+    seps = F.array(*[F.lit(sep) for sep, _ in kinds])
     # One short row per file of the import; a broadcast keeps the lines in file order.
-    body = (lines.join(F.broadcast(after), lines["at.file"] == after["file"])
-            .where(F.col("at") > F.col("_header_at")).select("at", "value"))
-    body = _joined_records(body, sep).where(F.length(F.trim("value")) > 0)
-    ddl = ", ".join(f"`{n}` string" for n in names)
-    parsed = body.select(F.from_csv("value", ddl, {"sep": sep, "escape": '"'}).alias("r")).select("r.*")
+    after = F.broadcast(headers.select("file", F.col("at").alias("_header_at"), which[F.col("header")].alias("_layout")))
+    lines = _numbered_lines(spark, path)
+    body = (lines.join(after, lines["at.file"] == after["file"]).where(F.col("at") > F.col("_header_at"))
+            .select("at", seps[F.col("_layout")].alias("sep"), "value"))
+    records = _joined_records(body).where(F.length(F.trim("value")) > 0)
+    records = records.join(after.select("file", "_layout"), records["at.file"] == after["file"])
+    parsed = records.select("_layout", *[
+        F.when(F.col("_layout") == i, F.from_csv("value", ", ".join(f"`{n}` string" for n in names), {"sep": sep, "escape": '"'}))
+        .alias(f"_r{i}") for i, (sep, names) in enumerate(kinds)])
+    parsed = parsed.select(*[F.coalesce(*[F.col(f"_r{i}")[n] for i, (_, names) in enumerate(kinds) if n in names]).alias(n)
+                             for n in columns])
     if schema is not None:
         parsed = parsed.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields
-                                 if f.name in names])
+                                 if f.name in columns])
     return parsed
 
 

@@ -1,9 +1,10 @@
 """Streaming upsert of the newest score per key (``foreachBatch`` sink).
 
-Each micro-batch is reduced to its newest row per key and merged with the
-table written by the previous batch; the merged table is written to a new
-epoch folder, so a replayed batch simply rewrites its own folder
-(idempotent) and readers always see a complete version.
+Each micro-batch is reduced to its newest row per key and merged into a keyed
+table (``sources.keyed``): only the buckets that hold the batch's keys are
+read and written, and the manifest written at the end is the commit. It
+carries the epoch, so a replayed batch changes nothing, and readers always see
+a complete version.
 """
 
 from __future__ import annotations
@@ -11,40 +12,32 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pulseframe.operators.reshape import latest_per_key
+from pulseframe.sources.keyed import KeyedTable
 
 
-def _epochs(spark: SparkSession, root: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    found = []
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if name.startswith("epoch_") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            found.append(int(name[len("epoch_"):]))
-    return sorted(found)
+def read_latest(spark: SparkSession, root: str, keys: Sequence[str]) -> DataFrame:
+    """The newest committed table below ``root``."""
+    return KeyedTable(spark, root, keys).read()
 
 
-def latest_table_path(spark: SparkSession, root: str) -> str:
-    eps = _epochs(spark, root)
-    if not eps:
-        raise FileNotFoundError(root)
-    return f"{root}/epoch_{eps[-1]:012d}"
-
-
-def upsert_latest_sink(keys: Sequence[str], order: str, tiebreak: Sequence[str] = ("id",)):
+def upsert_latest_sink(keys: Sequence[str], order: str, tiebreak: Sequence[str] = ("id",), buckets: int = 8):
     """Return a ``foreachBatch`` function (batch_df, epoch_id, root) that keeps
-    the newest row per ``keys`` across all batches."""
+    the newest row per ``keys`` across all batches. Rows with a null key are
+    left out."""
+    def newest(df: DataFrame) -> DataFrame:
+        return latest_per_key(df, list(keys), order, list(tiebreak))
+
+    def combine(old: DataFrame | None, new: DataFrame) -> DataFrame:
+        if old is None:
+            return new.withColumn("_op", F.lit("insert"))
+        was = old.groupBy(*keys).agg(F.lit(1).alias("_was"))
+        merged = newest(old.unionByName(new)).join(was, list(keys), "left")
+        return merged.withColumn("_op", F.when(F.col("_was").isNull(), "insert").otherwise("keep")).drop("_was")
+
     def fn(batch: DataFrame, epoch: int, root: str) -> None:
-        spark = batch.sparkSession
-        previous = [e for e in _epochs(spark, root) if e < epoch]
-        merged = batch
-        if previous:
-            merged = spark.read.parquet(f"{root}/epoch_{previous[-1]:012d}").unionByName(batch)
-        latest_per_key(merged, list(keys), order, list(tiebreak)).write.mode("overwrite").parquet(
-            f"{root}/epoch_{epoch:012d}")
+        keyed = batch.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+        KeyedTable(batch.sparkSession, root, keys, buckets).merge(newest(keyed), combine, tag=epoch)
     return fn
