@@ -490,19 +490,42 @@ def engagement_by_store(scores: DataFrame, names: DataFrame, min_participants: i
                .withColumn("vs_benchmark", F.col("mean_engagement") - F.col("benchmark")))
 
 
-def link_coverage(sources: Mapping[str, tuple[DataFrame, DataFrame]], key: str = "participant_id") -> DataFrame:
-    """Per source: distinct keys available, how many of them can be linked
-    (occur in the link table) and the percentage."""
+def id_bitmaps(df: DataFrame, key: str) -> DataFrame:
+    """(bucket, bits): the set of integer ids as exact bitmaps of 32,768 ids each.
+
+    Bitmaps are built map-side and merged by OR, so what is shuffled does not
+    grow with the number of rows, and no id travels singly."""
+    ids = df.select(F.col(key).cast("long").alias("_k")).where(F.col("_k").isNotNull())
+    return ids.groupBy(F.bitmap_bucket_number("_k").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_k")).alias("bits"))
+
+
+def link_coverage(sources: Sequence[tuple[str, DataFrame, str, DataFrame | None, str | None]],
+                  notes: Mapping[str, str] | None = None) -> DataFrame:
+    """(source, available, linkable, note, pct) for (name, data, key, links, link key).
+
+    ``available`` counts the distinct ids of the source, ``linkable`` those
+    that the link table holds too (all, where none is given; 0, where it is
+    empty), ``pct`` is their share (1 dp; NULL where nothing is available).
+    Sets are bitmaps that meet bucket by bucket, all sources in one pass."""
+    notes = notes or {}
     parts = []
-    for name, (data, links) in sources.items():
-        avail = data.select(F.col(key).alias("_k")).where(F.col("_k").isNotNull()).distinct()
-        linked = avail.join(links.select(F.col(key).alias("_k")).distinct().withColumn("_l", F.lit(1)), "_k", "left")
-        parts.append(linked.agg(F.count(F.lit(1)).alias("available"), F.count("_l").alias("linkable"))
-                     .select(F.lit(name).alias("source"), "available", "linkable"))
-    out = parts[0]
+    for i, (_, data, key, links, link_key) in enumerate(sources):
+        parts.append(id_bitmaps(data, key).select(F.lit(i).alias("i"), F.lit(0).alias("side"), "bucket", "bits"))
+        other = id_bitmaps(links, link_key) if links is not None else id_bitmaps(data, key)
+        parts.append(other.select(F.lit(i).alias("i"), F.lit(1).alias("side"), "bucket", "bits"))
+    bits = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("pct", F.try_divide(F.col("linkable") * 100.0, F.col("available")))
+        bits = bits.unionByName(p)
+    met = bits.groupBy("i", "bucket").agg(
+        F.coalesce(F.sum(F.when(F.col("side") == 0, F.bitmap_count("bits"))), F.lit(0)).alias("a"),
+        F.when(F.count(F.lit(1)) == 2, F.bitmap_count(F.bitmap_and_agg("bits"))).otherwise(0).alias("b"))
+    sums = met.groupBy("i").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    spark = sources[0][1].sparkSession
+    rows = spark.createDataFrame([(i, s[0], notes.get(s[0], "")) for i, s in enumerate(sources)], "i int, source string, note string")
+    out = rows.join(sums, "i", "left").select(
+        "source", F.coalesce("a", F.lit(0)).alias("available"), F.coalesce("b", F.lit(0)).alias("linkable"), "note")
+    return out.withColumn("pct", F.round(F.try_divide(F.col("linkable") * 100.0, F.col("available")), 1))
 
 
 def age_vs_score(wide: DataFrame, score: str, age: str = "rec_age_current") -> DataFrame:
@@ -524,16 +547,33 @@ def wai_productivity(wide: DataFrame, wai: str) -> DataFrame:
                  F.regr_r2("estimate", "wai").alias("r2"))
 
 
-def activation_by_year(accounts: DataFrame, active_ids: DataFrame, created_at: str = "created_at") -> DataFrame:
-    """Per registration year: accounts, active (id in the active set),
-    inactive and percent active (1 dp); a running total of accounts."""
+PLAUSIBLE_YEARS = (2018, 2030)
+
+
+def completed_ids(wide: DataFrame, key: str = "participant_id", at: str = "latest_completion_at") -> DataFrame:
+    """Distinct ids of the participants with a completion (all participants
+    where the table has no such column)."""
+    rows = wide.where(F.col(at).isNotNull()) if at in wide.columns else wide
+    return rows.select(F.col(key).alias("id")).where(F.col("id").isNotNull()).distinct()
+
+
+def _with_activity(accounts: DataFrame, active_ids: DataFrame, created_at: str) -> DataFrame:
     act = active_ids.select(F.col("id").alias("_aid")).where(F.col("_aid").isNotNull()).distinct()
-    a = (accounts.where(F.col(created_at).isNotNull())
-         .join(act, accounts["id"] == act["_aid"], "left")
-         .withColumn("_active", F.col("_aid").isNotNull()))
-    per = a.groupBy(F.year(created_at).alias("year")).agg(
+    return (accounts.join(act, accounts["id"] == act["_aid"], "left")
+            .withColumn("_active", F.col("_aid").isNotNull()).withColumn("_year", F.year(created_at)))
+
+
+def activation_by_year(accounts: DataFrame, active_ids: DataFrame, created_at: str = "created_at",
+                       years: tuple[int, int] | None = PLAUSIBLE_YEARS) -> DataFrame:
+    """Per registration year within ``years`` (both included): accounts, active
+    ones (id in the active set), inactive ones and percent active (1 dp); a
+    running total of accounts."""
+    a = _with_activity(accounts, active_ids, created_at).where(F.col("_year").isNotNull())
+    if years is not None:
+        a = a.where(F.col("_year").between(*years))
+    per = a.groupBy(F.col("_year").alias("year")).agg(
         F.count(F.lit(1)).alias("accounts"), F.sum(F.col("_active").cast("int")).cast("long").alias("active"))
-    w = Window.orderBy("year").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.orderBy("year").rowsBetween(Window.unboundedPreceding, 0)  # one row per year
     return (per.withColumn("inactive", F.col("accounts") - F.col("active"))
                .withColumn("pct_active", F.round(F.col("active") * 100.0 / F.col("accounts"), 1))
                .withColumn("cumulative_accounts", F.sum("accounts").over(w)))
@@ -541,15 +581,25 @@ def activation_by_year(accounts: DataFrame, active_ids: DataFrame, created_at: s
 
 def inactive_accounts(accounts: DataFrame, active_ids: DataFrame, consent_cols: Sequence[str],
                       created_at: str = "created_at") -> DataFrame:
-    """Among inactive accounts: count, share (1 dp) with each consent /
-    onboarding field filled, modal registration year and mean year."""
-    act = active_ids.select(F.col("id").alias("_aid")).where(F.col("_aid").isNotNull()).distinct()
-    ina = accounts.join(act, accounts["id"] == act["_aid"], "left_anti")
-    aggs = [F.count(F.lit(1)).alias("n_inactive"),
-            F.mode(F.year(created_at), deterministic=True).alias("modal_year"),
-            F.avg(F.year(created_at)).alias("mean_year")]
-    aggs += [F.round(F.avg(F.col(c).isNotNull().cast("double")) * 100, 1).alias(f"pct_{c}") for c in consent_cols]
-    return ina.agg(*aggs)
+    """Among inactive accounts: count, share (1 dp) and number with each consent /
+    onboarding field filled, modal registration year and mean year; and the
+    percentage of all accounts that is active."""
+    a = _with_activity(accounts.where(F.col("id").isNotNull()), active_ids, created_at)
+    idle = ~F.col("_active")
+    year = F.when(idle, F.col("_year"))
+    aggs = [F.coalesce(F.sum(idle.cast("long")), F.lit(0)).alias("n_inactive"), F.mode(year, deterministic=True).alias("modal_year"),
+            F.avg(year).alias("mean_year"), F.round(F.avg(F.col("_active").cast("double")) * 100, 1).alias("pct_active")]
+    for c in consent_cols:
+        filled = F.when(idle, F.col(c).isNotNull().cast("double"))
+        aggs += [F.round(F.avg(filled) * 100, 1).alias(f"pct_{c}"), F.coalesce(F.sum(filled), F.lit(0)).cast("long").alias(f"n_{c}")]
+    return a.agg(*aggs)
+
+
+def inactive_by_year(accounts: DataFrame, active_ids: DataFrame, created_at: str = "created_at") -> DataFrame:
+    """Active and inactive accounts of every registration year."""
+    a = _with_activity(accounts.where(F.col("id").isNotNull()), active_ids, created_at).where(F.col("_year").isNotNull())
+    return a.groupBy(F.col("_year").alias("year")).agg(
+        F.sum(F.col("_active").cast("long")).alias("active"), F.sum((~F.col("_active")).cast("long")).alias("inactive"))
 
 
 def diet_score(cols: Sequence[str]) -> Column:

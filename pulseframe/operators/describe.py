@@ -322,7 +322,8 @@ def analysis_columns(columns: Sequence[str], skip_prefixes: Sequence[str] = (),
 
 
 def quantile_table(df: DataFrame, keys: Sequence[str], value: Column | str, probs: Sequence[float],
-                   names: Sequence[str] | None = None, partitions: int | None = None) -> DataFrame:
+                   names: Sequence[str] | None = None, partitions: int | None = None,
+                   weight: str | None = None) -> DataFrame:
     """Exact quantiles (linear interpolation, as pandas ``quantile`` and SQL
     ``quantile_cont``) per group, without holding a group in one task.
 
@@ -337,12 +338,14 @@ def quantile_table(df: DataFrame, keys: Sequence[str], value: Column | str, prob
        interpolated.
     Returns one row per group with one column per probability. Rows with a
     NULL group key are left out (as a grouped quantile drops NULL keys).
+    ``weight``: a column with the number of rows that a row stands for.
     """
     keys = list(keys)
     names = list(names or [f"q{i}" for i in range(len(probs))])
     v = F.col(value) if isinstance(value, str) else value
-    x = df.select(*keys, v.cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    cnt = x.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    times = F.col(weight) if weight else F.lit(1)
+    x = df.select(*keys, v.cast("double").alias("_v"), times.cast("long").alias("_m")).where(F.col("_v").isNotNull())
+    cnt = x.groupBy(*keys, "_v").agg(F.sum("_m").alias("_c"))
     n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Range bounds are sampled anew for every shuffle, so the ranged counts are
     # written once and both branches below read the same range numbers.
@@ -367,3 +370,25 @@ def quantile_table(df: DataFrame, keys: Sequence[str], value: Column | str, prob
     per = per.withColumn("q", F.col("_a") + (F.col("h") - F.col("_f")) * (F.col("_b") - F.col("_a")))
     wide = per.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(nm) for i, nm in enumerate(names)])
     return wide
+
+
+def home_or_abroad(postal_code: Column | str, home: str = "Nederland", abroad: str = "Buitenland") -> Column:
+    """Home where the postcode holds four digits in a row, abroad elsewhere (missing ones too)."""
+    code = F.col(postal_code) if isinstance(postal_code, str) else postal_code
+    found = F.regexp_extract(F.coalesce(code.cast("string"), F.lit("")), r"(\d{4})", 1)
+    return F.when(found != "", home).otherwise(abroad)
+
+
+def region_comparison(df: DataFrame, metrics: Mapping[str, str], region: str = "region",
+                      participant: str = "participant_id") -> DataFrame:
+    """(metric, region, mean, n): the mean over participants of each one's own
+    mean (2 decimals), and the number of participants with a value.
+
+    All metrics go through one unpivot; the first of the two aggregations is
+    combined map-side, so a participant with very many rows is no hot key.
+    Metrics that the table lacks give no rows."""
+    found = {k: c for k, c in metrics.items() if c in df.columns}
+    long = measures_long(df, found, ids=[participant, region])
+    per = long.groupBy("measure", region, participant).agg(F.avg("value").alias("_v"))
+    return (per.groupBy(F.col("measure").alias("metric"), F.col(region).alias("region"))
+            .agg(F.round(F.avg("_v"), 2).alias("mean"), F.count(participant).alias("n")))

@@ -407,23 +407,33 @@ def q_engagement_by_store(spark, sf_dir):
     return behaviour.engagement_by_store(_engagement(d), _names(d))
 
 
-@register("link_coverage", views("history", "interactions", "participants", "stores", "app_users") + f""",
-links AS (SELECT p.id AS participant_id FROM d_participants p JOIN d_stores s ON s.id = p.store_id),
-bridge AS (SELECT qe_participant_id AS participant_id FROM d_app_users),
-a1 AS (SELECT DISTINCT participant_id AS k FROM d_history WHERE participant_id IS NOT NULL),
-a2 AS (SELECT DISTINCT user_id AS k FROM d_interactions WHERE user_id IS NOT NULL)
-SELECT 'history' AS source, count(*) AS available, count(CASE WHEN k IN (SELECT participant_id FROM links) THEN 1 END)
-       AS linkable, {r("count(CASE WHEN k IN (SELECT participant_id FROM links) THEN 1 END) * 100.0 / count(*)")} AS pct FROM a1
-UNION ALL
-SELECT 'interactions', count(*), count(CASE WHEN k IN (SELECT participant_id FROM bridge) THEN 1 END),
-       {r("count(CASE WHEN k IN (SELECT participant_id FROM bridge) THEN 1 END) * 100.0 / count(*)")} FROM a2""")
+COVERAGE_NOTE = "Geen betrouwbare user-level koppeling; metric op store-niveau"
+
+
+@register("link_coverage", views("wide", "interactions", "participants", "stores", "app_users", "store_employees") + f""",
+links AS (SELECT DISTINCT p.id AS k FROM d_participants p JOIN d_stores s ON s.id = p.store_id WHERE p.segment <> 'BUILDING'),
+bridge AS (SELECT DISTINCT user_id AS k FROM d_app_users WHERE user_id % 10 <> 3),
+scores AS (SELECT DISTINCT participant_id AS k FROM d_wide WHERE participant_id IS NOT NULL),
+seen AS (SELECT DISTINCT user_id AS k FROM d_interactions WHERE user_id IS NOT NULL),
+stores AS (SELECT DISTINCT store_id AS k FROM d_store_employees WHERE deleted_at IS NULL AND store_id IS NOT NULL),
+per AS (SELECT 'Opdrachtgever-koppeling' AS source, (SELECT count(*) FROM links) AS available, (SELECT count(*) FROM links) AS linkable, '' AS note
+ UNION ALL SELECT 'Participant-gebruiker', (SELECT count(*) FROM bridge), (SELECT count(*) FROM bridge), ''
+ UNION ALL SELECT 'Vragenlijstscores', (SELECT count(*) FROM scores), (SELECT count(*) FROM scores JOIN links USING (k)), ''
+ UNION ALL SELECT 'Artikelviews', (SELECT count(*) FROM seen), (SELECT count(*) FROM seen JOIN bridge USING (k)), ''
+ UNION ALL SELECT 'Challenges', (SELECT count(*) FROM stores), (SELECT count(*) FROM stores), '{COVERAGE_NOTE}')
+SELECT source, available, linkable, note, {r("round(linkable * 100.0 / nullif(available, 0), 1)")} AS pct FROM per""")
 def q_link_coverage(spark, sf_dir):
+    """Five sources; the bridge lacks every tenth user, one segment has no store."""
     d = _d(spark, sf_dir)
-    links = linking.direct_store_links(d.participants, d.stores)
-    bridge = d.app_users.select(F.col("qe_participant_id").alias("participant_id"))
-    return behaviour.link_coverage({
-        "history": (d.history, links),
-        "interactions": (d.interactions.select(F.col("user_id").alias("participant_id")), bridge)})
+    links = linking.direct_store_links(d.participants.where(F.col("segment") != "BUILDING"), d.stores)
+    bridge = d.app_users.where(F.col("user_id") % 10 != 3)
+    stores = d.store_employees.where(F.col("deleted_at").isNull())
+    return behaviour.link_coverage([
+        ("Opdrachtgever-koppeling", links, "participant_id", None, None),
+        ("Participant-gebruiker", bridge, "user_id", None, None),
+        ("Vragenlijstscores", wide(d), "participant_id", links, "participant_id"),
+        ("Artikelviews", d.interactions, "user_id", bridge, "user_id"),
+        ("Challenges", stores, "store_id", None, None)], {"Challenges": COVERAGE_NOTE})
 
 
 @register("age_vs_score", views("wide") + f"""SELECT
@@ -445,25 +455,35 @@ def q_wai_productivity(spark, sf_dir):
     return behaviour.wai_productivity(wide(_d(spark, sf_dir)), "rec_ls_stress_sum")
 
 
-def _accounts(d):
-    first = d.completions.groupBy(F.col("participant_id").alias("id")).agg(F.min("created_at").alias("created_at"))
-    acc = d.participants.select("id", "postal_code").join(first, "id", "left")
-    active = d.history.where(F.col("slug") == "R").select(F.col("participant_id").alias("id"))
-    return acc, active
+# Accounts: every customer, registered on a day between 2016 and 2031 that
+# follows from its key; two onboarding fields are filled for some of them, and
+# every fourth has completed nothing.
+CONSENTS = ["completed_onboarding_at", "phone_number"]
 
 
-ACC_CTE = views("participants", "completions", "history") + """,
-acc AS (SELECT p.id, p.postal_code, f.created_at FROM d_participants p
-        LEFT JOIN (SELECT participant_id, min(created_at) AS created_at FROM d_completions GROUP BY 1) f
-        ON f.participant_id = p.id),
-act AS (SELECT DISTINCT participant_id AS id FROM d_history WHERE slug = 'R' AND participant_id IS NOT NULL)
+def _accounts(d):
+    key = F.col("id")
+    acc = d.participants.select(
+        "id", F.date_add(F.lit("2016-01-01").cast("date"), (key * 37 % 5500).cast("int")).alias("created_at"),
+        F.when(key % 3 == 0, F.lit("2020-01-01")).alias("completed_onboarding_at"),
+        F.when(F.col("balance") > 0, F.col("postal_code")).alias("phone_number"))
+    scores = wide(d).select("participant_id", F.when(F.col("participant_id") % 4 != 1, F.col("latest_completion_at"))
+                            .alias("latest_completion_at"))
+    return acc, behaviour.completed_ids(scores)
+
+
+ACC_CTE = views("participants", "wide") + """,
+acc AS (SELECT id, DATE '2016-01-01' + CAST(id * 37 % 5500 AS INTEGER) AS created_at,
+        CASE WHEN id % 3 = 0 THEN '2020-01-01' END AS completed_onboarding_at,
+        CASE WHEN balance > 0 THEN postal_code END AS phone_number FROM d_participants),
+act AS (SELECT DISTINCT participant_id AS id FROM d_wide WHERE latest_completion_at IS NOT NULL AND participant_id % 4 <> 1),
+per AS (SELECT year(created_at) AS year, count(*) AS accounts,
+               CAST(sum(CASE WHEN id IN (SELECT id FROM act) THEN 1 ELSE 0 END) AS BIGINT) AS active
+        FROM acc WHERE year(created_at) BETWEEN 2018 AND 2030 GROUP BY 1)
 """
 
 
-@register("account_activation", ACC_CTE + f""",
-per AS (SELECT year(created_at) AS year, count(*) AS accounts,
-               CAST(sum(CASE WHEN id IN (SELECT id FROM act) THEN 1 ELSE 0 END) AS BIGINT) AS active
-        FROM acc WHERE created_at IS NOT NULL GROUP BY 1)
+@register("account_activation", ACC_CTE + f"""
 SELECT year, accounts, active, accounts - active AS inactive, {r('round(active * 100.0 / accounts, 1)')} AS pct_active,
        CAST(sum(accounts) OVER (ORDER BY year ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cumulative_accounts FROM per""")
 def q_account_activation(spark, sf_dir):
@@ -471,11 +491,7 @@ def q_account_activation(spark, sf_dir):
     return behaviour.activation_by_year(acc, active)
 
 
-@register("platform_growth", ACC_CTE + """,
-per AS (SELECT year(created_at) AS year, count(*) AS accounts,
-               CAST(sum(CASE WHEN id IN (SELECT id FROM act) THEN 1 ELSE 0 END) AS BIGINT) AS active
-        FROM acc WHERE created_at IS NOT NULL GROUP BY 1)
-SELECT year, accounts, active FROM per""")
+@register("platform_growth", ACC_CTE + "SELECT year, accounts, active FROM per")
 def q_platform_growth(spark, sf_dir):
     acc, active = _accounts(_d(spark, sf_dir))
     return behaviour.activation_by_year(acc, active).select("year", "accounts", "active")
@@ -483,11 +499,20 @@ def q_platform_growth(spark, sf_dir):
 
 @register("inactive_accounts", ACC_CTE + f"""SELECT count(*) AS n_inactive,
     mode() WITHIN GROUP (ORDER BY year(created_at)) AS modal_year, {r('avg(year(created_at))')} AS mean_year,
-    {r('round(avg(CASE WHEN postal_code IS NOT NULL THEN 1.0 ELSE 0.0 END) * 100, 1)')} AS pct_postal_code
+    {r('round((SELECT count(*) FROM acc WHERE id IN (SELECT id FROM act)) * 100.0 / (SELECT count(*) FROM acc), 1)')} AS pct_active,
+    {", ".join(f"{r(f'round(avg(CASE WHEN {c} IS NOT NULL THEN 1.0 ELSE 0.0 END) * 100, 1)')} AS pct_{c}, count({c}) AS n_{c}" for c in CONSENTS)}
     FROM acc WHERE id NOT IN (SELECT id FROM act)""")
 def q_inactive_accounts(spark, sf_dir):
     acc, active = _accounts(_d(spark, sf_dir))
-    return behaviour.inactive_accounts(acc, active, ["postal_code"])
+    return behaviour.inactive_accounts(acc, active, CONSENTS)
+
+
+@register("inactive_accounts_by_year", ACC_CTE + """SELECT year(created_at) AS year,
+    CAST(sum(CASE WHEN id IN (SELECT id FROM act) THEN 1 ELSE 0 END) AS BIGINT) AS active,
+    CAST(sum(CASE WHEN id IN (SELECT id FROM act) THEN 0 ELSE 1 END) AS BIGINT) AS inactive FROM acc GROUP BY 1""")
+def q_inactive_accounts_by_year(spark, sf_dir):
+    acc, active = _accounts(_d(spark, sf_dir))
+    return behaviour.inactive_by_year(acc, active)
 
 
 DIET_COLS = ["d_bmi", "d_heartrisk", "d_stress"]

@@ -218,16 +218,27 @@ def q_geo_median(spark, sf_dir):
     return n.join(describe.quantile_table(x, ["pc3"], "rec_ls_lifestyle_score", [0.5], ["median"]), "pc3")
 
 
-@register("region_comparison", views("wide", "stores") + f"""
-SELECT s.partner_id AS region, {r('avg(w.rec_med_bmi)')} AS mean_bmi, {r('avg(w.rec_heartrisk)')} AS mean_heartrisk,
-       {r('avg(w.rec_ls_stress_sum)')} AS mean_stress, count(DISTINCT w.participant_id) AS n_participants
-FROM d_wide w JOIN d_stores s ON s.id = w.store_id GROUP BY 1""")
+REGION_METRICS = {"BMI": "A", "Hartrisico": "N", "Stress": "R"}
+REGION_PC = "CASE WHEN p.segment = 'MACHINERY' THEN 'B-' || substr(p.postal_code, 2) ELSE p.postal_code END"
+
+
+@register("region_comparison", views("history", "participants") + f""", per AS (
+  SELECT h.participant_id, h.slug, CASE WHEN regexp_extract({REGION_PC}, '(\\d{{4}})', 1) <> '' THEN 'Nederland'
+         ELSE 'Buitenland' END AS region, avg(h.score_value) AS v
+  FROM d_history h JOIN d_participants p ON p.id = h.participant_id WHERE h.score_value IS NOT NULL GROUP BY ALL)
+SELECT CASE slug WHEN 'A' THEN 'BMI' WHEN 'N' THEN 'Hartrisico' ELSE 'Stress' END AS metric, region,
+       {r('round(avg(v), 2)')} AS mean, count(DISTINCT participant_id) AS n FROM per GROUP BY 1, 2""")
 def q_region_comparison(spark, sf_dir):
+    """Home against abroad: the mean per participant first, then per region
+    (customers of one segment have a foreign postcode)."""
     d = Domain(spark, sf_dir)
-    w = wide(d).join(d.stores.select(F.col("id").alias("store_id"), F.col("partner_id").alias("region")), "store_id")
-    return w.groupBy("region").agg(F.avg("rec_med_bmi").alias("mean_bmi"), F.avg("rec_heartrisk").alias("mean_heartrisk"),
-                                   F.avg("rec_ls_stress_sum").alias("mean_stress"),
-                                   F.countDistinct("participant_id").alias("n_participants"))
+    p = d.participants.select(F.col("id").alias("participant_id"), F.when(
+        F.col("segment") == "MACHINERY", F.concat(F.lit("B-"), F.substring("postal_code", 2, 9)))
+        .otherwise(F.col("postal_code")).alias("postal_code"))
+    rows = d.history.select("participant_id", "slug", "score_value").join(p, "participant_id")
+    rows = rows.select("participant_id", describe.home_or_abroad("postal_code").alias("region"),
+                       *[F.when(F.col("slug") == s, F.col("score_value")).alias(m) for m, s in REGION_METRICS.items()])
+    return describe.region_comparison(rows, {m: m for m in REGION_METRICS})
 
 
 @register("pivot_text", views("wide", "stores") + """, g AS (
@@ -244,3 +255,81 @@ def q_pivot_text(spark, sf_dir):
     long = describe.measures_long(w, {"BMI": "rec_med_bmi", "Stress": "rec_ls_stress_sum"}, ids=["region"])
     return describe.pivot_text(long, "measure", "region", "value", list(range(5)), "region_").withColumnRenamed(
         "measure", "metric")
+
+
+# --------------------------------------------------------------------------
+# The variable explorer and profiles alike
+# --------------------------------------------------------------------------
+
+from pulseframe.operators import explorer, similarity  # noqa: E402
+
+EXPLORED = [
+    explorer.Variable("rec_age_current", "Leeftijd", "histogram", split_gender=True),
+    explorer.Variable("balance", "Saldo", "histogram", outlier_max=9000),
+    explorer.Variable("rec_ls_lifestyle_score", "Leefstijl", "histogram", split_gender=True, scale=0.2),
+    explorer.Variable("rec_ls_stress_sum", "Stress", "histogram", scale=0.2),
+    explorer.Variable("rec_med_bmi_cat", "BMI", "bar", labels=rules.BMI_LABELS),
+    explorer.Variable("rec_heartrisk_cat", "Hartrisico", "bar"),
+    explorer.Variable("rec_ls_stress_cat", "Stress", "pie", labels={0: "Laag", 2: "Hoog"}),
+    explorer.Variable("store_id", "Winkel", "pie"),
+    explorer.Variable("rec_med_bmi", "BMI", "box", split_gender=True, outlier_max=45),
+    explorer.Variable("rec_heartrisk", "Hartrisico", "box"),
+    explorer.Variable("not_there", "Ontbreekt", "box"),
+]
+
+
+def _explored_sql(v: explorer.Variable) -> str:
+    """The figures of one variable from its own pass over the table."""
+    split = v.split_gender and v.plot_type in ("histogram", "box")
+    gender = "CASE rec_user_gender WHEN 1 THEN 'Man' ELSE 'Vrouw' END" if split else "'totaal'"
+    value = f"round_even(CAST({v.column} AS DOUBLE) * {v.scale} * 10, 0) / 10" if v.scale else f"CAST({v.column} AS DOUBLE)"
+    limit = f" AND {value} <= {v.outlier_max}" if v.outlier_max is not None else ""
+    base = (f"SELECT {gender} AS gender, {value} AS v, CAST({v.column} AS DOUBLE) AS code FROM d_wide "
+            f"WHERE rec_user_gender IN (0, 1) AND {value} IS NOT NULL{limit}")
+    head = f"'{v.column}' AS variable, '{v.label}' AS label, '{v.plot_type}' AS plot_type, gender"
+    if v.plot_type == "histogram":
+        if split and (v.scale is not None or v.max_score is not None):
+            lo, hi = v.min_score or 0.0, v.max_score or 10.0
+            x = f"{lo} + least(floor((v - {lo}) / 0.5), {int((hi - lo) / 0.5) - 1}) * 0.5"
+            rows, cond = f"({base})", f"WHERE v BETWEEN {lo} AND {hi}"
+        else:
+            x = "lo + CASE WHEN hi = lo THEN 0 ELSE least(floor((v - lo) / ((hi - lo) / 30)), 29) END * ((hi - lo) / 30)"
+            rows, cond = f"(SELECT *, min(v) OVER () AS lo, max(v) OVER () AS hi FROM ({base}))", ""
+        return (f"SELECT {head}, 'bin' AS item, {r(x)} AS x, count(*) AS n, CAST(count(*) AS DOUBLE) AS value "
+                f"FROM {rows} {cond} GROUP BY gender, x")
+    if v.plot_type in ("bar", "pie"):
+        if v.labels:
+            item = "CASE code " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in v.labels.items()) + " END"
+        else:
+            item = "CAST(v AS VARCHAR)"
+        figure = "count(*) * 100.0 / sum(count(*)) OVER ()" if v.plot_type == "bar" else "CAST(count(*) AS DOUBLE)"
+        return (f"SELECT {head}, item, x, count(*) AS n, {r(figure)} AS value FROM (SELECT gender, {item} AS item, "
+                f"{'code' if v.labels else 'v'} AS x FROM ({base})) WHERE item IS NOT NULL GROUP BY gender, item, x")
+    stats = {"mean": "avg(v)", "min": "min(v)", "max": "max(v)", "q1": "quantile_cont(v, 0.25)",
+             "median": "quantile_cont(v, 0.5)", "q3": "quantile_cont(v, 0.75)"}
+    return " UNION ALL ".join(f"SELECT {head}, '{k}' AS item, CAST(NULL AS DOUBLE) AS x, count(*) AS n, {r(e)} AS value "
+                              f"FROM ({base}) GROUP BY gender" for k, e in stats.items())
+
+
+@register("variable_explorer", W + " UNION ALL ".join(f"({_explored_sql(v)})" for v in EXPLORED if v.column != "not_there"))
+def q_variable_explorer(spark, sf_dir):
+    return explorer.variable_explorer(_w(spark, sf_dir), EXPLORED)
+
+
+PROFILE = ["rec_med_bmi", "rec_heartrisk", "rec_ls_stress_sum", "rec_age_current", "rec_ls_lifestyle_score", "store_id"]
+_Z = ", ".join(f"coalesce((x{i} - avg(x{i}) OVER ()) / nullif(stddev_pop(x{i}) OVER (), 0), 0) AS z{i}" for i in range(len(PROFILE)))
+_DOT = " + ".join(f"a.z{i} / a.nrm * (b.z{i} / b.nrm)" for i in range(len(PROFILE)))
+
+
+@register("profile_duplicates", W + f""", x AS (SELECT user_id AS id, {", ".join(f"coalesce(CAST({c} AS DOUBLE), 0) AS x{i}" for i, c in enumerate(PROFILE))}
+  FROM d_wide WHERE user_id IS NOT NULL),
+z AS (SELECT id, {_Z} FROM x),
+c AS (SELECT min(id) AS class_id, count(*) AS class_size, sqrt({" + ".join(f"z{i} * z{i}" for i in range(len(PROFILE)))}) AS nrm,
+  {", ".join(f"z{i}" for i in range(len(PROFILE)))} FROM z GROUP BY {", ".join(f"z{i}" for i in range(len(PROFILE)))}),
+l AS (SELECT a.class_id, sum(b.class_size) AS links, max(round({_DOT}, 9)) AS best FROM c a JOIN c b ON a.class_id <> b.class_id
+  AND a.nrm > 0 AND b.nrm > 0 AND round({_DOT}, 9) > 0.9 GROUP BY 1)
+SELECT z.id AS user_id, c.class_id, c.class_size,
+  CAST(coalesce(l.links, 0) + CASE WHEN c.nrm > 0 THEN c.class_size - 1 ELSE 0 END AS BIGINT) AS n_links, {r("l.best", 6)} AS best_similarity
+FROM z JOIN c USING ({", ".join(f"z{i}" for i in range(len(PROFILE)))}) LEFT JOIN l USING (class_id)""")
+def q_profile_duplicates(spark, sf_dir):
+    return similarity.profile_links(_w(spark, sf_dir), "user_id", PROFILE)
