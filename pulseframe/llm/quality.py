@@ -2,14 +2,18 @@
 
 Every document gets integer statistics of its whole text. Four ratios follow
 from them; for each (lang, source) group and ratio a mergeable quantile sketch
-is kept: counts per log-linear bucket (relative width 1/16), which merge by
-addition, so partial aggregates combine before the shuffle and a hot source
-costs one row per bucket and task. Quantiles read from the sketch give the
-group's own upper limit in place of a fixed cutoff: the third quartile plus
-``spread`` times the distance from the median to it, and never less than the
-floor of the ratio. Groups with fewer than ``min_group`` documents use the
-sketch of their language, and those the sketch of the whole corpus (merged
-buckets again). The limits, one row per group, are joined back to filter.
+of the documents that pass the base rule is kept: counts per log-linear bucket
+(relative width 1/128), which merge by addition, so partial aggregates combine
+before the shuffle and a hot source costs one row per bucket and task.
+Quantiles read from the sketch give the group's own limits in place of fixed
+cutoffs: an upper quantile plus ``spread`` times its distance from a lower one
+(the quartile and the median where most documents differ, quantiles of the
+tail where most have none), and for the length of words a lower limit in the
+same way. A small floor, well below what is normal where a ratio varies at
+all, keeps a group whose sketch holds zeros alone from losing every document
+with a trace. Groups with fewer than ``min_group`` documents use the sketch of
+their language, and those the sketch of the whole corpus (merged buckets
+again). The limits, one row per group, are joined back to filter.
 
 Null texts have no words and fail the base rule; null lang and source are
 groups of their own. Repeated rows are judged one by one. An empty table gives
@@ -25,15 +29,17 @@ from pulseframe.llm import common
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: Ratio -> (scaled integer expression, floor of its limit).
+#: Ratio -> (scaled integer expression, lower and upper quantile, spread, floor of the limit).
 RATIOS = {
-    "symbols": ("10000 * n_symbols div greatest(word_chars, 1)", 400),
-    "dup_lines": ("10000 * n_dup_lines div greatest(n_words, 1)", 400),
-    "repeats": ("10000 * n_repeat_words div greatest(n_words, 1)", 1900),
-    "word_length": ("1000 * word_chars div greatest(n_words, 1)", 9000),
+    "symbols": ("10000 * n_symbols div greatest(word_chars, 1)", 50, 75, 6, 50),
+    "dup_lines": ("10000 * n_dup_lines div greatest(n_words, 1)", 95, 98, 6, 100),
+    "repeats": ("10000 * n_repeat_words div greatest(n_words, 1)", 90, 95, 8, 200),
+    "word_length": ("1000 * word_chars div greatest(n_words, 1)", 50, 75, 10, 3000),
 }
-SPREAD = 6
-MIN_GROUP = 30
+#: Ratios with a lower limit as well: the first quartile less the spread times its distance from the median.
+LOWER = {"word_length": 8}
+QUANTILES = (25, 50, 75, 90, 95, 98)
+MIN_GROUP = 200
 #: Groups whose limits are broadcast (a few dozen bytes each); more are joined by shuffle.
 BROADCAST_GROUPS = 50_000
 
@@ -76,70 +82,93 @@ def base_failed() -> Column:
 
 def _bucket(x: str) -> str:
     """Log-linear bucket of a non-negative integer: the bit length, then the
-    next four bits. Exact integer arithmetic, so that sketches merge exactly."""
+    next seven bits. Exact integer arithmetic, so that sketches merge exactly."""
     bits = f"length(bin({x}))"
-    shift = f"greatest({bits} - 5, 0)"
-    return f"CASE WHEN {x} < 16 THEN {x} ELSE 16L * {bits} + (shiftright({x}, {shift}) - 16L) END"
+    shift = f"greatest({bits} - 8, 0)"
+    return f"CASE WHEN {x} < 128 THEN {x} ELSE 128L * {bits} + (shiftright({x}, {shift}) - 128L) END"
 
 
 def _upper(b: str) -> str:
     """Largest integer of a bucket (``_bucket`` undone)."""
-    return (f"CASE WHEN {b} < 16 THEN {b} ELSE shiftleft(17L + {b} % 16, cast({b} div 16 - 5 AS int)) - 1 END")
+    return (f"CASE WHEN {b} < 128 THEN {b} ELSE shiftleft(129L + {b} % 128, cast({b} div 128 - 8 AS int)) - 1 END")
+
+
+def _least(b: str) -> str:
+    """Smallest integer of a bucket."""
+    return (f"CASE WHEN {b} < 128 THEN {b} ELSE shiftleft(128L + {b} % 128, cast({b} div 128 - 8 AS int)) END")
 
 
 def sketches(stats: DataFrame) -> DataFrame:
     """(lang, source, ratio, bucket, n): the mergeable sketch of every group."""
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("ratio"), F.expr(_bucket(f"({e})")).alias("bucket"))
-                               for k, (e, _) in RATIOS.items()])).alias("r")
+                               for k, (e, *_) in RATIOS.items()])).alias("r")
     return (stats.select("lang", "source", each).select("lang", "source", "r.ratio", "r.bucket")
             .groupBy("lang", "source", "ratio", "bucket").agg(F.count("*").alias("n")))
 
 
-def _limits(sketch: DataFrame, by: list[str], spread: int) -> DataFrame:
-    """Median and third quartile of every sketch, and the limit they give."""
+def _case(values: dict[str, str]) -> str:
+    return "CASE ratio " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + " END"
+
+
+#: SQL of a group's limits over its quantiles q25, q50, ...
+UPPER_SQL = _case({k: f"greatest(q{hi} + {spread} * (q{hi} - q{lo}), {floor})" for k, (_, lo, hi, spread, floor) in RATIOS.items()})
+LOWER_SQL = _case({k: f"greatest(q25 - {spread} * (q50 - q25), 0)" for k, spread in LOWER.items()})
+
+
+def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """(by, ratio, docs, q25, q50, ...) of every merged sketch: the least value
+    of the quantile's bucket below the median, the largest from there on, so
+    that a limit never cuts into a bucket."""
     from pyspark.sql.window import Window
 
     merged = sketch.groupBy(*by, "ratio", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*by, "ratio")
     run = merged.withColumn("up_to", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
-    at = lambda q: F.min(F.when(F.col("up_to") * 100 >= F.col("total") * q, F.expr(_upper("bucket"))))
-    return (run.groupBy(*by, "ratio").agg(at(50).alias("q50"), at(75).alias("q75"), F.max("total").alias("docs"))
-            .select(*by, "ratio", "docs", (F.col("q75") + spread * (F.col("q75") - F.col("q50"))).alias("lim")))
-
-
-def thresholds(sketch: DataFrame, spread: int = SPREAD, min_group: int = MIN_GROUP) -> DataFrame:
-    """One row per (lang, source): a limit for every ratio."""
-    own = _limits(sketch, ["lang", "source"], spread)
-    lang = _limits(sketch, ["lang"], spread).select(F.col("lang").alias("_l"), F.col("ratio").alias("_r"),
-                                                    F.col("docs").alias("lang_docs"), F.col("lim").alias("lang_lim"))
-    whole = _limits(sketch, [], spread).select(F.col("ratio").alias("_q"), F.col("lim").alias("all_lim"))
+    at = lambda q: F.min(F.when(F.col("up_to") * 100 >= F.col("total") * q, F.expr(_upper("bucket") if q >= 50 else _least("bucket"))))
+    return run.groupBy(*by, "ratio").agg(*[at(q).alias(f"q{q}") for q in QUANTILES], F.max("total").alias("docs"))
+
+
+def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+    """One row per (lang, source): max_* of every ratio and min_* of those with a lower limit."""
+    told = lambda by: quantiles(sketch, by).withColumns(
+        {"up": F.expr(UPPER_SQL), "low": F.expr(LOWER_SQL)}).select(*by, "ratio", "docs", "up", "low")
+    own = told(["lang", "source"])
+    lang = told(["lang"]).select(F.col("lang").alias("_l"), F.col("ratio").alias("_r"), F.col("docs").alias("lang_docs"),
+                                 F.col("up").alias("lang_up"), F.col("low").alias("lang_low"))
+    whole = told([]).select(F.col("ratio").alias("_q"), F.col("up").alias("all_up"), F.col("low").alias("all_low"))
     both = (own.join(lang, own["lang"].eqNullSafe(lang["_l"]) & (own["ratio"] == lang["_r"]))
             .join(whole, F.col("ratio") == F.col("_q")))
-    lim = F.when(F.col("docs") >= min_group, F.col("lim")).when(F.col("lang_docs") >= min_group, F.col("lang_lim")).otherwise(F.col("all_lim"))
-    return both.groupBy("lang", "source").agg(*[
-        F.greatest(F.max(F.when(F.col("ratio") == k, lim)), F.lit(floor).cast("long")).alias(f"max_{k}")
-        for k, (_, floor) in RATIOS.items()])
+    pick = lambda c: F.when(F.col("docs") >= min_group, F.col(c)).when(
+        F.col("lang_docs") >= min_group, F.col(f"lang_{c}")).otherwise(F.col(f"all_{c}"))
+    of = lambda c, k: F.max(F.when(F.col("ratio") == k, pick(c)))
+    return both.groupBy("lang", "source").agg(*[of("up", k).alias(f"max_{k}") for k in RATIOS],
+                                              *[of("low", k).alias(f"min_{k}") for k in LOWER])
+
+
+LIMITS = [*(f"max_{k}" for k in RATIOS), *(f"min_{k}" for k in LOWER)]
 
 
-def judge(docs: DataFrame, text_col: str = "text", spread: int = SPREAD, min_group: int = MIN_GROUP) -> DataFrame:
-    """Statistics, the group's limits (max_*), base_failed and kept of every
+def judge(docs: DataFrame, text_col: str = "text", min_group: int = MIN_GROUP) -> DataFrame:
+    """Statistics, the group's limits (max_*, min_*; null where no row of the group passes the base rule), base_failed and kept of every
     row; columns of ``docs`` with one of these names are replaced."""
-    made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *(f"max_{k}" for k in RATIOS)}
+    made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *LIMITS}
     stats = common.saved(statistics(docs.select(*[c for c in docs.columns if c not in made]), text_col).drop(text_col))
-    return _judged(stats, stats, spread, min_group)
+    return _judged(stats, stats, min_group)
 
 
-def _judged(stats: DataFrame, rows: DataFrame, spread: int, min_group: int) -> DataFrame:
-    limits = common.saved(thresholds(sketches(stats), spread, min_group))
-    limits = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[f"max_{k}" for k in RATIOS])
+def _judged(stats: DataFrame, rows: DataFrame, min_group: int) -> DataFrame:
+    limits = common.saved(thresholds(sketches(stats.where(~base_failed())), min_group))
+    limits = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *LIMITS)
     if limits.count() <= BROADCAST_GROUPS:
         limits = F.broadcast(limits)
-    df = rows.join(limits, rows["lang"].eqNullSafe(limits["_lang"]) & rows["source"].eqNullSafe(limits["_source"]))
+    df = rows.join(limits, rows["lang"].eqNullSafe(limits["_lang"]) & rows["source"].eqNullSafe(limits["_source"]), "left")
     within = F.lit(True)
-    for k, (e, _) in RATIOS.items():
+    for k, (e, *_) in RATIOS.items():
         within = within & (F.expr(e) <= F.col(f"max_{k}"))
+        if k in LOWER:
+            within = within & (F.expr(e) >= F.col(f"min_{k}"))
     return (df.drop("_lang", "_source").withColumn("base_failed", base_failed())
-            .withColumn("kept", ~F.col("base_failed") & within))
+            .withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(False))))
 
 
 def filter_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -151,7 +180,7 @@ def filter_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     clean = docs.select(*[F.col(c).alias(f"_in_{c}") for c in docs.columns], "lang", "source", F.col(text_col).alias("_text"))
     rows = common.stored(statistics(clean, "_text").drop("_text"))
-    kept = _judged(rows, rows, SPREAD, MIN_GROUP).where("kept")
+    kept = _judged(rows, rows, MIN_GROUP).where("kept")
     return kept.select(*[F.col(f"_in_{c}").alias(c) for c in docs.columns])
 
 
@@ -168,7 +197,7 @@ def _duck(e: str) -> str:
 
 def _duck_bucket(x: str) -> str:
     bits = f"length(ltrim(bin({x}), '0'))"
-    return f"CASE WHEN {x} < 16 THEN {x} ELSE 16 * {bits} + (({x} >> greatest({bits} - 5, 0)::BIGINT) - 16) END"
+    return f"CASE WHEN {x} < 128 THEN {x} ELSE 128 * {bits} + (({x} >> greatest({bits} - 8, 0)::BIGINT) - 128) END"
 
 
 def _duck_limits(name: str, by: str) -> str:
@@ -176,11 +205,14 @@ def _duck_limits(name: str, by: str) -> str:
     return f"""
  {name}_m AS (SELECT {g}ratio, bucket, sum(n)::BIGINT AS n FROM sketch GROUP BY {g}ratio, bucket),
  {name}_r AS (SELECT *, sum(n) OVER (PARTITION BY {g}ratio ORDER BY bucket) AS up_to, sum(n) OVER (PARTITION BY {g}ratio) AS total,
-    CASE WHEN bucket < 16 THEN bucket ELSE ((17 + bucket % 16) << (bucket // 16 - 5)::BIGINT) - 1 END AS top FROM {name}_m),
- {name} AS (SELECT {g}ratio, max(total) AS docs, min(CASE WHEN up_to * 100 >= total * 75 THEN top END) * {1 + SPREAD}
-    - {SPREAD} * min(CASE WHEN up_to * 100 >= total * 50 THEN top END) AS lim FROM {name}_r GROUP BY {g}ratio)"""
+    CASE WHEN bucket < 128 THEN bucket ELSE ((129 + bucket % 128) << (bucket // 128 - 8)::BIGINT) - 1 END AS top,
+    CASE WHEN bucket < 128 THEN bucket ELSE (128 + bucket % 128) << (bucket // 128 - 8)::BIGINT END AS least FROM {name}_m),
+ {name}_q AS (SELECT {g}ratio, max(total) AS docs, {", ".join(f"min(CASE WHEN up_to * 100 >= total * {q} THEN {'top' if q >= 50 else 'least'} END) AS q{q}" for q in QUANTILES)}
+    FROM {name}_r GROUP BY {g}ratio),
+ {name} AS (SELECT {g}ratio, docs, {UPPER_SQL} AS up, {LOWER_SQL} AS low FROM {name}_q)"""
 
 
+BASE_SQL = f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"
 #: DuckDB form over ``documents``; gives base statistics and verdicts in ``judged``.
 QUALITY_SQL = rf"""
  t AS (SELECT *, coalesce(text, '') AS tx FROM documents),
@@ -194,17 +226,16 @@ QUALITY_SQL = rf"""
  cv AS (SELECT doc_id, sum(least(5, i - prev))::BIGINT AS n_repeat_words
     FROM (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -10) AS prev FROM rp WHERE c > 1) GROUP BY doc_id),
  stats AS (SELECT st.*, coalesce(cv.n_repeat_words, 0) AS n_repeat_words FROM st LEFT JOIN cv USING (doc_id)),
- ratios AS ({" UNION ALL ".join(f"SELECT lang, source, '{k}' AS ratio, {_duck_bucket('(' + _duck(e) + ')')} AS bucket FROM stats" for k, (e, _) in RATIOS.items())}),
+ ratios AS ({" UNION ALL ".join(f"SELECT lang, source, '{k}' AS ratio, {_duck_bucket('(' + _duck(e) + ')')} AS bucket FROM stats WHERE NOT ({BASE_SQL})" for k, (e, *_) in RATIOS.items())}),
  sketch AS (SELECT lang, source, ratio, bucket, count(*) AS n FROM ratios GROUP BY ALL),
  {_duck_limits('own', 'lang, source')}, {_duck_limits('lng', 'lang')}, {_duck_limits('whl', '')},
- lims AS (SELECT o.lang, o.source, o.ratio, CASE WHEN o.docs >= {MIN_GROUP} THEN o.lim WHEN l.docs >= {MIN_GROUP} THEN l.lim ELSE a.lim END AS lim
+ lims AS (SELECT o.lang, o.source, o.ratio, {", ".join(f"CASE WHEN o.docs >= {MIN_GROUP} THEN o.{c} WHEN l.docs >= {MIN_GROUP} THEN l.{c} ELSE a.{c} END AS {c}" for c in ("up", "low"))}
     FROM own o JOIN lng l ON o.lang IS NOT DISTINCT FROM l.lang AND o.ratio = l.ratio JOIN whl a ON o.ratio = a.ratio),
- wide AS (SELECT lang, source, {", ".join(f"greatest(max(CASE WHEN ratio = '{k}' THEN lim END), {f}) AS max_{k}" for k, (_, f) in RATIOS.items())}
+ wide AS (SELECT lang, source, {", ".join([f"max(CASE WHEN ratio = '{k}' THEN up END) AS max_{k}" for k in RATIOS] + [f"max(CASE WHEN ratio = '{k}' THEN low END) AS min_{k}" for k in LOWER])}
     FROM lims GROUP BY lang, source),
- judged AS (SELECT s.*, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AS base_failed,
-    NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words)
-    AND {" AND ".join(f"({_duck(e)}) <= max_{k}" for k, (e, _) in RATIOS.items())} AS kept
-    FROM stats s JOIN wide x ON s.lang IS NOT DISTINCT FROM x.lang AND s.source IS NOT DISTINCT FROM x.source)
+ judged AS (SELECT s.*, ({BASE_SQL}) AS base_failed, NOT ({BASE_SQL}) AND coalesce(
+    {" AND ".join([f"({_duck(e)}) <= max_{k}" for k, (e, *_) in RATIOS.items()] + [f"({_duck(RATIOS[k][0])}) >= min_{k}" for k in LOWER])}, false) AS kept
+    FROM stats s LEFT JOIN wide x ON s.lang IS NOT DISTINCT FROM x.lang AND s.source IS NOT DISTINCT FROM x.source)
 """
 
 QUERIES = {"op4_quality": op4_quality}

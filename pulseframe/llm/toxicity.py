@@ -112,27 +112,38 @@ class Table:
 
 
 def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
-    """All maximal scoring segments (score, first, behind last) in one pass.
+    """All maximal scoring segments (score, first, behind last), left to right, in linear time.
 
     Each candidate keeps the running sum before it (``left``) and at its end
     (``right``); a new positive score joins back to the last candidate with a
-    smaller left sum, as long as that one ends lower than the new sum.
+    smaller left sum, as long as that one ends lower than the new sum. Every
+    candidate is chained to the last one before it with a smaller left sum, so
+    a search never looks twice between the two; where none has a smaller left
+    sum, all candidates held are final and are handed out.
     """
     total = np.cumsum(scores)
+    done: list[tuple[float, float, int, int]] = []
     found: list[tuple[float, float, int, int]] = []
+    chain: list[int] = []
     for i in np.flatnonzero(scores > 0).tolist():
         right = float(total[i])
-        left, first = right - float(scores[i]), i
+        left, first, j = right - float(scores[i]), i, -1
         while found:
             j = len(found) - 1
             while j >= 0 and found[j][0] >= left:
-                j -= 1
-            if j < 0 or found[j][1] >= right:
+                j = chain[j]
+            if j < 0:
+                done += found
+                found, chain = [], []
+            elif found[j][1] >= right:
                 break
-            left, first = found[j][0], found[j][2]
-            del found[j:]
+            else:
+                left, first = found[j][0], found[j][2]
+                del found[j:], chain[j:]
+                j = -1
         found.append((left, right, first, i + 1))
-    return [(r - lo, a, z) for lo, r, a, z in found]
+        chain.append(j)
+    return [(r - lo, a, z) for lo, r, a, z in done + found]
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
@@ -142,6 +153,10 @@ def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     n = y.count()
     keep = min(1.0, sample / max(n, 1))
     drawn = y.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(keep * (1 << 20)))
+    # The drawn ids are bounded by the sample, so the corpus is not shuffled for them.
+    drawn = common.saved(drawn)
+    if drawn.count() <= 2 * sample:
+        drawn = F.broadcast(drawn)
     rows = docs.join(drawn, "doc_id").select("doc_id", "text", F.col("_y").alias("toxic"))
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
