@@ -45,7 +45,28 @@ def q_ttest_gender(spark, sf_dir):
     return stats.ttest_gender(_w(spark, sf_dir), MEASURES, with_p=False)
 
 
-@register("ttest_gender_p")
+#: Two-sided p by Simpson's rule over the angle: with t = sqrt(dof) tan(u) the
+#: density of Student's t becomes a power of the cosine.
+SIMPSON = 40_000
+
+
+def _welch_p_sql(group_expr: str, first: str, second: str, tail: str = "") -> str:
+    t = "(mean_a - mean_b) / sqrt(var_a / n_a + var_b / n_b)"
+    dof = ("(var_a / n_a + var_b / n_b) * (var_a / n_a + var_b / n_b) / ((var_a / n_a) * (var_a / n_a) / (n_a - 1) "
+           "+ (var_b / n_b) * (var_b / n_b) / (n_b - 1))")
+    base = _welch_sql(group_expr, first, second)
+    cut = base.rindex("SELECT measure")
+    return base[:cut].rstrip() + "," + f"""
+raw AS (SELECT measure, atan(abs({t}) / sqrt({dof})) AS u, {dof} AS k FROM s WHERE n_a >= 10 AND n_b >= 10),
+step AS (SELECT measure, k, (pi() / 2 - u) / {SIMPSON} AS w, u + i * (pi() / 2 - u) / {SIMPSON} AS theta,
+         CASE WHEN i IN (0, {SIMPSON}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS c FROM raw, range(0, {SIMPSON} + 1) g(i)),
+pv AS (SELECT measure, 2 * exp(lgamma((any_value(k) + 1) / 2) - lgamma(any_value(k) / 2)) / sqrt(pi()) * any_value(w) / 3
+         * sum(c * pow(greatest(cos(theta), 0), k - 1)) AS p FROM step GROUP BY measure),
+tests AS ({base[cut:]})
+SELECT tests.*, {r("least(p, 1)")} AS p_value, p < 0.05 AS significant FROM tests JOIN pv USING (measure){tail}"""
+
+
+@register("ttest_gender_p", _welch_p_sql(GENDER_GROUP, "man", "vrouw"))
 def q_ttest_gender_p(spark, sf_dir):
     return stats.ttest_gender(_w(spark, sf_dir), MEASURES, with_p=True)
 
@@ -58,9 +79,14 @@ def q_ttest_org_unit(spark, sf_dir):
     return stats.ttest_org_unit(_w(spark, sf_dir), MEASURES, "segment", "BUILDING", with_p=False)
 
 
-@register("ttest_filter")
+AGE_GROUP = "CASE WHEN rec_age_current >= 45 THEN 'unit' ELSE 'rest' END"
+
+
+@register("ttest_filter", _welch_p_sql(AGE_GROUP, "unit", "rest", " WHERE p < 0.05 AND abs(cohens_d) > 0.05"))
 def q_ttest_filter(spark, sf_dir):
-    return stats.ttest_filter(stats.ttest_org_unit(_w(spark, sf_dir), MEASURES, "segment", "BUILDING"), 0.0)
+    """The older half against the others: differences that are significant and not negligible."""
+    w = _w(spark, sf_dir).withColumn("half", F.when(F.col("rec_age_current") >= 45, "senior").otherwise("junior"))
+    return stats.ttest_filter(stats.ttest_org_unit(w, MEASURES, "half", "senior"), 0.05)
 
 
 CORR_VARS = {"BMI": "rec_med_bmi", "Hartrisico": "rec_heartrisk", "Stress": "rec_ls_stress_sum",
