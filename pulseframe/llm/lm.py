@@ -14,19 +14,24 @@ the text, except for the start as its first; a text's first token has the start
 alone. op9_lm has order ``ORDER`` and keeps all counts.
 
 The corpus is read once into packed chunks (compressed texts, stored). Each
-chunk asks for its distinct contexts and their children, level by level, with
-their counts in its training texts. Requests travel packed to the shard of the
-context's hash; each level has shards of its own. The shard adds the counts up
-and builds its part of the trie: the nodes are the hashes of the contexts (of a
-word, or of the words of a longer one), pointers lead to the children, which are
-held as 40-bit fingerprints relative to their context, all of them monotone Elias-Fano sequences, with the smoothed counts quantised to one byte
-by a codebook. The levels are written to a file, memory-mapped and queried by
+chunk asks once for all its levels, as one trie: its distinct words, under each
+word the words that follow it, under each of these pairs the words that follow
+the pair, and so on, with their counts in its training texts. A longer context
+is the node of the shorter one's child, so it has no name of its own in a
+request, and its count is the child's. A request travels packed to the shard of
+its first word's hash, with everything under it. The shard adds the counts up
+and builds its part of the trie: per level, pointers lead from the nodes to their
+children, which are held as 40-bit fingerprints relative to their node and are
+the nodes of the next level; words, pointers and children are monotone
+Elias-Fano sequences, with the smoothed counts quantised to one byte by a
+codebook. The levels are written to files, memory-mapped and queried by
 successor search; answers travel back to their chunk, which works out the
 probabilities of its texts. Nothing is broadcast but the hot contexts: those
 with more than 1 / ``HOT_SHARE`` of all tokens, a bounded number per level,
-whose children are dealt singly so that no shard gathers them.
+whose children are dealt singly, under the context's 64-bit hash, so that no
+shard gathers them.
 
-Contexts are told apart by 64-bit hashes and children by 40 bits within their
+Words are told apart by 64-bit hashes and children by 40 bits within their
 context. Counts cover all training texts, whole. Null texts are empty: one end
 token. Rows are scored one by one, repeated ones too. Without training texts
 every token has P1 = 1. An empty table gives an empty result.
@@ -102,53 +107,79 @@ def _contexts(token: np.ndarray, n_tokens: np.ndarray, length: int) -> tuple[np.
     return at, out
 
 
+def _planes(a: np.ndarray, kind: type = np.uint32) -> np.ndarray:
+    """The bytes of integers, those of one significance together."""
+    return np.ascontiguousarray(a, kind).view(np.uint8).reshape(len(a), np.dtype(kind).itemsize).T.copy()
+
+
+def _whole(planes: np.ndarray, kind: type = np.uint32, width: int | None = None) -> np.ndarray:
+    """Integers of their byte planes (``width`` of them, the others are zero)."""
+    size = np.dtype(kind).itemsize
+    width = width or size
+    raw = np.zeros((len(planes) // width, size), np.uint8)
+    raw[:, :width] = planes.reshape(width, -1).T
+    return raw.view(kind).ravel()
+
+
+def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Whether each value is in a sorted array."""
+    if not len(ordered):
+        return np.zeros(len(x), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
+
+
+class Nodes:
+    """Contexts of one length in a chunk: their names (64-bit hashes), shards
+    and places in the chunk's requests."""
+
+    def __init__(self, name: np.ndarray, shard: np.ndarray, order: np.ndarray, n_shards: int):
+        self.name, self.shard, self.order = name, shard, order
+        self.rank = np.empty(len(order), np.int64)
+        self.rank[order] = np.arange(len(order))
+        self.at = np.searchsorted(shard[order], np.arange(n_shards + 1))
+
+    def own(self, s: int) -> np.ndarray:
+        return self.order[self.at[s]:self.at[s + 1]]
+
+
 class Level:
-    """Distinct contexts of one length and their children in a chunk, in the
-    order of its requests."""
-
-    def __init__(self, context: np.ndarray, child: np.ndarray, learned: np.ndarray, hot: np.ndarray, n_shards: int,
-                 nodes: tuple[np.ndarray, np.ndarray] | None = None):
-        """``nodes``: the contexts (sorted) and their counts where they are
-        more than those of the tokens."""
-        if nodes is None:
-            self.word, self.context = np.unique(context, return_inverse=True)
-            self.word_n = np.bincount(self.context[learned], minlength=len(self.word))
-        else:
-            self.word, self.word_n = nodes
-            self.context = np.searchsorted(self.word, context)
-        word = self.word
-        key = self.context.astype(np.uint64) << np.uint64(_CHILD) | child
-        pair, self.pair_of = np.unique(key, return_inverse=True)
-        del key
-        self.pair_u = (pair >> np.uint64(_CHILD)).astype(np.int64)
-        self.pair_w = pair & np.uint64((1 << _CHILD) - 1)
+    """The nodes of one length and their children in a chunk; the children are
+    the nodes of the next level."""
+
+    def __init__(self, nodes: Nodes, context: np.ndarray, token: np.ndarray, prints: np.ndarray, learned: np.ndarray, hot: np.ndarray,
+                 n_shards: int):
+        """Per token its context (a node) and its word, whose fingerprint is in ``prints``."""
+        self.nodes, self.context = nodes, context
+        pair, self.pair_of = np.unique(context.astype(np.int64) * len(prints) + token, return_inverse=True)
+        self.pair_u = pair // len(prints)
+        self.pair_w = prints[pair % len(prints)]
         self.pair_n = np.bincount(self.pair_of[learned], minlength=len(pair))
-        self.hot = np.isin(word, hot)
-        shards = np.uint64(n_shards)
-        self.word_shard = (common.mix(word ^ np.uint64(0xA5)) % shards).astype(np.int64)
-        hot_pair = self.hot[self.pair_u]
-        self.pair_shard = self.word_shard[self.pair_u]
-        some = np.flatnonzero(hot_pair)
-        self.pair_shard[some] = (common.mix(word[self.pair_u[some]] ^ common.mix(self.pair_w[some])) % shards).astype(np.int64)
-        self.word_order = np.argsort(self.word_shard, kind="stable")
-        self.pair_order = np.argsort(2 * self.pair_shard + hot_pair, kind="stable")
-        self.word_at = np.searchsorted(self.word_shard[self.word_order], np.arange(n_shards + 1))
-        self.pair_at = np.searchsorted(self.pair_shard[self.pair_order], np.arange(n_shards + 1))
-
-    def requests(self) -> Iterator[tuple[int, bytes]]:
-        """(shard of this level, request)"""
-        for s in range(len(self.word_at) - 1):
-            w = self.word_order[self.word_at[s]:self.word_at[s + 1]]
-            p = self.pair_order[self.pair_at[s]:self.pair_at[s + 1]]
-            if not len(w) and not len(p):
-                continue
-            u, is_hot = self.pair_u[p], self.hot[self.pair_u[p]]
-            more = np.unique(u[is_hot])  # hot contexts stand behind the shard's own words
-            under = np.concatenate([np.where(self.hot[w], 0, np.bincount(np.searchsorted(w, u[~is_hot]), minlength=len(w))[:len(w)]),
-                                    np.bincount(np.searchsorted(more, u[is_hot]), minlength=len(more))])
-            child = self.pair_w[p].view(np.uint8).reshape(-1, 8)[:, :_CHILD // 8]
-            yield s, _zip(self.word[w], self.word_n[w].astype(np.uint32), self.word[more], under.astype(np.uint32), child.T.copy(),
-                          self.pair_n[p].astype(np.uint32))
+        del pair
+        self.hot = _among(nodes.name, hot)
+        self.dealt = self.hot[self.pair_u]
+        self.shard = nodes.shard[self.pair_u]
+        some = np.flatnonzero(self.dealt)
+        spread = common.mix(nodes.name[self.pair_u[some]] ^ common.mix(self.pair_w[some])) % np.uint64(n_shards)
+        self.shard[some] = spread.astype(np.int64)
+        # By shard, children of the shard's own nodes first, in their order;
+        # then dealt ones by node.
+        place = np.where(self.dealt, self.pair_u, nodes.rank[self.pair_u])
+        self.order = np.argsort((2 * self.shard + self.dealt) * max(len(nodes.name), 1) + place, kind="stable")
+        self.at = np.searchsorted(self.shard[self.order], np.arange(n_shards + 1))
+
+    def pairs(self, s: int) -> np.ndarray:
+        return self.order[self.at[s]:self.at[s + 1]]
+
+    def request(self, s: int) -> list[np.ndarray]:
+        """Names of hot nodes with dealt children here; children under each own
+        node and each of these; the children and their counts."""
+        p = self.pairs(s)
+        u, dealt = self.pair_u[p], self.dealt[p]
+        more = np.unique(u[dealt])
+        lo, hi = self.nodes.at[s], self.nodes.at[s + 1]
+        under = np.concatenate([np.bincount(self.nodes.rank[u[~dealt]] - lo, minlength=hi - lo),
+                                np.bincount(np.searchsorted(more, u[dealt]), minlength=len(more))])
+        return [self.nodes.name[more], _planes(under), _planes(self.pair_w[p], np.uint64)[:_CHILD // 8], _planes(self.pair_n[p])]
 
 
 class Chunk:
@@ -157,29 +188,49 @@ class Chunk:
     def __init__(self, texts: pa.Array, train: np.ndarray, hot: list[np.ndarray], n_shards: int, order: int):
         token, self.n_tokens = _tokens(texts)
         learned = np.repeat(train, self.n_tokens)
-        self.word, inv = np.unique(np.append(token, START), return_inverse=True)
+        word, inv = np.unique(np.append(token, START), return_inverse=True)
+        prints = common.mix(word) >> np.uint64(64 - _CHILD)
+        by = np.argsort(prints, kind="stable")  # children of a node then ascend
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        self.word, prints, inv = word[by], prints[by], rank[inv]
         self.token, start = inv[:-1], inv[-1]
-        word_n = np.bincount(self.token[learned], minlength=len(self.word))
-        word_n[start] = int(train.sum())
-        child = (common.mix(self.word) >> np.uint64(64 - _CHILD))[self.token]
+        self.word_n = np.bincount(self.token[learned], minlength=len(self.word))
+        self.word_n[start] = int(train.sum())
         self.n_shards, self.levels = n_shards, []
+        shard = (common.mix(self.word ^ np.uint64(0xA5)) % np.uint64(n_shards)).astype(np.int64)
+        nodes = Nodes(self.word, shard, np.argsort(shard, kind="stable"), n_shards)
+        before, level = None, None
         for length in range(1, order):
-            at, context = _contexts(token, self.n_tokens, length)
-            nodes = (self.word, word_n) if length == 1 else None
-            self.levels.append((at, Level(context, child[at], learned[at], hot[length - 1], n_shards, nodes)))
+            at, name = _contexts(token, self.n_tokens, length)
+            if level is None:
+                first = np.cumsum(self.n_tokens) - self.n_tokens
+                context = np.concatenate([[start], self.token])[:-1]
+                context[first] = start
+            else:
+                # The context of a token is the child that the token before it is.
+                context = level.pair_of[np.searchsorted(before, at - 1)]
+                names = np.zeros(len(level.pair_u), np.uint64)
+                names[context] = name
+                nodes = Nodes(names, level.shard, level.order, n_shards)
+            level = Level(nodes, context, self.token[at], prints, learned[at], hot[length - 1], n_shards)
+            self.levels.append((at, level))
+            before = at
 
     def requests(self) -> Iterator[tuple[int, bytes]]:
-        for i, (_, level) in enumerate(self.levels):
-            for s, request in level.requests():
-                yield i * self.n_shards + s, request
+        for s in range(self.n_shards):
+            w = self.levels[0][1].nodes.own(s)
+            if len(w) or any(len(level.pairs(s)) for _, level in self.levels):
+                yield s, _zip(self.word[w], _planes(self.word_n[w]), *(a for _, level in self.levels for a in level.request(s)))
 
 
 class Trie:
-    """One shard's trie in a memory-mapped file."""
+    """One level of a shard's trie in a memory-mapped file."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, parent: np.ndarray, child: np.ndarray, seen: np.ndarray):
-        """``words`` sorted with exact counts; kept pairs sorted by (parent
-        index, child), with their counts ``seen``."""
+        """Nodes with their exact ``counts`` (on the first level the sorted
+        ``words`` stand for the first of them); kept pairs sorted by (parent
+        node, child), with their counts ``seen``."""
         value = np.log10(seen - DISCOUNT)
         distinct = np.unique(value)
         # Small counts have entries of their own, larger ones share bins of equal
@@ -192,8 +243,8 @@ class Trie:
             book = np.concatenate([few, many[np.unique(np.searchsorted(many, edges))]])
         self.book = np.concatenate([[-np.inf], book])
         code = np.searchsorted(book, value, "right").astype(np.uint8)
-        pointer = np.searchsorted(parent, np.arange(len(words) + 1)).astype(np.uint64)
-        bits = _CHILD + max(1, int(len(words)).bit_length())
+        pointer = np.searchsorted(parent, np.arange(len(counts) + 1)).astype(np.uint64)
+        bits = _CHILD + max(1, int(len(counts)).bit_length())
         parts = {"w_" + k: a for k, a in eliasfano.encode(words, 64).items()}
         parts |= {"p_" + k: a for k, a in eliasfano.encode(pointer, max(1, int(len(parent)).bit_length())).items()}
         parts |= {"c_" + k: a for k, a in eliasfano.encode(parent.astype(np.uint64) << np.uint64(_CHILD) | child, bits).items()}
@@ -237,15 +288,21 @@ class Trie:
         out[some] = self.upto[hi] - self.upto[lo]
         return out
 
-    def codes(self, node: np.ndarray, child: np.ndarray) -> np.ndarray:
-        """Codebook entry of each pair (0: not in the trie), searched relative
-        to its context."""
-        out = np.zeros(len(node), np.uint8)
+    def find(self, node: np.ndarray, child: np.ndarray) -> np.ndarray:
+        """Number of each pair (-1: not in the trie), searched relative to its
+        context; it is the pair's node on the next level."""
+        out = np.full(len(node), -1)
         some = np.flatnonzero(node >= 0)
-        i = self._hits(self.child, node[some].astype(np.uint64) << np.uint64(_CHILD) | child[some])
-        out[some[i >= 0]] = self.code[i[i >= 0]]
+        out[some] = self._hits(self.child, node[some].astype(np.uint64) << np.uint64(_CHILD) | child[some])
         return out
 
+    def code_of(self, pair: np.ndarray) -> np.ndarray:
+        """Codebook entry of each pair's number (0: not in the trie)."""
+        return np.where(pair >= 0, self.code[np.maximum(pair, 0)], 0).astype(np.uint8) if len(self.code) else np.zeros(len(pair), np.uint8)
+
+    def codes(self, node: np.ndarray, child: np.ndarray) -> np.ndarray:
+        return self.code_of(self.find(node, child))
+
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts, an end after each, and their number per text."""
@@ -333,52 +390,53 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array([key] * len(shard), pa.int64()),
                                                   pa.array(request, pa.binary())], names=["shard", "chunk", "request"])
 
-    def answers(length: int, held: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        busy = hot.value[length - 1]
-        kinds = (np.uint64, np.uint32, np.uint64, np.uint32, np.uint8, np.uint32)
-        got = [_unzip(r, *kinds) for _, r in held]
-        words, inv = np.unique(np.concatenate([x for g in got for x in (g[0], g[2])]), return_inverse=True)
-        place, at = [], 0
-        for g in got:
-            place.append((inv[at:at + len(g[0])], inv[at:at + len(g[0]) + len(g[2])]))
-            at += len(g[0]) + len(g[2])
+    def answers(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        got = [_unzip(r, np.uint64, np.uint8, *[np.uint64, np.uint8, np.uint8, np.uint8] * (order - 1)) for _, r in held]
+        words, inv = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
         counts = np.zeros(len(words), np.int64)
-        for g, (own, _) in zip(got, place, strict=True):
-            np.add.at(counts, own, g[1])
-        width = _CHILD // 8
-        node, child = [], []
-        for g, (_, both) in zip(got, place, strict=True):
-            raw = np.zeros((len(g[4]) // width, 8), np.uint8)
-            raw[:, :width] = g[4].reshape(width, -1).T
-            child.append(raw.view(np.uint64).ravel())
-            node.append(np.repeat(both, g[3]))
-        key = np.concatenate(node).astype(np.uint64) << np.uint64(_CHILD) | np.concatenate(child)
-        order = np.argsort(key)
-        first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(key) else np.zeros(0, np.int64)
-        seen = np.add.reduceat(np.concatenate([g[5] for g in got]).astype(np.int64)[order], first) if len(first) else np.zeros(0, np.int64)
-        kept = seen >= min_count
-        key, seen = key[order[first]][kept], seen[kept]
-        del order, first
-        trie = Trie(words, counts, (key >> np.uint64(_CHILD)).astype(np.int64), key & np.uint64((1 << _CHILD) - 1), seen)
-        is_hot = np.isin(words, busy)
-        rows = []
-        for (chunk, _), g, u, w in zip(held, got, node, child, strict=True):
-            n = trie.node(g[0])
-            given = trie.given(n)
-            given[np.isin(g[0], busy)] = 0  # added up over all shards instead
-            rows.append((chunk, _zip(trie.count(n), given, trie.codes(u, w), trie.book), None, None, None, None))
-        some = np.flatnonzero(is_hot)
-        for word, part in zip(words[some].view(np.int64).tolist(), trie.given(some).tolist(), strict=True):
-            rows.append((None, None, word, part, None, None))
-        tokens = words != START if length == 1 else np.zeros(len(words), bool)
-        rows.append((None, None, None, None, int(counts[tokens].sum()), int((counts[tokens] > 0).sum())))
-        shard_types = [pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), shard_types, strict=True)],
-                                          names=["chunk", "answer", "hot", "given", "n", "v"])
+        np.add.at(counts, inv, np.concatenate([_whole(g[1]) for g in got]))
+        tokens = words != START
+        rows: list[tuple] = [(None, None, None, None, None, int(counts[tokens].sum()), int((counts[tokens] > 0).sum()))]
+        own = np.split(inv, np.cumsum([len(g[0]) for g in got])[:-1])
+        answer: list[list[np.ndarray]] = [[] for _ in got]
+        for i in range(order - 1):
+            part = [g[2 + 4 * i:6 + 4 * i] for g in got]
+            # Hot nodes whose children are dealt stand behind the shard's own.
+            names, more = np.unique(np.concatenate([p[0] for p in part]), return_inverse=True)
+            dealt = np.split(len(counts) + more, np.cumsum([len(p[0]) for p in part])[:-1])
+            node = [np.repeat(np.concatenate([o, d]), _whole(p[1])) for o, d, p in zip(own, dealt, part, strict=True)]
+            child = [_whole(p[2], np.uint64, _CHILD // 8) for p in part]
+            # What stands under a pair seen less than min_count is seen less as well.
+            at = np.concatenate(node)
+            under = np.flatnonzero(at >= 0)
+            key = at[under].astype(np.uint64) << np.uint64(_CHILD) | np.concatenate(child)[under]
+            by = np.argsort(key)
+            key = key[by]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            n = np.concatenate([_whole(p[3]) for p in part]).astype(np.int64)[under][by]
+            seen = np.add.reduceat(n, first) if len(first) else np.zeros(0, np.int64)
+            kept = seen >= min_count
+            key, seen = key[first][kept], seen[kept]
+            del at, under, by, first, n
+            trie = Trie(words, np.concatenate([counts, np.zeros(len(names), np.int64)]), (key >> np.uint64(_CHILD)).astype(np.int64),
+                        key & np.uint64((1 << _CHILD) - 1), seen)
+            given = trie.given(len(counts) + np.arange(len(names)))
+            rows += [(i, None, None, h, g, None, None) for h, g in zip(names.view(np.int64).tolist(), given.tolist(), strict=True)]
+            for k, (o, u, w) in enumerate(zip(own, node, child, strict=True)):
+                pair = trie.find(u, w)
+                value, which = np.unique(trie.given(o), return_inverse=True)
+                answer[k] += [_planes(trie.count(o), np.int64), value, _planes(which), trie.code_of(pair), trie.book]
+                own[k] = pair
+            words, counts = np.zeros(0, np.uint64), seen
+        rows += [(None, chunk, _zip(*a), None, None, None, None) for (chunk, _), a in zip(held, answer, strict=True)]
+        types = {"level": pa.int32(), "chunk": pa.int64(), "answer": pa.binary(), "hot": pa.int64(), "given": pa.float64(), "n": pa.int64(),
+                 "v": pa.int64()}
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.values(), strict=True)],
+                                          names=list(types))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(shard: int, held: list) -> pa.RecordBatch:
-            b = answers(shard // n_shards + 1, held)
+            b = answers(held)
             return pa.RecordBatch.from_arrays([pa.array([shard] * b.num_rows, pa.int32()), *b.columns], names=["shard", *b.schema.names])
 
         now, held = None, []
@@ -396,34 +454,33 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     asked = chunks.mapInArrow(ask, "shard int, chunk long, request binary")
     # The answers are named by shard and chunk, so each finds its place again.
     met = asked.repartition(common.parts(spark), "shard").sortWithinPartitions("shard")
-    replies = _stored(met.mapInArrow(meet, "shard int, chunk long, answer binary, hot long, given double, n long, v long"))
+    replies = _stored(met.mapInArrow(meet, "shard int, level int, chunk long, answer binary, hot long, given double, n long, v long"))
     n_train, v = replies.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    level_of = (F.col("shard") / n_shards).cast("int").alias("level")
-    hot_given = replies.where("hot IS NOT NULL").groupBy(level_of, "hot").agg(F.sum("given").alias("given")).orderBy("level").collect()
-    hot_table = spark.sparkContext.broadcast([(np.array([r.hot for r in hot_given if r.level == i], np.int64).view(np.uint64),
-                                               np.array([r.given for r in hot_given if r.level == i], float)) for i in range(order - 1)])
+    hot_given = replies.where("hot IS NOT NULL").groupBy("level", "hot").agg(F.sum("given").alias("given")).orderBy("level", "hot").collect()
+    hot_table = []
+    for i in range(order - 1):
+        some = sorted((r.hot % 2**64, r.given) for r in hot_given if r.level == i)
+        hot_table.append((np.array([h for h, _ in some], np.uint64), np.array([g for _, g in some], float)))
+    hot_table = spark.sparkContext.broadcast(hot_table)
     den = n_train + 0.5 * (v + 1)
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        reply = dict(zip(right["shard"], right["answer"], strict=True))
+        reply = {s: _unzip(a, *[np.uint8, np.float64, np.uint8, np.uint8, np.float64] * (order - 1)) for s, a in zip(right["shard"], right["answer"], strict=True)}
         for blob in left["docs"]:
             t = read(blob)
             c = chunk_of(t, n_shards)
             for i, (at, level) in enumerate(c.levels):
-                count, given = np.zeros(len(level.word), np.int64), np.zeros(len(level.word))
+                count, given = np.zeros(len(level.nodes.name), np.int64), np.zeros(len(level.nodes.name))
                 value = np.full(len(level.pair_u), -np.inf)
-                for s in range(n_shards):
-                    w, p = level.word_order[level.word_at[s]:level.word_at[s + 1]], level.pair_order[level.pair_at[s]:level.pair_at[s + 1]]
-                    if len(w) or len(p):
-                        count[w], given[w], code, book = _unzip(reply[i * n_shards + s], np.int64, np.float64, np.uint8, np.float64)
-                        value[p] = book[code]
+                for s in reply:
+                    w, p = level.nodes.own(s), level.pairs(s)
+                    planes, sums, which, code, book = reply[s][5 * i:5 * i + 5]
+                    count[w], given[w] = _whole(planes, np.int64), sums[_whole(which)]
+                    value[p] = book[code]
                 keys, sums = hot_table.value[i]
-                if len(keys):
-                    by = np.argsort(keys)
-                    j = np.minimum(np.searchsorted(keys[by], level.word), len(keys) - 1)
-                    hit = keys[by][j] == level.word
-                    given[hit] = sums[by][j[hit]]
+                hit = _among(level.nodes.name, keys)
+                given[hit] = sums[np.searchsorted(keys, level.nodes.name[hit])]
                 seen = count > 0
                 if i == 0:
                     p1, known = (count + 0.5) / den, seen
