@@ -63,7 +63,8 @@ DISCOUNT = 0.75
 EXACT_COUNTS = 128
 HOT_SHARE = 1 << 13
 CHUNK_BYTES = 12 << 20
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 8 << 20
+REQUEST_ROWS = 32
 END = np.uint64(0xE17B3A5D9C20F461)
 START = np.uint64(0x51A97C03D8E2B64F)
 _CHILD = 40
@@ -121,6 +122,24 @@ def _whole(planes: np.ndarray, kind: type = np.uint32, width: int | None = None)
     return raw.view(kind).ravel()
 
 
+def _steps(child: np.ndarray, under: np.ndarray) -> np.ndarray:
+    """Ascending children of each node as steps from the one before; ``under``
+    is their number per node."""
+    out = child.copy()
+    out[1:] -= child[:-1]
+    first = (np.cumsum(under) - under)[under > 0]
+    out[first] = child[first]
+    return out
+
+
+def _climb(step: np.ndarray, under: np.ndarray) -> np.ndarray:
+    """The children of their steps."""
+    total = np.cumsum(step, dtype=np.uint64)
+    some = under[under > 0]
+    first = np.cumsum(some) - some
+    return total - np.repeat(total[first] - step[first], some)
+
+
 def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """Whether each value is in a sorted array."""
     if not len(ordered):
@@ -151,6 +170,7 @@ class Level:
         """Per token its context (a node) and its word, whose fingerprint is in ``prints``."""
         self.nodes, self.context = nodes, context
         pair, self.pair_of = np.unique(context.astype(np.int64) * len(prints) + token, return_inverse=True)
+        self.pair_of = self.pair_of.astype(np.int32)
         self.pair_u = pair // len(prints)
         self.pair_w = prints[pair % len(prints)]
         self.pair_n = np.bincount(self.pair_of[learned], minlength=len(pair))
@@ -179,7 +199,7 @@ class Level:
         lo, hi = self.nodes.at[s], self.nodes.at[s + 1]
         under = np.concatenate([np.bincount(self.nodes.rank[u[~dealt]] - lo, minlength=hi - lo),
                                 np.bincount(np.searchsorted(more, u[dealt]), minlength=len(more))])
-        return [self.nodes.name[more], _planes(under), _planes(self.pair_w[p], np.uint64)[:_CHILD // 8], _planes(self.pair_n[p])]
+        return [self.nodes.name[more], _planes(under), _planes(_steps(self.pair_w[p], under), np.uint64)[:_CHILD // 8], _planes(self.pair_n[p])]
 
 
 class Chunk:
@@ -194,7 +214,7 @@ class Chunk:
         rank = np.empty(len(by), np.int64)
         rank[by] = np.arange(len(by))
         self.word, prints, inv = word[by], prints[by], rank[inv]
-        self.token, start = inv[:-1], inv[-1]
+        self.token, start = inv[:-1].astype(np.int32), inv[-1]
         self.word_n = np.bincount(self.token[learned], minlength=len(self.word))
         self.word_n[start] = int(train.sum())
         self.n_shards, self.levels = n_shards, []
@@ -205,7 +225,7 @@ class Chunk:
             at, name = _contexts(token, self.n_tokens, length)
             if level is None:
                 first = np.cumsum(self.n_tokens) - self.n_tokens
-                context = np.concatenate([[start], self.token])[:-1]
+                context = np.concatenate([[start], self.token])[:-1].astype(np.int32)
                 context[first] = start
             else:
                 # The context of a token is the child that the token before it is.
@@ -404,8 +424,9 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             # Hot nodes whose children are dealt stand behind the shard's own.
             names, more = np.unique(np.concatenate([p[0] for p in part]), return_inverse=True)
             dealt = np.split(len(counts) + more, np.cumsum([len(p[0]) for p in part])[:-1])
-            node = [np.repeat(np.concatenate([o, d]), _whole(p[1])) for o, d, p in zip(own, dealt, part, strict=True)]
-            child = [_whole(p[2], np.uint64, _CHILD // 8) for p in part]
+            number = [_whole(p[1]).astype(np.int64) for p in part]
+            node = [np.repeat(np.concatenate([o, d]), n) for o, d, n in zip(own, dealt, number, strict=True)]
+            child = [_climb(_whole(p[2], np.uint64, _CHILD // 8), n) for p, n in zip(part, number, strict=True)]
             # What stands under a pair seen less than min_count is seen less as well.
             at = np.concatenate(node)
             under = np.flatnonzero(at >= 0)
@@ -425,7 +446,10 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             for k, (o, u, w) in enumerate(zip(own, node, child, strict=True)):
                 pair = trie.find(u, w)
                 value, which = np.unique(trie.given(o), return_inverse=True)
-                answer[k] += [_planes(trie.count(o), np.int64), value, _planes(which), trie.code_of(pair), trie.book]
+                exact = trie.count(o)
+                if i:  # the codebook of the level above holds small counts exactly
+                    exact = np.where(exact > EXACT_COUNTS, exact, 0)
+                answer[k] += [_planes(exact, np.int64), value, _planes(which), trie.code_of(pair), trie.book]
                 own[k] = pair
             words, counts = np.zeros(0, np.uint64), seen
         rows += [(None, chunk, _zip(*a), None, None, None, None) for (chunk, _), a in zip(held, answer, strict=True)]
@@ -454,7 +478,10 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     asked = chunks.mapInArrow(ask, "shard int, chunk long, request binary")
     # The answers are named by shard and chunk, so each finds its place again.
     met = asked.repartition(common.parts(spark), "shard").sortWithinPartitions("shard")
+    # A request is large: few of them make a batch.
+    common.small_arrow_batches(spark, REQUEST_ROWS)
     replies = _stored(met.mapInArrow(meet, "shard int, level int, chunk long, answer binary, hot long, given double, n long, v long"))
+    common.small_arrow_batches(spark)
     n_train, v = replies.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     hot_given = replies.where("hot IS NOT NULL").groupBy("level", "hot").agg(F.sum("given").alias("given")).orderBy("level", "hot").collect()
     hot_table = []
@@ -470,14 +497,18 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         for blob in left["docs"]:
             t = read(blob)
             c = chunk_of(t, n_shards)
+            value = np.zeros(0)
             for i, (at, level) in enumerate(c.levels):
                 count, given = np.zeros(len(level.nodes.name), np.int64), np.zeros(len(level.nodes.name))
-                value = np.full(len(level.pair_u), -np.inf)
+                above, value = value, np.full(len(level.pair_u), -np.inf)
                 for s in reply:
                     w, p = level.nodes.own(s), level.pairs(s)
                     planes, sums, which, code, book = reply[s][5 * i:5 * i + 5]
                     count[w], given[w] = _whole(planes, np.int64), sums[_whole(which)]
                     value[p] = book[code]
+                if i:
+                    small = np.flatnonzero((count == 0) & np.isfinite(above))
+                    count[small] = np.rint(10 ** above[small] + DISCOUNT).astype(np.int64)
                 keys, sums = hot_table.value[i]
                 hit = _among(level.nodes.name, keys)
                 given[hit] = sums[np.searchsorted(keys, level.nodes.name[hit])]
