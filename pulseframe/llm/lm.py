@@ -62,12 +62,13 @@ DISCOUNT = 0.75
 #: Counts up to this one are never rounded by the codebook.
 EXACT_COUNTS = 128
 HOT_SHARE = 1 << 13
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 SHARD_BYTES = 8 << 20
 REQUEST_ROWS = 32
 END = np.uint64(0xE17B3A5D9C20F461)
 START = np.uint64(0x51A97C03D8E2B64F)
 _CHILD = 40
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _zip(*arrays: np.ndarray) -> bytes:
@@ -87,10 +88,16 @@ def _unzip(blob: bytes, *kinds: type) -> list[np.ndarray]:
 
 
 def _stored(df: DataFrame) -> DataFrame:
-    """Write a table to the shared checkpoint folder and read it."""
+    """Write a table to the shared checkpoint folder and read it. The shuffle
+    files behind it are of no more use and go at the end of the write."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/lm-{uuid.uuid4().hex}"
-    df.write.option("compression", "none").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "none").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
