@@ -1,11 +1,12 @@
 """Line deduplication by a deletion-neighbourhood join (DataFrame and SQL
 functions only).
 
-Lines are the ``\\n``-separated pieces of a text; those with ``min_words`` or
-more words take part, shorter ones always stay. A line goes if an earlier line
-(smaller doc_id, or same document and smaller line number) has the same words
-or differs in one word: one replaced, inserted or left out. Lines are judged
-on the input, so the earliest of each neighbourhood stays.
+Lines are the ``\\n``-separated pieces of a text; those with a word take part,
+blank ones always stay. A line goes if an earlier line (smaller doc_id, or same
+document and smaller line number) has the same words; so short lines and lines
+of scripts without spaces are covered. Where both have ``MIN_WORDS`` or more
+words, it also goes if they differ in one word: one replaced, inserted or left
+out. Lines are judged on the input, so the earliest of each neighbourhood stays.
 
 1. Equal lines meet by their hash (two 64-bit hashes of all words); the
    earliest stays as their only representative.
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.llm import common
 
+#: Shorter lines are compared for equality alone.
 MIN_WORDS = 8
 #: Bits of the bitmap over positions (2 MB when broadcast, whatever the corpus).
 BITMAP_BITS = 1 << 24
@@ -52,14 +54,16 @@ def _position(doc: str, line: str) -> Column:
 
 def _hashed(lines: DataFrame) -> DataFrame:
     """Add the word count, two hashes of all words, and the hashes of the
-    halves: head and tail for n words, head and tail for n - 1."""
+    halves: head and tail for n words, head and tail for n - 1 (none for lines
+    too short for an edit)."""
     def half(side: int, n: str) -> str:
         h = f"({n} div 2)"
         return f"xxhash64({side}, {n}, slice(w, 1, {h}))" if side == 0 else f"xxhash64(1, {n}, slice(w, {h} - {n}, {n} - {h}))"
 
-    return (lines.withColumn("n", F.size("w")).where(F.col("n") >= MIN_WORDS)
+    return (lines.withColumn("n", F.size("w")).where("n > 0")
             .withColumn("h", F.xxhash64("w")).withColumn("g", F.xxhash64(F.lit(2), F.col("w")))
-            .withColumn("halves", F.expr(f"array({half(0, 'n')}, {half(1, 'n')}, {half(0, '(n - 1)')}, {half(1, '(n - 1)')})")))
+            .withColumn("halves", F.expr(f"CASE WHEN n >= {MIN_WORDS} THEN array({half(0, 'n')}, {half(1, 'n')}, {half(0, '(n - 1)')}, {half(1, '(n - 1)')})"
+                                         " ELSE cast(array() AS array<bigint>) END")))
 
 
 def _in_bitmap(rows: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
@@ -184,11 +188,11 @@ ORACLE_LINES = rf"""
  l AS (SELECT doc_id, line_no, regexp_extract_all(line, '{common.WORD}') AS w FROM
    (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS line_no
     FROM documents)),
- e AS (SELECT doc_id, line_no, len(w) AS n, w, array_to_string(w, ' ') AS s FROM l WHERE len(w) >= {MIN_WORDS}),
+ e AS (SELECT doc_id, line_no, len(w) AS n, w, array_to_string(w, ' ') AS s FROM l WHERE len(w) > 0),
  r AS (SELECT s, n, any_value(w) AS w, min(struct_pack(d := doc_id, l := line_no)) AS p FROM e GROUP BY s, n),
- v AS (SELECT p, n, s, i, array_to_string(w[1:i-1] || w[i+1:n], ' ') AS x FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM r)),
+ v AS (SELECT p, n, s, i, array_to_string(w[1:i-1] || w[i+1:n], ' ') AS x FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM r WHERE n >= {MIN_WORDS})),
  rv AS (SELECT p, p > min(p) OVER (PARTITION BY n, i, x) AS late FROM v),
- mt AS (SELECT v.p AS longer, r.p AS shorter FROM v JOIN r ON v.n = r.n + 1 AND v.x = r.s),
+ mt AS (SELECT v.p AS longer, r.p AS shorter FROM v JOIN r ON v.n = r.n + 1 AND v.x = r.s AND r.n >= {MIN_WORDS}),
  near AS (SELECT p FROM rv WHERE late UNION SELECT longer FROM mt WHERE longer > shorter UNION SELECT shorter FROM mt WHERE shorter > longer),
  gone AS (SELECT e.doc_id, e.line_no FROM e JOIN r USING (s, n) WHERE struct_pack(d := e.doc_id, l := e.line_no) > r.p OR r.p IN (SELECT p FROM near))"""
 

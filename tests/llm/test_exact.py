@@ -98,14 +98,16 @@ def test_quality_statistics(docs, rows, empty):
 
 def test_lines(docs, rows, empty):
     def near(a, b):
-        if abs(len(a) - len(b)) > 1:
+        if a == b:
+            return True
+        if abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < 8:
             return False
         if len(a) == len(b):
             return sum(x != y for x, y in zip(a, b)) <= 1
         s, lg = sorted((a, b), key=len)
         return any(lg[:i] + lg[i + 1:] == s for i in range(len(lg)))
 
-    seen = sorted({(key(d), i, tuple(words(x))) for d, t, *_ in rows for i, x in enumerate((t or "").split("\n")) if len(words(x)) >= 8})
+    seen = sorted({(key(d), i, tuple(words(x))) for d, t, *_ in rows for i, x in enumerate((t or "").split("\n")) if words(x)})
     want = {(d, i) for j, (d, i, w) in enumerate(seen) if any((p, q) < (d, i) and near(v, w) for p, q, v in seen[:j])}
     got = {(key(r.doc_id), r.line_no) for r in lines.removed_lines(docs).collect()}
     assert got == want and len(want) > 5
@@ -116,6 +118,16 @@ def test_lines(docs, rows, empty):
     assert lines.removed_lines(empty).count() == 0 and lines.dedup_lines(empty).count() == 0
 
 
+def test_lines_short_and_unsegmented(spark):
+    """Copies of lines of any length go, near copies of short lines stay."""
+    rows = [(0, "Home\n今日は良い天気です\n\none two three"), (1, "Home\n今日は良い天気です\n \none two four"),
+            (2, "  Home \nown line\nHome\nhome"), (None, "own line\nHome")]
+    got = {(r.doc_id, r.line_no) for r in lines.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 0), (1, 1), (2, 0), (2, 2), (None, 0), (None, 1)}
+    out = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {0: rows[0][1], 1: " \none two four", 2: "own line\nhome", None: ""}
+
+
 @pytest.mark.parametrize("edit", ["replace", "insert", "delete"])
 def test_lines_every_position(spark, edit):
     base = [f"a{i}" for i in range(21)]
