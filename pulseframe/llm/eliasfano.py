@@ -22,16 +22,16 @@ def encode(values: np.ndarray, universe_bits: int) -> dict[str, np.ndarray]:
     high = (values >> _U(low_bits)).astype(np.int64) if low_bits < 64 else np.zeros(n, np.int64)
     at = high + np.arange(n)
     words = np.zeros((int(at[-1]) + 64 if n else 64) // 64 + 1, np.uint64)
-    np.bitwise_or.at(words, at >> 6, _U(1) << (at & 63).astype(np.uint64))
+    np.add.at(words, at >> 6, _U(1) << (at & 63).astype(np.uint64))  # bits of their own: a sum is a union
     ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
     low = np.zeros((n * low_bits) // 64 + 2, np.uint64)
     if n and low_bits:
         v = values & _U((1 << low_bits) - 1) if low_bits < 64 else values
         bit = np.arange(n, dtype=np.int64) * low_bits
         word, off = bit >> 6, (bit & 63).astype(np.uint64)
-        np.bitwise_or.at(low, word, v << off)
+        np.add.at(low, word, v << off)
         over = np.flatnonzero(off.astype(np.int64) + low_bits > 64)
-        np.bitwise_or.at(low, word[over] + 1, v[over] >> (_U(64) - off[over]))
+        np.add.at(low, word[over] + 1, v[over] >> (_U(64) - off[over]))
     return {"meta": np.array([n, low_bits], np.int64), "high": words, "ones": ones, "low": low}
 
 
@@ -75,9 +75,19 @@ class Sequence:
 
     def successor(self, x: np.ndarray) -> np.ndarray:
         """Index of the first element not below each value (n if none)."""
+        return self._search(x)[0]
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """Index of each value, or -1: its successor, where that has the same
+        high part and the same low bits."""
+        at, found = self._search(x)
+        return np.where(found, at, -1)
+
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The successor's index, and whether the successor is the value."""
         x = x.astype(np.uint64)
         if not self.n or not len(x):
-            return np.full(len(x), self.n)
+            return np.full(len(x), self.n), np.zeros(len(x), bool)
         high = (x >> _U(self.low_bits)).astype(np.int64) if self.low_bits < 64 else np.zeros(len(x), np.int64)
         zeros = len(self.high) * 64 - int(self.ones[-1])
         past = high >= zeros
@@ -95,4 +105,7 @@ class Sequence:
             lo[open_[less]] = mid[less] + 1
             hi[open_[~less]] = mid[~less]
             open_ = open_[lo[open_] < hi[open_]]
-        return np.where(past, self.n, np.minimum(lo, end))
+        found = np.zeros(len(x), bool)
+        same = np.flatnonzero((lo < end) & ~past)
+        found[same] = self._low(lo[same]) == want[same]
+        return np.where(past, self.n, np.minimum(lo, end)), found

@@ -68,6 +68,7 @@ REQUEST_ROWS = 32
 END = np.uint64(0xE17B3A5D9C20F461)
 START = np.uint64(0x51A97C03D8E2B64F)
 _CHILD = 40
+_FEW = 1 << 16
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -129,24 +130,6 @@ def _whole(planes: np.ndarray, kind: type = np.uint32, width: int | None = None)
     return raw.view(kind).ravel()
 
 
-def _steps(child: np.ndarray, under: np.ndarray) -> np.ndarray:
-    """Ascending children of each node as steps from the one before; ``under``
-    is their number per node."""
-    out = child.copy()
-    out[1:] -= child[:-1]
-    first = (np.cumsum(under) - under)[under > 0]
-    out[first] = child[first]
-    return out
-
-
-def _climb(step: np.ndarray, under: np.ndarray) -> np.ndarray:
-    """The children of their steps."""
-    total = np.cumsum(step, dtype=np.uint64)
-    some = under[under > 0]
-    first = np.cumsum(some) - some
-    return total - np.repeat(total[first] - step[first], some)
-
-
 def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """Whether each value is in a sorted array."""
     if not len(ordered):
@@ -179,14 +162,14 @@ class Level:
         pair, self.pair_of = np.unique(context.astype(np.int64) * len(prints) + token, return_inverse=True)
         self.pair_of = self.pair_of.astype(np.int32)
         self.pair_u = pair // len(prints)
-        self.pair_w = prints[pair % len(prints)]
+        self.pair_w = (pair % len(prints)).astype(np.int32)
         self.pair_n = np.bincount(self.pair_of[learned], minlength=len(pair))
         del pair
         self.hot = _among(nodes.name, hot)
         self.dealt = self.hot[self.pair_u]
         self.shard = nodes.shard[self.pair_u]
         some = np.flatnonzero(self.dealt)
-        spread = common.mix(nodes.name[self.pair_u[some]] ^ common.mix(self.pair_w[some])) % np.uint64(n_shards)
+        spread = common.mix(nodes.name[self.pair_u[some]] ^ common.mix(prints[self.pair_w[some]])) % np.uint64(n_shards)
         self.shard[some] = spread.astype(np.int64)
         # By shard, children of the shard's own nodes first, in their order;
         # then dealt ones by node.
@@ -197,16 +180,17 @@ class Level:
     def pairs(self, s: int) -> np.ndarray:
         return self.order[self.at[s]:self.at[s + 1]]
 
-    def request(self, s: int) -> list[np.ndarray]:
+    def request(self, s: int, index: np.ndarray) -> list[np.ndarray]:
         """Names of hot nodes with dealt children here; children under each own
-        node and each of these; the children and their counts."""
+        node and each of these; the children (by their words' ``index`` in the
+        request) and their counts."""
         p = self.pairs(s)
         u, dealt = self.pair_u[p], self.dealt[p]
         more = np.unique(u[dealt])
         lo, hi = self.nodes.at[s], self.nodes.at[s + 1]
         under = np.concatenate([np.bincount(self.nodes.rank[u[~dealt]] - lo, minlength=hi - lo),
                                 np.bincount(np.searchsorted(more, u[dealt]), minlength=len(more))])
-        return [self.nodes.name[more], _planes(under), _planes(_steps(self.pair_w[p], under), np.uint64)[:_CHILD // 8], _planes(self.pair_n[p])]
+        return [self.nodes.name[more], _planes(under), _planes(index[self.pair_w[p]]), _planes(self.pair_n[p])]
 
 
 class Chunk:
@@ -220,7 +204,7 @@ class Chunk:
         by = np.argsort(prints, kind="stable")  # children of a node then ascend
         rank = np.empty(len(by), np.int64)
         rank[by] = np.arange(len(by))
-        self.word, prints, inv = word[by], prints[by], rank[inv]
+        self.word, self.prints, inv = word[by], prints[by], rank[inv]
         self.token, start = inv[:-1].astype(np.int32), inv[-1]
         self.word_n = np.bincount(self.token[learned], minlength=len(self.word))
         self.word_n[start] = int(train.sum())
@@ -240,15 +224,22 @@ class Chunk:
                 names = np.zeros(len(level.pair_u), np.uint64)
                 names[context] = name
                 nodes = Nodes(names, level.shard, level.order, n_shards)
-            level = Level(nodes, context, self.token[at], prints, learned[at], hot[length - 1], n_shards)
+            level = Level(nodes, context, self.token[at], self.prints, learned[at], hot[length - 1], n_shards)
             self.levels.append((at, level))
             before = at
 
     def requests(self) -> Iterator[tuple[int, bytes]]:
         for s in range(self.n_shards):
             w = self.levels[0][1].nodes.own(s)
-            if len(w) or any(len(level.pairs(s)) for _, level in self.levels):
-                yield s, _zip(self.word[w], _planes(self.word_n[w]), *(a for _, level in self.levels for a in level.request(s)))
+            used = np.zeros(len(self.word), bool)
+            for _, level in self.levels:
+                used[level.pair_w[level.pairs(s)]] = True
+            # A child's fingerprint travels once, however many nodes it is under.
+            child = self.prints[used]
+            if len(w) or len(child):
+                index = np.cumsum(used, dtype=np.int32) - 1
+                yield s, _zip(self.word[w], _planes(self.word_n[w]), _planes(np.diff(child, prepend=np.uint64(0)), np.uint64)[:_CHILD // 8],
+                              *(a for _, level in self.levels for a in level.request(s, index)))
 
 
 class Trie:
@@ -258,19 +249,27 @@ class Trie:
         """Nodes with their exact ``counts`` (on the first level the sorted
         ``words`` stand for the first of them); kept pairs sorted by (parent
         node, child), with their counts ``seen``."""
-        value = np.log10(seen - DISCOUNT)
-        distinct = np.unique(value)
+        few = np.minimum(seen, _FEW)
+        kinds = np.flatnonzero(np.bincount(few, minlength=_FEW + 1)[:_FEW])
+        many = np.flatnonzero(few == _FEW)
+        kinds = np.concatenate([kinds, np.unique(seen[many])])
+        distinct = np.log10(kinds - DISCOUNT)
         # Small counts have entries of their own, larger ones share bins of equal
         # logarithmic width; each bin stands for its least value, so no context
         # gives away more than it has.
         book = distinct
         if len(distinct) > 255:
-            few, many = np.split(distinct, [np.searchsorted(distinct, np.log10(EXACT_COUNTS - DISCOUNT), "right")])
-            edges = np.linspace(many[0], many[-1], 255 - len(few))
-            book = np.concatenate([few, many[np.unique(np.searchsorted(many, edges))]])
+            exact, wide = np.split(distinct, [np.searchsorted(distinct, np.log10(EXACT_COUNTS - DISCOUNT), "right")])
+            edges = np.linspace(wide[0], wide[-1], 255 - len(exact))
+            book = np.concatenate([exact, wide[np.unique(np.searchsorted(wide, edges))]])
         self.book = np.concatenate([[-np.inf], book])
-        code = np.searchsorted(book, value, "right").astype(np.uint8)
-        pointer = np.searchsorted(parent, np.arange(len(counts) + 1)).astype(np.uint64)
+        # Codes by count: a table for counts below ``_FEW``, a search for the others.
+        codes = np.searchsorted(book, distinct, "right").astype(np.uint8)
+        by_count = np.zeros(_FEW + 1, np.uint8)
+        by_count[kinds[kinds < _FEW]] = codes[kinds < _FEW]
+        code = by_count[few]
+        code[many] = codes[np.searchsorted(kinds, seen[many])]
+        pointer = np.concatenate([[0], np.cumsum(np.bincount(parent, minlength=len(counts)))]).astype(np.uint64)
         bits = _CHILD + max(1, int(len(counts)).bit_length())
         parts = {"w_" + k: a for k, a in eliasfano.encode(words, 64).items()}
         parts |= {"p_" + k: a for k, a in eliasfano.encode(pointer, max(1, int(len(parent)).bit_length())).items()}
@@ -288,17 +287,13 @@ class Trie:
         at = {k: np.frombuffer(whole, d, n, o) for k, (o, d, n) in place.items()}
         self.words, self.pointer, self.child = (eliasfano.Sequence({k[2:]: a for k, a in at.items() if k.startswith(x)}) for x in ("w_", "p_", "c_"))
         self.counts, self.code = at["counts"], at["code"]
-        self.upto = np.concatenate([[0.0], np.cumsum(10 ** self.book[self.code])])
+        self.upto = np.concatenate([[0.0], np.cumsum((10 ** self.book)[self.code])])
 
     def _hits(self, seq: eliasfano.Sequence, x: np.ndarray, step: int = 1 << 19) -> np.ndarray:
         """Index of each value, or -1."""
         out = np.full(len(x), -1)
         for lo in range(0, len(x), step):
-            some = x[lo:lo + step]
-            i = seq.successor(some)
-            inside = np.flatnonzero(i < seq.n)
-            found = inside[seq.access(i[inside]) == some[inside]]
-            out[lo + found] = i[found]
+            out[lo:lo + step] = seq.find(x[lo:lo + step])
         return out
 
     def node(self, words: np.ndarray) -> np.ndarray:
@@ -366,6 +361,63 @@ def _hot_contexts(docs: DataFrame, order: int) -> list[np.ndarray]:
     return [np.unique(np.append(h, START)) for h in found]
 
 
+def _answers(held: list[tuple[int, bytes]], order: int, min_count: int) -> pa.RecordBatch:
+    """Build a shard's part of the trie from its (chunk, request) and answer them."""
+    got = [_unzip(r, np.uint64, np.uint8, np.uint8, *[np.uint64, np.uint8, np.uint8, np.uint8] * (order - 1)) for _, r in held]
+    words, inv = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+    counts = np.zeros(len(words), np.int64)
+    np.add.at(counts, inv, np.concatenate([_whole(g[1]) for g in got]))
+    prints = [np.cumsum(_whole(g[2], np.uint64, _CHILD // 8), dtype=np.uint64) for g in got]
+    tokens = words != START
+    rows: list[tuple] = [(None, None, None, None, None, int(counts[tokens].sum()), int((counts[tokens] > 0).sum()))]
+    own = np.split(inv, np.cumsum([len(g[0]) for g in got])[:-1])
+    answer: list[list[np.ndarray]] = [[] for _ in got]
+    for i in range(order - 1):
+        part = [g[3 + 4 * i:7 + 4 * i] for g in got]
+        # Hot nodes whose children are dealt stand behind the shard's own.
+        names, more = np.unique(np.concatenate([p[0] for p in part]), return_inverse=True)
+        dealt = np.split(len(counts) + more, np.cumsum([len(p[0]) for p in part])[:-1])
+        number = [_whole(p[1]).astype(np.int64) for p in part]
+        node = [np.repeat(np.concatenate([o, d]), n) for o, d, n in zip(own, dealt, number, strict=True)]
+        child = [f[_whole(p[2])] for f, p in zip(prints, part, strict=True)]
+        # What stands under a pair seen less than min_count is seen less as well.
+        at = np.concatenate(node)
+        under = np.flatnonzero(at >= 0)
+        key = at[under].astype(np.uint64) << np.uint64(_CHILD) | np.concatenate(child)[under]
+        by = np.argsort(key)
+        key = key[by]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        n = np.concatenate([_whole(p[3]) for p in part]).astype(np.int64)[under][by]
+        seen = np.add.reduceat(n, first) if len(first) else np.zeros(0, np.int64)
+        kept = seen >= min_count
+        key, seen = key[first][kept], seen[kept]
+        del at, under, by, first, n
+        trie = Trie(words, np.concatenate([counts, np.zeros(len(names), np.int64)]), (key >> np.uint64(_CHILD)).astype(np.int64),
+                    key & np.uint64((1 << _CHILD) - 1), seen)
+        given = trie.given(np.arange(len(counts) + len(names)))
+        # The last one is for nodes that are not in the trie.
+        sums, of_node = np.unique(np.append(given, 0.0), return_inverse=True)
+        given = given[len(counts):]
+        rows += [(i, None, None, h, g, None, None) for h, g in zip(names.view(np.int64).tolist(), given.tolist(), strict=True)]
+        for k, (o, u, w) in enumerate(zip(own, node, child, strict=True)):
+            pair = trie.find(u, w)
+            which = of_node[o]
+            used = np.zeros(len(sums), bool)
+            used[which] = True
+            value, which = sums[used], (np.cumsum(used) - 1)[which]
+            exact = trie.count(o)
+            if i:  # the codebook of the level above holds small counts exactly
+                exact = np.where(exact > EXACT_COUNTS, exact, 0)
+            answer[k] += [_planes(exact, np.int64), value, _planes(which), trie.code_of(pair), trie.book]
+            own[k] = pair
+        words, counts = np.zeros(0, np.uint64), seen
+    rows += [(None, chunk, _zip(*a), None, None, None, None) for (chunk, _), a in zip(held, answer, strict=True)]
+    types = {"level": pa.int32(), "chunk": pa.int64(), "answer": pa.binary(), "hot": pa.int64(), "given": pa.float64(), "n": pa.int64(),
+             "v": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.values(), strict=True)],
+                                      names=list(types))
+
+
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT,
           order: int = LOWEST_ORDER) -> DataFrame:
     """Per row: doc_id, trained (bool), n_tokens, n_known, train_tokens,
@@ -417,57 +469,9 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array([key] * len(shard), pa.int64()),
                                                   pa.array(request, pa.binary())], names=["shard", "chunk", "request"])
 
-    def answers(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        got = [_unzip(r, np.uint64, np.uint8, *[np.uint64, np.uint8, np.uint8, np.uint8] * (order - 1)) for _, r in held]
-        words, inv = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-        counts = np.zeros(len(words), np.int64)
-        np.add.at(counts, inv, np.concatenate([_whole(g[1]) for g in got]))
-        tokens = words != START
-        rows: list[tuple] = [(None, None, None, None, None, int(counts[tokens].sum()), int((counts[tokens] > 0).sum()))]
-        own = np.split(inv, np.cumsum([len(g[0]) for g in got])[:-1])
-        answer: list[list[np.ndarray]] = [[] for _ in got]
-        for i in range(order - 1):
-            part = [g[2 + 4 * i:6 + 4 * i] for g in got]
-            # Hot nodes whose children are dealt stand behind the shard's own.
-            names, more = np.unique(np.concatenate([p[0] for p in part]), return_inverse=True)
-            dealt = np.split(len(counts) + more, np.cumsum([len(p[0]) for p in part])[:-1])
-            number = [_whole(p[1]).astype(np.int64) for p in part]
-            node = [np.repeat(np.concatenate([o, d]), n) for o, d, n in zip(own, dealt, number, strict=True)]
-            child = [_climb(_whole(p[2], np.uint64, _CHILD // 8), n) for p, n in zip(part, number, strict=True)]
-            # What stands under a pair seen less than min_count is seen less as well.
-            at = np.concatenate(node)
-            under = np.flatnonzero(at >= 0)
-            key = at[under].astype(np.uint64) << np.uint64(_CHILD) | np.concatenate(child)[under]
-            by = np.argsort(key)
-            key = key[by]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-            n = np.concatenate([_whole(p[3]) for p in part]).astype(np.int64)[under][by]
-            seen = np.add.reduceat(n, first) if len(first) else np.zeros(0, np.int64)
-            kept = seen >= min_count
-            key, seen = key[first][kept], seen[kept]
-            del at, under, by, first, n
-            trie = Trie(words, np.concatenate([counts, np.zeros(len(names), np.int64)]), (key >> np.uint64(_CHILD)).astype(np.int64),
-                        key & np.uint64((1 << _CHILD) - 1), seen)
-            given = trie.given(len(counts) + np.arange(len(names)))
-            rows += [(i, None, None, h, g, None, None) for h, g in zip(names.view(np.int64).tolist(), given.tolist(), strict=True)]
-            for k, (o, u, w) in enumerate(zip(own, node, child, strict=True)):
-                pair = trie.find(u, w)
-                value, which = np.unique(trie.given(o), return_inverse=True)
-                exact = trie.count(o)
-                if i:  # the codebook of the level above holds small counts exactly
-                    exact = np.where(exact > EXACT_COUNTS, exact, 0)
-                answer[k] += [_planes(exact, np.int64), value, _planes(which), trie.code_of(pair), trie.book]
-                own[k] = pair
-            words, counts = np.zeros(0, np.uint64), seen
-        rows += [(None, chunk, _zip(*a), None, None, None, None) for (chunk, _), a in zip(held, answer, strict=True)]
-        types = {"level": pa.int32(), "chunk": pa.int64(), "answer": pa.binary(), "hot": pa.int64(), "given": pa.float64(), "n": pa.int64(),
-                 "v": pa.int64()}
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.values(), strict=True)],
-                                          names=list(types))
-
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(shard: int, held: list) -> pa.RecordBatch:
-            b = answers(held)
+            b = _answers(held, order, min_count)
             return pa.RecordBatch.from_arrays([pa.array([shard] * b.num_rows, pa.int32()), *b.columns], names=["shard", *b.schema.names])
 
         now, held = None, []
