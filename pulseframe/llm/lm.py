@@ -172,25 +172,28 @@ class Level:
         spread = common.mix(nodes.name[self.pair_u[some]] ^ common.mix(prints[self.pair_w[some]])) % np.uint64(n_shards)
         self.shard[some] = spread.astype(np.int64)
         # By shard, children of the shard's own nodes first, in their order;
-        # then dealt ones by node.
-        place = np.where(self.dealt, self.pair_u, nodes.rank[self.pair_u])
-        self.order = np.argsort((2 * self.shard + self.dealt) * max(len(nodes.name), 1) + place, kind="stable")
+        # then dealt ones by node. Both lists ascend by shard and are merged.
+        under = np.bincount(self.pair_u, minlength=len(nodes.name))
+        whole = nodes.order[~self.hot[nodes.order]]
+        own = common.spread((np.cumsum(under) - under)[whole], under[whole])
+        both = np.concatenate([own, some[np.argsort(self.shard[some], kind="stable")]])
+        self.order = both[np.argsort(self.shard[both], kind="stable")]
         self.at = np.searchsorted(self.shard[self.order], np.arange(n_shards + 1))
 
     def pairs(self, s: int) -> np.ndarray:
         return self.order[self.at[s]:self.at[s + 1]]
 
-    def request(self, s: int, index: np.ndarray) -> list[np.ndarray]:
+    def request(self, s: int, children: np.ndarray) -> list[np.ndarray]:
         """Names of hot nodes with dealt children here; children under each own
-        node and each of these; the children (by their words' ``index`` in the
-        request) and their counts."""
+        node and each of these; the ``children`` (numbers within the request)
+        and their counts."""
         p = self.pairs(s)
         u, dealt = self.pair_u[p], self.dealt[p]
         more = np.unique(u[dealt])
         lo, hi = self.nodes.at[s], self.nodes.at[s + 1]
         under = np.concatenate([np.bincount(self.nodes.rank[u[~dealt]] - lo, minlength=hi - lo),
                                 np.bincount(np.searchsorted(more, u[dealt]), minlength=len(more))])
-        return [self.nodes.name[more], _planes(under), _planes(index[self.pair_w[p]]), _planes(self.pair_n[p])]
+        return [self.nodes.name[more], _planes(under), _planes(children), _planes(self.pair_n[p])]
 
 
 class Chunk:
@@ -231,15 +234,14 @@ class Chunk:
     def requests(self) -> Iterator[tuple[int, bytes]]:
         for s in range(self.n_shards):
             w = self.levels[0][1].nodes.own(s)
-            used = np.zeros(len(self.word), bool)
-            for _, level in self.levels:
-                used[level.pair_w[level.pairs(s)]] = True
+            below = [level.pair_w[level.pairs(s)] for _, level in self.levels]
             # A child's fingerprint travels once, however many nodes it is under.
-            child = self.prints[used]
+            child, index = np.unique(np.concatenate(below), return_inverse=True)
             if len(w) or len(child):
-                index = np.cumsum(used, dtype=np.int32) - 1
-                yield s, _zip(self.word[w], _planes(self.word_n[w]), _planes(np.diff(child, prepend=np.uint64(0)), np.uint64)[:_CHILD // 8],
-                              *(a for _, level in self.levels for a in level.request(s, index)))
+                index = np.split(index, np.cumsum([len(c) for c in below])[:-1])
+                yield s, _zip(self.word[w], _planes(self.word_n[w]),
+                              _planes(np.diff(self.prints[child], prepend=np.uint64(0)), np.uint64)[:_CHILD // 8],
+                              *(a for (_, level), c in zip(self.levels, index, strict=True) for a in level.request(s, c)))
 
 
 class Trie:
@@ -401,10 +403,8 @@ def _answers(held: list[tuple[int, bytes]], order: int, min_count: int) -> pa.Re
         rows += [(i, None, None, h, g, None, None) for h, g in zip(names.view(np.int64).tolist(), given.tolist(), strict=True)]
         for k, (o, u, w) in enumerate(zip(own, node, child, strict=True)):
             pair = trie.find(u, w)
-            which = of_node[o]
-            used = np.zeros(len(sums), bool)
-            used[which] = True
-            value, which = sums[used], (np.cumsum(used) - 1)[which]
+            value, which = np.unique(of_node[o], return_inverse=True)
+            value = sums[value]
             exact = trie.count(o)
             if i:  # the codebook of the level above holds small counts exactly
                 exact = np.where(exact > EXACT_COUNTS, exact, 0)
