@@ -98,7 +98,19 @@ def fit_members(train: DataFrame, feats: Sequence[str], estimators: Sequence) ->
         fitted = [est.fit(ready) for est in estimators]
     finally:
         ready.unpersist()
-    return [PipelineModel(prep.stages + (m.stages if isinstance(m, PipelineModel) else [m])) for m in fitted]
+    return [PipelineModel(prep.stages + [_without_summary(s) for s in (m.stages if isinstance(m, PipelineModel) else [m])])
+            for m in fitted]
+
+
+def _without_summary(model):
+    """The model without the training summary a classifier keeps. A summary of
+    two classes holds the session, which cannot be sent to tasks once the
+    session has observed metrics or run a stream, and the model goes with it."""
+    if getattr(model, "hasSummary", False):
+        model = model.copy()
+        if model.hasSummary:  # a copied logistic regression takes its summary along
+            model._java_obj.setSummary(SparkSession.active()._jvm.scala.Option.empty())
+    return model
 
 
 def train_classifier(train: DataFrame, feats: Sequence[str], num_trees: int = 60, max_depth: int = 6) -> list:
