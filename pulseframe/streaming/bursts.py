@@ -5,7 +5,7 @@ lockout lasts ``min(300, window_s)`` seconds from the triggering failure.
 Two implementations with the same result:
 - ``bursts_batch``: exact sliding-window count without holding a whole key
   in one task (time-bucketed partitions with a one-bucket look-back copy);
-- ``bursts_stream``: Structured Streaming with per-key state
+- ``bursts_stream``: Structured Streaming with state per shard of keys
   (``applyInPandasWithState``) and an event-time watermark.
 """
 
@@ -55,38 +55,44 @@ def bursts_batch(events: DataFrame, key: str, at: str, window_s: int = 600, max_
 
 def _burst_state_fn(window_s: int, max_attempts: int):
     span = window_s * MICROS
+    width = 2 * span
 
-    def fn(key, pdfs, state):
-        """State: the sorted times (microseconds) of one key in one bucket and
-        the bucket before it."""
-        empty = np.zeros(0, np.int64)
+    def fn(shard, pdfs, state):
+        """State: keys and times (microseconds) of one shard in one bucket and
+        the bucket before it. A row's place is its key's number times the
+        width of two buckets plus its time since their start, so that one
+        search counts for all keys."""
         if state.hasTimedOut:
             state.remove()
-            at = n = rows = empty
+            keys = at = n = rows = np.zeros(0, np.int64)
         else:
-            new = np.sort(np.concatenate([empty, *[pdf["us"].to_numpy(np.int64) for pdf in pdfs]]))
-            old = np.asarray(state.get[0], np.int64) if state.exists else empty
-            times = np.sort(np.concatenate([old, new]))
-            state.update((times.tolist(),))
+            start = (int(shard[1]) - 1) * span
+            fresh = [(pdf["key"].to_numpy(np.int64), pdf["us"].to_numpy(np.int64)) for pdf in pdfs]
+            old = [tuple(np.frombuffer(x, np.int64) for x in state.get)] if state.exists else []
+            keys, us = (np.concatenate(x) for x in zip(*old, *fresh, strict=True))
+            state.update((keys.tobytes(), us.tobytes()))
             # No row of the bucket can come once the watermark has left it.
-            state.setTimeoutTimestamp((int(key[1]) + 1) * window_s * 1000 + 1)
-
-            def within(t, found, back):
-                return np.searchsorted(found, t, "right") - np.searchsorted(found, t - back, "left")
-
-            at = np.unique(times[times >= key[1] * span])
-            n = within(at, times, span)
-            hit = (n >= max_attempts) & (within(at, new, span) > 0)
-            at, n = at[hit], n[hit]
-            rows = within(at, times, 0)
-        yield pd.DataFrame({"key": np.full(len(at), key[0], np.int64), "us": at, "n_in_window": n.astype(np.int64),
-                            "n_rows": rows.astype(np.int64)})
+            state.setTimeoutTimestamp((int(shard[1]) + 1) * window_s * 1000 + 1)
+            names, number = np.unique(keys, return_inverse=True)
+            place = number * width + (us - start)
+            new = np.sort(place[sum(len(k) for k, _ in old):])
+            place.sort()
+
+            def within(t, found):
+                return np.searchsorted(found, t, "right") - np.searchsorted(found, t - span, "left")
+
+            at, rows = np.unique(place[place % width >= span], return_counts=True)
+            n = within(at, place)
+            hit = (n >= max_attempts) & (within(at, new) > 0)
+            at, n, rows = at[hit], n[hit], rows[hit]
+            keys, at = names[at // width], at % width + start
+        yield pd.DataFrame({"key": keys, "us": at, "n_in_window": n.astype(np.int64), "n_rows": rows.astype(np.int64)})
 
     return fn
 
 
 def bursts_stream(stream: DataFrame, key: str, at: str, window_s: int = 600, max_attempts: int = 5,
-                  watermark: str = "20 minutes") -> DataFrame:
+                  watermark: str = "20 minutes", shards: int = 32) -> DataFrame:
     """Streaming version: revisions (key, at, n_in_window, n_rows,
     locked_until), one for every failure time whose count a micro-batch
     brought to ``max_attempts`` or raised beyond it; ``n_rows`` failures stand
@@ -95,18 +101,21 @@ def bursts_stream(stream: DataFrame, key: str, at: str, window_s: int = 600, max
     ``bursts_batch``. Rows later than ``watermark`` are dropped.
 
     As in the batch version a row goes to its time bucket and, as look-back,
-    to the next one. State is kept per (key, bucket), so a very busy key is
-    spread over tasks, and goes when the watermark leaves the bucket.
+    to the next one. State is kept per (shard of keys, bucket) and goes when
+    the watermark leaves the bucket: the number of states, each a call of its
+    own, depends on the time spanned and not on the keys, and a very busy key
+    is spread over tasks by its buckets.
     """
     bucket = F.floor(F.col("us") / (window_s * MICROS)).cast("long")
     s = (stream.select(F.col(key).cast("long").alias("key"), F.col(at).cast("timestamp").alias("at"))
          .where(F.col("key").isNotNull() & F.col("at").isNotNull()).withWatermark("at", watermark)
          .withColumn("us", F.unix_micros("at"))
          .withColumn("bucket", F.explode(F.array(bucket, bucket + 1))))
-    found = s.groupBy("key", "bucket").applyInPandasWithState(
+    s = s.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    found = s.groupBy("shard", "bucket").applyInPandasWithState(
         _burst_state_fn(window_s, max_attempts),
         outputStructType="key long, us long, n_in_window long, n_rows long",
-        stateStructType="times array<long>",
+        stateStructType="keys binary, times binary",
         outputMode="append",
         timeoutConf=GroupStateTimeout.EventTimeTimeout)
     lock = F.expr(f"make_dt_interval(0, 0, 0, {min(300, window_s)})")
