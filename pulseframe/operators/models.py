@@ -47,6 +47,9 @@ def prepare(df: DataFrame, features: Sequence[str], target: str, id_col: str, cl
     x = x.where(F.col("label").isNotNull())
     if classes is not None:
         x = x.where(F.col("label").isin([float(c) for c in classes]))
+    # Stored once: the counts, the training and, after ``unpersist``, the
+    # predictions would each derive the table from its sources again.
+    x = cut_lineage(x)
     counts = x.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in features]).first().asDict()
     feats = [c for c in features if counts[c] > 0]
     if len(feats) < min_features or counts["_n"] < min_rows:
