@@ -67,6 +67,10 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         cut = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.cut = regex.compile(cut).findall
+        # Where the pattern takes runs of letters, and runs of other signs, as
+        # they are, a word of letters alone is one piece and needs no search.
+        self.runs = {"[\\p{L}]+", "[^\\s\\p{L}\\p{N}]+"} <= set(cut.split("|"))
+        self.tokenize = self.tokenizer.model.tokenize
         self.chars = byte_table()
         self.pieces: dict[str, list[int]] = {}
         self._reset()
@@ -76,12 +80,15 @@ class Words:
         self.ids, self.first, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _piece(self, piece: str) -> list[int]:
-        raw = piece.encode("utf-8").decode("latin-1").translate(self.chars)
-        ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(raw)]
+        raw = piece  # printable ASCII stands for itself in the byte table
+        if not (piece.isascii() and piece.isprintable()):
+            raw = piece.encode("utf-8").decode("latin-1").translate(self.chars)
+        ids = self.pieces[piece] = [t.id for t in self.tokenize(raw)]
         return ids
 
     def _word_ids(self, texts: list[str]) -> list[list[int]]:
-        whole = [i for i, t in enumerate(texts) if _WHOLE.search(t)]
+        search = _WHOLE.search
+        whole = [i for i, t in enumerate(texts) if not (t.isascii() and t.isalnum()) and search(t)]
         done: list[list[int]] = [[]] * len(texts)
         if whole:
             found = self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)
@@ -92,9 +99,15 @@ class Words:
         plain = self.tokenizer.normalizer.normalize_str(" ".join([texts[i] for i in rest])).split(" ")
         if len(self.pieces) > KEPT_PIECES:
             self.pieces = {}
-        get = self.pieces.get
+        get, cut, runs = self.pieces.get, self.cut, self.runs
         for i, word in zip(rest, plain, strict=True) if rest else ():
-            parts = self.cut(word)
+            if runs and word.isalpha():
+                done[i] = get(word) or self._piece(word)
+                continue
+            if runs and word[-1] in ".,;:!?" and word[:-1].isalpha():
+                parts = (word[:-1], word[-1])
+            else:
+                parts = cut(word)
             if len(parts) == 1:
                 done[i] = get(parts[0]) or self._piece(parts[0])
             else:
@@ -104,7 +117,7 @@ class Words:
     def _add(self, words: list[bytes]) -> None:
         found: list[list[int]] = []
         for lo in range(0, len(words), 20_000):
-            found += self._word_ids([w.decode("utf-8") for w in words[lo:lo + 20_000]])
+            found += self._word_ids(b" ".join(words[lo:lo + 20_000]).decode("utf-8").split(" "))
         n, at = len(self.first), len(self.ids)
         count = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(count.sum()))
